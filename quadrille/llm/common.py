@@ -6,7 +6,9 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,3 +114,73 @@ def map_batches(
 def partition_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Finaliser of the splitmix64 generator: a bijection that spreads 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass
+class Tokens:
+    """Tokens of a block of texts: 64-bit hashes, first bytes, lengths, and where each text's start."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    offsets: np.ndarray  # one more than texts
+    data: np.ndarray
+
+
+def hash_tokens(texts: list[bytes], classes: np.ndarray) -> Tokens:
+    """Cuts texts where the class of a byte changes; class 0 is between tokens.
+
+    A token's hash is a polynomial of its bytes, from differences of running sums, then mixed.
+    """
+    data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+    kind = classes[data]
+    if len(ends):
+        kind[ends - 1] = 0
+    change = np.flatnonzero(kind[1:] != kind[:-1]) + 1 if len(kind) else np.zeros(0, np.int64)
+    edges = np.concatenate([[0], change, [len(data)]]) if len(kind) else np.zeros(1, np.int64)
+    first, stop = edges[:-1], edges[1:]
+    real = kind[first] > 0
+    first, stop = first[real], stop[real]
+    power, inverse = _powers_to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    hashes = mix64((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))
+    offsets = np.concatenate([[0], np.searchsorted(first, ends, "left")])
+    return Tokens(hashes, first, stop - first, offsets, data)
+
+
+def sum_by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of values[offsets[i]:offsets[i+1]], 0 where a range is empty."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), values.dtype)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[:-1][full], axis=0)
+    return out
+
+
+def carried(frame: DataFrame) -> str:
+    """The schema of a frame as text, to carry its columns through a Python stage."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)

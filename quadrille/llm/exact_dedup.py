@@ -276,7 +276,7 @@ def survivors(
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     n_ranges = max(1, -(-total // range_bytes))
     folder = index_dir or common.new_path(spark, "exact-index")
-    wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    wide = common.carried(docs)
     folded = common.map_batches(
         docs,
         _fold(key_bits, n_ranges, text_col, id_col),
