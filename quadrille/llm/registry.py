@@ -76,6 +76,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
