@@ -94,6 +94,15 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import round_trip
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return round_trip(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
