@@ -9,6 +9,8 @@ aggregates the bytes in order.  Spark hands out the blocks; nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import duckdb
@@ -16,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 from .segments import CACHE_ENTRIES, PieceCache
@@ -27,7 +28,9 @@ SHORT_BYTES = 64
 QUERY_BYTES = 1 << 18
 #: Rounds of one recursive query over long words; their state is then taken up by the next query.
 LONG_ROUNDS = 16
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Ids of one decoding query; a longer text takes several.
+DECODE_IDS = 1 << 19
 
 # One sort of all rows a round: neighbours of another word give no pair.
 _SHORT = """
@@ -96,7 +99,7 @@ class Codec:
         self.ranks, self.pattern, self.short_bytes = ranks, regex.compile(pattern), short_bytes
         self.letters = r"| ?\p{L}+|" in pattern
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
         pairs = [
             (a, b, rank)
             for token, rank in ranks.items()
@@ -169,11 +172,14 @@ class Codec:
         return self.pattern.findall(piece)
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
         ids = self.words
         matches = [self._matches(p) for p in pieces]
-        new = list({m for own in matches for m in own if m not in ids})
+        seen: set[str] = set()
+        for own in matches:
+            seen.update(own)
+        new = list(seen.difference(ids))
+        if len(ids) + len(new) > CACHE_ENTRIES:
+            self.words = ids = {w: ids[w] for w in seen.intersection(ids)}
         ids.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
         return [b"".join(map(ids.__getitem__, own)) for own in matches]
 
@@ -185,19 +191,15 @@ class Codec:
         """Bytes of each list of ids."""
         lengths = np.array([len(x) // 4 for x in ids], np.int64)
         first = np.cumsum(lengths) - lengths
-        tokens = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-        table = pa.table(
-            {
-                "doc": np.repeat(np.arange(len(ids)), lengths),
-                "pos": np.arange(len(tokens)) - np.repeat(first, lengths),
-                "tok": tokens,
-            }
-        )
-        out = [b""] * len(ids)
-        found = self._run(_DECODE, "ids", table)
-        for doc, text in zip(found["doc"].to_pylist(), found["bytes"].to_pylist(), strict=True):
-            out[doc] = text
-        return out
+        tokens = np.frombuffer(b"".join(ids), "<u4")
+        doc, pos = np.repeat(np.arange(len(ids)), lengths), np.arange(len(tokens)) - np.repeat(first, lengths)
+        parts: list[list[bytes]] = [[] for _ in ids]
+        for a in range(0, len(tokens), DECODE_IDS):
+            own = slice(a, a + DECODE_IDS)
+            found = self._run(_DECODE, "ids", pa.table({"doc": doc[own], "pos": pos[own], "tok": tokens[own]}))
+            for i, text in zip(found["doc"].to_pylist(), found["bytes"].to_pylist(), strict=True):
+                parts[i].append(text)
+        return [b"".join(p) for p in parts]
 
 
 _codecs: dict[int, Codec] = {}
@@ -215,8 +217,6 @@ class _Shared:
     """A broadcast with a key under which workers keep what they make of it."""
 
     def __init__(self, spark, value):
-        import uuid
-
         self.id, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
 
     @property
@@ -269,11 +269,27 @@ def decode(encoded: DataFrame, vocabulary: _Shared) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, repeated ones too."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, repeated ones too.
+
+    Encodes and decodes in one stage, so that a task has one worker and ids stay in it.
+    """
     vocabulary = share(docs.sparkSession, read_ranks(rank_path), pattern)
-    return decode(encode(common.id_and_text(docs), vocabulary), vocabulary).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(vocabulary)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in common.blocks(texts, BLOCK_BYTES):
+                ids = codec.encode(texts[a:b])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(a, b - a),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in codec.decode(ids)]),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return common.map_batches(common.id_and_text(docs), work, schema)

@@ -14,12 +14,12 @@ import regex
 #: A blank beside white space, or at the end.
 _ODD = regex.compile(r" (?:\s|\Z)|\s ")
 
-#: Entries of a worker's cache before it starts anew.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's cache before it is cut to those of the latest block.
+CACHE_ENTRIES = 300_000
 
 
 class PieceCache:
-    """Encodings of pieces, by whether a blank stands before them; bounded."""
+    """Encodings of pieces that follow a blank; bounded, frequent pieces stay."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_ENTRIES):
         self.encode, self.most = encode, most
@@ -27,20 +27,19 @@ class PieceCache:
 
     def encode_texts(self, texts: list[str], whole: Callable[[str], bool] = lambda text: False) -> list[bytes]:
         """Encoded ids of each text; texts for which ``whole`` holds are never cut."""
-        if len(self.after_blank) > self.most:
-            self.after_blank.clear()
         cache = self.after_blank
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t) or whole(t)]
-        uncut = set(odd)
-        pieces = [[] if i in uncut else t.split(" ") for i, t in enumerate(texts)]
-        heads = {p[0] for p in pieces if p} | {texts[i] for i in odd}
-        new = {piece for p in pieces for piece in p[1:] if piece not in cache}
-        new = list(new)
-        for piece, ids in zip(new, self.encode([" " + p for p in new]), strict=True):
-            cache[piece] = ids
-        heads = list(heads)
+        uncut = {i for i, t in enumerate(texts) if _ODD.search(t) or whole(t)}
+        pieces = [[t] if i in uncut else t.split(" ") for i, t in enumerate(texts)]
+        heads = list({p[0] for p in pieces})
         first = dict(zip(heads, self.encode(heads), strict=True))
-        return [
-            first[t] if i in uncut else first[p[0]] + b"".join(map(cache.__getitem__, p[1:]))
-            for i, (t, p) in enumerate(zip(texts, pieces, strict=True))
-        ]
+        firsts = [first[p[0]] for p in pieces]
+        seen: set[str] = set()
+        for p in pieces:
+            del p[0]
+            seen.update(p)
+        new = list(seen.difference(cache))
+        if len(cache) + len(new) > self.most:
+            self.after_blank = cache = {p: cache[p] for p in seen.intersection(cache)}
+        cache.update(zip(new, self.encode([" " + p for p in new]), strict=True))
+        found = cache.__getitem__
+        return [head + b"".join(map(found, p)) for head, p in zip(firsts, pieces, strict=True)]
