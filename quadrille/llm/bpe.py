@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import common
-from .segments import CACHE_ENTRIES, PieceCache
+from .segments import BoundedCache, PieceCache
 
 #: Words of so many bytes or fewer take one contraction a round.
 SHORT_BYTES = 64
@@ -113,8 +113,8 @@ class Codec:
             {"tok": pa.array(list(ranks.values()), pa.int64()), "hex": pa.array([t.hex() for t in ranks], pa.string())},
             "*",
         )
-        self.words: dict[str, bytes] = {}
-        self.cache = PieceCache(self._encode_pieces)
+        self.words = BoundedCache()
+        self.cache = PieceCache(self._encode_pieces, lambda new: self._encode_pieces([" " + p for p in new]))
 
     def _table(self, name: str, columns: dict[str, pa.Array], select: str) -> None:
         self.db.register("given", pa.table(columns))
@@ -177,9 +177,7 @@ class Codec:
         seen: set[str] = set()
         for own in matches:
             seen.update(own)
-        new = list(seen.difference(ids))
-        if len(ids) + len(new) > CACHE_ENTRIES:
-            self.words = ids = {w: ids[w] for w in seen.intersection(ids)}
+        new = list(ids.missing(seen))
         ids.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
         return [b"".join(map(ids.__getitem__, own)) for own in matches]
 

@@ -9,37 +9,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import regex
+#: Entries of a worker's cache before it is cut to those found again.
+CACHE_ENTRIES = 450_000
 
-#: A blank beside white space, or at the end.
-_ODD = regex.compile(r" (?:\s|\Z)|\s ")
 
-#: Entries of a worker's cache before it is cut to those of the latest block.
-CACHE_ENTRIES = 300_000
+class BoundedCache(dict):
+    """Encodings by text.  When full it keeps what later blocks have found in it again."""
+
+    def __init__(self, most: int = CACHE_ENTRIES):
+        super().__init__()
+        self.most, self.again = most, set()
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """What has to be encoded; makes room for it."""
+        new = wanted.difference(self)
+        old = wanted - new
+        self.again |= old
+        if len(self) + len(new) > self.most:
+            keep = self.again if len(self.again) < self.most // 2 else old
+            kept = {p: self[p] for p in keep}
+            self.clear()
+            self.update(kept)
+            self.again = old
+        return new
 
 
 class PieceCache:
-    """Encodings of pieces that follow a blank; bounded, frequent pieces stay."""
+    """Encodings of pieces that follow a blank; bounded, frequent pieces stay.
+
+    ``encode_after_blank`` gets pieces without their blank; none is empty, holds a blank, or begins
+    or ends with white space.  ``encode`` gets any text.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_ENTRIES):
-        self.encode, self.most = encode, most
-        self.after_blank: dict[str, bytes] = {}
+    def __init__(
+        self,
+        encode: Callable[[list[str]], list[bytes]],
+        encode_after_blank: Callable[[list[str]], list[bytes]],
+        most: int = CACHE_ENTRIES,
+    ):
+        self.encode, self.encode_after_blank = encode, encode_after_blank
+        self.after_blank = BoundedCache(most)
 
     def encode_texts(self, texts: list[str], whole: Callable[[str], bool] = lambda text: False) -> list[bytes]:
         """Encoded ids of each text; texts for which ``whole`` holds are never cut."""
         cache = self.after_blank
-        uncut = {i for i, t in enumerate(texts) if _ODD.search(t) or whole(t)}
-        pieces = [[t] if i in uncut else t.split(" ") for i, t in enumerate(texts)]
-        heads = list({p[0] for p in pieces})
-        first = dict(zip(heads, self.encode(heads), strict=True))
-        firsts = [first[p[0]] for p in pieces]
+        pieces = [[t] if whole(t) else t.split(" ") for t in texts]
+        firsts = [p.pop(0) for p in pieces]
         seen: set[str] = set()
         for p in pieces:
-            del p[0]
             seen.update(p)
-        new = list(seen.difference(cache))
-        if len(cache) + len(new) > self.most:
-            self.after_blank = cache = {p: cache[p] for p in seen.intersection(cache)}
-        cache.update(zip(new, self.encode([" " + p for p in new]), strict=True))
+        new = cache.missing(seen)
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        for i, first in enumerate(firsts):
+            if pieces[i] and (first[-1:].isspace() or odd and not odd.isdisjoint(pieces[i])):
+                firsts[i], pieces[i] = texts[i], []
+        new = list(new - odd)
+        cache.update(zip(new, self.encode_after_blank(new), strict=True))
+        starts = list(set(firsts))
+        start = dict(zip(starts, self.encode(starts), strict=True))
         found = cache.__getitem__
-        return [head + b"".join(map(found, p)) for head, p in zip(firsts, pieces, strict=True)]
+        return [start[first] + b"".join(map(found, p)) for first, p in zip(firsts, pieces, strict=True)]
