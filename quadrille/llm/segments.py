@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Entries of a worker's cache before it is cut to those found again.
-CACHE_ENTRIES = 450_000
+CACHE_ENTRIES = 700_000
 
 
 class BoundedCache(dict):
