@@ -2,12 +2,16 @@
 
 A document's set is its distinct word shingles.  Two permutations give all signature coordinates:
 the first scatters a shingle's place in the universe, coordinate k reads the second at that place
-shifted by k, so a shingle's values are one contiguous window of a table.
-
-Documents with equal sets become one class.  In each band's bucket the classes are compared with the
-bucket's smallest one only, which is linear in the bucket and already joins large groups of near
-copies; links that pass on full sets give components.  Buckets in which several components are left
-then get the comparisons between different components, so no link of a candidate pair is missed.
+shifted by k, so a shingle's values are one contiguous window of a table.  One byte of each
+coordinate is kept; a band is some consecutive bytes.
+
+Documents with equal sets become one class.  Within each band's bucket signatures say which classes
+may be similar; the smallest such partner of each class is checked on full sets, which is linear in
+the bucket and joins most of a large group of near copies.  Links that pass give components.  In
+buckets where plausible members are still in several components, tasks compare the full sets of
+members of different components and hand on only the links they confirm, so no link between
+candidates is missed and no list of pairs is made.  Large buckets are cut into blocks, compared
+block by block.
 """
 
 from __future__ import annotations
@@ -24,9 +28,13 @@ from . import common
 from .components import connected_components
 
 UNIVERSE_BITS = 18
-ROWS, BANDS = 4, 32
-#: Candidate pairs of one class that one task checks.
+ROWS, BANDS = 6, 40
+#: Candidate pairs of one class that are checked together.
 PAIRS_PER_SALT = 1_000
+#: Members of a bucket that are compared in one piece; larger buckets are cut into blocks.
+BLOCK_MEMBERS = 2_000
+#: Standard deviations by which a signature may fall short of the similarity.
+DEVIATIONS = 4
 BLOCK_BYTES = 4 << 20
 _SEED = 20240229
 
@@ -91,13 +99,30 @@ class CirculantMinHash:
         return out
 
 
-def band_keys(signatures: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    """One 64-bit key a band."""
-    parts = signatures[:, : rows * bands].astype(np.uint64).reshape(len(signatures), bands, rows)
-    key = np.zeros((len(signatures), bands), np.uint64)
-    for r in range(rows):
-        key = common.mix64(key * np.uint64(0x2545F4914F6CDD1D) + parts[:, :, r])
-    return key.view(np.int64)
+def low_bytes(signatures: np.ndarray) -> np.ndarray:
+    """The lowest byte of each coordinate."""
+    return (signatures & 0xFF).astype(np.uint8)
+
+
+def least_equal(percent: int, coordinates: int) -> int:
+    """Equal bytes that two signatures of similar sets have at least, but for DEVIATIONS deviations."""
+    share = percent / 100
+    share -= DEVIATIONS * math.sqrt(share * (1 - share) / coordinates)
+    return math.floor((share + (1 - share) / 256) * coordinates)  # unequal values agree once in 256
+
+
+def plausible(low: np.ndarray, least: int, rows: int, band: int) -> np.ndarray:
+    """Which pairs of signatures reach ``least`` equal bytes and share no band before this one."""
+    equal = np.zeros((len(low), len(low)), np.int16)
+    earlier = np.zeros((len(low), len(low)), bool)
+    for i in range(0, low.shape[1], rows):
+        own = low[:, i : i + rows]
+        same = [own[:, None, r] == own[None, :, r] for r in range(rows)]
+        for x in same:
+            equal += x
+        if i < band * rows:
+            earlier |= np.logical_and.reduce(same)
+    return (equal >= least) & ~earlier
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -113,31 +138,132 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _describe(size: int, rows: int, bands: int):
+def _describe(size: int, coordinates: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = CirculantMinHash(rows * bands)
+        minhash = CirculantMinHash(coordinates)
         for batch in batches:
             texts = common.texts_of(batch.column("text"))
             for a, b in common.blocks(texts, BLOCK_BYTES):
                 sets = shingle_sets(texts[a:b], size)
-                signatures = minhash.signatures(sets)
-                hashes = [(int(common.mix64(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(s * s))) if len(s) else (0, 0) for s in sets]
-                low = (signatures & 0x7F).astype(np.int8)
+                low = low_bytes(minhash.signatures(sets))
+                h1 = np.array([common.mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+                h2 = np.array([np.bitwise_xor.reduce(s * s) if len(s) else 0 for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array([h[0] for h in hashes], np.uint64).view(np.int64)),
-                        pa.array(np.array([h[1] for h in hashes], np.uint64).view(np.int64)),
-                        pa.FixedSizeListArray.from_arrays(band_keys(signatures, rows, bands).ravel(), bands).cast(pa.list_(pa.int64())),
-                        pa.FixedSizeListArray.from_arrays(low.ravel(), rows * bands).cast(pa.list_(pa.int8())),
+                        pa.array(h1.view(np.int64)),
+                        pa.array(h2.view(np.int64)),
+                        pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    names=["doc_id", "n", "h1", "h2", "bands", "low"],
+                    names=["doc_id", "n", "h1", "h2", "low"],
                 )
 
     return work
 
 
+def _grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a] for c in columns)
+            if key != current and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """Rows of (key, member, ...) with ``left`` and ``right`` blocks: any two members of a bucket meet
+    in one group at least, and a group has two blocks of about BLOCK_MEMBERS members at most."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("cut")).filter("cut > 1")
+    cut = members.join(common.written(sizes, "large-buckets"), "key", "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+    own = F.pmod(F.xxhash64("member"), F.col("cut")).cast("int")
+    return (
+        cut.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+        .withColumn("left", F.least("own", "other"))
+        .withColumn("right", F.greatest("own", "other"))
+        .drop("cut", "own", "other")
+    )
+
+
+def _partners(percent: int, rows: int, bands: int):
+    least = least_equal(percent, rows * bands)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of a bucket with a plausible partner, and the smallest of them."""
+        out: list[tuple[int, int, int]] = []
+        for group in _grouped(batches, ["key", "left", "right"]):
+            if group.num_rows < 2:
+                continue
+            key = group["key"][0].as_py()
+            member = group["member"].to_numpy()
+            low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(len(member), -1)
+            may = plausible(low, least, rows, key & 63)
+            n = group["n"].to_numpy()
+            may &= np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent
+            np.fill_diagonal(may, False)
+            some = np.flatnonzero(may.any(axis=1))
+            smallest = np.where(may[some], member, np.iinfo(np.int64).max).min(axis=1)
+            out += zip([key] * len(some), member[some].tolist(), np.minimum(smallest, member[some]).tolist(), strict=True)
+            if len(out) > 50_000:
+                yield _rows(out, ["key", "member", "head"])
+                out = []
+        yield _rows(out, ["key", "member", "head"])
+
+    return work
+
+
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
+def _across(size: int, percent: int, rows: int, bands: int):
+    least = least_equal(percent, rows * bands)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Confirmed links between members of a bucket that are in different components."""
+        minhash = CirculantMinHash(rows * bands)
+        for group in _grouped(batches, ["key", "left", "right"]):
+            component = group["component"].to_numpy()
+            if len(np.unique(component)) < 2:
+                continue
+            member = group["member"].to_numpy()
+            sets = shingle_sets(common.texts_of(group["text"]), size)
+            may = plausible(low_bytes(minhash.signatures(sets)), least, rows, group["key"][0].as_py() & 63)
+            may &= component[:, None] != component
+            root = {c: c for c in component.tolist()}
+            found = []
+
+            def top(c: int, root: dict[int, int] = root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(may, 1))), strict=True):
+                a, b = top(int(component[i])), top(int(component[j]))
+                if a != b and similar(sets[i], sets[j], percent):
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(member[i]), int(member[j])))
+            yield _rows(found, ["u", "v"])
+
+    return work
+
+
 def _check(size: int, percent: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by group, the group's own text before those that it is compared with."""
@@ -161,13 +287,13 @@ def _check(size: int, percent: int):
     return work
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (head, member) those whose full sets are similar, as (u, v).
 
     The head's text goes once to every thousand of its members or so, whatever their number.
     """
     counts = pairs.groupBy("head").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts"))
-    salted = pairs.join(counts, "head").select(
+    salted = pairs.join(counts.hint("merge"), "head").select(
         F.col("member").alias("doc_id"), "head", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member"
     )
     heads = counts.select(
@@ -176,32 +302,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         F.lit(None).cast("long").alias("member"),
     )
-    texts = salted.unionByName(heads).join(docs, "doc_id").select("head", "salt", "member", "text")
-    dealt = texts.repartition("head", "salt").sortWithinPartitions("head", "salt", F.asc_nulls_first("member"))
+    found = salted.unionByName(heads).join(texts.hint("merge"), "doc_id").select("head", "salt", "member", "text")
+    dealt = found.repartition("head", "salt").sortWithinPartitions("head", "salt", F.asc_nulls_first("member"))
     return common.map_batches(dealt, _check(size, percent), "u long, v long")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, coordinates: int) -> DataFrame:
-    """Pairs whose sizes and signatures do not rule out the similarity (five standard deviations)."""
-    share = percent / 100
-    least = share - 5 * math.sqrt(share * (1 - share) / coordinates)
-    # A coordinate keeps 7 bits: different values agree by chance once in 128.
-    least = (least + (1 - least) / 128) * coordinates
-    side = lambda name: classes.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("low").alias(f"low_{name}"))
-    equal = F.aggregate(
-        F.zip_with("low_head", "low_member", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x
-    )
-    return (
-        pairs.join(side("head"), "head")
-        .join(side("member"), "member")
-        .filter(
-            (F.least("n_head", "n_member") * 100 >= F.greatest("n_head", "n_member") * percent) & (equal >= math.floor(least))
-        )
-        .select("head", "member")
-        .distinct()
-    )
-
-
 def near_groups(
     docs: DataFrame,
     shingle: int = 5,
@@ -217,21 +322,21 @@ def near_groups(
     component_id is the smallest doc_id reachable over links.  Null texts and texts without words
     have no shingles and no links.  Rows of one doc_id are one document; a null doc_id counts as one
     document, smaller than all, whose component_id is null.  An empty table gives no rows.
+
+    Joins of tables that grow with the corpus ask for merge joins: their plan is the same at any size.
+    At most 64 bands.
     """
     base = common.id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
-    schema = "doc_id long, n long, h1 long, h2 long, bands array<long>, low array<byte>"
-    sets = common.written(common.map_batches(base, _describe(shingle, rows, bands), schema), "shingle-sets")
+    schema = "doc_id long, n long, h1 long, h2 long, low binary"
+    sets = common.written(common.map_batches(base, _describe(shingle, rows * bands), schema), "shingle-sets")
     full = sets.filter("n > 0")
     classes = common.written(
-        full.groupBy("n", "h1", "h2").agg(
-            F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low").alias("low")
-        ),
-        "set-classes",
+        full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low")), "set-classes"
     )
     # Each document with the smallest document of the same set.
     members = common.written(
         full.select("doc_id", "n", "h1", "h2")
-        .join(classes.select("n", "h1", "h2", F.col("doc_id").alias("rep")), ["n", "h1", "h2"])
+        .join(classes.select("n", "h1", "h2", F.col("doc_id").alias("rep")).hint("merge"), ["n", "h1", "h2"])
         .select("doc_id", "rep")
         .distinct(),
         "set-members",
@@ -240,48 +345,51 @@ def near_groups(
     several = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).filter("v < w").select("doc_id", "v")
     ties = members.join(several, "doc_id").select(F.col("rep").alias("u"), "v")
 
-    keyed = classes.select(F.col("doc_id").alias("member"), F.posexplode("bands").alias("band", "key"))
-    buckets = common.written(
-        keyed.groupBy("band", "key").agg(F.min("member").alias("head"), F.max("member").alias("last")).filter("head < last").drop("last"),
-        "band-buckets",
+    # A bucket's key holds the band in its lowest six bits.
+    key = lambda i: F.shiftleft(
+        F.shiftright(F.xxhash64(F.substring("low", i * rows + 1, rows)), 6), 6
+    ).bitwiseOR(F.lit(i).cast("long"))
+    keyed = classes.select(F.col("doc_id").alias("member"), F.explode(F.array(*(key(i) for i in range(bands)))).alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("member").alias("x"), F.max("member").alias("y")).filter("x < y").select("key")
+    shared = keyed.join(common.written(buckets, "buckets").hint("merge"), "key")
+    placed = shared.join(classes.select(F.col("doc_id").alias("member"), "n", "low").hint("merge"), "member")
+    dealt = _blocked(placed).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    flagged = common.written(
+        common.map_batches(dealt, _partners(percent, rows, bands), "key long, member long, head long"), "flagged"
     )
-    placed = keyed.join(buckets, ["band", "key"])
-    star = placed.filter("member <> head").select("head", "member").distinct()
-    star = common.written(_plausible(star, classes, percent, rows * bands), "candidates")
-    links = common.written(_confirm(star, base, shingle, percent).unionByName(ties), "links")
+    wanted = flagged.select(F.col("member").alias("doc_id")).distinct()
+    texts = common.written(base.join(wanted.hint("merge"), "doc_id"), "candidate-texts")
+
+    star = common.written(flagged.filter("member <> head").select("head", "member").distinct(), "candidates")
+    links = common.written(_confirm(star, texts, shingle, percent).unionByName(ties), "links")
     found = common.written(connected_components(links), "components")
 
-    # Buckets that hold several components: compare across components what is not compared yet.
-    labelled = placed.join(found.select(F.col("node").alias("member"), "component"), "member", "left").select(
-        "band", "key", "head", "member", F.coalesce("component", "member").alias("component")
+    # Buckets that still hold plausible members of several components.
+    labelled = flagged.join(found.select(F.col("node").alias("member"), "component").hint("merge"), "member", "left").select(
+        "key", "member", F.coalesce("component", "member").alias("component")
     )
-    mixed = common.written(
-        labelled.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band", "key"),
-        "mixed-buckets",
+    labelled = common.written(labelled.distinct(), "labelled")
+    mixed = (
+        labelled.groupBy("key")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        .filter("x < y")
+        .select("key")
     )
-    open_ = common.written(labelled.join(mixed, ["band", "key"]), "open-buckets")
-    one, two = open_.alias("one"), open_.alias("two")
-    across = one.join(
-        two,
-        (F.col("one.band") == F.col("two.band"))
-        & (F.col("one.key") == F.col("two.key"))
-        & (F.col("one.component") != F.col("two.component"))
-        & (F.col("one.member") < F.col("two.member"))
-        & (F.col("one.member") != F.col("one.head")),
-    ).select(F.col("one.member").alias("head"), F.col("two.member").alias("member"))
-    rest = common.written(_plausible(across.distinct(), classes, percent, rows * bands), "candidates")
-    if not rest.isEmpty():
-        more = common.written(links.unionByName(_confirm(rest, base, shingle, percent)), "links")
-        found = common.written(connected_components(more), "components")
+    open_ = labelled.join(common.written(mixed, "mixed-buckets").hint("merge"), "key")
+    open_ = _blocked(open_).join(texts.withColumnRenamed("doc_id", "member").hint("merge"), "member")
+    dealt = open_.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    more = common.written(common.map_batches(dealt, _across(shingle, percent, rows, bands), "u long, v long"), "links")
+    if not more.isEmpty():
+        found = common.written(connected_components(links.unionByName(more)), "components")
 
     of = members.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(
-        found.select(F.col("node").alias("rep"), "component"), "rep", "left"
+        found.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left"
     )
     of = of.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     null = lambda c: F.nullif(c, F.lit(_NULL_ID))
     return (
         sets.select("doc_id", "n")
-        .join(of, "doc_id", "left")
+        .join(of.hint("merge"), "doc_id", "left")
         .select(
             null(F.col("doc_id")).alias("doc_id"),
             F.col("n").alias("n_shingles"),

@@ -20,10 +20,10 @@ from . import common
 
 #: Labelled rows that the model is fitted on, about (rows are drawn by hash).
 SAMPLE_ROWS = 20_000
-#: Tasks that learn side by side; their weights are averaged.
-REPLICAS = 4
+#: Rows that one task learns from; the tasks' weights are averaged.
+ROWS_PER_REPLICA = 5_000
 BUCKET_BITS = 17
-EPOCHS = 3
+EPOCHS = 8
 ALPHA, BETA, L1, L2 = 0.2, 0.1, 1e-4, 1e-4
 BLOCK_BYTES = 2 << 20
 _DRAW = 1_000_000
@@ -119,7 +119,7 @@ def _learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, replicas: int = REPLICAS
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rows_per_replica: int = ROWS_PER_REPLICA
 ) -> Model:
     """Fits on rows of ``labels`` outside fold 0 of 5 whose doc_id is in ``docs``.
 
@@ -129,7 +129,9 @@ def train(
     usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter(
         F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (common.fold_column(F.col("doc_id"), 5) != 0)
     )
-    share = min(_DRAW, _DRAW * sample_rows // max(1, usable.count()))
+    total = usable.count()
+    share = min(_DRAW, _DRAW * sample_rows // max(1, total))
+    replicas = max(1, min(total, sample_rows) // rows_per_replica)
     drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_DRAW)) < share)
     rows = (
         common.id_and_text(docs)
