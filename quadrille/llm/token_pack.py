@@ -31,7 +31,7 @@ RANGE_BYTES = 24 << 20
 FILE_IDS = 16 << 20
 BLOCK_BYTES = 2 << 20
 #: New pieces that are encoded in one call.
-JOINED = 8192
+JOINED = 256
 _MAGIC = b"FWTOK001"
 
 
