@@ -32,7 +32,7 @@ ROWS, BANDS = 6, 40
 #: Candidate pairs of one class that are checked together.
 PAIRS_PER_SALT = 1_000
 #: Members of a bucket that are compared in one piece; larger buckets are cut into blocks.
-BLOCK_MEMBERS = 2_000
+BLOCK_MEMBERS = 800
 #: Standard deviations by which a signature may fall short of the similarity.
 DEVIATIONS = 4
 BLOCK_BYTES = 4 << 20
@@ -213,11 +213,13 @@ def _partners(percent: int, rows: int, bands: int):
             member = group["member"].to_numpy()
             low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(len(member), -1)
             may = plausible(low, least, rows, key & 63)
-            n = group["n"].to_numpy()
-            may &= np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent
             np.fill_diagonal(may, False)
+            n = group["n"].to_numpy()
+            one, two = np.nonzero(may)
+            unlike = np.minimum(n[one], n[two]) * 100 < np.maximum(n[one], n[two]) * percent
+            may[one[unlike], two[unlike]] = False
             some = np.flatnonzero(may.any(axis=1))
-            smallest = np.where(may[some], member, np.iinfo(np.int64).max).min(axis=1)
+            smallest = member[may[some].argmax(axis=1)]  # members are in ascending order
             out += zip([key] * len(some), member[some].tolist(), np.minimum(smallest, member[some]).tolist(), strict=True)
             if len(out) > 50_000:
                 yield _rows(out, ["key", "member", "head"])
@@ -259,7 +261,8 @@ def _across(size: int, percent: int, rows: int, bands: int):
                 if a != b and similar(sets[i], sets[j], percent):
                     root[max(a, b)] = min(a, b)
                     found.append((int(member[i]), int(member[j])))
-            yield _rows(found, ["u", "v"])
+            if found:
+                yield _rows(found, ["u", "v"])
 
     return work
 
@@ -353,7 +356,7 @@ def near_groups(
     buckets = keyed.groupBy("key").agg(F.min("member").alias("x"), F.max("member").alias("y")).filter("x < y").select("key")
     shared = keyed.join(common.written(buckets, "buckets").hint("merge"), "key")
     placed = shared.join(classes.select(F.col("doc_id").alias("member"), "n", "low").hint("merge"), "member")
-    dealt = _blocked(placed).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    dealt = _blocked(placed).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "member")
     flagged = common.written(
         common.map_batches(dealt, _partners(percent, rows, bands), "key long, member long, head long"), "flagged"
     )
