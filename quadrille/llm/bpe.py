@@ -97,7 +97,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, short_bytes: int = SHORT_BYTES):
         self.ranks, self.pattern, self.short_bytes = ranks, regex.compile(pattern), short_bytes
-        self.letters = r"| ?\p{L}+|" in pattern
+        self.letters = r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|" in pattern
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
         pairs = [
@@ -114,7 +114,9 @@ class Codec:
             "*",
         )
         self.words = BoundedCache()
-        self.cache = PieceCache(self._encode_pieces, lambda new: self._encode_pieces([" " + p for p in new]))
+        self.cache = PieceCache(
+            self._encode_pieces, lambda new: self._encode_pieces([" " + p for p in new]), cut_tails=self.letters
+        )
 
     def _table(self, name: str, columns: dict[str, pa.Array], select: str) -> None:
         self.db.register("given", pa.table(columns))
@@ -174,12 +176,10 @@ class Codec:
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         ids = self.words
         matches = [self._matches(p) for p in pieces]
-        seen: set[str] = set()
-        for own in matches:
-            seen.update(own)
-        new = list(ids.missing(seen))
-        ids.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
-        return [b"".join(map(ids.__getitem__, own)) for own in matches]
+        found, new = ids.lookup(matches)
+        fresh = dict(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
+        ids.update(fresh)
+        return [b"".join([v or fresh[m] for m, v in zip(own, values, strict=True)]) for own, values in zip(matches, found, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -8,64 +8,84 @@ blanks all stand so are joined from the encodings of their pieces; others are en
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import compress
+from operator import not_
 
 #: Entries of a worker's cache before it is cut to those found again.
 CACHE_ENTRIES = 700_000
+_SAMPLED = 8
+#: Marks that often end a word.
+TAILS = ".,;:!?"
 
 
 class BoundedCache(dict):
-    """Encodings by text.  When full it keeps what later blocks have found in it again."""
+    """Encodings by text, none of them empty.  When full it keeps what was found in it again, as seen
+    in a sample of the lookups, so frequent pieces stay."""
 
     def __init__(self, most: int = CACHE_ENTRIES):
         super().__init__()
         self.most, self.again = most, set()
 
-    def missing(self, wanted: set[str]) -> set[str]:
-        """What has to be encoded; makes room for it."""
-        new = wanted.difference(self)
-        old = wanted - new
-        self.again |= old
+    def lookup(self, wanted: list[list[str]]) -> tuple[list[list[bytes | None]], set[str]]:
+        """What is known of some lists of pieces, and what has to be encoded."""
+        get = self.get
+        found = [list(map(get, own)) for own in wanted]
+        new: set[str] = set()
+        for own, values in zip(wanted, found, strict=True):
+            if None in values:
+                new.update(compress(own, map(not_, values)))
+        for own, values in zip(wanted[::_SAMPLED], found[::_SAMPLED], strict=True):
+            self.again.update(compress(own, values))
         if len(self) + len(new) > self.most:
-            keep = self.again if len(self.again) < self.most // 2 else old
-            kept = {p: self[p] for p in keep}
+            kept = {p: self[p] for p in self.again} if len(self.again) < self.most // 2 else {}
             self.clear()
             self.update(kept)
-            self.again = old
-        return new
+            self.again = set()
+        return found, new
 
 
 class PieceCache:
     """Encodings of pieces that follow a blank; bounded, frequent pieces stay.
 
     ``encode_after_blank`` gets pieces without their blank; none is empty, holds a blank, or begins
-    or ends with white space.  ``encode`` gets any text.
+    or ends with white space.  ``encode`` gets any text.  With ``cut_tails`` the pattern parts
+    letters from one mark after them, so a word and the word with a full stop are encoded once.
     """
 
     def __init__(
         self,
         encode: Callable[[list[str]], list[bytes]],
         encode_after_blank: Callable[[list[str]], list[bytes]],
+        cut_tails: bool = False,
         most: int = CACHE_ENTRIES,
     ):
         self.encode, self.encode_after_blank = encode, encode_after_blank
         self.after_blank = BoundedCache(most)
+        self.tails = dict(zip(TAILS, encode(list(TAILS)), strict=True)) if cut_tails else {}
+
+    def _encode_new(self, pieces: set[str]) -> dict[str, bytes]:
+        cache, tails = self.after_blank, self.tails
+        tailed = [p for p in pieces if p[-1] in tails and p[:-1].isalpha()]
+        wanted = list(pieces.difference(tailed).union(p for p in (q[:-1] for q in tailed) if p not in cache))
+        out = dict(zip(wanted, self.encode_after_blank(wanted), strict=True))
+        for p in tailed:
+            out[p] = (out.get(p[:-1]) or cache[p[:-1]]) + tails[p[-1]]
+        return out
 
     def encode_texts(self, texts: list[str], whole: Callable[[str], bool] = lambda text: False) -> list[bytes]:
         """Encoded ids of each text; texts for which ``whole`` holds are never cut."""
-        cache = self.after_blank
         pieces = [[t] if whole(t) else t.split(" ") for t in texts]
         firsts = [p.pop(0) for p in pieces]
-        seen: set[str] = set()
-        for p in pieces:
-            seen.update(p)
-        new = cache.missing(seen)
+        found, new = self.after_blank.lookup(pieces)
         odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
         for i, first in enumerate(firsts):
             if pieces[i] and (first[-1:].isspace() or odd and not odd.isdisjoint(pieces[i])):
-                firsts[i], pieces[i] = texts[i], []
-        new = list(new - odd)
-        cache.update(zip(new, self.encode_after_blank(new), strict=True))
+                firsts[i], pieces[i], found[i] = texts[i], [], []
+        fresh = self._encode_new(new - odd)
+        self.after_blank.update(fresh)
         starts = list(set(firsts))
         start = dict(zip(starts, self.encode(starts), strict=True))
-        found = cache.__getitem__
-        return [start[first] + b"".join(map(found, p)) for first, p in zip(firsts, pieces, strict=True)]
+        return [
+            start[first] + b"".join([v or fresh[p] for p, v in zip(own, values, strict=True)] if None in values else values)
+            for first, own, values in zip(firsts, pieces, found, strict=True)
+        ]

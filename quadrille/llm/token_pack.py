@@ -61,28 +61,29 @@ class TokenFileWriter:
 
     def __init__(self, out, bits: int, block_ids: int = BLOCK_IDS):
         self.out, self.bits, self.block_ids = out, bits, block_ids
-        self.held: list[np.ndarray] = []
+        self.held: list[bytes] = []
         self.n_held = self.n_ids = 0
         self.at, self.offsets = len(_MAGIC), []
         self.docs: list[tuple[int, bool, int]] = []
         out.write(_MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """Ids as little-endian unsigned 32-bit integers."""
         self.docs.append((doc_id or 0, doc_id is not None, self.n_ids))
         self.held.append(ids)
-        self.n_held += len(ids)
-        self.n_ids += len(ids)
+        self.n_held += len(ids) // 4
+        self.n_ids += len(ids) // 4
         if self.n_held >= 64 * self.block_ids:
             self._flush(self.n_held // self.block_ids * self.block_ids)
 
     def _flush(self, count: int) -> None:
-        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        ids = np.frombuffer(b"".join(self.held), "<u4")
         for i in range(0, count, self.block_ids):
             body = pack(ids[i : min(i + self.block_ids, count)], self.bits)
             self.offsets.append(self.at)
             self.out.write(body)
             self.at += len(body)
-        self.held, self.n_held = [ids[count:]], len(ids) - count
+        self.held, self.n_held = [ids[count:].tobytes()], len(ids) - count
 
     def close(self) -> None:
         self._flush(self.n_held)
@@ -152,7 +153,7 @@ class TextEncoder:
         size = self.tokenizer.get_vocab_size()
         #: Tokens that begin with a blank: where a piece starts in the ids of joined pieces.
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.cache = PieceCache(self._encode, self._encode_joined)
+        self.cache = PieceCache(self._encode, self._encode_joined, cut_tails=plain)
         self.whole = lambda text: not plain or any(a in text for a in added)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
@@ -173,8 +174,9 @@ class TextEncoder:
             out += [data[i:j] for i, j in zip(cut, [*cut[1:], len(data)], strict=True)]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.cache.encode_texts(texts, self.whole)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return self.cache.encode_texts(texts, self.whole)
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -190,7 +192,7 @@ def _write(shared, key: str, folder: str, bits: int, end_id: int | None, file_id
             _encoders[key] = TextEncoder(shared.value)
         encoder, (fs, base) = _encoders[key], _filesystem(folder)
         fs.create_dir(base, recursive=True)
-        end = np.array([] if end_id is None else [end_id], np.uint32)
+        end = b"" if end_id is None else struct.pack("<I", end_id)
         part, number, writer, out, path = common.partition_id(), 0, None, None, ""
 
         def close() -> pa.RecordBatch:
@@ -208,7 +210,7 @@ def _write(shared, key: str, folder: str, bits: int, end_id: int | None, file_id
                         path = f"{folder}/part-{part:06d}-{number:04d}-{uuid.uuid4().hex}.tok"
                         out = fs.open_output_stream(f"{base}/{path.rpartition('/')[2]}")
                         writer = TokenFileWriter(out, bits)
-                    writer.add(doc_id, np.concatenate([ids, end]))
+                    writer.add(doc_id, ids + end)
                     if writer.n_ids >= file_ids:
                         yield close()
                         writer, number = None, number + 1

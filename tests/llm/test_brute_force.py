@@ -254,7 +254,7 @@ def test_packing(bits, tmp_path):
     with open(tmp_path / "f", "wb") as out:
         writer = token_pack.TokenFileWriter(out, bits, block_ids=100)
         for i in range(0, len(ids), 997):
-            writer.add(i or None, ids[i : i + 997])
+            writer.add(i or None, ids[i : i + 997].astype("<u4").tobytes())
         writer.close()
     with open(tmp_path / "f", "rb") as file:
         read = token_pack.TokenFile(file, (tmp_path / "f").stat().st_size)
