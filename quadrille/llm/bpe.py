@@ -82,7 +82,7 @@ WHERE it = latest ORDER BY word, pos
 """
 
 _DECODE = """
-SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM ids JOIN vocabulary USING (tok) GROUP BY doc
+SELECT doc, list(bytes ORDER BY pos) AS bytes FROM ids JOIN vocabulary USING (tok) GROUP BY doc
 """
 
 
@@ -92,6 +92,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
+def _offsets(values: pa.Array) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    return np.frombuffer(values.buffers()[1], kind)[values.offset : values.offset + len(values) + 1]
+
+
 class Codec:
     """Encoder and decoder of one rank table in an own in-memory database."""
 
@@ -111,12 +116,10 @@ class Codec:
         self._table(
             "vocabulary",
             {"tok": pa.array(list(ranks.values()), pa.int64()), "hex": pa.array([t.hex() for t in ranks], pa.string())},
-            "*",
+            "tok, unhex(hex) AS bytes",
         )
         self.words = BoundedCache()
-        self.cache = PieceCache(
-            self._encode_pieces, lambda new: self._encode_pieces([" " + p for p in new]), cut_tails=self.letters
-        )
+        self.cache = PieceCache(self._encode_pieces, self._encode_after_blank, cut_tails=self.letters)
 
     def _table(self, name: str, columns: dict[str, pa.Array], select: str) -> None:
         self.db.register("given", pa.table(columns))
@@ -167,15 +170,17 @@ class Codec:
                     out[chosen[k]] = tokens[cut[k - a] : cut[k - a + 1]]
         return out
 
-    def _matches(self, piece: str) -> list[str]:
-        """The pattern's matches; a blank and letters are one match of each pattern that has `` ?\\p{L}+``."""
-        if self.letters and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return [piece]
-        return self.pattern.findall(piece)
+    def _encode_after_blank(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that follow a blank; one of letters is a single match with its blank."""
+        alone = [p for p in pieces if p.isalpha()] if self.letters else []
+        ids = dict(zip(alone, self.encode_words([b" " + p.encode() for p in alone]), strict=True))
+        others = [p for p in pieces if p not in ids]
+        ids.update(zip(others, self._encode_pieces([" " + p for p in others]), strict=True))
+        return [ids[p] for p in pieces]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         ids = self.words
-        matches = [self._matches(p) for p in pieces]
+        matches = [self.pattern.findall(p) for p in pieces]
         found, new = ids.lookup(matches)
         fresh = dict(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
         ids.update(fresh)
@@ -195,20 +200,24 @@ class Codec:
         for a in range(0, len(tokens), DECODE_IDS):
             own = slice(a, a + DECODE_IDS)
             found = self._run(_DECODE, "ids", pa.table({"doc": doc[own], "pos": pos[own], "tok": tokens[own]}))
-            for i, text in zip(found["doc"].to_pylist(), found["bytes"].to_pylist(), strict=True):
-                parts[i].append(text)
+            lists = found["bytes"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            values = lists.flatten()
+            # The bytes of a list's values stand side by side in one buffer.
+            ends = _offsets(values)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            data = values.buffers()[2]
+            for i, p, q in zip(found["doc"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                parts[i].append(data[p:q].to_pybytes())
         return [b"".join(p) for p in parts]
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
     """The worker's codec of a broadcast (ranks, pattern), built once."""
-    if shared.id not in _codecs:
-        _codecs.clear()
-        _codecs[shared.id] = Codec(*shared.value)
-    return _codecs[shared.id]
+    codecs = common.kept(__name__)
+    if shared.id not in codecs:
+        codecs.clear()
+        codecs[shared.id] = Codec(*shared.value)
+    return codecs[shared.id]
 
 
 class _Shared:

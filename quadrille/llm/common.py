@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -105,10 +108,53 @@ def blocks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: Bytes of a batch that a worker handles at once.
+BATCH_BYTES = 4 << 20
+
+#: What workers keep between tasks, by owner; an owner's things go when another one's task begins.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """A dictionary that lives in the worker as long as it works for ``owner``."""
+    return _kept.setdefault(owner, {})
+
+
+def _begin(owner: str) -> None:
+    """Frees what a reused worker holds for other owners."""
+    others = [k for k in _kept if k != owner]
+    if others:
+        for k in others:
+            del _kept[k]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # hands freed memory back to the system
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order in batches of about ``most`` bytes, one row at least."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.nbytes > most and part.num_rows > 1:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def map_batches(
     frame: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    return frame.mapInArrow(work, schema)
+    """``work`` over the partitions of a frame, in batches of bounded size."""
+    owner = work.__module__
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(owner)
+        yield from work(small_batches(batches))
+
+    return frame.mapInArrow(run, schema)
 
 
 def partition_id() -> int:

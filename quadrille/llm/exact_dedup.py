@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text that one key range should hold.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 #: Entries of a bucket before it is split.
 BUCKET_ENTRIES = 64
 #: Bytes of text that an input task folds before it hands its candidates on.
-FOLD_BYTES = 48 << 20
+FOLD_BYTES = 16 << 20
 
 _KEY, _SHA, _COUNT, _RANGE = "__xd_key", "__xd_sha", "__xd_count", "__xd_range"
 

@@ -27,7 +27,7 @@ SMOOTHING = 0.1
 UNKNOWN = "und"
 
 #: Code points of text that are scored at once.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 _LETTER = regex.compile(r"\p{L}")
 _DRAW = 1_000_000
 

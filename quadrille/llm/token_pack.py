@@ -179,18 +179,16 @@ class TextEncoder:
         return self.cache.encode_texts(texts, self.whole)
 
 
-_encoders: dict[str, TextEncoder] = {}
-
-
 def _write(shared, key: str, folder: str, bits: int, end_id: int | None, file_ids: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = TextEncoder(shared.value)
-        encoder, (fs, base) = _encoders[key], _filesystem(folder)
+        encoders = common.kept(__name__)
+        if key not in encoders:
+            encoders.clear()
+            encoders[key] = TextEncoder(shared.value)
+        encoder, (fs, base) = encoders[key], _filesystem(folder)
         fs.create_dir(base, recursive=True)
         end = b"" if end_id is None else struct.pack("<I", end_id)
         part, number, writer, out, path = common.partition_id(), 0, None, None, ""
