@@ -123,12 +123,12 @@ def kept(owner: str) -> dict:
 def _begin(owner: str) -> None:
     """Frees what a reused worker holds for other owners."""
     others = [k for k in _kept if k != owner]
+    for k in others:
+        del _kept[k]
     if others:
-        for k in others:
-            del _kept[k]
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)  # hands freed memory back to the system
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # hands freed memory back to the system
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
