@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,14 +83,23 @@ def geometric(seed: int, p: float) -> Column:
     return F.floor(F.log(1 - F.rand(seed)) / F.log(F.lit(1 - p))).cast("long")
 
 
+def _of_one_draw(seed: int, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a single uniform draw, however often it is used."""
+    return F.transform(F.array(F.rand(seed)), f)[0]
+
+
 def discrete(seed: int, weights: list[float]) -> Column:
     """Index drawn in proportion to weights."""
-    total, so_far, draw = sum(weights), 0.0, F.rand(seed)
-    out = None
-    for i, w in enumerate(weights[:-1]):
-        so_far += w / total
-        out = F.when(draw < so_far, i) if out is None else out.when(draw < so_far, i)
-    return F.lit(0) if out is None else out.otherwise(len(weights) - 1)
+    total = sum(weights)
+
+    def pick(draw: Column) -> Column:
+        out, so_far = F.lit(len(weights) - 1), total
+        for i in range(len(weights) - 2, -1, -1):
+            so_far -= weights[i + 1]
+            out = F.when(draw < so_far / total, i).otherwise(out)
+        return out
+
+    return _of_one_draw(seed, pick)
 
 
 def binomial(seed: int, n: int, p: float) -> Column:
@@ -107,17 +118,23 @@ def students_t(seed: int, freedom: int) -> Column:
 
 def piecewise_linear(seed: int, points: list[float], densities: list[float]) -> Column:
     """Draws whose density runs linearly between the given densities."""
-    areas = [(b - a) * (u + v) / 2 for a, b, u, v in zip(points, points[1:], densities, densities[1:], strict=False)]
-    total, so_far, draw, out = sum(areas), 0.0, F.rand(seed), None
-    for a, b, u, v, area in zip(points, points[1:], densities, densities[1:], areas, strict=False):
-        if not area:
-            continue
-        t, slope = (draw - so_far / total) * total, (v - u) / (b - a)
-        root = F.sqrt(F.greatest(F.lit(0.0), F.lit(u * u) + t * (2 * slope)))
-        x = t / u if slope == 0 else (root - u) / slope
-        so_far += area
-        out = F.when(draw <= so_far / total, x + a) if out is None else out.when(draw <= so_far / total, x + a)
-    return out
+    parts = list(zip(points, points[1:], densities, densities[1:], strict=False))
+    areas = [(b - a) * (u + v) / 2 for a, b, u, v in parts]
+    total = sum(areas)
+
+    def pick(draw: Column) -> Column:
+        out, so_far = F.lit(float(points[-1])), total
+        for (a, b, u, v), area in reversed(list(zip(parts, areas, strict=True))):
+            so_far -= area
+            if not area:
+                continue
+            t, slope = draw * total - so_far, (v - u) / (b - a)
+            root = F.sqrt(F.greatest(F.lit(0.0), t * (2 * slope) + u * u))
+            out = F.when(t <= area, (t / u if slope == 0 else (root - u) / slope) + a).otherwise(out)
+        return out
+
+    # Later parts are tested last: the first whose share reaches the draw is taken.
+    return _of_one_draw(seed, pick)
 
 
 ROUNDING = {"floor": F.floor, "ceil": F.ceil, "trunc": lambda x: x.cast("long"), "round": F.round}

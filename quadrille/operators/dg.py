@@ -155,42 +155,51 @@ def lift(config: Config, flux: Column, axis: int, upper: bool) -> Column:
     return T.outer(weighted, kernel) if axis == 0 else T.outer(kernel, weighted)
 
 
+FACES = tuple((axis, upper) for axis in (0, 1) for upper in (False, True))
+
+
 def rhs(cells: DataFrame, config: Config, equation) -> DataFrame:
     """Time derivative of all components of every cell: x, y and the arrays.
 
-    Speeds are the larger of the two cells at each face.
+    Each cell works out its volume term and, for every face, its values, fluxes and speed; only these
+    go to the neighbours.  The speed at a face is the larger of the two cells'.
     """
     names = config.components
     own = {c: F.col(c) for c in names}
     n = config.extent
-    work = cells.select("x", "y", *names)
-    base = work
-    near = {}
-    for axis, (dx, dy) in enumerate(((1, 0), (0, 1))):
-        for upper in (False, True):
-            step = 1 if upper else -1
-            tag = f"__{axis}{int(upper)}"
-            other = base.select(
-                F.pmod(F.col("x") - step * dx, F.lit(n)).alias("x"),
-                F.pmod(F.col("y") - step * dy, F.lit(n)).alias("y"),
-                F.struct(*names).alias(tag),
-            )
-            work = work.join(other, ["x", "y"])
-            near[axis, upper] = {c: F.col(f"{tag}.{c}") for c in names}
-    fluxes = [equation.flux(own, a) for a in range(2)]
+    fluxes = cells.select("x", "y", *names, *(f.alias(f"__f{a}{c}") for a in (0, 1) for c, f in equation.flux(own, a).items()))
+    face = lambda axis, upper: F.struct(
+        *(to_face(config, own[c], axis, upper).alias(f"u{c}") for c in names),
+        *(to_face(config, F.col(f"__f{axis}{c}"), axis, upper).alias(f"f{c}") for c in names),
+        equation.speed(own, axis).alias("speed"),
+    )
+    inner = [
+        (volume_term(config, [F.col(f"__f{a}{c}") for a in (0, 1)]) if config.order > 1 else T.fill(1, 0.0)).alias(f"__v{c}")
+        for c in names
+    ]
+    base = fluxes.select("x", "y", *inner, *(face(a, up).alias(f"__s{a}{int(up)}") for a, up in FACES))
+    work = base
+    for axis, upper in FACES:
+        step = 1 if upper else -1
+        dx, dy = (step, 0) if axis == 0 else (0, step)
+        other = base.select(
+            F.pmod(F.col("x") - dx, F.lit(n)).alias("x"),
+            F.pmod(F.col("y") - dy, F.lit(n)).alias("y"),
+            F.col(f"__s{axis}{int(not upper)}").alias(f"__n{axis}{int(upper)}"),
+        )
+        work = work.join(other, ["x", "y"])
     inverse = basis.literal(basis.inverse_mass(config.order, config.rank) / config.edge**config.rank)
     out = {}
     for c in names:
-        total = volume_term(config, [f[c] for f in fluxes]) if config.order > 1 else T.fill(1, 0.0)
-        for (axis, upper), state in near.items():
-            there = equation.flux(state, axis)
-            speed = F.greatest(equation.speed(own, axis), equation.speed(state, axis))
+        total = F.col(f"__v{c}")
+        for axis, upper in FACES:
+            mine, there = f"__s{axis}{int(upper)}", f"__n{axis}{int(upper)}"
             flux = rusanov(
-                to_face(config, own[c], axis, upper),
-                to_face(config, state[c], axis, not upper),
-                to_face(config, fluxes[axis][c], axis, upper),
-                to_face(config, there[c], axis, not upper),
-                speed,
+                F.col(f"{mine}.u{c}"),
+                F.col(f"{there}.u{c}"),
+                F.col(f"{mine}.f{c}"),
+                F.col(f"{there}.f{c}"),
+                F.greatest(F.col(f"{mine}.speed"), F.col(f"{there}.speed")),
                 1 if upper else -1,
                 config.edge ** (config.rank - 1),
             )

@@ -106,3 +106,20 @@ def run_refined(
         if output and report.steps % output_every == 0:
             output(report.steps, time, cells)
     return cells, leaves, report
+
+
+def drained(spark, stream: DataFrame) -> DataFrame:
+    """All rows of a streaming aggregate over what there is now, as a table in the shared folder."""
+    import tempfile
+    import uuid
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quadrille-")).rstrip("/")
+    place = f"{base}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/result")  # complete mode: the last batch has all
+
+    stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return spark.read.parquet(f"{place}/result")

@@ -700,3 +700,28 @@ def clamp_lerp(spark, sf):
 def structured_print(spark, sf):
     checkpoints(spark)
     return tree.indent(S.leaf_set(spark, sf))
+
+
+# --- patch grain and streams ----------------------------------------------------------------------
+
+
+@query(f"WITH {Q.advect(8)} SELECT x, y, {Q.r('u')} AS u FROM s8")
+def fvm_blocks_8_steps(spark, sf):
+    from ..operators.blocks import AdvectionKernel, run_blocks
+
+    checkpoints(spark)
+    out = run_blocks(S.grid(spark, sf), AdvectionKernel(), 64, DT, 8, n=16, per_round=4)
+    return out.select("x", "y", r6("u").alias("u"))
+
+
+@query(
+    f"""SELECT date_trunc('day', ts) AS start, {Q.enc(['(floor(value)::BIGINT % 128) // 16 * 16', '(floor(value * 3)::BIGINT % 128) // 16 * 16'], '3')} AS patch_id, count(*) AS n
+FROM events GROUP BY ALL"""
+)
+def stream_point_counts(spark, sf):
+    """The windows of a stream that has ended: a watermark far behind closes none too early."""
+    from ..streaming import points as P
+
+    stream = P.to_points(P.read_events(spark, f"{sf}/event[s].parquet"))
+    counts = P.windowed_counts(stream, C2, 3, "1 day", "10 minutes")
+    return loops.drained(spark, counts)
