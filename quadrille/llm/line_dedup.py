@@ -61,8 +61,11 @@ def dedup_lines(
     pairs = keys.select("doc_id", F.explode("keys").alias("key")).select("doc_id", "key.a", "key.b")
     # Two documents at least: smallest and largest id differ, one aggregate without a distinct.
     many = F.min("doc_id") < F.max("doc_id") if min_docs == 2 else F.count_distinct("doc_id") >= min_docs
-    common_keys = (
-        pairs.groupBy("a", "b").agg(F.min("doc_id").alias("keeper"), many.alias("many")).filter("many").drop("many")
+    # A table of its own, so that both sides of the join below are plain exchanges, which adaptive
+    # execution splits where one line fills a partition.
+    common_keys = common.written(
+        pairs.groupBy("a", "b").agg(F.min("doc_id").alias("keeper"), many.alias("many")).filter("many").drop("many"),
+        "common-lines",
     )
     dropped = (
         pairs.join(common_keys, ["a", "b"])
