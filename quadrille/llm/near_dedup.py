@@ -295,7 +295,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     The head's text goes once to every thousand of its members or so, whatever their number.
     """
-    counts = pairs.groupBy("head").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts"))
+    counts = common.written(
+        pairs.groupBy("head").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts")), "pair-heads"
+    )
     salted = pairs.join(counts.hint("merge"), "head").select(
         F.col("member").alias("doc_id"), "head", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member"
     )
