@@ -181,14 +181,20 @@ class Codec:
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         ids = self.words
         matches = [self.pattern.findall(p) for p in pieces]
-        found, new = ids.lookup(matches)
+        words = list({m: None for own in matches for m in own})
+        found, new = ids.lookup(words)
         fresh = dict(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
         ids.update(fresh)
-        return [b"".join([v or fresh[m] for m, v in zip(own, values, strict=True)]) for own, values in zip(matches, found, strict=True)]
+        value = {w: v or fresh[w] for w, v in zip(words, found, strict=True)}
+        return [b"".join(map(value.__getitem__, own)) for own in matches]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self.cache.encode_texts(texts)
+        return self.encode_array(pa.array(texts, pa.string()))
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """The same for a column; null counts as empty."""
+        return self.cache.encode_array(texts)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -246,12 +252,8 @@ def encode(docs: DataFrame, vocabulary: _Shared, text_col: str = "text") -> Data
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for a, b in common.blocks(texts, BLOCK_BYTES):
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(a, b - a) for c in keep), pa.array(codec.encode(texts[a:b]), pa.binary())],
-                    names=[*keep, "ids"],
-                )
+            ids = codec.encode_array(batch.column(text_col))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.binary())], names=[*keep, "ids"])
 
     rest = docs.select(*(f"`{c}`" for c in keep))
     head = common.carried(rest) + ", " if keep else ""
@@ -285,18 +287,16 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in common.blocks(texts, BLOCK_BYTES):
-                ids = codec.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(a, b - a),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in codec.decode(ids)]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+            ids = codec.encode_array(batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in codec.decode(ids)]),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return common.map_batches(common.id_and_text(docs), work, schema)

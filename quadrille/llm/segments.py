@@ -7,37 +7,38 @@ blanks all stand so are joined from the encodings of their pieces; others are en
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import compress
 from operator import not_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries of a worker's cache before it is cut to those found again.
-CACHE_ENTRIES = 700_000
-_SAMPLED = 8
+CACHE_ENTRIES = 500_000
 #: Marks that often end a word.
 TAILS = ".,;:!?"
 
 
 class BoundedCache(dict):
-    """Encodings by text, none of them empty.  When full it keeps what was found in it again, as seen
-    in a sample of the lookups, so frequent pieces stay."""
+    """Encodings by text, none of them empty.  When full it keeps what later blocks have found in it
+    again (looked at in every fourth block)."""
 
     def __init__(self, most: int = CACHE_ENTRIES):
         super().__init__()
-        self.most, self.again = most, set()
-
-    def lookup(self, wanted: list[list[str]]) -> tuple[list[list[bytes | None]], set[str]]:
-        """What is known of some lists of pieces, and what has to be encoded."""
-        get = self.get
-        found = [list(map(get, own)) for own in wanted]
-        new: set[str] = set()
-        for own, values in zip(wanted, found, strict=True):
-            if None in values:
-                new.update(compress(own, map(not_, values)))
-        for own, values in zip(wanted[::_SAMPLED], found[::_SAMPLED], strict=True):
-            self.again.update(compress(own, values))
+        self.most, self.again, self.blocks = most, set(), 0
+
+    def lookup(self, wanted: list[str]) -> tuple[list[bytes | None], list[str]]:
+        """What is known of some distinct texts, and which have to be encoded; makes room for them."""
+        found = list(map(self.get, wanted))
+        new = list(compress(wanted, map(not_, found)))
+        if self.blocks % 4 == 0 or len(self) + len(new) > self.most:
+            self.again.update(compress(wanted, found))
+        self.blocks += 1
         if len(self) + len(new) > self.most:
-            kept = {p: self[p] for p in self.again} if len(self.again) < self.most // 2 else {}
+            keep = self.again if len(self.again) < self.most // 2 else list(compress(wanted, found))
+            kept = {p: self[p] for p in keep}
             self.clear()
             self.update(kept)
             self.again = set()
@@ -48,8 +49,9 @@ class PieceCache:
     """Encodings of pieces that follow a blank; bounded, frequent pieces stay.
 
     ``encode_after_blank`` gets pieces without their blank; none is empty, holds a blank, or begins
-    or ends with white space.  ``encode`` gets any text.  With ``cut_tails`` the pattern parts
-    letters from one mark after them, so a word and the word with a full stop are encoded once.
+    or ends with white space.  ``encode`` gets any text.  Encodings are little-endian unsigned 32-bit
+    integers.  With ``cut_tails`` the pattern parts letters from one mark after them, so a word and
+    the word with a full stop are encoded once.
     """
 
     def __init__(
@@ -63,29 +65,72 @@ class PieceCache:
         self.after_blank = BoundedCache(most)
         self.tails = dict(zip(TAILS, encode(list(TAILS)), strict=True)) if cut_tails else {}
 
-    def _encode_new(self, pieces: set[str]) -> dict[str, bytes]:
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """Encodings of distinct pieces."""
         cache, tails = self.after_blank, self.tails
-        tailed = [p for p in pieces if p[-1] in tails and p[:-1].isalpha()]
-        wanted = list(pieces.difference(tailed).union(p for p in (q[:-1] for q in tailed) if p not in cache))
-        out = dict(zip(wanted, self.encode_after_blank(wanted), strict=True))
+        found, new = cache.lookup(pieces)
+        tailed = [p for p in new if p[-1] in tails and p[:-1].isalpha()]
+        words = {p[:-1] for p in tailed}
+        wanted = list(words.difference(cache).union(set(new).difference(tailed)))
+        fresh = dict(zip(wanted, self.encode_after_blank(wanted), strict=True))
+        known = cache.get
         for p in tailed:
-            out[p] = (out.get(p[:-1]) or cache[p[:-1]]) + tails[p[-1]]
-        return out
-
-    def encode_texts(self, texts: list[str], whole: Callable[[str], bool] = lambda text: False) -> list[bytes]:
-        """Encoded ids of each text; texts for which ``whole`` holds are never cut."""
-        pieces = [[t] if whole(t) else t.split(" ") for t in texts]
-        firsts = [p.pop(0) for p in pieces]
-        found, new = self.after_blank.lookup(pieces)
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        for i, first in enumerate(firsts):
-            if pieces[i] and (first[-1:].isspace() or odd and not odd.isdisjoint(pieces[i])):
-                firsts[i], pieces[i], found[i] = texts[i], [], []
-        fresh = self._encode_new(new - odd)
-        self.after_blank.update(fresh)
-        starts = list(set(firsts))
-        start = dict(zip(starts, self.encode(starts), strict=True))
-        return [
-            start[first] + b"".join([v or fresh[p] for p, v in zip(own, values, strict=True)] if None in values else values)
-            for first, own, values in zip(firsts, pieces, found, strict=True)
-        ]
+            fresh[p] = (fresh.get(p[:-1]) or known(p[:-1])) + tails[p[-1]]
+        cache.update(fresh)
+        return [v or fresh[p] for p, v in zip(pieces, found, strict=True)]
+
+    def encode_array(self, texts: pa.Array, whole: Sequence[str] | None = ()) -> list[bytes]:
+        """Encoded ids of each text; null counts as empty.
+
+        Texts that hold a string of ``whole`` are never cut; None stands for all of them.  Pieces are
+        cut and made distinct by Arrow; only distinct ones come to Python.
+        """
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        if whole is None:
+            return self.encode(texts.to_pylist())
+        lists = pc.split_pattern(texts, pattern=" ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        distinct = coded.dictionary
+        pieces = distinct.to_numpy(zero_copy_only=False).tolist()
+        heads = offsets[:-1]
+        inner = np.ones(len(at), bool)
+        inner[heads] = False
+        # Only pieces that follow a blank somewhere are wanted, and none that white space touches.
+        used = np.zeros(len(pieces), bool)
+        used[at[inner]] = True
+        size = pc.binary_length(distinct).to_numpy()
+        odd = (size == 0) | (pc.binary_length(pc.utf8_trim_whitespace(distinct)).to_numpy() < size)
+        # Pieces that are not wanted get the empty encoding, by a number of their own.
+        wanted = used & ~odd
+        place = np.where(wanted, np.cumsum(wanted) - 1, 0).astype(np.int32)
+        values = self._values(pieces if wanted.all() else list(compress(pieces, wanted.tolist())))
+        # A text with an odd piece after a blank, or a head that ends in white space, is encoded whole.
+        counts = np.diff(offsets)
+        uncut = (counts > 1) & (pc.binary_length(pc.utf8_rtrim_whitespace(distinct)).to_numpy() < size)[at[heads]]
+        if odd.any():
+            doc = np.repeat(np.arange(n), counts)
+            uncut[doc[inner & odd[at]]] = True
+        for w in whole:
+            uncut |= pc.match_substring(texts, w).to_numpy(zero_copy_only=False)
+        first = [texts[i].as_py() if u else pieces[k] for i, (u, k) in enumerate(zip(uncut.tolist(), at[heads].tolist(), strict=True))]
+        starts = list(set(first))
+        number = {p: len(values) + 1 + k for k, p in enumerate(starts)}
+        empty = len(values)
+        values += [b"", *self.encode(starts)]
+        at = place[at]
+        if uncut.any():
+            at[np.repeat(uncut, counts)] = empty
+        at[heads] = [number[p] for p in first]
+        lengths = (np.fromiter(map(len, values), np.int32, len(values)) // 4).astype(np.int32)
+        flat = np.frombuffer(b"".join(values), "<u4")
+        begin = (np.cumsum(lengths) - lengths).astype(np.int32)
+        own = lengths[at]
+        ends = np.cumsum(own, dtype=np.int32)
+        ids = flat[np.repeat(begin[at] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        cut = (4 * np.concatenate([[0], ends.astype(np.int64)])[offsets]).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]

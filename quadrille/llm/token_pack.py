@@ -29,7 +29,6 @@ BLOCK_IDS = 4096
 RANGE_BYTES = 24 << 20
 #: Ids of one file at most, about.
 FILE_IDS = 16 << 20
-BLOCK_BYTES = 2 << 20
 #: New pieces that are encoded in one call.
 JOINED = 256
 _MAGIC = b"FWTOK001"
@@ -154,7 +153,7 @@ class TextEncoder:
         #: Tokens that begin with a blank: where a piece starts in the ids of joined pieces.
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.cache = PieceCache(self._encode, self._encode_joined, cut_tails=plain)
-        self.whole = lambda text: not plain or any(a in text for a in added)
+        self.whole = added if plain else None
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -174,9 +173,9 @@ class TextEncoder:
             out += [data[i:j] for i, j in zip(cut, [*cut[1:], len(data)], strict=True)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self.cache.encode_texts(texts, self.whole)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        return self.cache.encode_array(texts, self.whole)
 
 
 def _write(shared, key: str, folder: str, bits: int, end_id: int | None, file_ids: int):
@@ -200,18 +199,15 @@ def _write(shared, key: str, folder: str, bits: int, end_id: int | None, file_id
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in common.blocks(texts, BLOCK_BYTES):
-                for doc_id, ids in zip(doc_ids[a:b], encoder.encode(texts[a:b]), strict=True):
-                    if writer is None:
-                        path = f"{folder}/part-{part:06d}-{number:04d}-{uuid.uuid4().hex}.tok"
-                        out = fs.open_output_stream(f"{base}/{path.rpartition('/')[2]}")
-                        writer = TokenFileWriter(out, bits)
-                    writer.add(doc_id, ids + end)
-                    if writer.n_ids >= file_ids:
-                        yield close()
-                        writer, number = None, number + 1
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                if writer is None:
+                    path = f"{folder}/part-{part:06d}-{number:04d}-{uuid.uuid4().hex}.tok"
+                    out = fs.open_output_stream(f"{base}/{path.rpartition('/')[2]}")
+                    writer = TokenFileWriter(out, bits)
+                writer.add(doc_id, ids + end)
+                if writer.n_ids >= file_ids:
+                    yield close()
+                    writer, number = None, number + 1
         if writer is not None:
             yield close()
 
