@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import common
-from .segments import BoundedCache, PieceCache
+from .segments import BATCH_BYTES, BoundedCache, PieceCache
 
 #: Words of so many bytes or fewer take one contraction a round.
 SHORT_BYTES = 64
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, vocabulary: _Shared, text_col: str = "text") -> Data
 
     rest = docs.select(*(f"`{c}`" for c in keep))
     head = common.carried(rest) + ", " if keep else ""
-    return common.map_batches(docs.select(*(f"`{c}`" for c in [*keep, text_col])), work, head + "ids binary")
+    return common.map_batches(docs.select(*(f"`{c}`" for c in [*keep, text_col])), work, head + "ids binary", BATCH_BYTES)
 
 
 def decode(encoded: DataFrame, vocabulary: _Shared) -> DataFrame:
@@ -299,4 +299,4 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return common.map_batches(common.id_and_text(docs), work, schema)
+    return common.map_batches(common.id_and_text(docs), work, schema, BATCH_BYTES)

@@ -145,14 +145,17 @@ def small_batches(batches: Iterable[pa.RecordBatch], most: int = BATCH_BYTES) ->
 
 
 def map_batches(
-    frame: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    frame: DataFrame,
+    work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
-    """``work`` over the partitions of a frame, in batches of bounded size."""
+    """``work`` over the partitions of a frame, in batches of about ``batch_bytes`` at most."""
     owner = work.__module__
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin(owner)
-        yield from work(small_batches(batches))
+        yield from work(small_batches(batches, batch_bytes))
 
     return frame.mapInArrow(run, schema)
 

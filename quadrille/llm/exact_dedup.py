@@ -116,7 +116,7 @@ def save_range(index: ExtendibleIndex, folder: str, number: int) -> str:
     bodies = []
     for b in buckets:
         raw = b"".join(
-            struct.pack("<QqQI", e.key, -1 if e.best[1] is None else e.best[1], e.count, len(e.text)) + e.text
+            struct.pack("<Q?qQI", e.key, e.best[0], e.best[1] or 0, e.count, len(e.text)) + e.text
             for e in b.entries
         )
         bodies.append(struct.pack("<II", b.depth, len(b.entries)) + pack.compress(raw))
@@ -154,9 +154,9 @@ def open_range(folder: str, number: int) -> ExtendibleIndex:
         raw = zstandard.ZstdDecompressor().decompressobj().decompress(data[start + at + 8 : start + end])
         bucket, p = Bucket(local), 0
         for _ in range(count):
-            key, best, n, size = struct.unpack_from("<QqQI", raw, p)
-            p += 28
-            bucket.entries.append(Entry(key, raw[p : p + size], (best >= 0, best), n))
+            key, known, best, n, size = struct.unpack_from("<Q?qQI", raw, p)
+            p += 29
+            bucket.entries.append(Entry(key, raw[p : p + size], (known, best if known else None), n))
             p += size
         buckets.append(bucket)
         at = end

@@ -122,7 +122,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_pack import read_tokens, write_tokens
 
     manifest = write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(manifest).drop("ids")
+    return read_tokens(manifest, with_ids=False)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

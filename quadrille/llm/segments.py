@@ -16,7 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's cache before it is cut to those found again.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 700_000
+#: Bytes of a batch: the larger, the fewer distinct pieces a byte.
+BATCH_BYTES = 8 << 20
 #: Marks that often end a word.
 TAILS = ".,;:!?"
 

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 
 from . import common
 from .exact_dedup import _filesystem
-from .segments import PieceCache
+from .segments import BATCH_BYTES, PieceCache
 
 BLOCK_IDS = 4096
 #: Bytes of text that one task writes, about.
@@ -237,46 +237,53 @@ def write_tokens(
     target = folder or common.new_path(spark, "tokens")
     work = _write(spark.sparkContext.broadcast(content), uuid.uuid4().hex, target, bits, end_id, file_ids)
     manifest = common.written(
-        common.map_batches(dealt, work, "part long, number long, path string, n_docs long, n_ids long"), "token-files"
+        common.map_batches(dealt, work, "part long, number long, path string, n_docs long, n_ids long", BATCH_BYTES),
+        "token-files",
     )
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     # One short row a file.
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 
-def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            fs, base = _filesystem(row["path"])
-            size = fs.get_file_info(base).size
-            with fs.open_input_file(base) as file:
-                tokens = TokenFile(file, size)
-                starts = tokens.starts.tolist()
-                i = 0
-                while i < tokens.n_docs:
-                    j = max(i + 1, int(np.searchsorted(tokens.starts, starts[i] + (1 << 20), "right")) - 1)
-                    j = min(j, tokens.n_docs)
-                    data = tokens.ids(starts[i], starts[j]).astype("<u4").tobytes()
-                    cut = [4 * (s - starts[i]) for s in starts[i : j + 1]]
-                    own = [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(tokens.doc_ids[i:j], pa.int64(), mask=~tokens.known[i:j]),
-                            pa.array([row["start"] + s for s in starts[i:j]], pa.int64()),
-                            pa.array([len(x) // 4 for x in own], pa.int64()),
-                            pa.array([zlib.crc32(x) for x in own], pa.int64()),
-                            pa.array(own, pa.binary()),
-                        ],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
-                    i = j
+def _read(with_ids: bool):
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                fs, base = _filesystem(row["path"])
+                size = fs.get_file_info(base).size
+                with fs.open_input_file(base) as file:
+                    tokens = TokenFile(file, size)
+                    starts = tokens.starts.tolist()
+                    i = 0
+                    while i < tokens.n_docs:
+                        # Documents of about a million ids at a time, one at least.
+                        j = max(i + 1, int(np.searchsorted(tokens.starts, starts[i] + (1 << 20), "right")) - 1)
+                        j = min(j, tokens.n_docs)
+                        data = memoryview(tokens.ids(starts[i], starts[j]).astype("<u4").tobytes())
+                        cut = [4 * (s - starts[i]) for s in starts[i : j + 1]]
+                        own = [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+                        columns = {
+                            "doc_id": pa.array(tokens.doc_ids[i:j], pa.int64(), mask=~tokens.known[i:j]),
+                            "start": pa.array([row["start"] + s for s in starts[i:j]], pa.int64()),
+                            "n_tokens": pa.array([len(x) // 4 for x in own], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64()),
+                        }
+                        if with_ids:
+                            columns["ids"] = pa.array([bytes(x) for x in own], pa.binary())
+                        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                        i = j
 
+    return work
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (over all files), n_tokens, ids_crc32, ids (little-endian unsigned 32-bit)."""
+
+def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (over all files), n_tokens, ids_crc32, ids (little-endian unsigned 32-bit).
+
+    Without ``with_ids`` the files are read all the same, but ids stay in the tasks.
+    """
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return common.map_batches(
         manifest.select("path", "start").repartition(tasks, "path"),
-        _read,
-        "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary",
+        _read(with_ids),
+        "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""),
     )
