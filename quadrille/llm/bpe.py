@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import common
-from .segments import BATCH_BYTES, BoundedCache, PieceCache
+from .segments import BoundedCache, PieceCache
 
 #: Words of so many bytes or fewer take one contraction a round.
 SHORT_BYTES = 64
@@ -29,6 +29,8 @@ QUERY_BYTES = 1 << 18
 #: Rounds of one recursive query over long words; their state is then taken up by the next query.
 LONG_ROUNDS = 16
 BLOCK_BYTES = 2 << 20
+#: Encodings that a worker keeps; less than token output does, as the database takes memory too.
+CACHE_PIECES, CACHE_WORDS = 400_000, 200_000
 #: Ids of one decoding query; a longer text takes several.
 DECODE_IDS = 1 << 19
 
@@ -104,7 +106,7 @@ class Codec:
         self.ranks, self.pattern, self.short_bytes = ranks, regex.compile(pattern), short_bytes
         self.letters = r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|" in pattern
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         pairs = [
             (a, b, rank)
             for token, rank in ranks.items()
@@ -118,8 +120,8 @@ class Codec:
             {"tok": pa.array(list(ranks.values()), pa.int64()), "hex": pa.array([t.hex() for t in ranks], pa.string())},
             "tok, unhex(hex) AS bytes",
         )
-        self.words = BoundedCache()
-        self.cache = PieceCache(self._encode_pieces, self._encode_after_blank, cut_tails=self.letters)
+        self.words = BoundedCache(CACHE_WORDS)
+        self.cache = PieceCache(self._encode_pieces, self._encode_after_blank, cut_tails=self.letters, most=CACHE_PIECES)
 
     def _table(self, name: str, columns: dict[str, pa.Array], select: str) -> None:
         self.db.register("given", pa.table(columns))
@@ -257,7 +259,7 @@ def encode(docs: DataFrame, vocabulary: _Shared, text_col: str = "text") -> Data
 
     rest = docs.select(*(f"`{c}`" for c in keep))
     head = common.carried(rest) + ", " if keep else ""
-    return common.map_batches(docs.select(*(f"`{c}`" for c in [*keep, text_col])), work, head + "ids binary", BATCH_BYTES)
+    return common.map_batches(docs.select(*(f"`{c}`" for c in [*keep, text_col])), work, head + "ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: _Shared) -> DataFrame:
@@ -299,4 +301,4 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return common.map_batches(common.id_and_text(docs), work, schema, BATCH_BYTES)
+    return common.map_batches(common.id_and_text(docs), work, schema)
