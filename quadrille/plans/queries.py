@@ -274,14 +274,15 @@ def neighbor_relation(spark, sf):
     return tree.neighbors(S.leaf_set(spark, sf), C2)
 
 
-_PASS2 = ",\n".join([Q.passes(2), *Q.step(2, 200)])
+_PASS0 = ",\n".join([Q.passes(0), *Q.step(0, S.PASSES[0])])
+_PASS2 = ",\n".join([Q.passes(2), *Q.step(2, S.PASSES[2])])
 
 
-@query(f"WITH RECURSIVE {_PASS2} SELECT {Q.enc(['x', 'y'], 'level')} AS patch_id FROM fam2")
+@query(f"WITH RECURSIVE {_PASS0} SELECT {Q.enc(['x', 'y'], 'level')} AS patch_id FROM fam0")
 def coarsen_families(spark, sf):
     checkpoints(spark)
-    _, flags = S.flags_of_pass(spark, sf, 2)
-    return tree.coarsen_families(flags, C2, S.START_LEVEL)
+    _, flags = S.flags_of_pass(spark, sf, 0)
+    return tree.coarsen_families(flags, C2, S.MIN_LEVEL)
 
 
 @query(f"WITH RECURSIVE {_PASS2} SELECT patch_id FROM r2")
@@ -291,11 +292,11 @@ def balance_closure(spark, sf):
     return tree.balance_refinement(tree.eligible(flags, C2), tree.neighbors(leaves, C2), C2)[0]
 
 
-@query(f"WITH RECURSIVE {_PASS2} SELECT {Q.enc(['x', 'y'], 'level')} AS patch_id FROM ok2")
+@query(f"WITH RECURSIVE {_PASS0} SELECT {Q.enc(['x', 'y'], 'level')} AS patch_id FROM ok0")
 def coarsen_prune(spark, sf):
     checkpoints(spark)
-    leaves, flags = S.flags_of_pass(spark, sf, 2)
-    return tree.plan_regrid(leaves, flags, C2, S.START_LEVEL)[1]
+    leaves, flags = S.flags_of_pass(spark, sf, 0)
+    return tree.plan_regrid(leaves, flags, C2, S.MIN_LEVEL)[1]
 
 
 @query(f"WITH RECURSIVE {Q.passes(3)} SELECT 'born' AS change, patch_id FROM leaf3 WHERE patch_id NOT IN (SELECT patch_id FROM leaf2) UNION ALL SELECT 'gone', patch_id FROM leaf2 WHERE patch_id NOT IN (SELECT patch_id FROM leaf3)")
@@ -312,10 +313,10 @@ def points_per_leaf(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {Q.passes(3)}, {Q.GRID},
-old AS (SELECT l.patch_id, l.x * 16 + i * 2 * l.s AS cx, l.y * 16 + j * 2 * l.s AS cy, 2 * l.s AS w, g.u FROM leaf2 l
+    f"""WITH RECURSIVE {Q.passes(1)}, {Q.GRID},
+old AS (SELECT l.patch_id, l.x * 16 + i * 2 * l.s AS cx, l.y * 16 + j * 2 * l.s AS cy, 2 * l.s AS w, g.u FROM leaf0 l
   CROSS JOIN (SELECT a.range AS j, b.range AS i FROM range(8) a, range(8) b) c JOIN grid g ON g.x = (l.x * 16 + (2 * c.i + 1) * l.s) // 32 AND g.y = (l.y * 16 + (2 * c.j + 1) * l.s) // 32),
-new AS (SELECT l.patch_id, j::INTEGER AS j, i::INTEGER AS i, l.x * 16 + i * 2 * l.s AS cx, l.y * 16 + j * 2 * l.s AS cy, 2 * l.s AS w FROM leaf3 l
+new AS (SELECT l.patch_id, j::INTEGER AS j, i::INTEGER AS i, l.x * 16 + i * 2 * l.s AS cx, l.y * 16 + j * 2 * l.s AS cy, 2 * l.s AS w FROM leaf1 l
   CROSS JOIN (SELECT a.range AS j, b.range AS i FROM range(8) a, range(8) b) c)
 SELECT patch_id, j, i, {Q.r('avg(u)')} AS u FROM (
   SELECT n.patch_id, n.j, n.i, o.u FROM new n JOIN old o ON o.w = n.w AND o.cx = n.cx AND o.cy = n.cy
@@ -324,8 +325,8 @@ SELECT patch_id, j, i, {Q.r('avg(u)')} AS u FROM (
 )
 def regrid_cells(spark, sf):
     checkpoints(spark)
-    leaves, flags = S.flags_of_pass(spark, sf, 2)
-    refined, families = tree.plan_regrid(leaves, flags, C2, S.START_LEVEL)
+    leaves, flags = S.flags_of_pass(spark, sf, 0)
+    refined, families = tree.plan_regrid(leaves, flags, C2, S.MIN_LEVEL)
     cells = S.leaf_cells(leaves, S.grid(spark, sf))
     return intergrid.regrid_cells(cells, refined, families, C2, 8, ["u"]).select("patch_id", "j", "i", r6("u").alias("u"))
 

@@ -38,9 +38,9 @@ def passes(number: int) -> str:
     """CTEs up to the leaf set after ``number`` passes: leafK, nbrK, flagK, rK, famK, okK."""
     out = [
         "points AS (SELECT floor(value)::BIGINT % 128 AS x, floor(value * 3)::BIGINT % 128 AS y FROM events)",
-        f"leaf0 AS (SELECT {enc(['x', 'y'], '3')} AS patch_id, 3 AS level, x, y, 16 AS s FROM (SELECT a.range * 16 AS x, b.range * 16 AS y FROM range(8) a, range(8) b))",
+        f"leaf0 AS (SELECT {enc(['x', 'y'], '4')} AS patch_id, 4 AS level, x, y, 8 AS s FROM (SELECT a.range * 8 AS x, b.range * 8 AS y FROM range(16) a, range(16) b))",
     ]
-    for k, share in enumerate((40, 90, 200)[:number]):
+    for k, share in enumerate((90, 200, 400)[:number]):
         out += step(k, share)
         child = enc(["x + cx * (s // 2)", "y + cy * (s // 2)"], "level + 1")
         own = enc(["x", "y"], "level")
@@ -70,7 +70,7 @@ nbr{k} AS (
 def step(k: int, share: int) -> list[str]:
     return [
         f"""flag{k} AS (SELECT l.patch_id, l.level, l.x, l.y, l.s, CASE WHEN count(p.x) * {share} > t.total AND l.level < 7 THEN 'refine'
-    WHEN count(p.x) = 0 THEN 'coarsen' ELSE 'stable' END AS status
+    WHEN count(p.x) * {share} * 4 <= t.total THEN 'coarsen' ELSE 'stable' END AS status
   FROM leaf{k} l CROSS JOIN (SELECT count(*) AS total FROM points) t
   LEFT JOIN points p ON p.x >= l.x AND p.x < l.x + l.s AND p.y >= l.y AND p.y < l.y + l.s GROUP BY l.patch_id, l.level, l.x, l.y, l.s, t.total)""",
         nbr(k),

@@ -12,8 +12,10 @@ CODEC = MortonCodec(rank=2, depth=7)
 CODEC3 = MortonCodec(rank=3, depth=7)
 EXTENT = 64
 #: Share of all points, as 1/n, above which a leaf is refined in each pass.
-PASSES = (40, 90, 200)
-START_LEVEL = 3
+PASSES = (90, 200, 400)
+START_LEVEL = 4
+#: Level of the coarsest patches that coarsening may make.
+MIN_LEVEL = 3
 PATCH = 8
 
 
@@ -113,12 +115,12 @@ def locate(points: DataFrame, leaves: DataFrame, codec: MortonCodec = CODEC) ->
 
 
 def point_flags(leaves: DataFrame, at: DataFrame, share: int, total: int, codec: MortonCodec = CODEC) -> DataFrame:
-    """patch_id, status: refine where n * share > total, coarsen where no point lies."""
+    """patch_id, status: refine where n * share > total, coarsen where n is a quarter of that at most."""
     counts = locate(at, leaves, codec).groupBy("patch_id").agg(F.sum("n").alias("n"))
     n = F.coalesce("n", F.lit(0))
     status = (
         F.when((n * share > total) & (codec.level(F.col("patch_id")) < codec.depth), tree.REFINE)
-        .when(n == 0, tree.COARSEN)
+        .when(n * share * 4 <= total, tree.COARSEN)
         .otherwise(tree.STABLE)
     )
     return leaves.join(counts, "patch_id", "left").select("patch_id", status.alias("status"))
@@ -131,7 +133,7 @@ def leaf_set(spark: SparkSession, sf_dir: str, passes: int = len(PASSES)) -> Dat
     leaves = tree.uniform(spark, CODEC, START_LEVEL)
     for share in PASSES[:passes]:
         flags = point_flags(leaves, at, share, total).checkpoint()
-        leaves = tree.reconstruct(leaves, flags, CODEC, START_LEVEL).checkpoint()
+        leaves = tree.reconstruct(leaves, flags, CODEC, MIN_LEVEL).checkpoint()
     return leaves
 
 

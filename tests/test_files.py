@@ -72,9 +72,9 @@ def test_streams(spark, sf_dir, tmp_path):
     assert 0 < closed <= S.read(spark, sf_dir, "events").count()
 
     def flags(leaves, batch):
-        return S.point_flags(leaves, batch.select("x", "y"), 40, batch.count())
+        return S.point_flags(leaves, batch.select("x", "y"), S.PASSES[0], batch.count())
 
-    leaves = P.refine_from(stream, tree.uniform(spark, S.CODEC, 3), S.CODEC, flags, str(tmp_path / "refine"), 3)
+    leaves = P.refine_from(stream, tree.uniform(spark, S.CODEC, S.START_LEVEL), S.CODEC, flags, str(tmp_path / "refine"), S.MIN_LEVEL)
     assert tree.same_topology(leaves, S.leaf_set(spark, sf_dir, 1))
 
 

@@ -121,8 +121,8 @@ def test_key_limits():
 
 
 def test_regridding_keeps_the_integral(spark, sf_dir):
-    leaves, flags = S.flags_of_pass(spark, sf_dir, 2)
-    refined, families = tree.plan_regrid(leaves, flags, S.CODEC, S.START_LEVEL)
+    leaves, flags = S.flags_of_pass(spark, sf_dir, 0)
+    refined, families = tree.plan_regrid(leaves, flags, S.CODEC, S.MIN_LEVEL)
     assert families.count() > 0 and refined.count() > 0
     cells = S.leaf_cells(leaves, S.grid(spark, sf_dir))
     new = intergrid.regrid_cells(cells, refined, families, S.CODEC, 8, ["u"])
