@@ -1,11 +1,15 @@
 """LM scoring by prediction by partial matching (PPM) over bytes, beside a unigram word model.
 
 The trie of byte contexts is counted over all training documents: tasks count (order+1)-grams of
-bytes, Spark sums them.  A node is kept when it holds at least the share ``min_share`` of all coded
-bytes, so an order has at most 1/min_share nodes whatever the corpus: that bounds the broadcast.
-A byte is coded in its longest known context; where that has not seen it, the escape (method C: as
-likely as the number of distinct successors) leads to the next shorter context, in which the
-symbols of the longer one are excluded.  Lookups run over whole blocks of text in numpy.
+bytes, Spark sums them, and all of them count.  A byte is coded in its longest known context; where
+that has not seen it, the escape (method C: as likely as the number of distinct successors) leads to
+the next shorter context, in which the symbols of the longer one are excluded.
+
+A byte's probability depends on the (order+1)-gram that ends with it alone.  The head, grams with at
+least the share ``min_share`` of all coded bytes (so at most about 1/min_share), is broadcast with
+its probabilities.  The other grams of each document meet the counts of training in the task of
+their last two context bytes: all counts that code a gram share these, but for those of contexts of
+one byte and none, which are broadcast.  Lookups run over whole blocks in numpy.
 
 Word counts for the base score are summed by Spark over all training words.  Words above a share of
 all tokens (bounded in number and length) are broadcast; the others of each document are joined
@@ -27,6 +31,10 @@ from . import common
 
 ORDER = 4
 MIN_SHARE = 2.0**-20
+#: Levels of so many shortest contexts are broadcast whole: at most 2^16 grams.
+SMALL_LEVELS = 2
+#: Rows of grams that a task of the tail looks up at once.
+TAIL_ROWS = 1_000_000
 #: Words with a larger share of all tokens than this and at most so many bytes are broadcast.
 FREQUENT_SHARE, FREQUENT_BYTES = 2.0**-19, 64
 BLOCK_BYTES = 2 << 20
@@ -98,10 +106,10 @@ def _mask(order: int) -> int:
     return (1 << (8 * (order + 1))) - 1
 
 
-def build_trie(grams: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-    """``grams[k]``: keys of (k+1)-grams (last byte lowest) and their counts."""
-    levels: list[Level] = []
-    for k, (keys, counts) in enumerate(grams):
+def build_trie(grams: list[tuple[np.ndarray, np.ndarray]], shorter: Iterable[Level] = ()) -> Trie:
+    """Keys of (k+1)-grams (last byte lowest) and their counts, for each k from that after ``shorter`` on."""
+    levels = list(shorter)
+    for k, (keys, counts) in enumerate(grams, len(levels)):
         keys, counts = keys.astype(np.uint64), counts.astype(np.float64)
         contexts, place = np.unique(keys >> np.uint64(8), return_inverse=True)
         totals = np.bincount(place, counts, len(contexts))
@@ -162,13 +170,90 @@ def log_probabilities(keys: np.ndarray, trie: Trie) -> np.ndarray:
     return out
 
 
-def score_texts(texts: list[bytes], trie: Trie) -> np.ndarray:
-    """log10 probability of each text and its end."""
+@dataclass
+class Head:
+    """The commonest (order+1)-grams with their natural log-probabilities; the last one is 0."""
+
+    grams: Table
+    logs: np.ndarray
+    order: int
+
+
+_TAIL = pa.struct([("gram", pa.int64()), ("n", pa.int32())])
+
+
+def score_head(texts: list[bytes], head: Head) -> tuple[np.ndarray, pa.Array]:
+    """log10 probability of the places of each text (and its end) that the head codes; the grams of
+    the others with how often they stand in the text."""
     out = np.zeros(len(texts))
+    grams, times, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
     for a, b in common.blocks(texts, BLOCK_BYTES):
-        keys, starts, _ = _coded(texts[a:b], trie.order)
-        out[a:b] = np.add.reduceat(log_probabilities(keys, trie), starts)
-    return out / np.log(10)
+        keys, starts, _ = _coded(texts[a:b], head.order)
+        at = head.grams.find(keys)
+        out[a:b] = np.add.reduceat(head.logs[at], starts)
+        lost = np.flatnonzero(at < 0)
+        text, gram = np.searchsorted(starts, lost, "right") - 1, keys[lost]
+        order = np.lexsort((gram, text))
+        text, gram = text[order], gram[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
+        first = np.flatnonzero(new)
+        grams.append(gram[first])
+        times.append(np.diff(np.append(first, len(gram))))
+        sizes.append(np.bincount(text[first], minlength=b - a))
+    pairs = [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(times).astype(np.int32))]
+    ends = np.concatenate([[0], *sizes]).cumsum().astype(np.int32)
+    return out / np.log(10), pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(pairs, fields=list(_TAIL)))
+
+
+def _tail_scores(uid: np.ndarray, gram: np.ndarray, n: np.ndarray, small: list[Level], order: int):
+    """Uids and the sums of log10 probabilities of their grams, learnt from the rows of negative uid."""
+    learnt = uid < 0
+    keys, counts = gram[learnt], n[learnt]
+    longer = [_merge(keys & np.uint64(_mask(k)), counts) for k in range(len(small), order + 1)]
+    logs = log_probabilities(gram[~learnt], build_trie(longer, small)) * n[~learnt]
+    uids, place = np.unique(uid[~learnt], return_inverse=True)
+    return uids, np.bincount(place, logs, len(uids)) / np.log(10)
+
+
+def _score_tail(small, order: int, most: int = TAIL_ROWS):
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by the last two bytes of their context, within these those of training first.
+
+        So a document's row always finds all it needs before it; what later rows may need are the
+        training rows of the last context alone.
+        """
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, wait = 0, most
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, wait
+            uid, gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            if (uid >= 0).any():
+                uids, sums = _tail_scores(uid, gram, n, small.value, order)
+                for i in range(0, len(uids), 1 << 17):
+                    j = slice(i, i + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[j]), pa.array(sums[j])], names=["uid", "more_score"])
+            end = _end_of_context(gram)
+            stay = (uid < 0) & (end == end[-1])
+            held, rows = [(uid[stay], gram[stay], n[stay])], int(stay.sum())
+            wait = max(most, 2 * rows)
+
+        for batch in batches:
+            columns = (batch.column(x).to_numpy() for x in ("uid", "gram", "n"))
+            uid, gram, n = columns
+            held.append((uid, gram.view(np.uint64), n))
+            rows += len(uid)
+            if rows >= wait:
+                yield from out()
+        if rows:
+            yield from out()
+
+    return work
+
+
+def _end_of_context(gram: np.ndarray) -> np.ndarray:
+    return (gram >> np.uint64(8)) & np.uint64(0xFFFF)
 
 
 def adaptive_code_length(text: bytes, order: int = ORDER) -> float:
@@ -273,30 +358,63 @@ def train_words(train: DataFrame, share: float = FREQUENT_SHARE) -> WordModel:
     return WordModel(total, row.v, frequent, table)
 
 
-def train_trie(train: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> Trie:
+@dataclass
+class GramModel:
+    """The head, the levels of the shortest contexts, and the table of all counts."""
+
+    head: Head
+    small: list[Level]
+    table: DataFrame
+
+
+def _pairs(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = frame.toArrow()
+    return rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.float64)
+
+
+def train_grams(train: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> GramModel:
     grams = common.written(
         common.map_batches(train.select("text"), _count_grams(order), "gram long, n long")
         .groupBy("gram")
         .agg(F.sum("n").alias("n")),
         "byte-grams",
     )
-    least = max(1, int((grams.agg(F.sum("n")).first()[0] or 0) * min_share))
-    levels = []
-    for k in range(order + 1):
-        kept = (
-            grams.groupBy(F.col("gram").bitwiseAND(F.lit(_mask(k)).cast("long")).alias("gram"))
-            .agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= least)
-            .toPandas()
-        )
-        levels.append((kept.gram.to_numpy(np.uint64), kept.n.to_numpy(np.float64)))
-    return build_trie(levels)
+    short = [
+        _pairs(grams.groupBy(F.col("gram").bitwiseAND(F.lit(_mask(k)).cast("long")).alias("gram")).agg(F.sum("n").alias("n")))
+        for k in range(min(SMALL_LEVELS, order + 1))
+    ]
+    least = max(1, int(short[0][1].sum() * min_share))
+    keys, counts = _pairs(grams.filter(F.col("n") >= least))
+    contexts = (
+        grams.groupBy(F.shiftright("gram", 8).alias("gram"))
+        .agg(F.sum("n").alias("total"), (F.sum("n") + F.count("n")).alias("n"))
+        .filter(F.col("total") >= least)
+    )
+    known, shares = _pairs(contexts)
+    ascending = np.argsort(known)
+    known, shares = known[ascending], shares[ascending]
+    logs = np.log(counts / shares[np.searchsorted(known, keys >> np.uint64(8))]) if len(keys) else counts
+    return GramModel(Head(Table(keys, counts), np.append(logs, 0.0), order), build_trie(short).levels, grams)
+
+
+def tail_scores(scored: DataFrame, model: GramModel) -> DataFrame:
+    """uid, more_score: log10 probabilities of grams of ``tail``, in sums of which a uid may have several."""
+    rows = model.table.select(F.lit(-1).cast("long").alias("uid"), "gram", "n").union(
+        scored.select("uid", F.inline("tail")).select("uid", "gram", F.col("n").cast("long"))
+    )
+    rows = rows.withColumn("end", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF).cast("long")))
+    rows = rows.repartition("end").sortWithinPartitions("end", "uid").drop("end")
+    small = scored.sparkSession.sparkContext.broadcast(model.small)
+    return common.map_batches(rows, _score_tail(small, model.head.order), "uid long, more_score double")
 
 
-_SCHEMA = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>"
+_SCHEMA = (
+    "uid long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>, "
+    "tail array<struct<gram:long,n:int>>"
+)
 
 
-def _score(trie, frequent):
+def _score(head, frequent):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = common.partition_id() << 36
         known = frequent.value
@@ -316,6 +434,7 @@ def _score(trie, frequent):
                     rare.append(list(rest))
                     times.append(list(rest.values()))
                 n = b - a
+                scores, tail = score_head(texts[a:b], head.value)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(uid, uid + n)),
@@ -323,11 +442,12 @@ def _score(trie, frequent):
                         pa.array(tokens, pa.int64()),
                         pa.array(known_tokens, pa.int64()),
                         pa.array(base, pa.float64()),
-                        pa.array(score_texts(texts[a:b], trie.value)),
+                        pa.array(scores),
                         pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
                         pa.array(times, pa.list_(pa.int32())),
+                        tail,
                     ],
-                    names=["uid", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                    names=["uid", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times", "tail"],
                 )
                 uid += n
 
@@ -335,41 +455,51 @@ def _score(trie, frequent):
 
 
 def score_documents(
-    docs: DataFrame, train: DataFrame | None = None, held_out: Column | None = None, order: int = ORDER
+    docs: DataFrame,
+    train: DataFrame | None = None,
+    held_out: Column | None = None,
+    order: int = ORDER,
+    min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from ``train`` (default: the rows of ``docs`` that are not held out, fold 2 of 7).  Null
     text counts as empty and has the end token alone.  Repeated rows count and are scored as often
-    as they stand.  With nothing to learn from, every byte has probability 1/256 and base_score is 0.
+    as they stand.  ``min_share`` sets what is broadcast, not what is known.  With nothing to learn from, every byte has probability 1/256 and base_score is 0.
     """
     spark = docs.sparkSession
     rows = common.id_and_text(docs)
     out_of_it = common.fold_column(F.col("doc_id"), 7) == 2 if held_out is None else held_out
     train = rows.filter(~out_of_it) if train is None else train
-    words, trie = train_words(train), train_trie(train, order)
+    words, grams = train_words(train), train_grams(train, order, min_share)
     context = spark.sparkContext
     scored = common.written(
-        common.map_batches(rows, _score(context.broadcast(trie), context.broadcast(words.frequent)), _SCHEMA),
+        common.map_batches(rows, _score(context.broadcast(grams.head), context.broadcast(words.frequent)), _SCHEMA),
         "lm-scores",
     )
     rest = (
         scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
         .select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
         .join(words.table, "word")
-        .groupBy("uid")
-        .agg(
-            F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"),
-            F.sum("times").alias("more_known"),
+        .select(
+            "uid",
+            (F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"),
+            F.col("times").cast("long").alias("more_known"),
+            F.lit(0.0).alias("more_score"),
         )
+        .union(
+            tail_scores(scored, grams).select("uid", F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("k"), "more_score")
+        )
+        .groupBy("uid")
+        .agg(*(F.sum(c).alias(c) for c in ("more_base", "more_known", "more_score")))
     )
     size = float(np.log10(words.total + words.distinct + 1))
-    return scored.drop("rare", "times").join(rest, "uid", "left").select(
+    return scored.drop("rare", "times", "tail").join(rest, "uid", "left").select(
         "doc_id",
         out_of_it.alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(words.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(size)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
