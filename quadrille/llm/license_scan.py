@@ -3,6 +3,8 @@
 The automaton holds all templates and base phrases as token sequences (a parameter, small).  Each
 text streams through it, giving at every word the longest suffix that occurs in a template; base
 phrases are read off the suffix links, long matches are chained per template into covered spans.
+A chain needs the identifying words of its licence in one piece and no word of another kind of
+licence among its own; where chains of different licences overlap, the fullest cover wins.
 """
 
 from __future__ import annotations
@@ -40,11 +42,36 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+#: Identifying words of a label: a chain must match them in one piece, where its template has them.
+KEYS = {
+    "apache-2": "apache license version 2",
+    "gpl-3": "version 3",
+    "gpl-2": "version 2",
+    "lgpl": "gnu lesser general public license",
+    "mpl-2": "mozilla public license",
+    "cc-by": "creative commons attribution",
+    "cc-by-nc": "attribution noncommercial",
+    "cc-by-nd": "attribution noderivatives",
+    "cc-by-sa": "attribution sharealike",
+    "cc-by-nc-sa": "attribution noncommercial sharealike",
+    "cc-by-nc-nd": "attribution noncommercial noderivatives",
+}
+#: By the first part of a label: words of other kinds of licence, of which none may stand unmatched in a chain.
+RIVALS = {
+    "gpl": "lesser library affero",
+    "lgpl": "library affero",
+    "cc": "noncommercial commercial nc noderivatives noderivs derivatives nd sharealike alike sa",
+}
+
 #: Words that a match must have to enter a chain.
 MIN_MATCH = 3
 #: Share of a template's words that a chain must cover to label the text.
@@ -134,11 +161,23 @@ class Found:
 class Scanner:
     """Automaton, vocabulary and chain rules for a set of phrases and templates."""
 
-    def __init__(self, templates=TEMPLATES, phrases=BASE_PHRASES, min_match=MIN_MATCH, min_cover=MIN_COVER, max_gap=MAX_GAP):
+    def __init__(
+        self,
+        templates=TEMPLATES,
+        phrases=BASE_PHRASES,
+        min_match=MIN_MATCH,
+        min_cover=MIN_COVER,
+        max_gap=MAX_GAP,
+        keys=KEYS,
+        rivals=RIVALS,
+    ):
         self.vocabulary: dict[bytes, int] = {}
         self.templates = [(label, self._ids(text)) for label, text in templates]
         self.phrases = [(self._ids(text), label) for text, label in phrases]
         self.min_match, self.min_cover, self.max_gap = min_match, min_cover, max_gap
+        self.keys = [self._place(ids, self._ids(keys.get(label, ""))) for label, ids in self.templates]
+        kinds = {part: set(self._ids(words)) for part, words in rivals.items()}
+        self.rivals = [kinds.get(label.split("-")[0], set()) for label, _ in self.templates]
         self.automaton = a = SuffixAutomaton()
         for i, (_, ids) in enumerate(self.templates):
             a.add(ids, i)
@@ -160,34 +199,68 @@ class Scanner:
         words = common.alnum_words(text.encode())
         return [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
 
-    def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+    @staticmethod
+    def _place(ids: list[int], key: list[int]) -> tuple[int, int]:
+        """Where the key stands in a template; an empty place when it does not."""
+        at = next((i for i in range(len(ids) - len(key) + 1) if ids[i : i + len(key)] == key), None)
+        return (0, 0) if at is None else (at, at + len(key))
+
+    def _chain(self, matches: list[tuple[int, int, int]], words: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(label, first word, word after the last, cover) of chains that cover enough of a template."""
-        open_: dict[int, list[int]] = {}
-        out = []
+        open_: dict[int, tuple[list[int], list[tuple[int, int, int, int]]]] = {}
+        good = []
 
         def close(t: int) -> None:
-            start, stop, _, covered = open_.pop(t)
+            (start, stop, _, covered), pieces = open_.pop(t)
             label, ids = self.templates[t]
-            if covered >= self.min_cover * len(ids):
-                out.append((label, start, stop, covered / len(ids)))
+            if covered < self.min_cover * len(ids):
+                return
+            first, last = self.keys[t]
+            if last and not any(p[2] <= first and last <= p[3] for p in pieces):
+                return
+            if self.rivals[t]:
+                for at in range(start, stop):
+                    if int(words[at]) in self.rivals[t] and not any(p[0] <= at < p[1] for p in pieces):
+                        return
+            good.append((covered / len(ids), covered, label, start, stop))
 
         for at, n, state in matches:
             for t, end in self.automaton.ends[state].items():
                 if t >= len(self.templates):
                     continue
                 here = end - n + 1  # where the match starts in the template
-                chain = open_.get(t)
+                chain, pieces = open_.get(t, (None, None))
                 if chain and (at - chain[1] > self.max_gap or end < chain[2]):
                     close(t)
                     chain = None
                 if chain is None:
-                    open_[t] = [at, at + n, end + 1, n]
+                    open_[t] = [at, at + n, end + 1, n], [(at, at + n, here, end + 1)]
                 elif end + 1 > chain[2]:
                     chain[3] += end + 1 - max(here, chain[2])
                     chain[1], chain[2] = max(chain[1], at + n), end + 1
+                    pieces.append((at, at + n, here, end + 1))
         for t in list(open_):
             close(t)
-        return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
+        return self._winners(good)
+
+    @staticmethod
+    def _winners(good: list[tuple[float, int, str, int, int]]) -> list[tuple[str, int, int, float]]:
+        """Chains that no fuller (then longer) chain of another label overlaps; equals stay."""
+        kept: list[tuple[float, int, str, int, int]] = []
+        reach = 0
+        groups: list[list[tuple[float, int, str, int, int]]] = []
+        for chain in sorted(set(good), key=lambda x: x[3]):
+            if not groups or chain[3] >= reach:
+                groups.append([])
+            groups[-1].append(chain)
+            reach = max(reach, chain[4]) if len(groups[-1]) > 1 else chain[4]
+        for group in groups:
+            own: list[tuple[float, int, str, int, int]] = []
+            for chain in sorted(group, reverse=True):
+                if not any(w[:2] > chain[:2] and w[2] != chain[2] and w[3] < chain[4] and chain[3] < w[4] for w in own):
+                    own.append(chain)
+            kept += own
+        return sorted({(c[2], c[3], c[4], c[0]) for c in kept}, key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, texts: list[bytes]) -> list[Found]:
         get = self.vocabulary.get
@@ -223,7 +296,7 @@ class Scanner:
             f.n_base, f.first, f.last = len(own), min(own)[0], max(own)[0]
             f.base = tuple(sorted({self.phrases[p][1] for _, p in own}))
         for doc, own in matches.items():
-            found[doc].spans = tuple(self._chain(own))
+            found[doc].spans = tuple(self._chain(own, ids[starts[doc] : starts[doc + 1]]))
         return found
 
 

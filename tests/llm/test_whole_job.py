@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quadrille.llm import lm_scoring
+from quadrille.llm import license_scan, lm_scoring
 
 from .helpers import frame, lower, random_texts
 from .test_brute_force import _ppm
@@ -49,3 +49,36 @@ def test_lm_tail_in_parts(most):
     logs = 2 * lm_scoring.log_probabilities(asked, trie) / math.log(10)
     for uid in range(3):
         assert math.isclose(got[uid], logs[asked % np.uint64(3) == uid].sum(), abs_tol=1e-9)
+
+
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+CC = "This work is licensed under a Creative Commons {} International License"
+
+
+@pytest.mark.parametrize(
+    "text,label",
+    [
+        *((text, label) for label, text in license_scan.TEMPLATES),
+        (GPL.format(2), "gpl-2"),
+        (GPL.format(3), "gpl-3"),
+        (GPL.format("2.1").replace("program", "library").replace("GNU", "GNU Lesser"), "lgpl"),
+        (CC.format("Attribution 4.0"), "cc-by"),
+        (CC.format("Attribution-ShareAlike 4.0"), "cc-by-sa"),
+        (CC.format("Attribution-NonCommercial 4.0"), "cc-by-nc"),
+        (CC.format("Attribution-NoDerivatives 4.0"), "cc-by-nd"),
+        (CC.format("Attribution-NonCommercial-ShareAlike 4.0"), "cc-by-nc-sa"),
+        (CC.format("Attribution-NonCommercial-NoDerivatives 4.0"), "cc-by-nc-nd"),
+        (CC.format("Attribution-NonCommercial-ShareAlike 3.0").replace("International", "Unported"), "cc-by-nc-sa"),
+        (CC.format("Attribution-Non-Commercial 4.0"), None),
+        (GPL.format(3).replace("GNU", "GNU Affero"), None),
+    ],
+)
+def test_license_notices_get_their_own_label(text, label):
+    for around in ("{}", "Some words of a page. {}, and what follows it."):
+        found = license_scan.Scanner().scan([around.format(text).encode()])[0]
+        assert {s[0] for s in found.spans} == ({label} if label else set())
+
+
+def test_license_of_two_notices():
+    text = f"{GPL.format(2)} one two three four five six seven eight nine {CC.format('Attribution-NonCommercial 4.0')}"
+    assert [s[0] for s in license_scan.Scanner().scan([text.encode()])[0].spans] == ["gpl-2", "cc-by-nc"]
