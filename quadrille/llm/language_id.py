@@ -163,7 +163,20 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_letter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        yield batch.filter(pa.array([bool(_LETTER.search((t or "").lower())) for t in texts], pa.bool_()))
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told (``und``); same columns."""
-    found = predict(docs, train(training_rows(docs)))
+    """``docs`` without the rows that have no letter (``und``); same columns.
+
+    Which language a text is in, and how sure that is, rejects nothing.  With no labels to learn
+    from, the letter alone decides as well.
+    """
+    model = train(training_rows(docs))
+    if not model.languages:
+        return common.map_batches(docs, _with_letter, common.carried(docs))
+    found = predict(docs, model)
     return found.filter(F.col("__li_lang") != UNKNOWN).select(*(f"`{c}`" for c in docs.columns))

@@ -8,10 +8,11 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quadrille.llm import license_scan, lm_scoring
+from quadrille.llm import language_id, license_scan, lm_scoring
 
-from .helpers import frame, lower, random_texts
+from .helpers import EDGE, edge_docs, frame, lower, random_texts
 from .test_brute_force import _ppm
 
 
@@ -82,3 +83,10 @@ def test_license_notices_get_their_own_label(text, label):
 def test_license_of_two_notices():
     text = f"{GPL.format(2)} one two three four five six seven eight nine {CC.format('Attribution-NonCommercial 4.0')}"
     assert [s[0] for s in license_scan.Scanner().scan([text.encode()])[0].spans] == ["gpl-2", "cc-by-nc"]
+
+
+def test_unlabelled_documents_stay(spark):
+    docs = edge_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.text for r in kept.collect()) == Counter(t for _, t, _ in EDGE if any(c.isalpha() for c in t or ""))
