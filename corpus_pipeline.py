@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
+    """Documents go of which ten consecutive words, or half of all, are those of benchmark items."""
     return decontamination.decontaminate(docs, common.read(spark, sf_dir, "benchmark"))
 
 

@@ -294,10 +294,21 @@ def hit_words() -> Column:
     return F.aggregate("__dc_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **options) -> DataFrame:
-    """``docs`` without the documents in which any benchmark window occurs; same columns."""
+#: Share of a document's words in hits from which on it goes without a hit of full length.
+HIT_SHARE = 0.5
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, hit_share: float = HIT_SHARE, **options
+) -> DataFrame:
+    """``docs`` without the documents of which ``window`` words in a row are hits, or ``hit_share`` of all; same columns.
+
+    So shorter items take a document along only where they are much of it.
+    """
     found = search(docs, benchmark, window, **options)
-    return found.filter(F.size("__dc_spans") == 0).select(*(f"`{c}`" for c in docs.columns))
+    full = F.exists("__dc_spans", lambda s: s["stop"] - s["start"] >= window)
+    much = (F.size("__dc_spans") > 0) & (hit_words() >= F.col("__dc_words") * hit_share)
+    return found.filter(~(full | much)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def contamination(

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import language_id, license_scan, lm_scoring
+from quadrille.llm import decontamination, language_id, license_scan, lm_scoring
 
 from .helpers import EDGE, edge_docs, frame, lower, random_texts
 from .test_brute_force import _ppm
@@ -90,3 +90,12 @@ def test_unlabelled_documents_stay(spark):
     kept = language_id.keep_identified(docs)
     assert kept.columns == docs.columns
     assert Counter(r.text for r in kept.collect()) == Counter(t for _, t, _ in EDGE if any(c.isalpha() for c in t or ""))
+
+
+def test_short_items_cost_no_long_documents(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    bench = spark.createDataFrame([(1, "yes"), (2, "Ann Lee"), (3, item)], "item_id long, text string")
+    long = " ".join(f"t{k}" for k in range(30))
+    texts = [f"{long} yes", f"Ann Lee {long} yes", "Ann Lee", "yes no", f"{long} {item[3:]} {long}", f"{long} {item[:20]}", None, ""]
+    kept = decontamination.decontaminate(frame(spark, texts), bench).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1, 5, 6, 7]
