@@ -2,7 +2,9 @@
 
 Encoding: the distinct matches of the vocabulary's pattern in a block become token-position rows,
 one a byte.  A recursive query joins adjacent tokens with the merge table and contracts each word's
-leftmost pair of minimum rank until no pair is left.  Decoding joins ids with the vocabulary and
+leftmost pair of minimum rank until no pair is left.  Long words are first cut where no merge of the
+vocabulary can reach across, and a round does as many of their leftmost contractions as give no pair
+of a lower rank on the way, which is what one at a time would do whatever the vocabulary.  Decoding joins ids with the vocabulary and
 aggregates the bytes in order.  Spark hands out the blocks; nothing is shuffled.
 """
 
@@ -16,19 +18,23 @@ from collections.abc import Iterable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 from .segments import BoundedCache, PieceCache
 
-#: Words of so many bytes or fewer take one contraction a round.
+#: Words of so many bytes or fewer take one contraction a round, and are not cut.
 SHORT_BYTES = 64
 #: Rows of token positions in one recursive query.
 QUERY_BYTES = 1 << 18
-#: Rounds of one recursive query over long words; their state is then taken up by the next query.
-LONG_ROUNDS = 16
+#: Rounds of one recursive query over long words; their state is then taken up by the next query, which
+#: holds the words that are not done.  Fewer where a word has many rows, as a query holds all its rounds.
+LONG_ROUNDS, LONG_ROWS = 16, 1 << 20
 BLOCK_BYTES = 2 << 20
+DATABASE_MEMORY = "256MB"
 #: Encodings that a worker keeps; less than token output does, as the database takes memory too.
 CACHE_PIECES, CACHE_WORDS = 400_000, 200_000
 #: Ids of one decoding query; a longer text takes several.
@@ -53,31 +59,40 @@ FROM step s JOIN (SELECT word, max(it) AS it FROM step GROUP BY word) l ON s.wor
 ORDER BY s.word, s.pos
 """
 
-# Long words contract every pair of the minimum rank in a round, from the left without overlap: in a
-# vocabulary made by merges a new pair never ranks below the pairs just merged, so the result is that
-# of single contractions.  ``place`` numbers tokens; ``run`` is how far into equal neighbours a pair is.
-_LONG = f"""
+# Long words take several contractions a round: the leftmost pairs of the minimum rank, from the left
+# without overlap, up to the first one that makes a pair of a lower rank with a token beside it.  The
+# token before it may itself be new; the one after it is still the old one.  ``place`` numbers tokens;
+# ``run`` is how far into equal neighbours a pair is.
+_LONG = """
 WITH RECURSIVE step(word, pos, tok, it) AS (
   SELECT word, pos, tok, 0 FROM start
   UNION ALL
   (WITH pairs AS (
-    SELECT word, pos, tok, it, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos
+    SELECT word, pos, tok, it, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos, lag(tok) OVER w AS before,
+           lead(tok, 2) OVER w AS after, row_number() OVER w AS place
     FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)),
    ranked AS (
-    SELECT p.*, m.rank, min(m.rank) OVER (PARTITION BY p.word) AS least,
-           row_number() OVER (PARTITION BY p.word ORDER BY p.pos) AS place
+    SELECT p.*, m.rank, min(m.rank) OVER (PARTITION BY p.word) AS least
     FROM pairs p LEFT JOIN merges m ON m.pair = p.tok * 4294967296 + p.nxt),
    hits AS (
-    SELECT word, pos, npos, least, place,
+    SELECT word, pos, npos, least, place, before, after,
            place - row_number() OVER (PARTITION BY word ORDER BY place) AS island
     FROM ranked WHERE rank = least),
+   chosen AS (
+    SELECT *, CASE WHEN lag(place) OVER (PARTITION BY word ORDER BY place) = place - 2 THEN least ELSE before END AS left_tok
+    FROM (SELECT *, place - min(place) OVER (PARTITION BY word, island) AS run FROM hits) WHERE run % 2 = 0),
    taken AS (
     SELECT word, pos, npos, least FROM (
-      SELECT *, place - min(place) OVER (PARTITION BY word, island) AS run FROM hits) WHERE run % 2 = 0)
+      SELECT c.word, c.pos, c.npos, c.least,
+             coalesce(sum(CASE WHEN l.rank < c.least OR r.rank < c.least THEN 1 ELSE 0 END)
+                      OVER (PARTITION BY c.word ORDER BY c.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower
+      FROM chosen c
+      LEFT JOIN merges l ON l.pair = c.left_tok * 4294967296 + c.least
+      LEFT JOIN merges r ON r.pair = c.least * 4294967296 + c.after) WHERE lower = 0)
    SELECT s.word, s.pos, coalesce(t.least, s.tok)::BIGINT, s.it + 1
    FROM step s SEMI JOIN taken a ON s.word = a.word
    LEFT JOIN taken t ON s.word = t.word AND s.pos = t.pos
-   WHERE s.it < {LONG_ROUNDS}
+   WHERE s.it < {rounds}
      AND NOT EXISTS (FROM taken g WHERE g.word = s.word AND g.npos = s.pos)))
 SELECT word, pos, tok, latest FROM (SELECT *, max(it) OVER (PARTITION BY word) AS latest FROM step)
 WHERE it = latest ORDER BY word, pos
@@ -106,7 +121,8 @@ class Codec:
         self.ranks, self.pattern, self.short_bytes = ranks, regex.compile(pattern), short_bytes
         self.letters = r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|" in pattern
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        # Nothing spills to a folder of the machine: a query beyond the limit fails.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DATABASE_MEMORY, "temp_directory": ""})
         pairs = [
             (a, b, rank)
             for token, rank in ranks.items()
@@ -120,6 +136,13 @@ class Codec:
             {"tok": pa.array(list(ranks.values()), pa.int64()), "hex": pa.array([t.hex() for t in ranks], pa.string())},
             "tok, unhex(hex) AS bytes",
         )
+        #: Of tokens that a merge makes, the places where it can join their parts; all beginnings of tokens.
+        self.joins: dict[bytes, list[int]] = {}
+        for token in ranks:
+            own = [i for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+            if own:
+                self.joins[token] = own
+        self.beginnings = {token[:i] for token in self.joins for i in range(1, len(token) + 1)}
         self.words = BoundedCache(CACHE_WORDS)
         self.cache = PieceCache(self._encode_pieces, self._encode_after_blank, cut_tails=self.letters, most=CACHE_PIECES)
 
@@ -150,19 +173,39 @@ class Codec:
         )
 
     def _long(self, state: pa.Table) -> pa.Table:
-        """Queries of a bounded number of rounds until no word has changed in the last one's rounds."""
-        while True:
-            found = self._run(_LONG, "start", state)
-            state = found.select(["word", "pos", "tok"])
-            if not found.num_rows or max(found["latest"].to_pylist()) < LONG_ROUNDS:
-                return state
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (a match of the pattern) as little-endian unsigned 32-bit integers."""
+        """Queries of a bounded number of rounds until no word changes any more."""
+        done = []
+        while state.num_rows:
+            rounds = max(1, min(LONG_ROUNDS, LONG_ROWS // state.num_rows))
+            found = self._run(_LONG.format(rounds=rounds), "start", state)
+            open_ = pc.equal(found["latest"], rounds)
+            state = found.filter(open_).select(["word", "pos", "tok"])
+            done.append(found.filter(pc.invert(open_)).select(["word", "pos", "tok"]))
+        return pa.concat_tables(done).sort_by([("word", "ascending"), ("pos", "ascending")])
+
+    def cut(self, word: bytes) -> list[bytes]:
+        """Parts of a word between which no merge is possible, whatever has been merged within them.
+
+        A merge across a place joins a token that ends there and one that begins there.
+        """
+        reached = bytearray(len(word) + 1)
+        beginnings, joins = self.beginnings, self.joins
+        for i in range(len(word)):
+            for j in range(i + 1, len(word) + 1):
+                token = word[i:j]
+                if token not in beginnings:
+                    break
+                for k in joins.get(token, ()):
+                    reached[i + k] = 1
+        places = [0, *(i for i in range(1, len(word)) if not reached[i]), len(word)]
+        return [word[a:b] for a, b in zip(places, places[1:], strict=False)]
+
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some words by the query that suits their length."""
         out = [b""] * len(words)
-        order = [i for i in range(len(words)) if len(words[i]) <= self.short_bytes]
+        short = [i for i in range(len(words)) if len(words[i]) <= self.short_bytes]
         long = [i for i in range(len(words)) if len(words[i]) > self.short_bytes]
-        for chosen, run in ((order, lambda s: self._run(_SHORT, "start", s)), (long, self._long)):
+        for chosen, run in ((short, lambda s: self._run(_SHORT, "start", s)), (long, self._long)):
             own = [words[i] for i in chosen]
             for a, b in common.blocks(own, QUERY_BYTES):
                 found = run(self._start(own[a:b]))
@@ -172,6 +215,13 @@ class Codec:
                     out[chosen[k]] = tokens[cut[k - a] : cut[k - a + 1]]
         return out
 
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (a match of the pattern) as little-endian unsigned 32-bit integers."""
+        parts = [[w] if len(w) <= self.short_bytes else self.cut(w) for w in words]
+        distinct = list({p: None for own in parts for p in own})
+        ids = dict(zip(distinct, self._contract(distinct), strict=True))
+        return [b"".join(map(ids.__getitem__, own)) for own in parts]
+
     def _encode_after_blank(self, pieces: list[str]) -> list[bytes]:
         """Pieces that follow a blank; one of letters is a single match with its blank."""
         alone = [p for p in pieces if p.isalpha()] if self.letters else []
@@ -245,30 +295,42 @@ def share(spark, ranks: dict[bytes, int], pattern: str) -> _Shared:
 
 
 def encode(docs: DataFrame, vocabulary: _Shared, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (little-endian unsigned 32-bit) in place of the text column.
+    """``docs`` with ``ids`` (little-endian unsigned 32-bit) as its last column, in place of the text.
 
-    Null text is encoded as the empty one, which has no ids.
+    Null text is encoded as the empty one, which has no ids.  Every row has its row, repeated ones too.
+    A column of ``docs`` that is called ids is an error; other names never clash.  An empty table gives
+    an empty one.
     """
-    keep = [c for c in docs.columns if c not in (text_col, "ids")]
+    placed, (text,) = common.by_place(docs, text_col)
+    keep = [(c, n) for c, n in zip(placed.columns, docs.columns, strict=True) if c != text]
+    if any(n.lower() == "ids" for _, n in keep):
+        raise ValueError("documents have a column ids already")
+    names = [c for c, _ in keep]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary)
         for batch in batches:
-            ids = codec.encode_array(batch.column(text_col))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.binary())], names=[*keep, "ids"])
+            ids = codec.encode_array(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.binary())], names=[*names, "ids"])
 
-    rest = docs.select(*(f"`{c}`" for c in keep))
-    head = common.carried(rest) + ", " if keep else ""
-    return common.map_batches(docs.select(*(f"`{c}`" for c in [*keep, text_col])), work, head + "ids binary")
+    schema = common.with_columns(placed.select(*names), "ids binary")
+    found = common.map_batches(placed.withColumn(text, F.col(text).cast("string")), work, schema)
+    return found.toDF(*(n for _, n in keep), "ids")
 
 
 def decode(encoded: DataFrame, vocabulary: _Shared) -> DataFrame:
-    """``encoded`` with the column ``decoded``: the bytes of its ``ids``."""
+    """``encoded`` with the column ``decoded`` (an error if there is one): the bytes of its ``ids``.
+
+    Null ids decode to no bytes; ids that the vocabulary lacks decode to none.  Every row has its row.
+    """
+    if any(n.lower() == "decoded" for n in encoded.columns):
+        raise ValueError("there is a column decoded already")
+    placed, (name,) = common.by_place(encoded, "ids")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary)
         for batch in batches:
-            ids = [x or b"" for x in batch.column("ids").to_pylist()]
+            ids = [x or b"" for x in batch.column(name).to_pylist()]
             for a, b in common.blocks(ids, 2 * BLOCK_BYTES):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
@@ -276,12 +338,16 @@ def decode(encoded: DataFrame, vocabulary: _Shared) -> DataFrame:
                     names=[*batch.schema.names, "decoded"],
                 )
 
-    return common.map_batches(encoded, work, common.carried(encoded) + ", decoded binary")
+    found = common.map_batches(placed, work, common.with_columns(placed, "decoded binary"))
+    return found.toDF(*encoded.columns, "decoded")
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, repeated ones too.
 
+    Null text counts as empty: no tokens.  Other columns of ``docs`` may have any names.  An empty
+    table gives no rows.  A text is never cut inside a match, so a match has to fit in memory.
+
     Encodes and decodes in one stage, so that a task has one worker and ids stay in it.
     """
     vocabulary = share(docs.sparkSession, read_ranks(rank_path), pattern)

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is one aggregate (the smallest neighbour of a node) and one join; no neighbourhood is
-ever collected.  Steps are written to the shared folder, which cuts lineage.
+ever collected.  Steps are written to the caller's workspace, which cuts lineage.
 """
 
 from __future__ import annotations
@@ -31,16 +31,16 @@ def _print(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, ws: common.Workspace) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: long) that is not its component's smallest.
 
     Loops, repeated edges and either direction are allowed; null ends are left out.
     """
     tidy = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    tidy = common.written(tidy, "edges")
+    tidy = ws.written(tidy, "edges")
     seen = _print(tidy)
     while seen[0]:
-        tidy = common.written(_small_star(_large_star(tidy).filter("u <> v").distinct()).distinct(), "edges")
+        tidy = ws.written(_small_star(_large_star(tidy).filter("u <> v").distinct()).distinct(), "edges")
         now = _print(tidy)
         if now == seen:
             break

@@ -5,12 +5,17 @@ vocabulary; any window lies inside a stretch of such words, so only stretches as
 shortest window enter the index.  The index is the Burrows-Wheeler transform of the stretches in a
 wavelet matrix; windows are searched backwards through its ranks, all at once, occurrences are
 located from sampled suffix positions, and overlapping ones merge into removal spans.
-No shuffle: documents stay where they are read.
+Documents are not shuffled, they stay where they are read.
+
+Spark tasks cut the benchmark into windows, in parts of bounded size; each part is a file of the
+shared folder that the tasks of documents read.  The driver sees the names of these files only.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,8 +25,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of benchmark text that one pass over the documents searches for (and broadcasts).
+#: Bytes of benchmark text in one part, about; a task holds some parts, each about five times that.
 PHRASE_BYTES = 16 << 20
+#: Windows that are searched at once.
+WINDOWS = 1 << 16
 #: Bytes of text in a shard.
 SHARD_BYTES = 8 << 20
 #: One suffix position of so many is kept.
@@ -31,31 +38,38 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 class Phrases:
-    """Windows of benchmark items as rows of symbols, by length, with the items that hold them."""
+    """Distinct windows of benchmark items, by length, with the items that hold them.
+
+    A window is a place in the sequence of all words' symbols.
+    """
 
-    def __init__(self, items: Iterable[tuple[object, str | None]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: list[str] = []
         numbers: dict[str, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        parts, places, at = [], {}, 0
+        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         for item_id, text in items:
-            words = common.alnum_words((text or "").encode())
-            if not words:
+            words = common.word_numbers((text or "").encode(), number)
+            if not len(words):
                 continue
-            name = "null" if item_id is None else str(item_id)
-            number = numbers.setdefault(name, len(numbers))
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1):
-                found.setdefault(tuple(ids[i : i + n]), set()).add(number)
+            owner = numbers.setdefault("null" if item_id is None else item_id, len(numbers))
+            n = min(window, len(words))
+            starts = np.arange(at, at + len(words) - n + 1, dtype=np.int32)
+            places.setdefault(n, []).append((starts, np.full(len(starts), owner, np.int32)))
+            parts.append(words)
+            at += len(words)
         self.items = list(numbers)
-        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for n in sorted({len(w) for w in found}):
-            rows = [w for w in found if len(w) == n]
-            ends = np.cumsum([0, *(len(found[w]) for w in rows)])
-            owners = np.array([i for w in rows for i in sorted(found[w])], np.int64)
-            self.groups.append((np.array(rows, np.int64), ends, owners))
-        self.shortest = min((g[0].shape[1] for g in self.groups), default=0)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        #: Length, where each distinct window stands, and where its owners begin in the last array.
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, own in sorted(places.items()):
+            starts, owners = (np.concatenate(x) for x in zip(*own, strict=True))
+            rows = np.ascontiguousarray(self.words[starts[:, None] + np.arange(n)])
+            _, first, which = np.unique(rows.view(np.dtype((np.void, 4 * n))).ravel(), return_index=True, return_inverse=True)
+            pairs = np.unique(which.astype(np.int64) * len(numbers) + owners)
+            ends = np.searchsorted(pairs, np.arange(len(first) + 1) * len(numbers))
+            self.groups.append((n, starts[first], ends, (pairs % len(numbers)).astype(np.int32)))
+        self.shortest = min((g[0] for g in self.groups), default=0)
 
 
 class WaveletMatrix:
@@ -149,13 +163,12 @@ def search_shard(
     get = phrases.vocabulary.get
     parts, counts = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        words = common.alnum_words(text)
-        counts[i] = len(words)
-        parts.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-        parts.append(np.zeros(1, np.int64))
+        numbers = common.word_numbers(text, get)
+        counts[i] = len(numbers)
+        parts += [numbers, np.zeros(1, np.int32)]
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[list[str]] = [[] for _ in texts]
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    ids = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(counts + 1)])
     known = np.concatenate([[0], (ids > 0).view(np.int8), [0]])
     edges = np.flatnonzero(np.diff(known))
@@ -169,27 +182,30 @@ def search_shard(
     mark[ends + 1] -= 1  # the word after a stretch is unknown, or an end: its 0 closes the stretch
     place = np.flatnonzero(np.cumsum(mark)[:-1])
     index = FMIndex(ids[place], len(phrases.vocabulary))
+    there = np.zeros(len(phrases.vocabulary) + 1, bool)
+    there[ids[place]] = True
     cover = np.zeros(len(ids) + 1, np.int32)
     owned = []
-    for rows, offsets, owners in phrases.groups:
-        which, low, high = index.search(rows)
-        if not len(which):
-            continue
-        n = high - low
-        of = np.repeat(np.arange(len(which)), n)
-        at = place[index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[of])]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + rows.shape[1], -1)
-        doc = np.searchsorted(starts, at, "right") - 1
-        window = which[of]
-        pairs = np.unique(doc * len(rows) + window)
-        doc, window = pairs // len(rows), pairs % len(rows)
-        n = offsets[window + 1] - offsets[window]
-        of = np.repeat(np.arange(len(window)), n)
-        owned.append(
-            doc[of] * len(phrases.items)
-            + owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + offsets[window][of]]
-        )
+    for length, windows, offsets, owners in phrases.groups:
+        for a in range(0, len(windows), WINDOWS):
+            rows = phrases.words[windows[a : a + WINDOWS, None] + np.arange(length)].astype(np.int64)
+            able = np.flatnonzero(there[rows].all(axis=1))
+            which, low, high = index.search(rows[able]) if len(able) else (able, able, able)
+            if not len(which):
+                continue
+            which = able[which] + a
+            n = high - low
+            of = np.repeat(np.arange(len(which)), n)
+            at = place[index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[of])]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + length, -1)
+            doc = np.searchsorted(starts, at, "right") - 1
+            pairs = np.unique(doc * len(windows) + which[of])
+            doc, window = pairs // len(windows), pairs % len(windows)
+            n = offsets[window + 1] - offsets[window]
+            of = np.repeat(np.arange(len(window)), n)
+            held = owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + offsets[window][of]]
+            owned.append(np.unique(doc[of] * len(phrases.items) + held))
     hit = np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).view(np.int8), [0]])
     edges = np.flatnonzero(np.diff(hit))
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
@@ -228,21 +244,30 @@ _SPANS = "array<struct<start:int,stop:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def _search(shared, text_name: str, names: list[str], first: bool):
+def _write_phrases(window: int, folder: str):
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part; each part becomes a file."""
+        for group in common.grouped(batches, ["part"]):
+            rows = zip(group["item"].to_pylist(), group["text"].to_pylist(), strict=True)
+            phrases = Phrases(rows, window)
+            path = f"{folder}/{group['part'][0].as_py():06d}-{uuid.uuid4().hex}"
+            common.write_file(path, pickle.dumps(phrases))
+            yield pa.RecordBatch.from_pylist([{"path": path}])
+
+    return work
+
+
+def _search(paths: list[str], text_name: str, names: list[str]):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
         for batch in batches:
             texts = common.texts_of(batch.column(text_name))
             for start, stop in common.blocks(texts, SHARD_BYTES):
+                own = texts[start:stop]
+                found = [search_shard(own, common.loaded(__name__, path)) for path in paths]
+                counts = found[0][0] if found else np.array([len(common.alnum_words(t)) for t in own], np.int64)
+                spans = [merge_spans(x for f in found for x in f[1][i]) for i in range(len(own))]
+                items = [sorted({x for f in found for x in f[2][i]}) for i in range(len(own))]
                 part = batch.slice(start, stop - start)
-                counts, spans, items = search_shard(texts[start:stop], phrases)
-                if not first:
-                    old = part.column("__dc_spans").to_pylist(), part.column("__dc_items").to_pylist()
-                    spans = [
-                        merge_spans([*new, *((s["start"], s["stop"]) for s in was)])
-                        for new, was in zip(spans, old[0], strict=True)
-                    ]
-                    items = [sorted({*new, *was}) for new, was in zip(items, old[1], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(n) for n in names),
@@ -250,48 +275,46 @@ def _search(shared, text_name: str, names: list[str], first: bool):
                         pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], _SPAN_TYPE),
                         pa.array(items, pa.list_(pa.string())),
                     ],
-                    names=[*names, "__dc_words", "__dc_spans", "__dc_items"],
+                    names=[*names, "words", "spans", "items"],
                 )
 
     return work
 
 
 def search(
-    docs: DataFrame,
+    placed: DataFrame,
+    text_name: str,
     benchmark: DataFrame,
     window: int = 10,
-    text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     phrase_bytes: int = PHRASE_BYTES,
 ) -> DataFrame:
-    """``docs`` with ``__dc_words`` (number of words), ``__dc_spans`` (word spans), ``__dc_items``.
+    """``placed`` with ``words`` (their number), ``spans`` (merged spans of hit words), ``items`` (sorted).
 
     Words are maximal stretches of digits, letters a-z (A-Z lower-cased) and bytes from 0x80 on.
     A window is ``window`` consecutive words of an item, or all words of a shorter one; an item
     without words has none.  Null text has no words.  Items of a null id are named "null"; rows of
-    one id are one item.  An empty table on either side gives no hits.  A benchmark of more than
-    ``phrase_bytes`` is searched in as many passes, pipelined in one job, each with a broadcast of
-    about that size.
+    one id are one item.  An empty table on either side gives no hits.
+
+    A shard is searched for one part of the benchmark (about ``phrase_bytes`` of text) after the other;
+    the files of parts stay in the shared folder, as the result is worked out when it is asked for.
     """
-    spark = docs.sparkSession
-    bench = benchmark.select(
-        F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")
-    )
+    spark = placed.sparkSession
+    source, (item, text) = common.by_place(benchmark, item_col, item_text_col)
+    bench = source.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-total // phrase_bytes))
-    columns = docs.columns
-    schema = common.carried(docs) + f", __dc_words long, __dc_spans {_SPANS}, __dc_items array<string>"
-    out = docs
-    for number in range(passes):
-        part = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == number)
-        shared = spark.sparkContext.broadcast(Phrases(((r.item, r.text) for r in part.toLocalIterator()), window))
-        out = common.map_batches(out, _search(shared, text_col, columns, number == 0), schema)
-    return out
+    parts = max(1, -(-total // phrase_bytes))
+    dealt = bench.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("long"))
+    dealt = dealt.filter("text <> ''").repartition(parts, "part").sortWithinPartitions("part", "item", "text")
+    files = common.map_batches(dealt, _write_phrases(window, common.new_path(spark, "benchmark-phrases")), "path string")
+    paths = sorted(r.path for r in files.collect())  # one a part
+    schema = common.with_columns(placed, f"words long, spans {_SPANS}, items array<string>")
+    return common.map_batches(placed, _search(paths, text_name, placed.columns), schema)
 
 
 def hit_words() -> Column:
-    return F.aggregate("__dc_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
 
 
 #: Share of a document's words in hits from which on it goes without a hit of full length.
@@ -299,49 +322,59 @@ HIT_SHARE = 0.5
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, hit_share: float = HIT_SHARE, **options
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, hit_share: float = HIT_SHARE, text_col: str = "text", **options
 ) -> DataFrame:
     """``docs`` without the documents of which ``window`` words in a row are hits, or ``hit_share`` of all; same columns.
 
-    So shorter items take a document along only where they are much of it.
+    So shorter items take a document along only where they are much of it.  Null and empty texts stay,
+    repeated rows are decided alike, other columns may have any names; empty tables on either side are
+    allowed.
     """
-    found = search(docs, benchmark, window, **options)
-    full = F.exists("__dc_spans", lambda s: s["stop"] - s["start"] >= window)
-    much = (F.size("__dc_spans") > 0) & (hit_words() >= F.col("__dc_words") * hit_share)
-    return found.filter(~(full | much)).select(*(f"`{c}`" for c in docs.columns))
+    placed, (text,) = common.by_place(docs, text_col)
+    found = search(placed, text, benchmark, window, **options)
+    full = F.exists("spans", lambda s: s["stop"] - s["start"] >= window)
+    much = (F.size("spans") > 0) & (hit_words() >= F.col("words") * hit_share)
+    return common.as_before(found.filter(~(full | much)), docs)
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, n_items, items (sorted), spans, contaminated."""
-    found = search(common.id_and_text(docs, id_col, text_col), benchmark, window)
+    """A row per row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted), spans, contaminated.
+
+    Null and empty texts have no words; null ids and repeated rows have their rows.  See ``search``.
+    """
+    found = search(common.id_and_text(docs, id_col, text_col), "text", benchmark, window, **options)
     return found.select(
         "doc_id",
-        F.col("__dc_words").alias("n_words"),
+        F.col("words").alias("n_words"),
         hit_words().alias("n_hit"),
-        F.size("__dc_items").cast("long").alias("n_items"),
-        F.array_sort("__dc_items").alias("items"),
-        F.col("__dc_spans").alias("spans"),
-        (F.size("__dc_spans") > 0).alias("contaminated"),
+        F.size("items").cast("long").alias("n_items"),
+        "items",
+        "spans",
+        (F.size("spans") > 0).alias("contaminated"),
     )
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
-    """``docs`` with the hit words cut out of their texts; same columns."""
-    found = search(docs, benchmark, window, text_col=text_col)
-    names = docs.columns
-    at = names.index(text_col)
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the hit words cut out of their texts; same columns.
+
+    Null texts stay null; a text that is all hits becomes what stands around its words.  Other columns
+    may have any names.
+    """
+    placed, (text,) = common.by_place(docs, text_col)
+    found = search(placed, text, benchmark, window, **options)
+    names = placed.columns
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old = batch.column(at)
-            spans = batch.column("__dc_spans").to_pylist()
+            old = batch.column(text)
+            spans = batch.column("spans").to_pylist()
             texts = [
                 None if t is None else cut_words(t, [(s["start"], s["stop"]) for s in span]).decode()
                 for t, span in zip(old.cast(pa.binary()).to_pylist(), spans, strict=True)
             ]
-            arrays = [pa.array(texts, old.type) if i == at else batch.column(n) for i, n in enumerate(names)]
+            arrays = [pa.array(texts, old.type) if n == text else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return common.map_batches(found, work, common.carried(docs))
+    return common.as_before(common.map_batches(found, work, placed.schema), docs)

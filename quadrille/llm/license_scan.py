@@ -26,8 +26,17 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Notices of well-known licences, as their authors ask to state them.
+# Notices and whole texts of well-known licences, as their authors state them.
+_WARRANTY_BSD = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_TERMS_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+
 TEMPLATES = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", f"{_TERMS_BSD} {_WARRANTY_BSD}"),
+    ("bsd", f"{_TERMS_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_WARRANTY_BSD}"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("mit", "Released under the MIT License"),
@@ -87,7 +96,7 @@ class SuffixAutomaton:
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # sequence to the first place where a state ends in it
+        self.ends: list[dict[int, list[int]]] = [{}]  # sequence to all places where a state ends in it
 
     def _new(self, length: int, follow: dict[int, int], link: int) -> int:
         self.next.append(follow)
@@ -99,7 +108,7 @@ class SuffixAutomaton:
     def _split(self, p: int, q: int, token: int) -> int:
         """The part of q's strings that are p's longest string and the token, as a state of its own."""
         clone = self._new(self.length[p] + 1, dict(self.next[q]), self.link[q])
-        self.ends[clone] = dict(self.ends[q])
+        self.ends[clone] = {k: list(v) for k, v in self.ends[q].items()}
         self.link[q] = clone
         while p >= 0 and self.next[p].get(token) == q:
             self.next[p][token] = clone
@@ -128,8 +137,8 @@ class SuffixAutomaton:
         state = 0
         for i, token in enumerate(tokens):
             state = up = self.next[state][token]
-            while up > 0 and number not in self.ends[up]:
-                self.ends[up][number] = i
+            while up > 0:
+                self.ends[up].setdefault(number, []).append(i)
                 up = self.link[up]
 
     def walk(self, tokens: Iterable[int]) -> Iterator[tuple[int, int]]:
@@ -206,43 +215,58 @@ class Scanner:
         return (0, 0) if at is None else (at, at + len(key))
 
     def _chain(self, matches: list[tuple[int, int, int]], words: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(label, first word, word after the last, cover) of chains that cover enough of a template."""
-        open_: dict[int, tuple[list[int], list[tuple[int, int, int, int]]]] = {}
-        good = []
-
-        def close(t: int) -> None:
-            (start, stop, _, covered), pieces = open_.pop(t)
-            label, ids = self.templates[t]
-            if covered < self.min_cover * len(ids):
-                return
-            first, last = self.keys[t]
-            if last and not any(p[2] <= first and last <= p[3] for p in pieces):
-                return
-            if self.rivals[t]:
-                for at in range(start, stop):
-                    if int(words[at]) in self.rivals[t] and not any(p[0] <= at < p[1] for p in pieces):
-                        return
-            good.append((covered / len(ids), covered, label, start, stop))
-
+        """(label, first word, word after the last, cover) of chains that cover enough of a template.
+
+        A match stands at each of its places in a template.  A chain is a row of matches of which each
+        begins and ends after the one before it in text and template, with ``max_gap`` words of text
+        between them at most; its cover counts the template's words that it holds.  A match at a place
+        continues the chain that gives it the most cover (the latest start, then, of equal ones).
+        """
+        placed: dict[int, list[tuple[int, int, int, int]]] = {}
         for at, n, state in matches:
-            for t, end in self.automaton.ends[state].items():
-                if t >= len(self.templates):
-                    continue
-                here = end - n + 1  # where the match starts in the template
-                chain, pieces = open_.get(t, (None, None))
-                if chain and (at - chain[1] > self.max_gap or end < chain[2]):
-                    close(t)
-                    chain = None
-                if chain is None:
-                    open_[t] = [at, at + n, end + 1, n], [(at, at + n, here, end + 1)]
-                elif end + 1 > chain[2]:
-                    chain[3] += end + 1 - max(here, chain[2])
-                    chain[1], chain[2] = max(chain[1], at + n), end + 1
-                    pieces.append((at, at + n, here, end + 1))
-        for t in list(open_):
-            close(t)
+            for t, ends in self.automaton.ends[state].items():
+                if t < len(self.templates):
+                    placed.setdefault(t, []).extend((at, at + n, end - n + 1, end + 1) for end in ends)
+        good = []
+        for t, own in placed.items():
+            covered, before, start = [], [], []
+            low = 0
+            continued = set()
+            for j, (at, stop, here, end) in enumerate(own):
+                while own[low][1] + self.max_gap < at:
+                    low += 1
+                best, from_ = (end - here, at), -1
+                for i in range(low, j):
+                    at_i, stop_i, here_i, end_i = own[i]
+                    if at_i < at and stop_i < stop and here_i < here and end_i < end:
+                        gained = (covered[i] + end - max(here, end_i), start[i])
+                        if gained > best:
+                            best, from_ = gained, i
+                covered.append(best[0])
+                start.append(best[1])
+                before.append(from_)
+                continued.add(from_)
+            for i in range(len(own)):
+                # The longest part, from its beginning, of a chain that nothing continues.
+                while i >= 0 and i not in continued and covered[i] >= self.min_cover * len(self.templates[t][1]):
+                    pieces, k = [], i
+                    while k >= 0:
+                        pieces.append(own[k])
+                        k = before[k]
+                    if self._holds(t, pieces[::-1], words):
+                        good.append((covered[i] / len(self.templates[t][1]), covered[i], self.templates[t][0], start[i], own[i][1]))
+                        break
+                    continued.discard(i := before[i])
         return self._winners(good)
 
+    def _holds(self, t: int, pieces: list[tuple[int, int, int, int]], words: np.ndarray) -> bool:
+        """Whether a chain has its licence's identifying words in one piece and no rival's word between."""
+        first, last = self.keys[t]
+        if last and not any(p[2] <= first and last <= p[3] for p in pieces):
+            return False
+        gaps = ((a[1], b[0]) for a, b in zip(pieces, pieces[1:], strict=False))
+        return not self.rivals[t] or not any(int(words[at]) in self.rivals[t] for a, b in gaps for at in range(a, b))
+
     @staticmethod
     def _winners(good: list[tuple[float, int, str, int, int]]) -> list[tuple[str, int, int, float]]:
         """Chains that no fuller (then longer) chain of another label overlaps; equals stay."""
@@ -266,9 +290,9 @@ class Scanner:
         get = self.vocabulary.get
         parts, found = [], []
         for text in texts:
-            words = common.alnum_words(text)
-            found.append(Found(len(words)))
-            parts += [np.fromiter((get(w, 0) for w in words), np.int32, len(words)), np.zeros(1, np.int32)]
+            numbers = common.word_numbers(text, get)
+            found.append(Found(len(numbers)))
+            parts += [numbers, np.zeros(1, np.int32)]
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         starts = np.concatenate([[0], np.cumsum([f.n_words + 1 for f in found])])
         known = np.concatenate([[0], (ids > 0).view(np.int8), [0]])
@@ -314,7 +338,7 @@ def scan_licenses(
 ) -> DataFrame:
     """A row per document: base places and labels, labels with those of chains, score, spans.
 
-    ``score`` is 1 where a base phrase stands, else the largest cover of a chain, else 0.  Null or
+    Other columns of ``docs`` may have any names.  An empty table gives no rows.  ``score`` is 1 where a base phrase stands, else the largest cover of a chain, else 0.  Null or
     empty text has no words, no labels and score 0.  Repeated rows each get their row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scanner or Scanner())

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,21 +124,40 @@ def build_trie(grams: list[tuple[np.ndarray, np.ndarray]], shorter: Iterable[Lev
     return Trie(levels)
 
 
-def _coded(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key of the (order+1)-gram that ends at each coded place; where texts start and end there.
+def _chunks(texts: list[bytes], order: int, most: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Lists of (number of a text, bytes of it after ``order`` bytes of context) of about ``most`` bytes.
 
-    Coded are the bytes of each text and its end; the context before them is filled with ends.
+    Coded are the bytes of each text and its end; the context before them is filled with ends.  A text
+    of more bytes is cut, and its later chunks begin with what stands before them.
     """
-    pad = END * order
-    data = np.frombuffer(pad + b"".join(t + END + pad for t in texts), np.uint8)
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    ends = np.cumsum(lengths)
-    keys = np.zeros(len(data) - order, np.uint64)
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        for a in range(0, len(text) + 1, most):
+            chunk = text[max(0, a - order) : a + most]
+            if a < order:
+                chunk = END * (order - a) + chunk
+            if a + most > len(text):
+                chunk += END
+            if held and size + len(chunk) > most:
+                yield held
+                held, size = [], 0
+            held.append((i, chunk))
+            size += len(chunk)
+    if held:
+        yield held
+
+
+def _coded(chunks: list[tuple[int, bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the (order+1)-gram that ends at each coded place of some chunks; where each chunk's begin."""
+    data = np.frombuffer(b"".join(c for _, c in chunks), np.uint8)
+    lengths = np.array([len(c) - order for _, c in chunks], np.int64)
+    keys = np.zeros(max(0, len(data) - order), np.uint64)
     for j in range(order + 1):
         keys = (keys << np.uint64(8)) | data[j : len(data) - order + j]
-    # ``order`` fillers follow each text's end.
-    place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(order * np.arange(len(texts)), lengths)
-    return keys[place], ends - lengths, ends
+    starts = np.cumsum(lengths) - lengths
+    # The context at the start of a later chunk is no place of its own.
+    place = np.arange(int(lengths.sum())) + np.repeat(order * np.arange(len(chunks)), lengths)
+    return keys[place], starts
 
 
 def log_probabilities(keys: np.ndarray, trie: Trie) -> np.ndarray:
@@ -184,15 +204,16 @@ _TAIL = pa.struct([("gram", pa.int64()), ("n", pa.int32())])
 
 def score_head(texts: list[bytes], head: Head) -> tuple[np.ndarray, pa.Array]:
     """log10 probability of the places of each text (and its end) that the head codes; the grams of
-    the others with how often they stand in the text."""
-    out = np.zeros(len(texts))
-    grams, times, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-    for a, b in common.blocks(texts, BLOCK_BYTES):
-        keys, starts, _ = _coded(texts[a:b], head.order)
+    the others with how often they stand in the text (a gram may come again in a long one)."""
+    out, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    grams, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for chunks in _chunks(texts, head.order, BLOCK_BYTES):
+        keys, starts = _coded(chunks, head.order)
+        of = np.array([i for i, _ in chunks])
         at = head.grams.find(keys)
-        out[a:b] = np.add.reduceat(head.logs[at], starts)
+        np.add.at(out, of, np.add.reduceat(head.logs[at], starts))
         lost = np.flatnonzero(at < 0)
-        text, gram = np.searchsorted(starts, lost, "right") - 1, keys[lost]
+        text, gram = of[np.searchsorted(starts, lost, "right") - 1], keys[lost]
         order = np.lexsort((gram, text))
         text, gram = text[order], gram[order]
         new = np.ones(len(gram), bool)
@@ -200,9 +221,9 @@ def score_head(texts: list[bytes], head: Head) -> tuple[np.ndarray, pa.Array]:
         first = np.flatnonzero(new)
         grams.append(gram[first])
         times.append(np.diff(np.append(first, len(gram))))
-        sizes.append(np.bincount(text[first], minlength=b - a))
+        sizes += np.bincount(text[first], minlength=len(texts))
     pairs = [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(times).astype(np.int32))]
-    ends = np.concatenate([[0], *sizes]).cumsum().astype(np.int32)
+    ends = np.concatenate([[0], sizes]).cumsum().astype(np.int32)
     return out / np.log(10), pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(pairs, fields=list(_TAIL)))
 
 
@@ -303,8 +324,8 @@ def _count_grams(order: int):
 
         for batch in batches:
             texts = [t.lower() for t in common.texts_of(batch.column("text"))]
-            for a, b in common.blocks(texts, BLOCK_BYTES):
-                keys, counts = np.unique(_coded(texts[a:b], order)[0], return_counts=True)
+            for chunks in _chunks(texts, order, BLOCK_BYTES):
+                keys, counts = np.unique(_coded(chunks, order)[0], return_counts=True)
                 total = _merge(np.concatenate([total[0], keys]), np.concatenate([total[1], counts]))
                 if len(total[0]) > MOST_GRAMS:
                     yield from out()
@@ -326,12 +347,13 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in common.texts_of(batch.column("text")):
-            counts.update(common.blank_words(text))
             counts[END_WORD.encode()] += 1
-            size += len(text)
-            if size > COUNT_BYTES:
-                yield from out()
-                counts, size = Counter(), 0
+            for part in common.blank_parts(text):
+                counts.update(common.blank_words(part))
+                size += len(part)
+                if size > COUNT_BYTES:
+                    yield from out()
+                    counts, size = Counter(), 0
     if counts:
         yield from out()
 
@@ -346,8 +368,8 @@ class WordModel:
     table: DataFrame
 
 
-def train_words(train: DataFrame, share: float = FREQUENT_SHARE) -> WordModel:
-    table = common.written(
+def train_words(train: DataFrame, ws: common.Workspace, share: float = FREQUENT_SHARE) -> WordModel:
+    table = ws.written(
         common.map_batches(train.select("text"), _count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")),
         "word-counts",
     )
@@ -372,8 +394,8 @@ def _pairs(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.float64)
 
 
-def train_grams(train: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> GramModel:
-    grams = common.written(
+def train_grams(train: DataFrame, ws: common.Workspace, order: int = ORDER, min_share: float = MIN_SHARE) -> GramModel:
+    grams = ws.written(
         common.map_batches(train.select("text"), _count_grams(order), "gram long, n long")
         .groupBy("gram")
         .agg(F.sum("n").alias("n")),
@@ -409,51 +431,94 @@ def tail_scores(scored: DataFrame, model: GramModel) -> DataFrame:
 
 
 _SCHEMA = (
-    "uid long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>, "
-    "tail array<struct<gram:long,n:int>>"
+    "uid long, main boolean, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, "
+    "times array<int>, tail array<struct<gram:long,n:int>>"
 )
+#: Rare words, and grams of the tail, of one row; a document with more of them has several rows.
+ROW_ENTRIES = 1 << 18
+
+
+def _words_of(text: bytes, logs: dict[bytes, float], end: bytes) -> tuple[int, int, float, Counter]:
+    """Tokens of a text, frequent ones among them, the sum of their logs, and the others."""
+    tokens = known = 0
+    base, rest = 0.0, Counter()
+    for part in common.blank_parts(text + b" "):
+        words = part.split()
+        tokens += len(words)
+        gained = list(filter(None, map(logs.get, words)))
+        known += len(gained)
+        base += sum(gained)
+        if len(gained) < len(words):
+            rest.update(w for w in words if w not in logs)
+    if end in logs:
+        return tokens + 1, known + 1, base + logs[end], rest
+    rest[end] += 1
+    return tokens + 1, known, base, rest
 
 
 def _score(head, frequent):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = common.partition_id() << 36
-        known = frequent.value
-        logs = {w: float(np.log10(n + 1)) for w, n in known.items()}
+        logs = {w: float(np.log10(n + 1)) for w, n in frequent.value.items()}
         end = END_WORD.encode()
         for batch in batches:
             texts = [t.lower() for t in common.texts_of(batch.column("text"))]
             for a, b in common.blocks(texts, BLOCK_BYTES * 4):
-                tokens, known_tokens, base, rare, times = [], [], [], [], []
-                for text in texts[a:b]:
-                    words = [*text.split(), end]
-                    gained = list(filter(None, map(logs.get, words)))
-                    rest = Counter(w for w in words if w not in known) if len(gained) < len(words) else {}
-                    tokens.append(len(words))
-                    known_tokens.append(len(gained))
-                    base.append(sum(gained))
-                    rare.append(list(rest))
-                    times.append(list(rest.values()))
                 n = b - a
+                tokens, known, base, rest = zip(*(_words_of(t, logs, end) for t in texts[a:b]), strict=True)
                 scores, tail = score_head(texts[a:b], head.value)
+                long = [i for i in range(n) if max(len(rest[i]), len(tail[i])) > ROW_ENTRIES]
+                cut = [Counter() if i in long else r for i, r in enumerate(rest)] if long else rest
+                if long:
+                    keep = pa.array([i not in long for i in range(n)])
+                    own, tail = tail, pc.if_else(keep, tail, pa.scalar([], tail.type))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(uid, uid + n)),
+                        pa.array([True] * n),
                         batch.column("doc_id").slice(a, n),
                         pa.array(tokens, pa.int64()),
-                        pa.array(known_tokens, pa.int64()),
+                        pa.array(known, pa.int64()),
                         pa.array(base, pa.float64()),
                         pa.array(scores),
-                        pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                        pa.array(times, pa.list_(pa.int32())),
+                        pa.array([list(r) for r in cut], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                        pa.array([list(r.values()) for r in cut], pa.list_(pa.int32())),
                         tail,
                     ],
-                    names=["uid", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times", "tail"],
+                    names=_SCHEMA_NAMES,
                 )
+                for i in long:
+                    words, times, grams = list(rest[i]), list(rest[i].values()), own[i].values
+                    for k in range(0, max(len(words), len(grams)), ROW_ENTRIES):
+                        j = slice(k, k + ROW_ENTRIES)
+                        row = [uid + i, False, None, 0, 0, 0.0, 0.0, [w.decode() for w in words[j]], times[j]]
+                        part = pa.ListArray.from_arrays([0, len(grams[j])], grams[j])
+                        types = [f.type for f in _ARROW][: len(row)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.array([x], t) for x, t in zip(row, types, strict=True)), part], names=_SCHEMA_NAMES
+                        )
                 uid += n
 
     return work
 
 
+_ARROW = pa.schema(
+    [
+        ("uid", pa.int64()),
+        ("main", pa.bool_()),
+        ("doc_id", pa.int64()),
+        ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()),
+        ("base", pa.float64()),
+        ("score", pa.float64()),
+        ("rare", pa.list_(pa.string())),
+        ("times", pa.list_(pa.int32())),
+        ("tail", pa.list_(_TAIL)),
+    ]
+)
+_SCHEMA_NAMES = _ARROW.names
+
+
 def score_documents(
     docs: DataFrame,
     train: DataFrame | None = None,
@@ -465,18 +530,24 @@ def score_documents(
 
     Learns from ``train`` (default: the rows of ``docs`` that are not held out, fold 2 of 7).  Null
     text counts as empty and has the end token alone.  Repeated rows count and are scored as often
-    as they stand.  ``min_share`` sets what is broadcast, not what is known.  With nothing to learn from, every byte has probability 1/256 and base_score is 0.
+    as they stand.  Long texts are coded in chunks, with the context before them.  ``min_share`` sets
+    what is broadcast, not what is known.  With nothing to learn from, every byte has probability 1/256
+    and base_score is 0.  Other columns may have any names.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = common.id_and_text(docs)
     out_of_it = common.fold_column(F.col("doc_id"), 7) == 2 if held_out is None else held_out
-    train = rows.filter(~out_of_it) if train is None else train
-    words, grams = train_words(train), train_grams(train, order, min_share)
-    context = spark.sparkContext
-    scored = common.written(
-        common.map_batches(rows, _score(context.broadcast(grams.head), context.broadcast(words.frequent)), _SCHEMA),
-        "lm-scores",
+    train = rows.filter(~out_of_it) if train is None else common.by_place(train, "text")[0].select(
+        F.col(common.by_place(train, "text")[1][0]).alias("text")
     )
+    with common.Workspace(docs.sparkSession, "lm-scoring") as ws:
+        return ws.result(_scored(rows, train, out_of_it, order, min_share, ws))
+
+
+def _scored(rows: DataFrame, train: DataFrame, out_of_it: Column, order: int, min_share: float, ws: common.Workspace) -> DataFrame:
+    words, grams = train_words(train, ws), train_grams(train, ws, order, min_share)
+    context = rows.sparkSession.sparkContext
+    head, frequent = context.broadcast(grams.head), context.broadcast(words.frequent)
+    scored = ws.written(common.map_batches(rows, _score(head, frequent), _SCHEMA), "lm-scores")
     rest = (
         scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
         .select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
@@ -494,7 +565,7 @@ def score_documents(
         .agg(*(F.sum(c).alias(c) for c in ("more_base", "more_known", "more_score")))
     )
     size = float(np.log10(words.total + words.distinct + 1))
-    return scored.drop("rare", "times", "tail").join(rest, "uid", "left").select(
+    return scored.filter("main").drop("main", "rare", "times", "tail").join(rest, "uid", "left").select(
         "doc_id",
         out_of_it.alias("held_out"),
         "n_tokens",

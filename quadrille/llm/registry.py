@@ -137,7 +137,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
-    return exact_groups(read(spark, sf_dir, "documents"))
+    return exact_groups(read(spark, sf_dir, "documents")).drop("index_file")
 
 
 OP10_SQL = f"""

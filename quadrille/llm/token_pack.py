@@ -9,6 +9,7 @@ files of finished tasks only, so a repeated or lost task leaves no trace in the
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import common
-from .exact_dedup import _filesystem
 from .segments import BATCH_BYTES, PieceCache
 
 BLOCK_IDS = 4096
-#: Bytes of text that one task writes, about.
-RANGE_BYTES = 24 << 20
+#: Bytes of text that one task writes, about, and tasks at most (they then write more, file after file):
+#: bounds of ranges come from a sample, which has to be larger than their number.
+RANGE_BYTES, MOST_RANGES = 24 << 20, 10_000
 #: Ids of one file at most, about.
 FILE_IDS = 16 << 20
 #: New pieces that are encoded in one call.
@@ -141,13 +142,16 @@ class TokenFile:
 class TextEncoder:
     """The tokenizers library over pieces of text that it would split anyway.
 
-    Only for byte-level pre-tokenizers without a normalizer or a prefix blank; others, and texts that
-    hold an added token, are encoded whole.
+    Only for byte-level pre-tokenizers that split by their pattern, without a normalizer or a prefix
+    blank; others, and texts that hold an added token, are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        plain = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer)
+        rules = json.loads(tokenizer_json)
+        cuts = rules.get("pre_tokenizer") or {}
+        plain = rules.get("normalizer") is None and cuts.get("type") == "ByteLevel"
+        plain = plain and cuts.get("add_prefix_space") is False and cuts.get("use_regex", True)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         #: Tokens that begin with a blank: where a piece starts in the ids of joined pieces.
@@ -187,7 +191,7 @@ def _write(shared, key: str, folder: str, bits: int, end_id: int | None, file_id
         if key not in encoders:
             encoders.clear()
             encoders[key] = TextEncoder(shared.value)
-        encoder, (fs, base) = encoders[key], _filesystem(folder)
+        encoder, (fs, base) = encoders[key], common.filesystem(folder)
         fs.create_dir(base, recursive=True)
         end = b"" if end_id is None else struct.pack("<I", end_id)
         part, number, writer, out, path = common.partition_id(), 0, None, None, ""
@@ -224,8 +228,9 @@ def write_tokens(
 ) -> DataFrame:
     """Writes the files and returns their manifest: part, number, path, n_docs, n_ids, start.
 
-    Rows of null doc_id come first; rows of one doc_id are ordered by text.  Null text counts as
-    empty and has the end id alone.  An empty table makes no file.
+    Rows of null doc_id come first; rows of one doc_id are ordered by a hash of the text, then by the
+    text, so that many of them can be dealt to several tasks.  Null text counts as empty and has the
+    end id alone.  Other columns may have any names.  An empty table makes no file.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -233,7 +238,9 @@ def write_tokens(
     bits = bits_for(max(Tokenizer.from_str(content).get_vocab_size(), (end_id or 0) + 1))
     rows = common.id_and_text(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-total // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = min(MOST_RANGES, max(1, -(-total // range_bytes)))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(ranges, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     target = folder or common.new_path(spark, "tokens")
     work = _write(spark.sparkContext.broadcast(content), uuid.uuid4().hex, target, bits, end_id, file_ids)
     manifest = common.written(
@@ -249,7 +256,7 @@ def _read(with_ids: bool):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                fs, base = _filesystem(row["path"])
+                fs, base = common.filesystem(row["path"])
                 size = fs.get_file_info(base).size
                 with fs.open_input_file(base) as file:
                     tokens = TokenFile(file, size)
@@ -279,7 +286,7 @@ def _read(with_ids: bool):
 def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """doc_id, start (over all files), n_tokens, ids_crc32, ids (little-endian unsigned 32-bit).
 
-    Without ``with_ids`` the files are read all the same, but ids stay in the tasks.
+    A row per document of the files, repeated ones and null ids too; no files give no rows.  Without ``with_ids`` the files are read all the same, but ids stay in the tasks.
     """
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return common.map_batches(

@@ -22,6 +22,6 @@ def test_quality(spark):
 def test_scores_depend_on_text_alone(spark):
     docs = read(spark, DATA, "documents").limit(50)
     model = language_id.train(language_id.training_rows(read(spark, DATA, "documents")))
-    a = language_id.predict(docs, model).select("text", "__li_lang").collect()
-    b = language_id.predict(docs.selectExpr("doc_id + 1 AS doc_id", "text", "'xx' AS lang"), model).select("text", "__li_lang").collect()
+    a = language_id.predict(docs, model).select("text", "lang_pred").collect()
+    b = language_id.predict(docs.selectExpr("doc_id + 1 AS doc_id", "text", "'xx' AS lang"), model).select("text", "lang_pred").collect()
     assert sorted(a) == sorted(b)

@@ -34,10 +34,12 @@ def test_lm_knows_what_the_head_does_not_hold(spark, order, min_share):
 @pytest.mark.parametrize("most", [1, 50, 10**6])
 def test_lm_tail_in_parts(most):
     texts = [t.encode() for t in random_texts(40, 3)]
-    keys, counts = np.unique(lm_scoring._coded(texts, 4)[0], return_counts=True)
+    coded = lambda own, most: np.concatenate([lm_scoring._coded(c, 4)[0] for c in lm_scoring._chunks(own, 4, most)])
+    keys, counts = np.unique(coded(texts, 1 << 20), return_counts=True)
+    assert (np.unique(coded(texts, 7), return_counts=True)[1] == counts).all()
     grams = [lm_scoring._merge(keys & np.uint64(lm_scoring._mask(k)), counts) for k in range(5)]
     trie = lm_scoring.build_trie(grams)
-    asked = np.unique(lm_scoring._coded([b"w1 w22 w3 zz", b"W6\xc3\xa9 w7 w1"], 4)[0])
+    asked = np.unique(coded([b"w1 w22 w3 zz", b"W6\xc3\xa9 w7 w1"], 1 << 20))
     rows = [(-1, k, n) for k, n in zip(keys.tolist(), counts.tolist(), strict=True)] + [(k % 3, k, 2) for k in asked.tolist()]
     rows.sort(key=lambda r: (r[1] >> 8 & 0xFFFF, r[0]))
     batches = [
