@@ -29,35 +29,54 @@ def cfl_limit(cells: DataFrame, equation: Equation, spacing: Sequence[Column], c
     return cells.agg((F.min(least) * cfl).alias("dt"))
 
 
+#: Cells of a block along an axis at most, in a step on a uniform grid.
+BLOCK = 32
+
+
 def uniform_step(cells: DataFrame, equation: Equation, dt: float | Column, spacing: Sequence[float], extent: int) -> DataFrame:
-    """One step on a periodic grid of ``extent`` cells a side: x, y[, z] and the fields.
+    """One step on a periodic grid of ``extent`` cells a side: x[, y[, z]] and the fields.
 
-    Neighbours come from windows along each axis, wrapped at the ends.
+    The grid is cut into blocks; cells at a block's edge also go to the block beside it, so one shuffle
+    by block brings all neighbours together, and windows run along the lines of a block only.
     """
     axes = ["x", "y", "z"][: len(spacing)]
     fields = list(equation.fields)
     dt = F.lit(dt) if isinstance(dt, float) else dt
-    work = cells.select(*axes, *fields)
+    size = max(b for b in range(1, min(BLOCK, extent) + 1) if extent % b == 0)
+    blocks = [f"__b{a}" for a in axes]
+    home = [F.floor(F.col(a) / size).cast("long") for a in axes]
+    local = [(F.col(a) % size).cast("long") for a in axes]
+
+    def copy(axis: int | None, step: int) -> Column:
+        """The cell in its own block, or just outside of the block beside it."""
+        to = [F.pmod(h + step, F.lit(extent // size)) if i == axis else h for i, h in enumerate(home)]
+        at = [v - step * size if i == axis else v for i, v in enumerate(local)]
+        named = [t.alias(n) for t, n in zip(to, blocks, strict=True)] + [v.alias(n) for v, n in zip(at, axes, strict=True)]
+        row = F.struct(*named, F.lit(axis is None).alias("__inside"))
+        if axis is None:
+            return row
+        return F.when(local[axis] == (0 if step < 0 else size - 1), row)
+
+    copies = F.array(copy(None, 0), *(copy(i, step) for i in range(len(axes)) for step in (-1, 1)))
+    own = F.struct(*fields)
+    work = (
+        cells.select(F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("c"), own.alias("__own"))
+        .select("c.*", "__own")
+        .repartition(*blocks)
+    )
     for axis in axes:
-        rest = [a for a in axes if a != axis]
-        line = Window.partitionBy(*rest).orderBy(axis)
-        ends = Window.partitionBy(*rest).orderBy(axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        # Struct columns, so that one window expression serves all fields.
-        own = F.struct(*fields)
-        work = work.withColumns(
-            {
-                f"__l{axis}": F.coalesce(F.lag(own).over(line), F.last(own).over(ends)),
-                f"__r{axis}": F.coalesce(F.lead(own).over(line), F.first(own).over(ends)),
-            }
-        )
-    own = _state("", fields)
+        line = Window.partitionBy(*blocks, *(a for a in axes if a != axis)).orderBy(axis)
+        work = work.withColumns({f"__l{axis}": F.lag("__own").over(line), f"__r{axis}": F.lead("__own").over(line)})
+    work = work.filter("__inside")
+    here = _state("__own.", fields)
     change = {f: F.lit(0.0) for f in fields}
     for a, axis in enumerate(axes):
-        into = equation.flux(_state(f"__l{axis}.", fields), own, a)
-        out = equation.flux(own, _state(f"__r{axis}.", fields), a)
+        into = equation.flux(_state(f"__l{axis}.", fields), here, a)
+        out = equation.flux(here, _state(f"__r{axis}.", fields), a)
         for f in fields:
             change[f] = change[f] + (out[f] - into[f]) * (dt / F.lit(spacing[a]))
-    return work.select(*axes, *((F.col(f) - change[f]).alias(f) for f in fields))
+    place = [(F.col(b) * size + F.col(a)).alias(a) for a, b in zip(axes, blocks, strict=True)]
+    return work.select(*place, *((here[f] - change[f]).alias(f) for f in fields))
 
 
 def refined_step(

@@ -59,13 +59,19 @@ def regrid_cells(
 
 
 def threshold_flags(
-    cells: DataFrame, value: Column, refine_above: float, coarsen_below: float, min_level: int, max_level: int
+    cells: DataFrame, value: Column, refine_above: Column | float, coarsen_below: Column | float, min_level: int, max_level: int
 ) -> DataFrame:
-    """patch_id, peak, status: by the largest value of each patch, within level limits."""
-    peak = cells.groupBy("patch_id", "level").agg(F.max(value).alias("peak"))
+    """patch_id, peak, status: by the largest value of each patch, within level limits.
+
+    A limit may be a column that is the same for all cells of a patch.
+    """
+    limit = lambda x: F.first(x if isinstance(x, Column) else F.lit(x))
+    peak = cells.groupBy("patch_id", "level").agg(
+        F.max(value).alias("peak"), limit(refine_above).alias("__above"), limit(coarsen_below).alias("__below")
+    )
     status = (
-        F.when((F.col("peak") > refine_above) & (F.col("level") < max_level), REFINE)
-        .when((F.col("peak") < coarsen_below) & (F.col("level") > min_level), COARSEN)
+        F.when((F.col("peak") > F.col("__above")) & (F.col("level") < max_level), REFINE)
+        .when((F.col("peak") < F.col("__below")) & (F.col("level") > min_level), COARSEN)
         .otherwise(STABLE)
     )
     return peak.select("patch_id", "level", "peak", status.alias("status"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ from ..functions.morton import MortonCodec
 from ..functions.physics import Equation
 from ..operators import fvm, intergrid, tree
 from ..operators.layout import PatchLayout
+from ..sources.tables import shared_dir
 
 
 def row_numbers(frame: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def row_numbers(frame: DataFrame) -> DataFrame:
 
     Rows are range-partitioned; a partition's numbers start after the counts of those before it.
     """
-    dealt = tree.sort_by_key(frame).withColumn("__p", F.spark_partition_id()).persist()
+    dealt = tree.sort_by_key(frame).withColumn("__p", F.spark_partition_id()).checkpoint()
     counts = dealt.groupBy("__p").count()  # one row a partition
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
@@ -108,18 +110,23 @@ def run_refined(
     return cells, leaves, report
 
 
-def drained(spark, stream: DataFrame) -> DataFrame:
-    """All rows of a streaming aggregate over what there is now, as a table in the shared folder."""
-    import tempfile
-    import uuid
+def drained(spark, stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last state of each key of a streaming aggregate over what there is now, as a table.
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quadrille-")).rstrip("/")
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    Update mode: a micro-batch writes the groups that it changed, under its number (so a repeated one
+    overwrites itself), and state behind the watermark is dropped.
+    """
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    none = spark.createDataFrame([], stream.schema).withColumn("__batch", F.lit(0).cast("long"))
+    none.write.parquet(f"{place}/result/none")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/result")  # complete mode: the last batch has all
+        batch.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{place}/result/{number:09d}")
 
-    stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(
+    stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{place}/state").trigger(
         availableNow=True
     ).start().awaitTermination()
-    return spark.read.parquet(f"{place}/result")
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.parquet(f"{place}/result/*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("last")).select(*keys, *(f"last.{c}" for c in rest))

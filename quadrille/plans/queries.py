@@ -42,11 +42,8 @@ def r9(c: Column | str) -> Column:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Loops cut their lineage in the folder of spark.checkpoint.dir; set one only where there is none."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-"))
+    """Loops cut their lineage in the folder of spark.checkpoint.dir."""
+    S.shared_dir(spark)
 
 
 # --- keys -------------------------------------------------------------------------------------
@@ -142,6 +139,7 @@ def morton_valid_coord(spark, sf):
 
 @query(f"WITH {Q.KEYS} SELECT key, row_number() OVER (ORDER BY key) AS place FROM (SELECT DISTINCT {Q.enc(['x', 'y'], 'n')} AS key FROM keys)")
 def zorder_sort_rank(spark, sf):
+    checkpoints(spark)
     distinct = morton_encode_2d(spark, sf).select(F.col("key").alias("patch_id")).distinct()
     return loops.row_numbers(distinct).select(F.col("patch_id").alias("key"), "place")
 
@@ -245,8 +243,8 @@ _FLAGS = "SELECT patch_id, max(u) AS peak, CASE WHEN max(u) > avg_u * 1.9 THEN '
 
 def _flags(spark, sf):
     cells = S.patches(spark, sf)
-    mean = cells.agg(F.avg("u")).first()[0]
-    return intergrid.threshold_flags(cells, F.col("u"), mean * 1.9, mean * 1.6, 1, 6)
+    mean = cells.agg(F.avg("u").alias("mean"))  # one row
+    return intergrid.threshold_flags(cells.join(F.broadcast(mean)), F.col("u"), F.col("mean") * 1.9, F.col("mean") * 1.6, 1, 6)
 
 
 @query(f"WITH {Q.PATCHES} {_FLAGS}")
@@ -439,7 +437,7 @@ def pulse_argmax(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {Q.HALO}, pad AS (SELECT patch_id, level, j, i, u FROM cells UNION ALL SELECT patch_id, level, j, i, u FROM halo)
+    f"""WITH RECURSIVE {Q.HALO}, pad AS MATERIALIZED (SELECT patch_id, level, j, i, u FROM cells UNION ALL SELECT patch_id, level, j, i, u FROM halo)
 SELECT c.patch_id, c.j, c.i, {Q.r('c.u - 0.0005 * 8 * pow(2, c.level) * ((c.u - l.u) + 0.5 * (c.u - d.u))')} AS u FROM cells c
 JOIN pad l ON l.patch_id = c.patch_id AND l.j = c.j AND l.i = c.i - 1 JOIN pad d ON d.patch_id = c.patch_id AND d.i = c.i AND d.j = c.j - 1"""
 )
@@ -725,4 +723,4 @@ def stream_point_counts(spark, sf):
 
     stream = P.to_points(P.read_events(spark, f"{sf}/event[s].parquet"))
     counts = P.windowed_counts(stream, C2, 3, "1 day", "10 minutes")
-    return loops.drained(spark, counts)
+    return loops.drained(spark, counts, ["start", "patch_id"])

@@ -21,7 +21,7 @@ KEYS = """keys AS (SELECT o, n, (x >> (7 - n)) << (7 - n) AS x, (y >> (7 - n)) <
   FROM (SELECT l_orderkey AS o, l_linenumber::INTEGER AS n, l_partkey % 128 AS x, l_suppkey % 128 AS y, l_orderkey % 128 AS z
         FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7))"""
 
-GRID = """grid AS (SELECT a.x, b.y, coalesce(u, 0.0) AS u FROM (SELECT range AS x FROM range(64)) a CROSS JOIN (SELECT range AS y FROM range(64)) b
+GRID = """grid AS MATERIALIZED (SELECT a.x, b.y, coalesce(u, 0.0) AS u FROM (SELECT range AS x FROM range(64)) a CROSS JOIN (SELECT range AS y FROM range(64)) b
   LEFT JOIN (SELECT l_partkey % 64 AS x, l_orderkey % 64 AS y, sum(l_quantity) AS u FROM lineitem GROUP BY 1, 2) g ON g.x = a.x AND g.y = b.y)"""
 
 GAS = """prim AS (SELECT a.x, b.y, 1 + coalesce(u, 0.0) / 1000 AS rho, coalesce(d, 0.0) * 0.7310585786300049 AS vx, coalesce(d, 0.0) * -0.2689414213699951 AS vy, 1 + coalesce(t, 0.0) AS p
@@ -37,15 +37,15 @@ cells AS (SELECT {enc(['(x // 8) * 16', '(y // 8) * 16'], '3')} AS patch_id, 3 A
 def passes(number: int) -> str:
     """CTEs up to the leaf set after ``number`` passes: leafK, nbrK, flagK, rK, famK, okK."""
     out = [
-        "points AS (SELECT floor(value)::BIGINT % 128 AS x, floor(value * 3)::BIGINT % 128 AS y FROM events)",
-        f"leaf0 AS (SELECT {enc(['x', 'y'], '4')} AS patch_id, 4 AS level, x, y, 8 AS s FROM (SELECT a.range * 8 AS x, b.range * 8 AS y FROM range(16) a, range(16) b))",
+        "points AS MATERIALIZED (SELECT floor(value)::BIGINT % 128 AS x, floor(value * 3)::BIGINT % 128 AS y FROM events)",
+        f"leaf0 AS MATERIALIZED (SELECT {enc(['x', 'y'], '4')} AS patch_id, 4 AS level, x, y, 8 AS s FROM (SELECT a.range * 8 AS x, b.range * 8 AS y FROM range(16) a, range(16) b))",
     ]
     for k, share in enumerate((90, 200, 400)[:number]):
         out += step(k, share)
         child = enc(["x + cx * (s // 2)", "y + cy * (s // 2)"], "level + 1")
         own = enc(["x", "y"], "level")
         out.append(
-            f"""leaf{k + 1} AS (
+            f"""leaf{k + 1} AS MATERIALIZED (
   SELECT patch_id, level, x, y, s FROM leaf{k} l WHERE NOT EXISTS (SELECT 1 FROM r{k} WHERE r{k}.patch_id = l.patch_id)
     AND NOT EXISTS (SELECT 1 FROM ok{k} f WHERE f.level + 1 = l.level AND f.x = l.x - l.x % f.s AND f.y = l.y - l.y % f.s)
   UNION ALL SELECT {child}, level + 1, x + cx * (s // 2), y + cy * (s // 2), s // 2
@@ -58,7 +58,7 @@ def passes(number: int) -> str:
 def nbr(k: int) -> str:
     return f"""wish{k} AS (SELECT l.patch_id, l.level, l.s, d.dir, (l.x + d.dx * l.s + 128) % 128 AS nx, (l.y + d.dy * l.s + 128) % 128 AS ny
   FROM leaf{k} l, (VALUES (0, 0, -1), (1, 0, 1), (2, -1, 0), (3, 1, 0)) d(dir, dx, dy)),
-nbr{k} AS (
+nbr{k} AS MATERIALIZED (
   SELECT w.patch_id, w.dir, 'same' AS relation, l.patch_id AS n_id FROM wish{k} w JOIN leaf{k} l ON l.level = w.level AND l.x = w.nx AND l.y = w.ny
   UNION ALL SELECT w.patch_id, w.dir, 'coarser', l.patch_id FROM wish{k} w
     JOIN leaf{k} l ON l.level = w.level - 1 AND l.x = w.nx - w.nx % (2 * w.s) AND l.y = w.ny - w.ny % (2 * w.s)
@@ -69,16 +69,16 @@ nbr{k} AS (
 
 def step(k: int, share: int) -> list[str]:
     return [
-        f"""flag{k} AS (SELECT l.patch_id, l.level, l.x, l.y, l.s, CASE WHEN count(p.x) * {share} > t.total AND l.level < 7 THEN 'refine'
+        f"""flag{k} AS MATERIALIZED (SELECT l.patch_id, l.level, l.x, l.y, l.s, CASE WHEN count(p.x) * {share} > t.total AND l.level < 7 THEN 'refine'
     WHEN count(p.x) * {share} * 4 <= t.total THEN 'coarsen' ELSE 'stable' END AS status
   FROM leaf{k} l CROSS JOIN (SELECT count(*) AS total FROM points) t
   LEFT JOIN points p ON p.x >= l.x AND p.x < l.x + l.s AND p.y >= l.y AND p.y < l.y + l.s GROUP BY l.patch_id, l.level, l.x, l.y, l.s, t.total)""",
         nbr(k),
         f"""r{k}(patch_id) AS (SELECT patch_id FROM flag{k} WHERE status = 'refine'
   UNION SELECT n.n_id FROM r{k} JOIN nbr{k} n ON n.patch_id = r{k}.patch_id AND n.relation = 'coarser')""",
-        f"""fam{k} AS (SELECT level - 1 AS level, x - x % (2 * s) AS x, y - y % (2 * s) AS y, 2 * s AS s FROM flag{k} WHERE level > 3
+        f"""fam{k} AS MATERIALIZED (SELECT level - 1 AS level, x - x % (2 * s) AS x, y - y % (2 * s) AS y, 2 * s AS s FROM flag{k} WHERE level > 3
   GROUP BY ALL HAVING count(*) = 4 AND bool_and(status = 'coarsen'))""",
-        f"""ok{k} AS (SELECT f.* FROM fam{k} f WHERE NOT EXISTS (SELECT 1 FROM leaf{k} l JOIN nbr{k} n ON n.patch_id = l.patch_id
+        f"""ok{k} AS MATERIALIZED (SELECT f.* FROM fam{k} f WHERE NOT EXISTS (SELECT 1 FROM leaf{k} l JOIN nbr{k} n ON n.patch_id = l.patch_id
     LEFT JOIN r{k} ON r{k}.patch_id = n.n_id
     WHERE l.level = f.level + 1 AND l.x - l.x % f.s = f.x AND l.y - l.y % f.s = f.y
       AND (n.relation = 'finer' OR (n.relation = 'same' AND r{k}.patch_id IS NOT NULL))))""",
@@ -87,7 +87,7 @@ def step(k: int, share: int) -> list[str]:
 
 #: Cells of the last leaf set, with boxes in sixteenths of the finest unit.
 LEAF_CELLS = f"""{passes(3)}, {GRID},
-cells AS (SELECT l.patch_id, l.level, c.j, c.i, l.s, l.x * 16 + c.i * 2 * l.s AS cx, l.y * 16 + c.j * 2 * l.s AS cy, 2 * l.s AS w, g.u
+cells AS MATERIALIZED (SELECT l.patch_id, l.level, c.j, c.i, l.s, l.x * 16 + c.i * 2 * l.s AS cx, l.y * 16 + c.j * 2 * l.s AS cy, 2 * l.s AS w, g.u
   FROM leaf3 l CROSS JOIN (SELECT a.range::INTEGER AS j, b.range::INTEGER AS i FROM range(8) a, range(8) b) c
   JOIN grid g ON g.x = (l.x * 16 + (2 * c.i + 1) * l.s) // 32 AND g.y = (l.y * 16 + (2 * c.j + 1) * l.s) // 32)"""
 
@@ -95,7 +95,7 @@ HALO = f"""{LEAF_CELLS},
 want AS (SELECT l.patch_id, l.level, d.dir, d.j, d.i, 2 * l.s AS w, (l.x * 16 + d.i * 2 * l.s + 2048) % 2048 AS hx, (l.y * 16 + d.j * 2 * l.s + 2048) % 2048 AS hy
   FROM leaf3 l CROSS JOIN (SELECT 0 AS dir, -1 AS j, range::INTEGER AS i FROM range(8) UNION ALL SELECT 1, 8, range::INTEGER FROM range(8)
     UNION ALL SELECT 2, range::INTEGER, -1 FROM range(8) UNION ALL SELECT 3, range::INTEGER, 8 FROM range(8)) d),
-halo AS (
+halo AS MATERIALIZED (
   SELECT h.patch_id, h.level, h.dir, h.j, h.i, 'same' AS relation, c.u FROM want h JOIN cells c ON c.w = h.w AND c.cx = h.hx AND c.cy = h.hy
   UNION ALL SELECT h.patch_id, h.level, h.dir, h.j, h.i, 'coarser', c.u FROM want h
     JOIN cells c ON c.w = 2 * h.w AND c.cx = h.hx - h.hx % (2 * h.w) AND c.cy = h.hy - h.hy % (2 * h.w)

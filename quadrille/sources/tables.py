@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only a session on one machine (tests) may have none; it gets a local folder.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quadrille-"))
+    return (folder or context.getCheckpointDir()).rstrip("/")
+
+
 def initialize(leaves: DataFrame, sizes: tuple[int, int], values: dict[str, Column]) -> DataFrame:
     """One row a cell of every leaf (j along y, i along x) with the given columns."""
     j, i = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in sizes)
