@@ -1,97 +1,103 @@
 """Halo exchange: the cells beyond each face of a patch, from the cells of its neighbours.
 
-Cells are rows (patch_id, level, j, i, fields); j runs along y, i along x.  Halo rows get indices
--halo..-1 or n..n+halo-1 and are never stored.  A neighbour of the same level is copied, a coarser
-one covers (its value is copied), finer ones are averaged over the four cells under the halo cell.
+Cells are rows (patch_id, level, [k,] j, i, fields); k runs along z, j along y, i along x.  Halo rows
+get indices -halo..-1 or n..n+halo-1 and are never stored.  A neighbour of the same level is copied, a
+coarser one covers (its value is copied), finer ones are averaged over the cells under the halo cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.morton import MortonCodec
 from .layout import PatchLayout
-from .tree import neighbors
-
-
-def _wide(frame: DataFrame, fields: Sequence[str]) -> list[Column]:
-    return [F.col(f) for f in fields]
+from .tree import INDICES, neighbors
 
 
 def halo_sources(leaves: DataFrame, codec: MortonCodec, layout: PatchLayout, nbr: DataFrame | None = None) -> DataFrame:
-    """Which cells feed each halo cell: patch_id, level, dir, j, i, relation, n_id, nj, ni.
+    """Which cells feed each halo cell: patch_id, level, dir, its indices, relation, n_id, and theirs (n before the name).
 
-    One row for same and coarser, four for finer.
+    One row for same and coarser, four (eight in three dimensions) for finer.
     """
-    n, halo = layout.sizes[0], layout.halo
-    if layout.sizes != (n, n):
-        raise ValueError("square patches of two dimensions")
+    rank, n, halo = codec.rank, layout.sizes[0], layout.halo
+    if layout.sizes != (n,) * rank:
+        raise ValueError("patches of one size along all dimensions")
+    names, dims = INDICES[-rank:], range(rank)
     nbr = neighbors(leaves, codec) if nbr is None else nbr
-    low, positive = F.col("dir") % 2 == 0, F.col("dir") % 2 == 1
-    along_y = F.col("dir") < 2
-    depth_t = F.array(*(F.lit(k) for k in range(halo)))
-    rows = (
-        nbr.select("patch_id", "dir", "relation", "n_id", codec.level(F.col("patch_id")).alias("level"))
-        .withColumn("k", F.explode(depth_t))
-        .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    )
-    # k: cells away from the face; t: place along the face.
-    place = F.when(positive, F.col("k") + n).otherwise(-1 - F.col("k"))
-    rows = rows.withColumn("j", F.when(along_y, place).otherwise(F.col("t")))
-    rows = rows.withColumn("i", F.when(along_y, F.col("t")).otherwise(place))
-    # The same cell in units of the neighbour's patch.
-    normal = F.when(positive, F.col("k")).otherwise(n - 1 - F.col("k"))
-    child = codec.offset_of(F.col("patch_id"))
-    child_t = F.when(along_y, child.bitwiseAND(1)).otherwise(F.shiftright(child, 1).bitwiseAND(1))
-    covered = F.when(positive, F.floor(F.col("k") / 2)).otherwise(n - 1 - F.floor(F.col("k") / 2))
-    under = F.floor((F.col("t") + child_t * n) / 2)
-    fine = codec.offset_of(F.col("n_id"))
-    fine_t = F.when(along_y, fine.bitwiseAND(1)).otherwise(F.shiftright(fine, 1).bitwiseAND(1))
-    own_half = F.floor(F.col("t") / F.lit(n // 2)) == fine_t
-    first = F.when(positive, F.col("k") * 2).otherwise(n - 2 - F.col("k") * 2)
-    start = (F.col("t") % F.lit(n // 2)) * 2
-    pairs = F.array(*(F.struct((first + a).cast("int").alias("a"), (start + b).cast("int").alias("b")) for a in (0, 1) for b in (0, 1)))
-    one = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
-    sources = (
-        F.when(F.col("relation") == "same", one(normal, F.col("t")))
-        .when(F.col("relation") == "coarser", one(covered, under))
-        .otherwise(pairs)
+    rows = nbr.select("patch_id", "dir", "relation", "n_id", codec.level(F.col("patch_id")).alias("level"))
+    # h: cells away from the face; t: places along it.
+    for name, count in [("__h", halo), *((f"__t{d}", n) for d in range(rank - 1))]:
+        rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    positive, axis, away = F.col("dir") % 2 == 1, F.floor(F.col("dir") / 2), F.col("__h")
+
+    def along(d: int) -> Column:
+        """The place along dimension ``d``, where that is not the face's own."""
+        before, after = F.col(f"__t{min(d, rank - 2)}"), F.col(f"__t{max(d - 1, 0)}")
+        return F.when(axis > d, before).otherwise(after)
+
+    def bit(key: str, d: int) -> Column:
+        return F.shiftright(codec.offset_of(F.col(key)), rank - 1 - d).bitwiseAND(1)
+
+    def one(normal: Column, other: Callable[[int], Column]) -> Column:
+        return F.array(F.struct(*(F.when(axis == d, normal).otherwise(other(d)).cast("int").alias(m) for d, m in enumerate(names))))
+
+    place = F.when(positive, away + n).otherwise(-1 - away)
+    half = F.lit(n // 2)
+    same = one(F.when(positive, away).otherwise(n - 1 - away), along)
+    under = F.floor(away / 2)
+    coarser = one(F.when(positive, under).otherwise(n - 1 - under), lambda d: F.floor((along(d) + bit("patch_id", d) * n) / 2))
+    first = F.when(positive, away * 2).otherwise(n - 2 - away * 2)
+    finer = F.array(
+        *(
+            F.struct(*((F.when(axis == d, first).otherwise((along(d) % half) * 2) + F.lit(o)).cast("int").alias(m) for d, (m, o) in enumerate(zip(names, part, strict=True))))
+            for part in product((0, 1), repeat=rank)
+        )
     )
-    rows = rows.filter((F.col("relation") != "finer") | own_half).withColumn("s", F.explode(sources))
+    # Each finer neighbour feeds its own part of the face.
+    own_part = reduce(lambda x, y: x & y, ((axis == d) | (F.floor(along(d) / half) == bit("n_id", d)) for d in dims))
+    sources = F.when(F.col("relation") == "same", same).when(F.col("relation") == "coarser", coarser).otherwise(finer)
+    rows = rows.filter((F.col("relation") != "finer") | own_part).withColumn("__s", F.explode(sources))
     return rows.select(
         "patch_id",
         "level",
         "dir",
-        "j",
-        "i",
+        *(F.when(axis == d, place).otherwise(along(d)).cast("int").alias(m) for d, m in enumerate(names)),
         "relation",
         "n_id",
-        F.when(along_y, F.col("s.a")).otherwise(F.col("s.b")).alias("nj"),
-        F.when(along_y, F.col("s.b")).otherwise(F.col("s.a")).alias("ni"),
+        *(F.col(f"__s.{m}").alias(f"n{m}") for m in names),
     )
 
 
 def halo_exchange(
-    cells: DataFrame, leaves: DataFrame, codec: MortonCodec, layout: PatchLayout, fields: Sequence[str], nbr: DataFrame | None = None
+    cells: DataFrame,
+    leaves: DataFrame,
+    codec: MortonCodec,
+    layout: PatchLayout,
+    fields: Sequence[str],
+    nbr: DataFrame | None = None,
+    combine: Callable[[Column], Column] = F.avg,
 ) -> DataFrame:
-    """patch_id, level, dir, j, i, relation and the fields of every halo cell across a face."""
+    """patch_id, level, dir, indices, relation and the fields of every halo cell across a face.
+
+    ``combine`` is the aggregate of a halo cell's sources; same and coarser have one source only.
+    """
+    names = INDICES[-codec.rank :]
     sources = halo_sources(leaves, codec, layout, nbr)
-    found = sources.join(
-        cells.select(F.col("patch_id").alias("n_id"), F.col("j").alias("nj"), F.col("i").alias("ni"), *_wide(cells, fields)),
-        ["n_id", "nj", "ni"],
-    )
-    # Same and coarser have one source: their mean is the value itself.
-    return found.groupBy("patch_id", "level", "dir", "j", "i", "relation").agg(*(F.avg(f).alias(f) for f in fields))
+    given = cells.select(F.col("patch_id").alias("n_id"), *(F.col(m).alias(f"n{m}") for m in names), *fields)
+    found = sources.join(given, ["n_id", *(f"n{m}" for m in names)])
+    return found.groupBy("patch_id", "level", "dir", *names, "relation").agg(*(combine(F.col(f)).alias(f) for f in fields))
 
 
 def padded(
     cells: DataFrame, leaves: DataFrame, codec: MortonCodec, layout: PatchLayout, fields: Sequence[str], nbr: DataFrame | None = None
 ) -> DataFrame:
     """Interior and face-halo cells together, with ``inside``."""
-    keep = ["patch_id", "level", "j", "i", *fields]
+    keep = ["patch_id", "level", *INDICES[-codec.rank :], *fields]
     inner = cells.select(*keep).withColumn("inside", F.lit(True))
     outer = halo_exchange(cells, leaves, codec, layout, fields, nbr).select(*keep).withColumn("inside", F.lit(False))
     return inner.unionByName(outer)

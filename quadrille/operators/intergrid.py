@@ -3,58 +3,77 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.morton import MortonCodec
-from .tree import COARSEN, REFINE, STABLE
+from .tree import COARSEN, INDICES, REFINE, STABLE
 
 
-def restrict(cells: DataFrame, codec: MortonCodec, n: int, fields: Sequence[str]) -> DataFrame:
-    """Families of fine cells to their parents: the mean of each two-by-two block.
+def restrict(
+    cells: DataFrame, codec: MortonCodec, n: int, fields: Sequence[str], combine: Callable[[Column], Column] = F.avg
+) -> DataFrame:
+    """Families of fine cells to their parents: ``combine`` (the mean) over each block of two cells a side.
 
-    ``cells`` must hold whole families of patches of n by n cells.
+    ``cells`` must hold whole families of patches of n cells a side.
     """
-    child = codec.offset_of(F.col("patch_id"))
-    half = n // 2
+    names, child, half = INDICES[-codec.rank :], codec.offset_of(F.col("patch_id")), n // 2
+    bit = lambda d: F.shiftright(child, codec.rank - 1 - d).bitwiseAND(1)
     return (
         cells.select(
             codec.parent(F.col("patch_id")).alias("patch_id"),
-            (F.shiftright(child, 1) * half + F.floor(F.col("j") / 2)).cast("int").alias("j"),
-            (child.bitwiseAND(1) * half + F.floor(F.col("i") / 2)).cast("int").alias("i"),
+            *((bit(d) * half + F.floor(F.col(m) / 2)).cast("int").alias(m) for d, m in enumerate(names)),
             *fields,
         )
-        .groupBy("patch_id", "j", "i")
-        .agg(*(F.avg(f).alias(f) for f in fields))
-        .select("patch_id", codec.level(F.col("patch_id")).alias("level"), "j", "i", *fields)
+        .groupBy("patch_id", *names)
+        .agg(*(combine(F.col(f)).alias(f) for f in fields))
+        .select("patch_id", codec.level(F.col("patch_id")).alias("level"), *names, *fields)
     )
 
 
-def prolong(cells: DataFrame, codec: MortonCodec, n: int, fields: Sequence[str]) -> DataFrame:
-    """Each cell to the two-by-two cells of the child that covers it, by copying."""
-    half = n // 2
-    k = (F.floor(F.col("j") / half) * 2 + F.floor(F.col("i") / half)).cast("int")
-    parts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))
-    return cells.withColumn("p", F.explode(parts)).select(
-        codec.child(F.col("patch_id"), k).alias("patch_id"),
+def prolong(
+    cells: DataFrame,
+    codec: MortonCodec,
+    n: int,
+    fields: Sequence[str],
+    spread: Callable[[Column, Sequence[Column]], Column] = lambda value, place: value,
+) -> DataFrame:
+    """Each cell to the cells of the child that covers it, two a side.
+
+    ``spread`` gives a fine cell's value from the coarse one and its place in it (0 or 1 along each
+    dimension, in order of the indices); the default copies.
+    """
+    names, half = INDICES[-codec.rank :], n // 2
+    number = F.lit(0)
+    for m in names:
+        number = number * 2 + F.floor(F.col(m) / half).cast("int")
+    parts = F.array(*(F.struct(*(F.lit(o).alias(m) for m, o in zip(names, part, strict=True))) for part in product((0, 1), repeat=codec.rank)))
+    place = [F.col(f"__p.{m}") for m in names]
+    return cells.withColumn("__p", F.explode(parts)).select(
+        codec.child(F.col("patch_id"), number).alias("patch_id"),
         (F.col("level") + 1).alias("level"),
-        ((F.col("j") % half) * 2 + F.col("p.a")).cast("int").alias("j"),
-        ((F.col("i") % half) * 2 + F.col("p.b")).cast("int").alias("i"),
-        *fields,
+        *(((F.col(m) % half) * 2 + p).cast("int").alias(m) for m, p in zip(names, place, strict=True)),
+        *(spread(F.col(f), place).alias(f) for f in fields),
     )
 
 
 def regrid_cells(
-    cells: DataFrame, refined: DataFrame, families: DataFrame, codec: MortonCodec, n: int, fields: Sequence[str]
+    cells: DataFrame, refined: DataFrame, families: DataFrame, codec: MortonCodec, n: int, fields: Sequence[str], **operators
 ) -> DataFrame:
-    """Cell values on the new leaf set: kept, copied to children, averaged to parents."""
-    keep = ["patch_id", "level", "j", "i", *fields]
+    """Cell values on the new leaf set: kept, given to children, brought to parents.
+
+    ``operators``: ``combine`` of ``restrict`` and ``spread`` of ``prolong``.
+    """
+    keep = ["patch_id", "level", *INDICES[-codec.rank :], *fields]
     sons = families.select(F.explode(codec.children(F.col("patch_id"))).alias("patch_id"))
     gone = refined.select("patch_id").unionByName(sons)
     same = cells.select(*keep).join(gone, "patch_id", "left_anti")
-    fine = prolong(cells.join(refined, "patch_id", "left_semi"), codec, n, fields)
-    coarse = restrict(cells.join(sons, "patch_id", "left_semi"), codec, n, fields)
+    down = {k: v for k, v in operators.items() if k == "spread"}
+    up = {k: v for k, v in operators.items() if k == "combine"}
+    fine = prolong(cells.join(refined, "patch_id", "left_semi"), codec, n, fields, **down)
+    coarse = restrict(cells.join(sons, "patch_id", "left_semi"), codec, n, fields, **up)
     return same.unionByName(fine.select(*keep)).unionByName(coarse.select(*keep))
 
 

@@ -1,6 +1,6 @@
-"""Leaf sets of a periodic quadtree, kept as tables of Morton keys.
+"""Leaf sets of a periodic quadtree or octree, kept as tables of Morton keys.
 
-A leaf set is ``patch_id, level, x, y``.  Neighbours are not stored: they follow from the set by
+A leaf set is ``patch_id, level, x, y[, z]``.  Neighbours are not stored: they follow from the set by
 three equi-joins.  All functions take and return DataFrames; broadcasts are left to Spark, which
 checks sizes.
 """
@@ -12,8 +12,23 @@ from pyspark.sql import functions as F
 
 from ..functions.morton import MortonCodec
 
-#: Direction 2 * dim + positive; dimension 0 is y, dimension 1 is x.  (direction, dx, dy)
-DIRECTIONS = ((0, 0, -1), (1, 0, 1), (2, -1, 0), (3, 1, 0))
+AXES = ("x", "y", "z")
+#: Names of cell indices, along z, y and x.
+INDICES = ("k", "j", "i")
+
+
+def directions(rank: int) -> list[tuple[int, ...]]:
+    """(direction, dx, dy[, dz]) of each face; direction 2 * dim + positive, the last dimension is x."""
+    out = []
+    for dim in range(rank):
+        for positive in (0, 1):
+            step = [0] * rank
+            step[rank - 1 - dim] = 2 * positive - 1
+            out.append((2 * dim + positive, *step))
+    return out
+
+
+DIRECTIONS = tuple(directions(2))
 
 STABLE, REFINE, COARSEN = "stable", "refine", "coarsen"
 
@@ -22,16 +37,16 @@ def opposite(direction: int) -> int:
     return direction ^ 1
 
 
-def boundary_children(direction: int) -> list[int]:
+def boundary_children(direction: int, rank: int = 2) -> list[int]:
     """Children of a patch that touch its face of a direction."""
-    axis = 1 if direction // 2 == 0 else 0
-    return [k for k in range(4) if (k >> axis) & 1 == direction % 2]
+    bit = rank - 1 - direction // 2
+    return [k for k in range(1 << rank) if (k >> bit) & 1 == direction % 2]
 
 
 def with_coords(keys: DataFrame, codec: MortonCodec) -> DataFrame:
     """patch_id with its level and corner."""
-    x, y = codec.coords(F.col("patch_id"))
-    return keys.select("patch_id", codec.level(F.col("patch_id")).alias("level"), x.alias("x"), y.alias("y"))
+    corner = [c.alias(a) for c, a in zip(codec.coords(F.col("patch_id")), AXES, strict=False)]
+    return keys.select("patch_id", codec.level(F.col("patch_id")).alias("level"), *corner)
 
 
 def root(spark: SparkSession, codec: MortonCodec) -> DataFrame:
@@ -52,26 +67,23 @@ def uniform(spark: SparkSession, codec: MortonCodec, level: int) -> DataFrame:
 def neighbors(leaves: DataFrame, codec: MortonCodec) -> DataFrame:
     """patch_id, dir, relation (same, coarser, finer), n_id: one row per neighbour across a face.
 
-    On a leaf set in which levels across faces differ by one at most, each face has one row, or two
-    of finer neighbours.
+    On a leaf set in which levels across faces differ by one at most, each face has one row, or one for
+    each finer neighbour (two, or four in three dimensions).
     """
+    axes, around = AXES[: codec.rank], directions(codec.rank)
     side = codec.side(F.col("level"))
-    faces = F.array(*(F.struct(F.lit(d).alias("dir"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for d, dx, dy in DIRECTIONS))
-    wanted = leaves.select("patch_id", "level", "x", "y", side.alias("side"), F.explode(faces).alias("f")).select(
-        "patch_id",
-        F.col("f.dir").alias("dir"),
-        codec.encode(
-            [
-                F.pmod(F.col("x") + F.col("f.dx") * F.col("side"), F.lit(codec.extent)),
-                F.pmod(F.col("y") + F.col("f.dy") * F.col("side"), F.lit(codec.extent)),
-            ],
-            F.col("level"),
-        ).alias("at"),
+    faces = F.array(*(F.struct(F.lit(d).alias("dir"), *(F.lit(v).alias(f"d{a}") for v, a in zip(step, axes, strict=True))) for d, *step in around))
+    moved = [F.pmod(F.col(a) + F.col(f"f.d{a}") * F.col("side"), F.lit(codec.extent)) for a in axes]
+    wanted = leaves.select("patch_id", "level", *axes, side.alias("side"), F.explode(faces).alias("f")).select(
+        "patch_id", F.col("f.dir").alias("dir"), codec.encode(moved, F.col("level")).alias("at")
     )
     # Candidates of each case; whichever is a leaf is the neighbour, so one join finds all.
     finer = [
-        F.when(F.col("dir") == d, F.array(*(F.struct(F.lit("finer").alias("relation"), codec.child(F.col("at"), k).alias("n_id")) for k in boundary_children(opposite(d)))))
-        for d, _, _ in DIRECTIONS
+        F.when(
+            F.col("dir") == d,
+            F.array(*(F.struct(F.lit("finer").alias("relation"), codec.child(F.col("at"), k).alias("n_id")) for k in boundary_children(opposite(d), codec.rank))),
+        )
+        for d, *_ in around
     ]
     candidates = F.concat(
         F.array(
@@ -191,3 +203,25 @@ def indent(leaves: DataFrame) -> DataFrame:
     """One line of text per leaf, indented by level; order by patch_id to print."""
     line: Column = F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("level "), F.col("level"), F.lit(" at "), F.col("x"), F.lit(","), F.col("y"))
     return leaves.select("patch_id", line.alias("line"))
+
+
+def is_sorted(frame: DataFrame) -> DataFrame:
+    """One row, ``sorted``: whether ``place`` (from 1) numbers the rows in order of patch_id, each once.
+
+    A row's successor is found by an equi-join on the place, so no task sees all rows.
+    """
+    rows = frame.select("place", "patch_id")
+    after = rows.select((F.col("place") - 1).alias("place"), F.col("patch_id").alias("next"))
+    faults = rows.join(after, "place").filter(F.col("next") <= F.col("patch_id"))
+    shape = rows.agg(F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), F.sum("place").alias("total"))
+    whole = (F.col("n") == 0) | ((F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("total") * 2 == F.col("n") * (F.col("n") + 1)))
+    return shape.join(F.broadcast(faults.agg(F.count("*").alias("faults")))).select((whole & (F.col("faults") == 0)).alias("sorted"))
+
+
+def index_faults(leaves: DataFrame, places: DataFrame) -> DataFrame:
+    """Keys of a leaf set and of its map of places (patch_id, place) that do not match one to one."""
+    named = places.groupBy("patch_id").agg(F.count("*").alias("n"))
+    twice = places.groupBy("place").agg(F.count("*").alias("n"), F.min("patch_id").alias("patch_id")).filter("n > 1")
+    both = leaves.select("patch_id", F.lit(1).alias("leaf")).join(named, "patch_id", "full")
+    wrong = both.filter(F.col("leaf").isNull() | F.col("n").isNull() | (F.col("n") > 1)).select("patch_id")
+    return wrong.unionByName(twice.select("patch_id")).distinct()

@@ -12,7 +12,7 @@ from ..functions import tensors as T
 from ..operators import dg, fvm, halo, intergrid, tree
 from ..operators.layout import PatchLayout
 from ..sources import tables as S
-from . import loops
+from . import loops, octree
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -724,3 +724,8 @@ def stream_point_counts(spark, sf):
     stream = P.to_points(P.read_events(spark, f"{sf}/event[s].parquet"))
     counts = P.windowed_counts(stream, C2, 3, "1 day", "10 minutes")
     return loops.drained(spark, counts, ["start", "patch_id"])
+
+
+# --- octrees ------------------------------------------------------------------------------------
+
+octree.register(query, checkpoints)

@@ -118,7 +118,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locate(points: DataFrame, leaves: DataFrame, codec: MortonCodec = CODEC) -> DataFrame:
     """patch_id of the leaf that holds each point: one equi-join over the point's key at every level."""
-    finest = codec.encode([F.col("x"), F.col("y")], codec.depth)
+    finest = codec.encode([F.col(a) for a in tree.AXES[: codec.rank]], codec.depth)
     levels = F.sequence(F.lit(0), F.lit(codec.depth))
     up = points.select(finest.alias("__k")).groupBy("__k").agg(F.count("*").alias("n"))
     ancestors = up.select("n", "__k", F.explode(levels).alias("up"))
@@ -153,6 +153,46 @@ def leaf_set(spark: SparkSession, sf_dir: str, passes: int = len(PASSES)) -> Dat
     return leaves
 
 
+#: The octree: passes as above, from a uniform level, over the events with their users along z.
+PASSES3, START_LEVEL3, MIN_LEVEL3, EXTENT3, PATCH3 = (60, 200), 2, 1, 32, 4
+
+
+def points3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x, y, z of each event on the finest grid."""
+    return read(spark, sf_dir, "events").select(
+        (F.floor("value") % 128).alias("x"), (F.floor(F.col("value") * 3) % 128).alias("y"), (F.col("user_id") % 128).alias("z")
+    )
+
+
+def octree(spark: SparkSession, sf_dir: str, passes: int = len(PASSES3)) -> tuple[DataFrame, DataFrame]:
+    """(leaves after some passes, flags of the last one on the leaves before it)."""
+    at = points3(spark, sf_dir)
+    total = at.count()
+    leaves, flags = tree.uniform(spark, CODEC3, START_LEVEL3), None
+    for share in PASSES3[:passes]:
+        flags = point_flags(leaves, at, share, total, CODEC3).checkpoint()
+        leaves = tree.reconstruct(leaves, flags, CODEC3, MIN_LEVEL3).checkpoint()
+    return leaves, flags
+
+
+def grid3(spark: SparkSession, sf_dir: str, n: int = EXTENT3) -> DataFrame:
+    """x, y, z, u: quantities of lineitem summed on a periodic grid."""
+    at = [(F.col(c) % n).alias(a) for c, a in zip(("l_partkey", "l_suppkey", "l_orderkey"), tree.AXES, strict=True)]
+    sums = read(spark, sf_dir, "lineitem").groupBy(*at).agg(F.sum("l_quantity").alias("u"))
+    place = spark.range(n**3).select((F.col("id") % n).alias("x"), (F.floor(F.col("id") / n) % n).alias("y"), F.floor(F.col("id") / (n * n)).alias("z"))
+    return place.join(sums, list(tree.AXES), "left").select(*tree.AXES, F.coalesce("u", F.lit(0.0)).alias("u"))
+
+
+def octree_cells(leaves: DataFrame, values: DataFrame, n: int = PATCH3, extent: int = EXTENT3) -> DataFrame:
+    """patch_id, level, k, j, i, u: each cell takes the value of the grid at its centre."""
+    side, unit = CODEC3.side(F.col("level")), CODEC3.extent // extent
+    for m in tree.INDICES:
+        leaves = leaves.withColumn(m, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    at = {f"g{a}": F.floor((F.col(a) * 2 * n + (F.col(m) * 2 + 1) * side) / (2 * n * unit)).cast("long") for a, m in zip(tree.AXES, tree.INDICES[::-1], strict=True)}
+    found = values.select(*(F.col(a).alias(f"g{a}") for a in tree.AXES), "u")
+    return leaves.withColumns(at).join(found, list(at)).select("patch_id", "level", *tree.INDICES, "u")
+
+
 def flags_of_pass(spark: SparkSession, sf_dir: str, number: int) -> tuple[DataFrame, DataFrame]:
     """(leaves before a pass, its flags)."""
     at = points(spark, sf_dir)
