@@ -1,6 +1,8 @@
 """From raw documents to token ids: the stages of a corpus, each written before the next reads it.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents, whatever
+they are called.  Rows of a null doc_id count as one document, repeated rows as often as they stand
+until a stage removes copies.  An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -19,22 +21,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for A-Z case the row with the largest doc_id stays."""
+    """Of texts that are equal but for A-Z case the row with the largest doc_id stays; null counts as empty."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more on five-word shingles one stays."""
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles one stays; those without words all do."""
     return near_dedup.deduplicate(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of which ten consecutive words, or half of all, are those of benchmark items."""
+    """Documents go of which ten consecutive words, or half of all, are those of benchmark items; null texts stay."""
     return decontamination.decontaminate(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, decoded again: number of tokens, digests of ids and of bytes."""
+    """Token ids of what is left, decoded again: number of tokens, digests of ids and of bytes; null has none."""
     return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
 
 
