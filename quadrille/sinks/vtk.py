@@ -1,7 +1,8 @@
 """VTK files of cells and DG nodes, and collection files.
 
-Parquet is the sink for data; these files are for viewers.  Rows come to the writer one partition at
-a time, in key order, so the driver never holds the table.
+Parquet is the sink for data; these files are for viewers.  ``write_cell_parts`` is for tables of any
+size: tasks write a file for each piece of space, and a collection lists them.  The writers of single
+files bring the rows to the driver one partition at a time, in key order, and are for small tables.
 """
 
 from __future__ import annotations
@@ -9,9 +10,13 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
 from collections.abc import Iterable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +85,62 @@ def write_cells(boxes: DataFrame, path: str, fields: Sequence[str], binary: bool
     return n
 
 
+def cell_file(boxes: dict[str, np.ndarray], fields: Sequence[str]) -> bytes:
+    """A binary legacy file of quads from columns x0, y0, dx, dy and the fields."""
+    n = len(boxes["x0"])
+    points = np.zeros((n, 4, 3), ">f8")
+    for k, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))):
+        points[:, k, 0], points[:, k, 1] = boxes["x0"] + a * boxes["dx"], boxes["y0"] + b * boxes["dy"]
+    quads = np.column_stack([np.full(n, 4), np.arange(4 * n).reshape(n, 4)]).astype(">i4")
+    parts = [
+        f"# vtk DataFile Version 3.0\ncells\nBINARY\nDATASET UNSTRUCTURED_GRID\nPOINTS {4 * n} double\n".encode(),
+        points.tobytes(),
+        f"\nCELLS {n} {5 * n}\n".encode(),
+        quads.tobytes(),
+        f"\nCELL_TYPES {n}\n".encode(),
+        np.full(n, QUAD, ">i4").tobytes(),
+        f"\nCELL_DATA {n}\n".encode(),
+    ]
+    for field in fields:
+        parts += [f"SCALARS {field} double 1\nLOOKUP_TABLE default\n".encode(), boxes[field].astype(">f8").tobytes(), b"\n"]
+    return b"".join(parts)
+
+
+def write_cell_parts(boxes: DataFrame, folder: str, fields: Sequence[str], cells_per_file: int = 1 << 20) -> DataFrame:
+    """Tasks write binary files into ``folder``, which they must share; the files' table: part, path, n.
+
+    Rows are dealt by ranges of patch_id.  A repeated task writes files of new names, and only those of
+    finished tasks are listed.
+    """
+    names = ["x0", "y0", "dx", "dy", *fields]
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        system, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
+        system.create_dir(base, recursive=True)
+        held, part = [], TaskContext.get().partitionId()
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            name = f"part-{part:06d}-{uuid.uuid4().hex}.vtk"
+            with system.open_output_stream(f"{base}/{name}") as file:
+                file.write(cell_file({c: table[c].cast(pa.float64()).to_numpy() for c in names}, fields))
+            return pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "n": table.num_rows}])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, cells_per_file):
+                held.append(batch.slice(i, cells_per_file))
+                if sum(b.num_rows for b in held) >= cells_per_file:
+                    yield out()
+                    held.clear()
+        if sum(b.num_rows for b in held):
+            yield out()
+
+    dealt = boxes.select("patch_id", "j", "i", *names).repartitionByRange("patch_id").sortWithinPartitions("patch_id", "j", "i")
+    files = dealt.select(*names).mapInArrow(work, "part long, path string, n long")
+    files.write.parquet(f"{folder}/files")
+    return files.sparkSession.read.parquet(f"{folder}/files")
+
+
 def write_nodes(cells: DataFrame, path: str, component: str, order: int, edge: float) -> int:
     """DG cells (x, y, array) as Lagrange quads sampled on a regular lattice of order + 1 points."""
     lattice = lagrange_quad_order(order)

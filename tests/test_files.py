@@ -3,6 +3,7 @@
 import json
 import struct
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quadrille.functions.geometry import Geometry
@@ -36,6 +37,27 @@ def test_vtk_cells(spark, tmp_path):
     assert struct.unpack(">4d", data[at : at + 32]) == (0.0, 1.0, 10.0, 11.0)
 
 
+def test_vtk_cell_parts(spark, tmp_path):
+    leaves = tree.uniform(spark, MortonCodec(2, 3), 2)
+    at = F.explode(F.sequence(F.lit(0), F.lit(1)))
+    cells = leaves.withColumn("j", at).withColumn("i", at).select("patch_id", "level", "j", "i", (F.col("x") * 10.0 + F.col("i")).alias("u"))
+    boxes = vtk.with_boxes(cells, leaves, Geometry((1.0, 1.0), (2, 2), 3)).persist()
+    files = vtk.write_cell_parts(boxes, str(tmp_path / "parts"), ["u"], cells_per_file=10).collect()
+    assert sum(f.n for f in files) == 64 and len(files) > 1
+    found = []
+    for f in files:
+        data = open(f.path, "rb").read()
+        points = data.split(f"POINTS {4 * f.n} double\n".encode())[1][: 96 * f.n]
+        values = data.split(b"LOOKUP_TABLE default\n")[1][: 8 * f.n]
+        corners = np.frombuffer(points, ">f8").reshape(-1, 4, 3)
+        found += zip(corners[:, 0, 0].tolist(), corners[:, 0, 1].tolist(), corners[:, 2, 0].tolist(), np.frombuffer(values, ">f8").tolist(), strict=True)
+    assert sorted(found) == sorted((r.x0, r.y0, r.x0 + r.dx, r.u) for r in boxes.collect())
+    one = tmp_path / "one.vtk"
+    vtk.write_cells(boxes, str(one), ["u"])
+    whole = boxes.orderBy("patch_id", "j", "i").toPandas()
+    assert one.read_bytes() == vtk.cell_file({c: whole[c].to_numpy() for c in ("x0", "y0", "dx", "dy", "u")}, ["u"])
+
+
 def test_vtk_nodes_and_collection(spark, tmp_path):
     cells = S.square(spark, 2).select("x", "y", F.array(*(F.col("x").cast("double") for _ in range(4))).alias("u"))
     assert vtk.write_nodes(cells, str(tmp_path / "n_00012.vtk"), "u", 2, 0.5) == 4
