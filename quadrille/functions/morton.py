@@ -1,8 +1,9 @@
 """Morton (Z-order) keys of patches as column expressions.
 
 A key is the bit interleaving of a patch's corner in units of the finest grid (x lowest), followed
-by six bits of level.  All expressions are built-in bit operations, so they stay inside generated
-code and a range of keys is a range of space.
+by six bits of level.  The bits above the interleaved ones number the tree, so one table holds a
+forest of any size and keys of different trees never meet.  All expressions are built-in bit
+operations, so they stay inside generated code and a range of keys is a range of space.
 """
 
 from __future__ import annotations
@@ -59,14 +60,19 @@ class MortonCodec:
         """Finest-grid units along each axis."""
         return 1 << self.depth
 
-    def encode(self, coords: Sequence[Column], level: Column | int) -> Column:
-        """Key of a corner (x, y[, z]) at a level."""
+    def encode(self, coords: Sequence[Column], level: Column | int, tree: Column | None = None) -> Column:
+        """Key of a corner (x, y[, z]) at a level of a tree (the first one by default)."""
         bits = [
             _left(_right(_long(c), i).bitwiseAND(F.lit(1).cast("long")), self.rank * i + axis + LEVEL_BITS)
             for axis, c in enumerate(coords)
             for i in range(self.depth)
         ]
-        return _or([*bits, _long(level)])
+        above = [] if tree is None else [_left(_long(tree), self.rank * self.depth + LEVEL_BITS)]
+        return _or([*above, *bits, _long(level)])
+
+    def tree(self, key: Column) -> Column:
+        """The tree of a key."""
+        return _right(key, self.rank * self.depth + LEVEL_BITS)
 
     def coords(self, key: Column) -> list[Column]:
         """x, y[, z] of a key."""
@@ -129,8 +135,8 @@ class MortonCodec:
         side = self.side(level)
         moved = [c + side * s for c, s in zip(self.coords(key), step, strict=True)]
         if periodic:
-            return self.encode([F.pmod(c, F.lit(self.extent)) for c in moved], level)
-        return F.when(self.is_valid(moved, level), self.encode(moved, level))
+            return self.encode([F.pmod(c, F.lit(self.extent)) for c in moved], level, self.tree(key))
+        return F.when(self.is_valid(moved, level), self.encode(moved, level, self.tree(key)))
 
     def bits(self, key: Column) -> Column:
         """The key as 64 binary digits."""

@@ -95,7 +95,10 @@ def to_cells(blocks: DataFrame, fields: tuple[str, ...], n: int) -> DataFrame:
 
 
 def round_of_steps(blocks: DataFrame, kernel: Kernel, n: int, patches: int, dt: float, spacing: tuple[float, float], steps: int) -> DataFrame:
-    """``steps`` steps of all patches (``patches`` along each side) with one shuffle."""
+    """``steps`` steps of all patches (``patches`` along each side of a grid) with one shuffle.
+
+    Grids stand one above the other along y, each periodic in itself.
+    """
     if not 1 <= steps <= n:
         raise ValueError("a round has 1 to n steps")
     nf, s = len(kernel.fields), steps
@@ -110,7 +113,7 @@ def round_of_steps(blocks: DataFrame, kernel: Kernel, n: int, patches: int, dt:
                 block = np.frombuffer(data, np.float64).reshape(nf, n, n)
                 for dy in (-1, 0, 1):
                     for dx in (-1, 0, 1):
-                        row = ((px - dx) % patches, (py - dy) % patches, dx, dy, np.ascontiguousarray(block[:, cut[dy], cut[dx]]).tobytes())
+                        row = ((px - dx) % patches, py - py % patches + (py - dy) % patches, dx, dy, np.ascontiguousarray(block[:, cut[dy], cut[dx]]).tobytes())
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -140,10 +143,24 @@ def round_of_steps(blocks: DataFrame, kernel: Kernel, n: int, patches: int, dt:
 
 
 def run_blocks(
-    cells: DataFrame, kernel: Kernel, extent: int, dt: float, steps: int, n: int = 32, spacing: tuple[float, float] | None = None, per_round: int = 8, rounds_per_cut: int = 4
+    cells: DataFrame,
+    kernel: Kernel,
+    extent: int,
+    dt: float,
+    steps: int,
+    n: int = 32,
+    spacing: tuple[float, float] | None = None,
+    per_round: int = 8,
+    rounds_per_cut: int = 4,
+    by: str | None = None,
 ) -> DataFrame:
-    """``steps`` steps of a periodic grid of ``extent`` cells a side; back as rows x, y, fields."""
+    """``steps`` steps of a periodic grid of ``extent`` cells a side; back as rows x, y, fields.
+
+    ``by``, where given, is the number of a row's grid, from 0.
+    """
     spacing = spacing or (1 / extent, 1 / extent)
+    if by:
+        cells = cells.withColumn("y", F.col(by) * extent + F.col("y"))
     blocks, done, rounds = to_blocks(cells, kernel.fields, n), 0, 0
     while done < steps:
         k = min(per_round, n, steps - done)
@@ -151,4 +168,7 @@ def run_blocks(
         done, rounds = done + k, rounds + 1
         if rounds % rounds_per_cut == 0 and done < steps:
             blocks = blocks.checkpoint()
-    return to_cells(blocks, kernel.fields, n)
+    out = to_cells(blocks, kernel.fields, n)
+    if not by:
+        return out
+    return out.select(F.floor(F.col("y") / extent).alias(by), "x", (F.col("y") % extent).alias("y"), *kernel.fields)

@@ -1,7 +1,7 @@
 """Discontinuous-Galerkin cells: nodal arrays, volume and face terms, time integrators.
 
 A cell table is ``x, y`` (periodic grid) and one array per component, row-major over order x order
-nodes, the last index along x.  Faces are sent to their neighbours: one shuffle a derivative.
+nodes, the last index along x; columns ``by`` tell the grids of a table of many apart.  Faces are sent to their neighbours: one shuffle a derivative.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def indicator(momenta: Sequence[Column], rho: Column, n: int) -> Column:
     return top / (F.abs(cell_average(rho, n)) + F.lit(1e-10))
 
 
-def patch_decisions(cells: DataFrame, refine_above: float, coarsen_below: float) -> DataFrame:
+def patch_decisions(cells: DataFrame, refine_above: Column | float, coarsen_below: Column | float) -> DataFrame:
     """patch_id, status from cells (patch_id, indicator): any above refines, all below coarsens."""
     agg = cells.groupBy("patch_id").agg(
         F.bool_or(F.col("indicator") > refine_above).alias("any"), F.bool_and(F.col("indicator") < coarsen_below).alias("all")
@@ -158,8 +158,8 @@ def lift(config: Config, flux: Column, axis: int, upper: bool) -> Column:
 FACES = tuple((axis, upper) for axis in (0, 1) for upper in (False, True))
 
 
-def _with_slopes(cells: DataFrame, config: Config, equation, carry: Sequence[str] = ()) -> DataFrame:
-    """x, y, the components, ``carry``, and the time derivative of each component under ``__d``.
+def _with_slopes(cells: DataFrame, config: Config, equation, carry: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """``by``, x, y, the components, ``carry``, and the time derivative of each component under ``__d``.
 
     Each cell works out its volume term and, for every face, its values, fluxes and speed.  One explode
     sends a face to the neighbour beyond it and the cell's own row to itself, one aggregate by cell
@@ -168,7 +168,7 @@ def _with_slopes(cells: DataFrame, config: Config, equation, carry: Sequence[str
     names = config.components
     own = {c: F.col(c) for c in names}
     n = config.extent
-    fluxes = cells.select("x", "y", *names, *carry, *(f.alias(f"__f{a}{c}") for a in (0, 1) for c, f in equation.flux(own, a).items()))
+    fluxes = cells.select(*by, "x", "y", *names, *carry, *(f.alias(f"__f{a}{c}") for a in (0, 1) for c, f in equation.flux(own, a).items()))
     face = lambda axis, upper: F.struct(
         *(to_face(config, own[c], axis, upper).alias(f"u{c}") for c in names),
         *(to_face(config, F.col(f"__f{axis}{c}"), axis, upper).alias(f"f{c}") for c in names),
@@ -178,9 +178,9 @@ def _with_slopes(cells: DataFrame, config: Config, equation, carry: Sequence[str
         (volume_term(config, [F.col(f"__f{a}{c}") for a in (0, 1)]) if config.order > 1 else T.fill(1, 0.0)).alias(f"__v{c}")
         for c in names
     ]
-    base = fluxes.select("x", "y", F.struct(*names, *carry, *inner).alias("own"), *(face(a, up).alias(f"__s{a}{int(up)}") for a, up in FACES))
+    base = fluxes.select(*by, "x", "y", F.struct(*names, *carry, *inner).alias("own"), *(face(a, up).alias(f"__s{a}{int(up)}") for a, up in FACES))
     faces = [f"__s{a}{int(up)}" for a, up in FACES]
-    base = base.select("x", "y", F.struct("own", *faces).alias("own"), *faces)
+    base = base.select(*by, "x", "y", F.struct("own", *faces).alias("own"), *faces)
 
     def sent(axis: int, upper: bool) -> Column:
         """A face of the neighbour beyond it: its lower face is the upper one of the cell before it."""
@@ -195,15 +195,15 @@ def _with_slopes(cells: DataFrame, config: Config, equation, carry: Sequence[str
         )
 
     home = F.struct("x", "y", F.lit(-1).alias("slot"), "own", F.lit(None).alias("face"))
-    mail = base.select(F.explode(F.array(home, *(sent(a, up) for a, up in FACES))).alias("m")).select("m.*")
-    met = mail.groupBy("x", "y").agg(
+    mail = base.select(*by, F.explode(F.array(home, *(sent(a, up) for a, up in FACES))).alias("m")).select(*by, "m.*")
+    met = mail.groupBy(*by, "x", "y").agg(
         F.first("own", ignorenulls=True).alias("own"),
         *(
             F.first(F.when(F.col("slot") == 2 * a + int(up), F.col("face")), ignorenulls=True).alias(f"__n{a}{int(up)}")
             for a, up in FACES
         ),
     )
-    work = met.select("x", "y", "own.own.*", *(f"own.{f}" for f in faces), *(f"__n{a}{int(up)}" for a, up in FACES))
+    work = met.select(*by, "x", "y", "own.own.*", *(f"own.{f}" for f in faces), *(f"__n{a}{int(up)}" for a, up in FACES))
     inverse = basis.literal(basis.inverse_mass(config.order, config.rank) / config.edge**config.rank)
     out = {}
     for c in names:
@@ -221,12 +221,12 @@ def _with_slopes(cells: DataFrame, config: Config, equation, carry: Sequence[str
             )
             total = T.subtract(total, lift(config, flux, axis, upper))
         out[c] = T.hadamard(total, inverse)
-    return work.select("x", "y", *names, *carry, *(out[c].alias(f"__d{c}") for c in names))
+    return work.select(*by, "x", "y", *names, *carry, *(out[c].alias(f"__d{c}") for c in names))
 
 
-def rhs(cells: DataFrame, config: Config, equation) -> DataFrame:
+def rhs(cells: DataFrame, config: Config, equation, by: Sequence[str] = ()) -> DataFrame:
     """Time derivative of all components of every cell: x, y and the arrays."""
-    return _with_slopes(cells, config, equation).select("x", "y", *(F.col(f"__d{c}").alias(c) for c in config.components))
+    return _with_slopes(cells, config, equation, by=by).select(*by, "x", "y", *(F.col(f"__d{c}").alias(c) for c in config.components))
 
 
 #: Shu-Osher form of the integrators: each stage is (weight of the start, weight of stage + dt * rhs).
@@ -237,18 +237,18 @@ INTEGRATORS = {
 }
 
 
-def advance(cells: DataFrame, config: Config, equation, dt: float, integrator: str = "ssprk2") -> DataFrame:
+def advance(cells: DataFrame, config: Config, equation, dt: float, integrator: str = "ssprk2", by: Sequence[str] = ()) -> DataFrame:
     """One time step; each stage is one shuffle, and the state at the start travels in the row."""
     names = config.components
-    state = cells.select("x", "y", *names, *(F.col(c).alias(f"__start_{c}") for c in names))
+    state = cells.select(*by, "x", "y", *names, *(F.col(c).alias(f"__start_{c}") for c in names))
     start = [f"__start_{c}" for c in names]
     for keep, new in INTEGRATORS[integrator]:
-        slope = _with_slopes(state, config, equation, start)
+        slope = _with_slopes(state, config, equation, start, by)
         stage = {c: T.multiply(T.add(F.col(c), T.multiply(F.col(f"__d{c}"), dt)), new) for c in names}
         if keep:
             stage = {c: T.add(v, T.multiply(F.col(f"__start_{c}"), keep)) for c, v in stage.items()}
-        state = slope.select("x", "y", *(v.alias(c) for c, v in stage.items()), *start)
-    return state.select("x", "y", *names)
+        state = slope.select(*by, "x", "y", *(v.alias(c) for c, v in stage.items()), *start)
+    return state.select(*by, "x", "y", *names)
 
 
 def total(cells: DataFrame, config: Config, component: str) -> DataFrame:

@@ -21,21 +21,25 @@ def _state(prefix: str, fields: Sequence[str]) -> dict[str, Column]:
     return {f: F.col(f"{prefix}{f}") for f in fields}
 
 
-def cfl_limit(cells: DataFrame, equation: Equation, spacing: Sequence[Column], cfl: float) -> DataFrame:
-    """One row, ``dt``: cfl times the least spacing over wave speed of all cells and axes."""
+def cfl_limit(cells: DataFrame, equation: Equation, spacing: Sequence[Column], cfl: float, by: Sequence[str] = ()) -> DataFrame:
+    """``dt``: cfl times the least spacing over wave speed of all cells and axes; one row, or one for each ``by``."""
     state = _state("", equation.fields)
     steps = [F.when(equation.speed(state, a) > SLOWEST, h / equation.speed(state, a)) for a, h in enumerate(spacing)]
     least = F.least(*steps) if len(steps) > 1 else steps[0]
-    return cells.agg((F.min(least) * cfl).alias("dt"))
+    return cells.groupBy(*by).agg((F.min(least) * cfl).alias("dt"))
 
 
 #: Cells of a block along an axis at most, in a step on a uniform grid.
 BLOCK = 32
 
 
-def uniform_step(cells: DataFrame, equation: Equation, dt: float | Column, spacing: Sequence[float], extent: int) -> DataFrame:
+def uniform_step(
+    cells: DataFrame, equation: Equation, dt: float | Column, spacing: Sequence[float], extent: int, by: Sequence[str] = ()
+) -> DataFrame:
     """One step on a periodic grid of ``extent`` cells a side: x[, y[, z]] and the fields.
 
+    Columns ``by`` tell the grids of a table of many apart.
+
     The grid is cut into blocks; cells at a block's edge also go to the block beside it, so one shuffle
     by block brings all neighbours together, and windows run along the lines of a block only.
     """
@@ -60,12 +64,12 @@ def uniform_step(cells: DataFrame, equation: Equation, dt: float | Column, spaci
     copies = F.array(copy(None, 0), *(copy(i, step) for i in range(len(axes)) for step in (-1, 1)))
     own = F.struct(*fields)
     work = (
-        cells.select(F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("c"), own.alias("__own"))
-        .select("c.*", "__own")
-        .repartition(*blocks)
+        cells.select(*by, F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("c"), own.alias("__own"))
+        .select(*by, "c.*", "__own")
+        .repartition(*by, *blocks)
     )
     for axis in axes:
-        line = Window.partitionBy(*blocks, *(a for a in axes if a != axis)).orderBy(axis)
+        line = Window.partitionBy(*by, *blocks, *(a for a in axes if a != axis)).orderBy(axis)
         work = work.withColumns({f"__l{axis}": F.lag("__own").over(line), f"__r{axis}": F.lead("__own").over(line)})
     work = work.filter("__inside")
     here = _state("__own.", fields)
@@ -76,7 +80,7 @@ def uniform_step(cells: DataFrame, equation: Equation, dt: float | Column, spaci
         for f in fields:
             change[f] = change[f] + (out[f] - into[f]) * (dt / F.lit(spacing[a]))
     place = [(F.col(b) * size + F.col(a)).alias(a) for a, b in zip(axes, blocks, strict=True)]
-    return work.select(*place, *((here[f] - change[f]).alias(f) for f in fields))
+    return work.select(*by, *place, *((here[f] - change[f]).alias(f) for f in fields))
 
 
 def refined_step(
@@ -118,7 +122,7 @@ def refined_step(
     return near.select("patch_id", "level", "j", "i", *((F.col(f) - change[f]).alias(f) for f in fields))
 
 
-def peak_cell(cells: DataFrame, value: str, at: Sequence[str]) -> DataFrame:
-    """One row: the place of the largest value (the first in order of place on ties)."""
+def peak_cell(cells: DataFrame, value: str, at: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The place of the largest value (the first in order of place on ties): one row, or one for each ``by``."""
     best = F.max_by(F.struct(*at), F.struct(F.col(value), *(-F.col(c) for c in at)))
-    return cells.agg(best.alias("p"), F.max(value).alias(value)).select(*(F.col(f"p.{c}").alias(c) for c in at), value)
+    return cells.groupBy(*by).agg(best.alias("p"), F.max(value).alias(value)).select(*by, *(F.col(f"p.{c}").alias(c) for c in at), value)

@@ -1,6 +1,6 @@
 """Leaf sets of a periodic quadtree or octree, kept as tables of Morton keys.
 
-A leaf set is ``patch_id, level, x, y[, z]``.  Neighbours are not stored: they follow from the set by
+A leaf set is ``patch_id, level, x, y[, z]``, of one tree or of many: keys carry their tree.  Neighbours are not stored: they follow from the set by
 three equi-joins.  All functions take and return DataFrames; broadcasts are left to Spark, which
 checks sizes.
 """
@@ -53,15 +53,15 @@ def root(spark: SparkSession, codec: MortonCodec) -> DataFrame:
     return with_coords(spark.range(1).select(F.lit(0).cast("long").alias("patch_id")), codec)
 
 
-def uniform(spark: SparkSession, codec: MortonCodec, level: int) -> DataFrame:
-    """All patches of one level, made in parallel."""
-    shift = codec.rank * (codec.depth - level) + 6
-    return with_coords(
-        spark.range(1 << (codec.rank * level)).select(
-            F.shiftleft("id", shift).bitwiseOR(F.lit(level).cast("long")).alias("patch_id")
-        ),
-        codec,
-    )
+def uniform(spark: SparkSession, codec: MortonCodec, level: int, trees: DataFrame | None = None) -> DataFrame:
+    """All patches of one level, made in parallel; of every tree of ``trees`` (a column of numbers), or of one."""
+    shift, n = codec.rank * (codec.depth - level) + 6, 1 << (codec.rank * level)
+    if trees is None:
+        codes = spark.range(n).select("id")
+    else:
+        first = F.col(trees.columns[0]).cast("long") * n
+        codes = trees.select(F.explode(F.sequence(first, first + (n - 1))).alias("id"))
+    return with_coords(codes.select(F.shiftleft("id", shift).bitwiseOR(F.lit(level).cast("long")).alias("patch_id")), codec)
 
 
 def neighbors(leaves: DataFrame, codec: MortonCodec) -> DataFrame:
@@ -75,7 +75,7 @@ def neighbors(leaves: DataFrame, codec: MortonCodec) -> DataFrame:
     faces = F.array(*(F.struct(F.lit(d).alias("dir"), *(F.lit(v).alias(f"d{a}") for v, a in zip(step, axes, strict=True))) for d, *step in around))
     moved = [F.pmod(F.col(a) + F.col(f"f.d{a}") * F.col("side"), F.lit(codec.extent)) for a in axes]
     wanted = leaves.select("patch_id", "level", *axes, side.alias("side"), F.explode(faces).alias("f")).select(
-        "patch_id", F.col("f.dir").alias("dir"), codec.encode(moved, F.col("level")).alias("at")
+        "patch_id", F.col("f.dir").alias("dir"), codec.encode(moved, F.col("level"), codec.tree(F.col("patch_id"))).alias("at")
     )
     # Candidates of each case; whichever is a leaf is the neighbour, so one join finds all.
     finer = [

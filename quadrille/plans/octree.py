@@ -26,56 +26,59 @@ def _each(text: str) -> str:
     return _all(text, ", ")
 
 
-def _key(text: str, level: str) -> str:
-    return Q.enc([text.replace("@", a) for a in AXES], level)
+def _key(text: str, level: str, tree: str = "") -> str:
+    return Q.enc([text.replace("@", a) for a in AXES], level, tree)
 
 
 def _neighbors(k: int) -> str:
     lower = {0: "z", 1: "y", 2: "x"}
     touch = " ".join(f"WHEN {2 * d + p} THEN l.{a} {'=' if p else '<>'} w.n{a}" for d, a in lower.items() for p in (0, 1))
-    return f"""wish{k} AS MATERIALIZED (SELECT l.patch_id, l.level, l.s, d.dir, {_each(f'(l.@ + d.d@ * l.s + 128) % 128 AS n@')} FROM leaf{k} l, {_FACES}),
+    return f"""wish{k} AS MATERIALIZED (SELECT l.patch_id, l.level, l.g, l.s, d.dir, {_each(f'(l.@ + d.d@ * l.s + 128) % 128 AS n@')} FROM leaf{k} l, {_FACES}),
 nbr{k} AS MATERIALIZED (
-  SELECT w.patch_id, w.dir, 'same' AS relation, l.patch_id AS n_id FROM wish{k} w JOIN leaf{k} l ON l.level = w.level AND {_all('l.@ = w.n@')}
-  UNION ALL SELECT w.patch_id, w.dir, 'coarser', l.patch_id FROM wish{k} w JOIN leaf{k} l ON l.level = w.level - 1 AND {_all('l.@ = w.n@ - w.n@ % (2 * w.s)')}
-  UNION ALL SELECT w.patch_id, w.dir, 'finer', l.patch_id FROM wish{k} w JOIN leaf{k} l ON l.level = w.level + 1 AND {_all('l.@ - l.@ % w.s = w.n@')}
+  SELECT w.patch_id, w.dir, 'same' AS relation, l.patch_id AS n_id FROM wish{k} w JOIN leaf{k} l ON l.g = w.g AND l.level = w.level AND {_all('l.@ = w.n@')}
+  UNION ALL SELECT w.patch_id, w.dir, 'coarser', l.patch_id FROM wish{k} w JOIN leaf{k} l ON l.g = w.g AND l.level = w.level - 1 AND {_all('l.@ = w.n@ - w.n@ % (2 * w.s)')}
+  UNION ALL SELECT w.patch_id, w.dir, 'finer', l.patch_id FROM wish{k} w JOIN leaf{k} l ON l.g = w.g AND l.level = w.level + 1 AND {_all('l.@ - l.@ % (2 * l.s) = w.n@')}
     WHERE CASE w.dir {touch} END)"""
 
 
 def _passes(number: int) -> str:
     """CTEs up to the leaf set after ``number`` passes, and the flags of one more."""
     out = [
-        "points AS MATERIALIZED (SELECT floor(value)::BIGINT % 128 AS x, floor(value * 3)::BIGINT % 128 AS y, user_id % 128 AS z FROM events)",
-        f"leaf0 AS MATERIALIZED (SELECT {_key('@', '2')} AS patch_id, 2 AS level, x, y, z, 32 AS s FROM (SELECT a.range * 32 AS x, b.range * 32 AS y, c.range * 32 AS z FROM range(4) a, range(4) b, range(4) c))",
+        f"points AS MATERIALIZED (SELECT event_id // {Q.GROUP} AS g, floor(value)::BIGINT % 128 AS x, floor(value * 3)::BIGINT % 128 AS y, user_id % 128 AS z FROM events)",
+        "totals AS MATERIALIZED (SELECT g, count(*) AS total FROM points GROUP BY g)",
+        f"leaf0 AS MATERIALIZED (SELECT {_key('@', '2', 'g')} AS patch_id, 2 AS level, g, x, y, z, 32 AS s FROM (SELECT g, a.range * 32 AS x, b.range * 32 AS y, c.range * 32 AS z FROM (SELECT DISTINCT g FROM points), range(4) a, range(4) b, range(4) c))",
     ]
     for k, share in enumerate(S.PASSES3[:number]):
         out += [
-            f"""flag{k} AS MATERIALIZED (SELECT l.patch_id, l.level, {_each('l.@')}, l.s, CASE WHEN count(p.x) * {share} > t.total AND l.level < 7 THEN 'refine'
-    WHEN count(p.x) * {share} * 4 <= t.total THEN 'coarsen' ELSE 'stable' END AS status
-  FROM leaf{k} l CROSS JOIN (SELECT count(*) AS total FROM points) t LEFT JOIN points p ON {_all('p.@ >= l.@ AND p.@ < l.@ + l.s')} GROUP BY ALL, t.total)""".replace("GROUP BY ALL, t.total", f"GROUP BY l.patch_id, l.level, {_each('l.@')}, l.s, t.total"),
+            f"""hits{k} AS MATERIALIZED (SELECT l.patch_id, count(*) AS n FROM leaf{k} l JOIN points p ON p.g = l.g AND {_all('p.@ >= l.@ AND p.@ < l.@ + l.s')} GROUP BY l.patch_id),
+flag{k} AS MATERIALIZED (SELECT l.patch_id, l.level, l.g, {_each('l.@')}, l.s, CASE WHEN coalesce(h.n, 0) * {share} > t.total AND l.level < 7 THEN 'refine'
+    WHEN coalesce(h.n, 0) * {share} * 4 <= t.total THEN 'coarsen' ELSE 'stable' END AS status
+  FROM leaf{k} l JOIN totals t ON t.g = l.g LEFT JOIN hits{k} h ON h.patch_id = l.patch_id)""",
             _neighbors(k),
             f"""r{k}(patch_id) AS (SELECT patch_id FROM flag{k} WHERE status = 'refine'
   UNION SELECT n.n_id FROM r{k} JOIN nbr{k} n ON n.patch_id = r{k}.patch_id AND n.relation = 'coarser')""",
-            f"""fam{k} AS MATERIALIZED (SELECT level - 1 AS level, {_each('@ - @ % (2 * s) AS @')}, 2 * s AS s FROM flag{k} WHERE level > {S.MIN_LEVEL3}
+            f"""fam{k} AS MATERIALIZED (SELECT level - 1 AS level, g, {_each('@ - @ % (2 * s) AS @')}, 2 * s AS s FROM flag{k} WHERE level > {S.MIN_LEVEL3}
   GROUP BY ALL HAVING count(*) = 8 AND bool_and(status = 'coarsen'))""",
             f"""ok{k} AS MATERIALIZED (SELECT f.* FROM fam{k} f WHERE NOT EXISTS (SELECT 1 FROM leaf{k} l JOIN nbr{k} n ON n.patch_id = l.patch_id
-    LEFT JOIN r{k} ON r{k}.patch_id = n.n_id WHERE l.level = f.level + 1 AND {_all('l.@ - l.@ % f.s = f.@')}
+    LEFT JOIN r{k} ON r{k}.patch_id = n.n_id WHERE l.g = f.g AND l.level = f.level + 1 AND {_all('l.@ - l.@ % f.s = f.@')}
       AND (n.relation = 'finer' OR (n.relation = 'same' AND r{k}.patch_id IS NOT NULL))))""",
             f"""leaf{k + 1} AS MATERIALIZED (
-  SELECT patch_id, level, {_each('@')}, s FROM leaf{k} l WHERE NOT EXISTS (SELECT 1 FROM r{k} WHERE r{k}.patch_id = l.patch_id)
-    AND NOT EXISTS (SELECT 1 FROM ok{k} f WHERE f.level + 1 = l.level AND {_all('f.@ = l.@ - l.@ % f.s')})
-  UNION ALL SELECT {_key('@ + c@ * (s // 2)', 'level + 1')}, level + 1, {_each('@ + c@ * (s // 2)')}, s // 2
-    FROM leaf{k} l, (VALUES {_OFFSETS}) c(cx, cy, cz) WHERE EXISTS (SELECT 1 FROM r{k} WHERE r{k}.patch_id = l.patch_id)
-  UNION ALL SELECT {_key('@', 'level')}, level, {_each('@')}, s FROM ok{k})""",
+  SELECT l.patch_id, l.level, l.g, {_each('l.@')}, l.s FROM leaf{k} l LEFT JOIN r{k} r ON r.patch_id = l.patch_id
+    LEFT JOIN ok{k} f ON f.g = l.g AND f.level + 1 = l.level AND {_all('f.@ = l.@ - l.@ % (2 * l.s)')} WHERE r.patch_id IS NULL AND f.g IS NULL
+  UNION ALL SELECT {_key('@ + c@ * (s // 2)', 'level + 1', 'g')}, level + 1, g, {_each('@ + c@ * (s // 2)')}, s // 2
+    FROM (SELECT l.* FROM leaf{k} l JOIN r{k} USING (patch_id)), (VALUES {_OFFSETS}) c(cx, cy, cz)
+  UNION ALL SELECT {_key('@', 'level', 'g')}, level, g, {_each('@')}, s FROM ok{k})""",
         ]
     return "WITH RECURSIVE " + ",\n".join(out)
 
 
 _IN = "FROM range(4) a, range(4) b"
-_CELLS = f"""grid3 AS MATERIALIZED (SELECT p.x, p.y, p.z, coalesce(u, 0.0) AS u FROM (SELECT a.range AS x, b.range AS y, c.range AS z FROM range(32) a, range(32) b, range(32) c) p
-  LEFT JOIN (SELECT l_partkey % 32 AS x, l_suppkey % 32 AS y, l_orderkey % 32 AS z, sum(l_quantity) AS u FROM lineitem GROUP BY 1, 2, 3) g ON {_all('g.@ = p.@')}),
-cells AS MATERIALIZED (SELECT l.patch_id, l.level, c.k, c.j, c.i, l.s // 4 AS w, l.x + c.i * (l.s // 4) AS cx, l.y + c.j * (l.s // 4) AS cy, l.z + c.k * (l.s // 4) AS cz, g.u
-  FROM leaf2 l CROSS JOIN (SELECT a.range::INTEGER AS k, b.range::INTEGER AS j, c.range::INTEGER AS i FROM range(4) a, range(4) b, range(4) c) c
-  JOIN grid3 g ON g.x = (2 * l.x + (2 * c.i + 1) * (l.s // 4)) // 8 AND g.y = (2 * l.y + (2 * c.j + 1) * (l.s // 4)) // 8 AND g.z = (2 * l.z + (2 * c.k + 1) * (l.s // 4)) // 8)"""
+_CELLS = f"""grid3 AS MATERIALIZED (SELECT p.g, p.x, p.y, p.z, coalesce(u, 0.0) AS u FROM (SELECT o.g, a.range AS x, b.range AS y, c.range AS z FROM (SELECT DISTINCT l_orderkey // {Q.GROUP} AS g FROM lineitem) o, range(32) a, range(32) b, range(32) c) p
+  LEFT JOIN (SELECT l_orderkey // {Q.GROUP} AS g, l_partkey % 32 AS x, l_suppkey % 32 AS y, l_orderkey % 32 AS z, sum(l_quantity) AS u FROM lineitem GROUP BY 1, 2, 3, 4) g ON g.g = p.g AND {_all('g.@ = p.@')}),
+places AS MATERIALIZED (SELECT l.patch_id, l.level, l.g, c.k, c.j, c.i, l.s // 4 AS w, l.x + c.i * (l.s // 4) AS cx, l.y + c.j * (l.s // 4) AS cy, l.z + c.k * (l.s // 4) AS cz,
+    (2 * l.x + (2 * c.i + 1) * (l.s // 4)) // 8 AS x, (2 * l.y + (2 * c.j + 1) * (l.s // 4)) // 8 AS y, (2 * l.z + (2 * c.k + 1) * (l.s // 4)) // 8 AS z
+  FROM leaf2 l CROSS JOIN (SELECT a.range::INTEGER AS k, b.range::INTEGER AS j, c.range::INTEGER AS i FROM range(4) a, range(4) b, range(4) c) c),
+cells AS MATERIALIZED (SELECT patch_id, level, g, k, j, i, w, cx, cy, cz, u FROM places JOIN grid3 USING (g, x, y, z))"""
 _WANT = " UNION ALL ".join(
     f"SELECT {2 * d + p} AS dir, " + ", ".join(f"{4 if p else -1} AS {m}" if m == at else f"{next(names)} AS {m}" for m in tree.INDICES) + f" {_IN}"
     for d, at in enumerate(tree.INDICES)
@@ -83,11 +86,11 @@ _WANT = " UNION ALL ".join(
     for names in [iter(["a.range::INTEGER", "b.range::INTEGER"])]
 )
 _HALO = f"""{_passes(2)}, {_CELLS},
-want AS MATERIALIZED (SELECT l.patch_id, d.dir, d.k, d.j, d.i, l.s // 4 AS w, (l.x + d.i * (l.s // 4) + 128) % 128 AS hx, (l.y + d.j * (l.s // 4) + 128) % 128 AS hy, (l.z + d.k * (l.s // 4) + 128) % 128 AS hz
+want AS MATERIALIZED (SELECT l.patch_id, l.g, d.dir, d.k, d.j, d.i, l.s // 4 AS w, (l.x + d.i * (l.s // 4) + 128) % 128 AS hx, (l.y + d.j * (l.s // 4) + 128) % 128 AS hy, (l.z + d.k * (l.s // 4) + 128) % 128 AS hz
   FROM leaf2 l CROSS JOIN ({_WANT}) d)
-SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'same' AS relation, {Q.r('c.u')} AS u FROM want h JOIN cells c ON c.w = h.w AND {_all('c.c@ = h.h@')}
-UNION ALL SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'coarser', {Q.r('c.u')} FROM want h JOIN cells c ON c.w = 2 * h.w AND {_all('c.c@ = h.h@ - h.h@ % (2 * h.w)')}
-UNION ALL SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'finer', {Q.r('avg(c.u)')} FROM want h JOIN cells c ON 2 * c.w = h.w AND {_all('c.c@ - c.c@ % h.w = h.h@')} GROUP BY ALL"""
+SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'same' AS relation, {Q.r('c.u')} AS u FROM want h JOIN cells c ON c.g = h.g AND c.w = h.w AND {_all('c.c@ = h.h@')}
+UNION ALL SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'coarser', {Q.r('c.u')} FROM want h JOIN cells c ON c.g = h.g AND c.w = 2 * h.w AND {_all('c.c@ = h.h@ - h.h@ % (2 * h.w)')}
+UNION ALL SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'finer', {Q.r('avg(c.u)')} FROM want h JOIN cells c ON c.g = h.g AND 2 * c.w = h.w AND {_all('c.c@ - c.c@ % (2 * c.w) = h.h@')} GROUP BY ALL"""
 
 
 def _r6(c: str):
@@ -122,7 +125,7 @@ def register(query, checkpoints) -> None:
         return found.select("patch_id", "dir", *tree.INDICES, "relation", _r6("u").alias("u"))
 
     @query(
-        f"{_passes(2)}, {_CELLS} SELECT {_key('c@ - c@ % (8 * w)', 'level - 1')} AS patch_id, ((cz // (2 * w)) % 4)::INTEGER AS k, ((cy // (2 * w)) % 4)::INTEGER AS j, ((cx // (2 * w)) % 4)::INTEGER AS i, "
+        f"{_passes(2)}, {_CELLS} SELECT {_key('c@ - c@ % (8 * w)', 'level - 1', 'g')} AS patch_id, ((cz // (2 * w)) % 4)::INTEGER AS k, ((cy // (2 * w)) % 4)::INTEGER AS j, ((cx // (2 * w)) % 4)::INTEGER AS i, "
         f"{Q.r('avg(u)')} AS u, max(u) AS top FROM cells WHERE level > 0 GROUP BY ALL HAVING count(*) = 8"
     )
     def octree_restrict(spark, sf):
@@ -136,7 +139,7 @@ def register(query, checkpoints) -> None:
         return mean.join(top, at).join(whole, at).select(*at, _r6("u").alias("u"), "top")
 
     @query(
-        f"{_passes(2)}, {_CELLS} SELECT {_key('(c@ + p@ * (w // 2)) - (c@ + p@ * (w // 2)) % (2 * w)', 'level + 1')} AS patch_id, "
+        f"{_passes(2)}, {_CELLS} SELECT {_key('(c@ + p@ * (w // 2)) - (c@ + p@ * (w // 2)) % (2 * w)', 'level + 1', 'g')} AS patch_id, "
         f"(((cz + pz * (w // 2)) // (w // 2)) % 4)::INTEGER AS k, (((cy + py * (w // 2)) // (w // 2)) % 4)::INTEGER AS j, (((cx + px * (w // 2)) // (w // 2)) % 4)::INTEGER AS i, "
         f"{Q.r('u + 0.25 * (px - 0.5) + 0.5 * (pz - 0.5)')} AS u FROM cells, (VALUES {_OFFSETS}) p(px, py, pz)"
     )

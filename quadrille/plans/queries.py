@@ -22,6 +22,8 @@ C2, C3 = S.CODEC, S.CODEC3
 LAYOUT = PatchLayout((S.PATCH, S.PATCH), 1)
 UNIT = geometry.Geometry((1.0, 1.0), (S.PATCH, S.PATCH), C2.depth)
 DT = 0.00390625
+#: The column that tells grids apart.
+BY = ("g",)
 
 
 def query(sql: str):
@@ -219,12 +221,12 @@ def interior_slice(spark, sf):
 # --- between levels -----------------------------------------------------------------------------
 
 
-@query(f"WITH {Q.PATCHES} SELECT {Q.enc(['(x // 16) * 32', '(y // 16) * 32'], '2')} AS patch_id, ((y % 16) // 2)::INTEGER AS j, ((x % 16) // 2)::INTEGER AS i, {Q.r('avg(u)')} AS u FROM cells GROUP BY ALL")
+@query(f"WITH {Q.PATCHES} SELECT {Q.enc(['(x // 16) * 32', '(y // 16) * 32'], '2', 'g')} AS patch_id, ((y % 16) // 2)::INTEGER AS j, ((x % 16) // 2)::INTEGER AS i, {Q.r('avg(u)')} AS u FROM cells GROUP BY ALL")
 def restrict_mean(spark, sf):
     return intergrid.restrict(S.patches(spark, sf), C2, 8, ["u"]).select("patch_id", "j", "i", r6("u").alias("u"))
 
 
-_FINE = f"fine AS (SELECT {Q.enc(['(x // 4) * 8', '(y // 4) * 8'], '4')} AS patch_id, (2 * (y % 4) + a)::INTEGER AS j, (2 * (x % 4) + b)::INTEGER AS i, u FROM cells, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b))"
+_FINE = f"fine AS (SELECT {Q.enc(['(x // 4) * 8', '(y // 4) * 8'], '4', 'g')} AS patch_id, (2 * (y % 4) + a)::INTEGER AS j, (2 * (x % 4) + b)::INTEGER AS i, u FROM cells, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b))"
 
 
 @query(f"WITH {Q.PATCHES}, {_FINE} SELECT * FROM fine")
@@ -276,7 +278,7 @@ _PASS0 = ",\n".join([Q.passes(0), *Q.step(0, S.PASSES[0])])
 _PASS2 = ",\n".join([Q.passes(2), *Q.step(2, S.PASSES[2])])
 
 
-@query(f"WITH RECURSIVE {_PASS0} SELECT {Q.enc(['x', 'y'], 'level')} AS patch_id FROM fam0")
+@query(f"WITH RECURSIVE {_PASS0} SELECT {Q.enc(['x', 'y'], 'level', 'g')} AS patch_id FROM fam0")
 def coarsen_families(spark, sf):
     checkpoints(spark)
     _, flags = S.flags_of_pass(spark, sf, 0)
@@ -290,7 +292,7 @@ def balance_closure(spark, sf):
     return tree.balance_refinement(tree.eligible(flags, C2), tree.neighbors(leaves, C2), C2)[0]
 
 
-@query(f"WITH RECURSIVE {_PASS0} SELECT {Q.enc(['x', 'y'], 'level')} AS patch_id FROM ok0")
+@query(f"WITH RECURSIVE {_PASS0} SELECT {Q.enc(['x', 'y'], 'level', 'g')} AS patch_id FROM ok0")
 def coarsen_prune(spark, sf):
     checkpoints(spark)
     leaves, flags = S.flags_of_pass(spark, sf, 0)
@@ -304,7 +306,7 @@ def topology_change(spark, sf):
     return new.exceptAll(old).select(F.lit("born").alias("change"), "patch_id").unionByName(old.exceptAll(new).select(F.lit("gone").alias("change"), "patch_id"))
 
 
-@query(f"WITH RECURSIVE {Q.passes(3)} SELECT patch_id, count(p.x) AS n FROM leaf3 l JOIN points p ON p.x >= l.x AND p.x < l.x + l.s AND p.y >= l.y AND p.y < l.y + l.s GROUP BY patch_id")
+@query(f"WITH RECURSIVE {Q.passes(3)} SELECT patch_id, count(p.x) AS n FROM leaf3 l JOIN points p ON p.g = l.g AND p.x >= l.x AND p.x < l.x + l.s AND p.y >= l.y AND p.y < l.y + l.s GROUP BY patch_id")
 def points_per_leaf(spark, sf):
     checkpoints(spark)
     return S.locate(S.points(spark, sf), S.leaf_set(spark, sf)).groupBy("patch_id").agg(F.sum("n").alias("n"))
@@ -312,14 +314,15 @@ def points_per_leaf(spark, sf):
 
 @query(
     f"""WITH RECURSIVE {Q.passes(1)}, {Q.GRID},
-old AS (SELECT l.patch_id, l.x * 16 + i * 2 * l.s AS cx, l.y * 16 + j * 2 * l.s AS cy, 2 * l.s AS w, g.u FROM leaf0 l
-  CROSS JOIN (SELECT a.range AS j, b.range AS i FROM range(8) a, range(8) b) c JOIN grid g ON g.x = (l.x * 16 + (2 * c.i + 1) * l.s) // 32 AND g.y = (l.y * 16 + (2 * c.j + 1) * l.s) // 32),
-new AS (SELECT l.patch_id, j::INTEGER AS j, i::INTEGER AS i, l.x * 16 + i * 2 * l.s AS cx, l.y * 16 + j * 2 * l.s AS cy, 2 * l.s AS w FROM leaf1 l
+places AS MATERIALIZED (SELECT l.patch_id, l.g, l.x * 16 + i * 2 * l.s AS cx, l.y * 16 + j * 2 * l.s AS cy, 2 * l.s AS w, (l.x * 16 + (2 * c.i + 1) * l.s) // 32 AS x, (l.y * 16 + (2 * c.j + 1) * l.s) // 32 AS y
+  FROM leaf0 l CROSS JOIN (SELECT a.range AS j, b.range AS i FROM range(8) a, range(8) b) c),
+old AS MATERIALIZED (SELECT patch_id, g, cx, cy, w, u FROM places JOIN grid USING (g, x, y)),
+new AS MATERIALIZED (SELECT l.patch_id, l.g, j::INTEGER AS j, i::INTEGER AS i, l.x * 16 + i * 2 * l.s AS cx, l.y * 16 + j * 2 * l.s AS cy, 2 * l.s AS w FROM leaf1 l
   CROSS JOIN (SELECT a.range AS j, b.range AS i FROM range(8) a, range(8) b) c)
 SELECT patch_id, j, i, {Q.r('avg(u)')} AS u FROM (
-  SELECT n.patch_id, n.j, n.i, o.u FROM new n JOIN old o ON o.w = n.w AND o.cx = n.cx AND o.cy = n.cy
-  UNION ALL SELECT n.patch_id, n.j, n.i, o.u FROM new n JOIN old o ON o.w = 2 * n.w AND o.cx = n.cx - n.cx % o.w AND o.cy = n.cy - n.cy % o.w
-  UNION ALL SELECT n.patch_id, n.j, n.i, o.u FROM new n JOIN old o ON 2 * o.w = n.w AND o.cx - o.cx % n.w = n.cx AND o.cy - o.cy % n.w = n.cy) GROUP BY ALL"""
+  SELECT n.patch_id, n.j, n.i, o.u FROM new n JOIN old o ON o.g = n.g AND o.w = n.w AND o.cx = n.cx AND o.cy = n.cy
+  UNION ALL SELECT n.patch_id, n.j, n.i, o.u FROM new n JOIN old o ON o.g = n.g AND o.w = 2 * n.w AND o.cx = n.cx - n.cx % (2 * n.w) AND o.cy = n.cy - n.cy % (2 * n.w)
+  UNION ALL SELECT n.patch_id, n.j, n.i, o.u FROM new n JOIN old o ON o.g = n.g AND 2 * o.w = n.w AND o.cx - o.cx % (2 * o.w) = n.cx AND o.cy - o.cy % (2 * o.w) = n.cy) GROUP BY ALL"""
 )
 def regrid_cells(spark, sf):
     checkpoints(spark)
@@ -367,36 +370,39 @@ ADVECTION, EULER = physics.Advection((1.0, 0.5)), physics.Euler(2)
 def _gas(spark, sf) -> DataFrame:
     prim = S.primitive_grid(spark, sf)
     cons = EULER.conservative({c: F.col(c) for c in ("rho", "vx", "vy", "p")})
-    return prim.select("x", "y", *(c.alias(k) for k, c in cons.items()))
+    return prim.select("g", "x", "y", *(c.alias(k) for k, c in cons.items()))
 
 
-@query(f"WITH {Q.GAS} SELECT x, y, {Q.r('rho')} AS rho, {Q.r('mx')} AS mx, {Q.r('my')} AS my, {Q.r('e')} AS e FROM gas")
+@query(f"WITH {Q.GAS} SELECT g, x, y, {Q.r('rho')} AS rho, {Q.r('mx')} AS mx, {Q.r('my')} AS my, {Q.r('e')} AS e FROM gas")
 def euler_prim_to_cons(spark, sf):
-    return _gas(spark, sf).select("x", "y", *(r6(c).alias(c) for c in EULER.fields))
+    return _gas(spark, sf).select("g", "x", "y", *(r6(c).alias(c) for c in EULER.fields))
 
 
-@query(f"WITH {Q.GRID} SELECT {Q.r('0.3 * least(1.0 / 64, 1.0 / 64 / 0.5)')} AS dt FROM grid LIMIT 1")
+@query(f"WITH RECURSIVE {Q.LEAF_CELLS} SELECT g, {Q.r('0.3 * min(least(s / 1024.0, s / 1024.0 / 0.5))', 9)} AS dt FROM cells GROUP BY g")
 def cfl_dt_advection(spark, sf):
-    h = F.lit(1 / 64)
-    return fvm.cfl_limit(S.grid(spark, sf), ADVECTION, [h, h], 0.3).select(r6("dt").alias("dt"))
+    """Of each tree, from the sizes of its own cells."""
+    checkpoints(spark)
+    cells = S.leaf_cells(S.leaf_set(spark, sf), S.grid(spark, sf)).withColumn("g", C2.tree(F.col("patch_id")))
+    h = [UNIT.cell_size(F.col("level"), a) for a in (0, 1)]
+    return fvm.cfl_limit(cells, ADVECTION, h, 0.3, BY).select("g", r6("dt", 9).alias("dt"))
 
 
-@query(f"WITH {Q.STATE} SELECT {Q.r('0.3 * min(least(1.0 / 64 / (abs(mx / rho) + a), 1.0 / 64 / (abs(my / rho) + a)))')} AS dt FROM state")
+@query(f"WITH {Q.STATE} SELECT g, {Q.r('0.3 * min(least(1.0 / 64 / (abs(mx / rho) + a), 1.0 / 64 / (abs(my / rho) + a)))')} AS dt FROM state GROUP BY g")
 def cfl_dt_euler(spark, sf):
     h = F.lit(1 / 64)
-    return fvm.cfl_limit(_gas(spark, sf), EULER, [h, h], 0.3).select(r6("dt").alias("dt"))
+    return fvm.cfl_limit(_gas(spark, sf), EULER, [h, h], 0.3, BY).select("g", r6("dt").alias("dt"))
 
 
 _FLUX = ", ".join(f"{Q.r(Q.euler_flux('s', 't', a, f))} AS {f}_{a}" for a in (0, 1) for f in ("rho", "mx", "my", "e"))
 
 
-@query(f"WITH {Q.STATE} SELECT s.x, s.y, {_FLUX} FROM state s JOIN state t ON t.x = (s.x + 1) % 64 AND t.y = s.y")
+@query(f"WITH {Q.STATE} SELECT s.g, s.x, s.y, {_FLUX} FROM state s JOIN state t ON t.g = s.g AND t.x = (s.x + 1) % 64 AND t.y = s.y")
 def euler_rusanov_flux(spark, sf):
     gas = _gas(spark, sf)
-    right = gas.select(((F.col("x") + 63) % 64).alias("x"), "y", F.struct(*EULER.fields).alias("t"))
+    right = gas.select("g", ((F.col("x") + 63) % 64).alias("x"), "y", F.struct(*EULER.fields).alias("t"))
     own, other = {f: F.col(f) for f in EULER.fields}, {f: F.col(f"t.{f}") for f in EULER.fields}
     out = [r6(EULER.flux(own, other, a)[f]).alias(f"{f}_{a}") for a in (0, 1) for f in EULER.fields]
-    return gas.join(right, ["x", "y"]).select("x", "y", *out)
+    return gas.join(right, ["g", "x", "y"]).select("g", "x", "y", *out)
 
 
 _EULER_STEP = ", ".join(
@@ -409,31 +415,31 @@ _EULER_STEP = ", ".join(
 
 
 @query(
-    f"""WITH {Q.STATE} SELECT s.x, s.y, {_EULER_STEP} FROM state s JOIN state rr ON rr.x = (s.x + 1) % 64 AND rr.y = s.y JOIN state ll ON ll.x = (s.x + 63) % 64 AND ll.y = s.y
- JOIN state uu ON uu.y = (s.y + 1) % 64 AND uu.x = s.x JOIN state dd ON dd.y = (s.y + 63) % 64 AND dd.x = s.x"""
+    f"""WITH {Q.STATE} SELECT s.g, s.x, s.y, {_EULER_STEP} FROM state s JOIN state rr ON rr.g = s.g AND rr.x = (s.x + 1) % 64 AND rr.y = s.y JOIN state ll ON ll.g = s.g AND ll.x = (s.x + 63) % 64 AND ll.y = s.y
+ JOIN state uu ON uu.g = s.g AND uu.y = (s.y + 1) % 64 AND uu.x = s.x JOIN state dd ON dd.g = s.g AND dd.y = (s.y + 63) % 64 AND dd.x = s.x"""
 )
 def euler_step(spark, sf):
-    out = fvm.uniform_step(_gas(spark, sf), EULER, DT, (1 / 64, 1 / 64), 64)
-    return out.select("x", "y", *(r6(c).alias(c) for c in EULER.fields))
+    out = fvm.uniform_step(_gas(spark, sf), EULER, DT, (1 / 64, 1 / 64), 64, BY)
+    return out.select("g", "x", "y", *(r6(c).alias(c) for c in EULER.fields))
 
 
-@query(f"WITH {Q.advect(1)} SELECT x, y, {Q.r('u')} AS u FROM s1")
+@query(f"WITH {Q.advect(1)} SELECT g, x, y, {Q.r('u')} AS u FROM s1")
 def fvm_advection_step(spark, sf):
-    return fvm.uniform_step(S.grid(spark, sf), ADVECTION, DT, (1 / 64, 1 / 64), 64).select("x", "y", r6("u").alias("u"))
+    return fvm.uniform_step(S.grid(spark, sf), ADVECTION, DT, (1 / 64, 1 / 64), 64, BY).select("g", "x", "y", r6("u").alias("u"))
 
 
-@query(f"WITH {Q.advect(5)} SELECT x, y, {Q.r('u')} AS u FROM s5")
+@query(f"WITH {Q.advect(5)} SELECT g, x, y, {Q.r('u')} AS u FROM s5")
 def fvm_advection_5_steps(spark, sf):
     checkpoints(spark)
-    end = loops.run_uniform(S.grid(spark, sf), ADVECTION, (1 / 64, 1 / 64), 64, t_end=5 * DT, dt=DT)
-    return end.select("x", "y", r6("u").alias("u"))
+    end = loops.run_uniform(S.grid(spark, sf), ADVECTION, (1 / 64, 1 / 64), 64, t_end=5 * DT, dt=DT, by=BY)
+    return end.select("g", "x", "y", r6("u").alias("u"))
 
 
-@query(f"WITH {Q.advect(3)} SELECT arg_max(x, (u, -x, -y)) AS x, arg_max(y, (u, -x, -y)) AS y, {Q.r('max(u)')} AS u FROM s3")
+@query(f"WITH {Q.advect(3)} SELECT g, arg_max(x, (u, -x, -y)) AS x, arg_max(y, (u, -x, -y)) AS y, {Q.r('max(u)')} AS u FROM s3 GROUP BY g")
 def pulse_argmax(spark, sf):
     checkpoints(spark)
-    end = loops.run_uniform(S.grid(spark, sf), ADVECTION, (1 / 64, 1 / 64), 64, t_end=3 * DT, dt=DT)
-    return fvm.peak_cell(end, "u", ["x", "y"]).select("x", "y", r6("u").alias("u"))
+    end = loops.run_uniform(S.grid(spark, sf), ADVECTION, (1 / 64, 1 / 64), 64, t_end=3 * DT, dt=DT, by=BY)
+    return fvm.peak_cell(end, "u", ["x", "y"], BY).select("g", "x", "y", r6("u").alias("u"))
 
 
 @query(
@@ -547,27 +553,27 @@ LINEAR = dg.LinearAdvection((1.0, 1.0))
 def _dofs(spark, sf) -> DataFrame:
     points = basis.tensor_points(2, 2)
     nodes = F.array(*(F.col("u") * F.lit(float(1 + 0.2 * px + 0.1 * py)) for py, px in points))
-    return S.grid(spark, sf).select("x", "y", nodes.alias("u"))
+    return S.grid(spark, sf).select("g", "x", "y", nodes.alias("u"))
 
 
 def _long(cells: DataFrame, digits: int = 6) -> DataFrame:
-    return cells.select("x", "y", F.posexplode("u").alias("k", "v")).select("x", "y", "k", r6("v", digits).alias("v"))
+    return cells.select("g", "x", "y", F.posexplode("u").alias("k", "v")).select("g", "x", "y", "k", r6("v", digits).alias("v"))
 
 
-@query(f"WITH {Q.DG} SELECT x, y, k, {Q.r('v')} AS v FROM q0")
+@query(f"WITH {Q.DG} SELECT g, x, y, k, {Q.r('v')} AS v FROM q0")
 def dg_project(spark, sf):
     return _long(_dofs(spark, sf))
 
 
-@query(f"WITH {Q.DG} SELECT x, y, {Q.r('any_value(u) * (1 + 0.2 * 0.25 + 0.1 * 0.75)')} AS v, {Q.r('avg(v)')} AS mean FROM q0 JOIN grid USING (x, y) GROUP BY x, y")
+@query(f"WITH {Q.DG} SELECT g, x, y, {Q.r('any_value(u) * (1 + 0.2 * 0.25 + 0.1 * 0.75)')} AS v, {Q.r('avg(v)')} AS mean FROM q0 JOIN grid USING (g, x, y) GROUP BY g, x, y")
 def lagrange_eval(spark, sf):
     u = F.col("u")
-    return _dofs(spark, sf).select("x", "y", r6(dg.evaluate(DG2, u, (0.75, 0.25))).alias("v"), r6(dg.cell_average(u, 4)).alias("mean"))
+    return _dofs(spark, sf).select("g", "x", "y", r6(dg.evaluate(DG2, u, (0.75, 0.25))).alias("v"), r6(dg.cell_average(u, 4)).alias("mean"))
 
 
-@query(f"WITH {Q.DG}, {Q.dg_rhs('q0', 'd0')} SELECT x, y, k, {Q.r('v')} AS v FROM d0")
+@query(f"WITH {Q.DG}, {Q.dg_rhs('q0', 'd0')} SELECT g, x, y, k, {Q.r('v')} AS v FROM d0")
 def dg_rhs(spark, sf):
-    return _long(dg.rhs(_dofs(spark, sf), DG2, LINEAR))
+    return _long(dg.rhs(_dofs(spark, sf), DG2, LINEAR, BY))
 
 
 _VOL = {
@@ -583,22 +589,22 @@ _VOL = {
 }
 
 
-@query(f"WITH {Q.DG}, vol(o, k, w) AS (VALUES {', '.join(f'({i}, {j}, {float(w)!r}::DOUBLE)' for (i, j), w in _VOL.items())}) SELECT x, y, o AS k, {Q.r('sum(w * v)', 9)} AS v FROM q0 JOIN vol USING (k) GROUP BY ALL")
+@query(f"WITH {Q.DG}, vol(o, k, w) AS (VALUES {', '.join(f'({i}, {j}, {float(w)!r}::DOUBLE)' for (i, j), w in _VOL.items())}) SELECT g, x, y, o AS k, {Q.r('sum(w * v)', 9)} AS v FROM q0 JOIN vol USING (k) GROUP BY ALL")
 def dg_volume_term(spark, sf):
     u = F.col("u")
-    return _long(_dofs(spark, sf).select("x", "y", dg.volume_term(DG2, [T.multiply(u, 1.0), T.multiply(u, 1.0)]).alias("u")), 9)
+    return _long(_dofs(spark, sf).select("g", "x", "y", dg.volume_term(DG2, [T.multiply(u, 1.0), T.multiply(u, 1.0)]).alias("u")), 9)
 
 
 @query(
-    f"""WITH {Q.DG}, face AS (SELECT x, y, k // 2 AS t, sum(v * CASE k % 2 WHEN 0 THEN (1 - sqrt(3)) / 2 ELSE (1 + sqrt(3)) / 2 END) AS hi, sum(v * CASE k % 2 WHEN 1 THEN (1 - sqrt(3)) / 2 ELSE (1 + sqrt(3)) / 2 END) AS lo FROM q0 GROUP BY ALL)
-SELECT a.x, a.y, a.t::INTEGER AS k, {Q.r('((a.hi + b.lo) / 2 + (a.hi - b.lo) / 2) / 64')} AS v FROM face a JOIN face b ON b.x = (a.x + 1) % 64 AND b.y = a.y AND a.t = b.t"""
+    f"""WITH {Q.DG}, face AS (SELECT g, x, y, k // 2 AS t, sum(v * CASE k % 2 WHEN 0 THEN (1 - sqrt(3)) / 2 ELSE (1 + sqrt(3)) / 2 END) AS hi, sum(v * CASE k % 2 WHEN 1 THEN (1 - sqrt(3)) / 2 ELSE (1 + sqrt(3)) / 2 END) AS lo FROM q0 GROUP BY ALL)
+SELECT a.g, a.x, a.y, a.t::INTEGER AS k, {Q.r('((a.hi + b.lo) / 2 + (a.hi - b.lo) / 2) / 64')} AS v FROM face a JOIN face b ON b.g = a.g AND b.x = (a.x + 1) % 64 AND b.y = a.y AND a.t = b.t"""
 )
 def dg_face_flux(spark, sf):
     cells = _dofs(spark, sf)
-    right = cells.select(((F.col("x") + 63) % 64).alias("x"), "y", F.col("u").alias("w"))
+    right = cells.select("g", ((F.col("x") + 63) % 64).alias("x"), "y", F.col("u").alias("w"))
     a, b = dg.to_face(DG2, F.col("u"), 0, True), dg.to_face(DG2, F.col("w"), 0, False)
     flux = dg.rusanov(a, b, a, b, F.lit(1.0), 1, DG2.edge)
-    return _long(cells.join(right, ["x", "y"]).select("x", "y", flux.alias("u")))
+    return _long(cells.join(right, ["g", "x", "y"]).select("g", "x", "y", flux.alias("u")))
 
 
 def _integrated(stages: tuple, dt: float = 0.001) -> str:
@@ -606,58 +612,58 @@ def _integrated(stages: tuple, dt: float = 0.001) -> str:
     for n, (keep, new) in enumerate(stages):
         out.append(Q.dg_rhs(f"q{n}", f"d{n}"))
         out.append(
-            f"q{n + 1} AS (SELECT a.x, a.y, a.k, {keep!r}::DOUBLE * z.v + {new!r}::DOUBLE * (a.v + {dt} * d.v) AS v FROM q{n} a JOIN d{n} d USING (x, y, k) JOIN q0 z USING (x, y, k))"
+            f"q{n + 1} AS MATERIALIZED (SELECT a.g, a.x, a.y, a.k, {keep!r}::DOUBLE * z.v + {new!r}::DOUBLE * (a.v + {dt} * d.v) AS v FROM q{n} a JOIN d{n} d USING (g, x, y, k) JOIN q0 z USING (g, x, y, k))"
         )
-    return ",\n".join(out) + f" SELECT x, y, k, {Q.r('v')} AS v FROM q{len(stages)}"
+    return ",\n".join(out) + f" SELECT g, x, y, k, {Q.r('v')} AS v FROM q{len(stages)}"
 
 
 @query("WITH " + _integrated(dg.INTEGRATORS["euler"]))
 def dg_euler_step(spark, sf):
-    return _long(dg.advance(_dofs(spark, sf), DG2, LINEAR, 0.001, "euler"))
+    return _long(dg.advance(_dofs(spark, sf), DG2, LINEAR, 0.001, "euler", BY))
 
 
 @query("WITH " + _integrated(dg.INTEGRATORS["ssprk2"]))
 def dg_ssprk2_step(spark, sf):
     checkpoints(spark)
-    return _long(dg.advance(_dofs(spark, sf), DG2, LINEAR, 0.001, "ssprk2"))
+    return _long(dg.advance(_dofs(spark, sf), DG2, LINEAR, 0.001, "ssprk2", BY))
 
 
 @query("WITH " + _integrated(dg.INTEGRATORS["ssprk3"]))
 def dg_ssprk3_step(spark, sf):
     checkpoints(spark)
-    return _long(dg.advance(_dofs(spark, sf), DG2, LINEAR, 0.001, "ssprk3"))
+    return _long(dg.advance(_dofs(spark, sf), DG2, LINEAR, 0.001, "ssprk3", BY))
 
 
 @query(
-    f"""WITH {Q.DG}, ind AS (SELECT x, y, (max(v) - min(v)) / (abs(avg(1 + v / 1000)) + 1e-10) AS d FROM q0 GROUP BY x, y)
-SELECT {Q.enc(['(x // 8) * 16', '(y // 8) * 16'], '3')} AS patch_id, CASE WHEN bool_or(d > m * 1.6) THEN 'refine' WHEN bool_and(d < m * 1.45) THEN 'coarsen' ELSE 'stable' END AS status
+    f"""WITH {Q.DG}, ind AS (SELECT g, x, y, (max(v) - min(v)) / (abs(avg(1 + v / 1000)) + 1e-10) AS d FROM q0 GROUP BY g, x, y)
+SELECT {Q.enc(['(x // 8) * 16', '(y // 8) * 16'], '3', 'g')} AS patch_id, CASE WHEN bool_or(d > m * 1.6) THEN 'refine' WHEN bool_and(d < m * 1.45) THEN 'coarsen' ELSE 'stable' END AS status
 FROM ind, (SELECT avg(d) AS m FROM ind) GROUP BY 1"""
 )
 def dg_decisions(spark, sf):
     u = F.col("u")
     rho = T.add(T.divide(u, 1000.0), 1.0)
     cut = lambda c: F.shiftleft(F.floor(F.col(c) / 8), 4)
-    cells = _dofs(spark, sf).select(C2.encode([cut("x"), cut("y")], 3).alias("patch_id"), dg.indicator([u], rho, 4).alias("indicator"))
-    mean = cells.agg(F.avg("indicator")).first()[0]
-    return dg.patch_decisions(cells, mean * 1.6, mean * 1.45)
+    cells = _dofs(spark, sf).select(C2.encode([cut("x"), cut("y")], 3, F.col("g")).alias("patch_id"), dg.indicator([u], rho, 4).alias("indicator"))
+    mean = cells.agg(F.avg("indicator").alias("mean"))  # one row
+    return dg.patch_decisions(cells.join(F.broadcast(mean)), F.col("mean") * 1.6, F.col("mean") * 1.45)
 
 
 @query(
-    f"""WITH {Q.DG} SELECT x, y, c, k, {Q.r('any_value(u) * (1 + 0.2 * (nx / 2 + 0.5 * (c % 2)) + 0.1 * (ny / 2 + 0.5 * (c // 2)))')} AS v FROM grid, node, (SELECT range::INTEGER AS c FROM range(4)) GROUP BY x, y, c, k, nx, ny"""
+    f"""WITH {Q.DG} SELECT g, x, y, c, k, {Q.r('any_value(u) * (1 + 0.2 * (nx / 2 + 0.5 * (c % 2)) + 0.1 * (ny / 2 + 0.5 * (c // 2)))')} AS v FROM grid, node, (SELECT range::INTEGER AS c FROM range(4)) GROUP BY g, x, y, c, k, nx, ny"""
 )
 def dg_prolong(spark, sf):
     # Child number of the table: bit 0 belongs to the first node dimension (y), bit 1 to the second.
     swap = [0, 2, 1, 3]
     sons = F.array(*(F.struct(F.lit(c).alias("c"), dg.prolong_dofs(DG2, F.col("u"), swap[c]).alias("w")) for c in range(4)))
-    rows = _dofs(spark, sf).select("x", "y", F.explode(sons).alias("s"))
-    return rows.select("x", "y", "s.c", F.posexplode("s.w").alias("k", "v")).select("x", "y", "c", "k", r6("v").alias("v"))
+    rows = _dofs(spark, sf).select("g", "x", "y", F.explode(sons).alias("s"))
+    return rows.select("g", "x", "y", "s.c", F.posexplode("s.w").alias("k", "v")).select("g", "x", "y", "c", "k", r6("v").alias("v"))
 
 
-@query(f"WITH {Q.DG} SELECT x, y, k, {Q.r('v')} AS v FROM q0")
+@query(f"WITH {Q.DG} SELECT g, x, y, k, {Q.r('v')} AS v FROM q0")
 def dg_restrict_of_prolong(spark, sf):
     u = F.col("u")
     back = dg.restrict_dofs(DG2, [dg.prolong_dofs(DG2, u, c) for c in range(4)])
-    return _long(_dofs(spark, sf).select("x", "y", back.alias("u")))
+    return _long(_dofs(spark, sf).select("g", "x", "y", back.alias("u")))
 
 
 # --- checks and helpers -------------------------------------------------------------------------
@@ -704,13 +710,13 @@ def structured_print(spark, sf):
 # --- patch grain and streams ----------------------------------------------------------------------
 
 
-@query(f"WITH {Q.advect(8)} SELECT x, y, {Q.r('u')} AS u FROM s8")
+@query(f"WITH {Q.advect(8)} SELECT g, x, y, {Q.r('u')} AS u FROM s8")
 def fvm_blocks_8_steps(spark, sf):
     from ..operators.blocks import AdvectionKernel, run_blocks
 
     checkpoints(spark)
-    out = run_blocks(S.grid(spark, sf), AdvectionKernel(), 64, DT, 8, n=16, per_round=4)
-    return out.select("x", "y", r6("u").alias("u"))
+    out = run_blocks(S.grid(spark, sf), AdvectionKernel(), 64, DT, 8, n=16, per_round=4, by="g")
+    return out.select("g", "x", "y", r6("u").alias("u"))
 
 
 @query(

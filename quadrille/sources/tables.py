@@ -13,6 +13,8 @@ from ..operators import tree
 CODEC = MortonCodec(rank=2, depth=7)
 CODEC3 = MortonCodec(rank=3, depth=7)
 EXTENT = 64
+#: Orders, or events, of a grid or tree: their number grows with the tables.
+GROUP = 4096
 #: Share of all points, as 1/n, above which a leaf is refined in each pass.
 PASSES = (90, 200, 400)
 START_LEVEL = 4
@@ -50,44 +52,58 @@ def square(spark: SparkSession, n: int = EXTENT) -> DataFrame:
     return spark.range(n * n).select((F.col("id") % n).alias("x"), F.floor(F.col("id") / n).alias("y"))
 
 
+def group(column: str) -> Column:
+    """The grid or tree of a row."""
+    return F.floor(F.col(column) / GROUP)
+
+
+def places(sums: DataFrame, n: int, axes: tuple[str, ...]) -> DataFrame:
+    """g and all places of an n by n [by n] grid, for every g of ``sums``."""
+    out = sums.select("g").distinct()
+    for a in axes:
+        out = out.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return out
+
+
+def _sums(spark: SparkSession, sf_dir: str, n: int, columns: dict[str, str], *values: Column) -> DataFrame:
+    """Every place of every grid of lineitem with its aggregates; null where no row falls."""
+    at = [(F.col(c) % n).alias(a) for a, c in columns.items()]
+    sums = read(spark, sf_dir, "lineitem").groupBy(group("l_orderkey").alias("g"), *at).agg(*values)
+    return places(sums, n, tuple(columns)).join(sums, ["g", *columns], "left")
+
+
+FLAT = {"x": "l_partkey", "y": "l_orderkey"}
+
+
 def grid(spark: SparkSession, sf_dir: str, n: int = EXTENT) -> DataFrame:
-    """x, y, u: quantities of lineitem summed on a periodic grid."""
-    sums = (
-        read(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_partkey") % n).alias("x"), (F.col("l_orderkey") % n).alias("y"))
-        .agg(F.sum("l_quantity").alias("u"))
-    )
-    return square(spark, n).join(sums, ["x", "y"], "left").select("x", "y", F.coalesce("u", F.lit(0.0)).alias("u"))
+    """g, x, y, u: quantities of lineitem summed on periodic grids, one for each group of orders."""
+    sums = _sums(spark, sf_dir, n, FLAT, F.sum("l_quantity").alias("u"))
+    return sums.select("g", "x", "y", F.coalesce("u", F.lit(0.0)).alias("u"))
 
 
 def primitive_grid(spark: SparkSession, sf_dir: str, n: int = EXTENT) -> DataFrame:
-    """x, y, rho, vx, vy, p: a positive gas state from lineitem."""
-    sums = (
-        read(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_partkey") % n).alias("x"), (F.col("l_orderkey") % n).alias("y"))
-        .agg(F.sum("l_quantity").alias("u"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
+    """g, x, y, rho, vx, vy, p: positive gas states from lineitem."""
+    sums = _sums(
+        spark, sf_dir, n, FLAT, F.sum("l_quantity").alias("u"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t")
     )
     got = lambda c: F.coalesce(c, F.lit(0.0))
-    return (
-        square(spark, n)
-        .join(sums, ["x", "y"], "left")
-        .select(
-            "x",
-            "y",
-            (got("u") / 1000 + 1).alias("rho"),
-            (got("d") * 0.7310585786300049).alias("vx"),
-            (got("d") * -0.2689414213699951).alias("vy"),
-            (got("t") + 1).alias("p"),
-        )
+    return sums.select(
+        "g",
+        "x",
+        "y",
+        (got("u") / 1000 + 1).alias("rho"),
+        (got("d") * 0.7310585786300049).alias("vx"),
+        (got("d") * -0.2689414213699951).alias("vy"),
+        (got("t") + 1).alias("p"),
     )
 
 
 def patches(spark: SparkSession, sf_dir: str, n: int = PATCH, level: int = 3) -> DataFrame:
-    """patch_id, level, j, i, u: the grid cut into patches of n by n cells at one level."""
+    """patch_id, level, j, i, u: the grids cut into patches of n by n cells at one level, a tree each."""
     shift = CODEC.depth - level
     cut = lambda c: F.shiftleft(F.floor(F.col(c) / n), shift)
     return grid(spark, sf_dir, n << level).select(
-        CODEC.encode([cut("x"), cut("y")], level).alias("patch_id"),
+        CODEC.encode([cut("x"), cut("y")], level, F.col("g")).alias("patch_id"),
         F.lit(level).alias("level"),
         (F.col("y") % n).cast("int").alias("j"),
         (F.col("x") % n).cast("int").alias("i"),
@@ -110,15 +126,16 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """x, y of each event on the finest grid."""
+    """g, x, y of each event: its tree, and its place on the finest grid."""
     return read(spark, sf_dir, "events").select(
-        (F.floor("value") % 128).alias("x"), (F.floor(F.col("value") * 3) % 128).alias("y")
+        group("event_id").alias("g"), (F.floor("value") % 128).alias("x"), (F.floor(F.col("value") * 3) % 128).alias("y")
     )
 
 
 def locate(points: DataFrame, leaves: DataFrame, codec: MortonCodec = CODEC) -> DataFrame:
     """patch_id of the leaf that holds each point: one equi-join over the point's key at every level."""
-    finest = codec.encode([F.col(a) for a in tree.AXES[: codec.rank]], codec.depth)
+    own = F.col("g") if "g" in points.columns else None
+    finest = codec.encode([F.col(a) for a in tree.AXES[: codec.rank]], codec.depth, own)
     levels = F.sequence(F.lit(0), F.lit(codec.depth))
     up = points.select(finest.alias("__k")).groupBy("__k").agg(F.count("*").alias("n"))
     ancestors = up.select("n", "__k", F.explode(levels).alias("up"))
@@ -130,10 +147,16 @@ def locate(points: DataFrame, leaves: DataFrame, codec: MortonCodec = CODEC) ->
     return ancestors.select(key.alias("patch_id"), "n").join(leaves.select("patch_id"), "patch_id")
 
 
-def point_flags(leaves: DataFrame, at: DataFrame, share: int, total: int, codec: MortonCodec = CODEC) -> DataFrame:
-    """patch_id, status: refine where n * share > total, coarsen where n is a quarter of that at most."""
+def point_flags(leaves: DataFrame, at: DataFrame, share: int, total: int | DataFrame, codec: MortonCodec = CODEC) -> DataFrame:
+    """patch_id, status: refine where n * share > total, coarsen where n is a quarter of that at most.
+
+    ``total`` is a number, or a table of g and total for each tree.
+    """
     counts = locate(at, leaves, codec).groupBy("patch_id").agg(F.sum("n").alias("n"))
     n = F.coalesce("n", F.lit(0))
+    if isinstance(total, DataFrame):
+        leaves = leaves.withColumn("g", codec.tree(F.col("patch_id"))).join(total, "g", "left")
+        total = F.coalesce("total", F.lit(0))
     status = (
         F.when((n * share > total) & (codec.level(F.col("patch_id")) < codec.depth), tree.REFINE)
         .when(n * share * 4 <= total, tree.COARSEN)
@@ -142,11 +165,16 @@ def point_flags(leaves: DataFrame, at: DataFrame, share: int, total: int, codec:
     return leaves.join(counts, "patch_id", "left").select("patch_id", status.alias("status"))
 
 
+def totals(at: DataFrame) -> DataFrame:
+    """g, total: how many points each tree has; written, as every pass reads it."""
+    return at.groupBy("g").agg(F.count("*").alias("total")).checkpoint()
+
+
 def leaf_set(spark: SparkSession, sf_dir: str, passes: int = len(PASSES)) -> DataFrame:
-    """Leaves after some passes of refinement and coarsening towards the events."""
+    """Leaves after some passes of refinement and coarsening towards the events, a tree for each group of them."""
     at = points(spark, sf_dir)
-    total = at.count()
-    leaves = tree.uniform(spark, CODEC, START_LEVEL)
+    total = totals(at)
+    leaves = tree.uniform(spark, CODEC, START_LEVEL, total.select("g"))
     for share in PASSES[:passes]:
         flags = point_flags(leaves, at, share, total).checkpoint()
         leaves = tree.reconstruct(leaves, flags, CODEC, MIN_LEVEL).checkpoint()
@@ -158,17 +186,17 @@ PASSES3, START_LEVEL3, MIN_LEVEL3, EXTENT3, PATCH3 = (60, 200), 2, 1, 32, 4
 
 
 def points3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """x, y, z of each event on the finest grid."""
+    """g, x, y, z of each event: its tree, and its place on the finest grid."""
     return read(spark, sf_dir, "events").select(
-        (F.floor("value") % 128).alias("x"), (F.floor(F.col("value") * 3) % 128).alias("y"), (F.col("user_id") % 128).alias("z")
+        group("event_id").alias("g"), (F.floor("value") % 128).alias("x"), (F.floor(F.col("value") * 3) % 128).alias("y"), (F.col("user_id") % 128).alias("z")
     )
 
 
 def octree(spark: SparkSession, sf_dir: str, passes: int = len(PASSES3)) -> tuple[DataFrame, DataFrame]:
     """(leaves after some passes, flags of the last one on the leaves before it)."""
     at = points3(spark, sf_dir)
-    total = at.count()
-    leaves, flags = tree.uniform(spark, CODEC3, START_LEVEL3), None
+    total = totals(at)
+    leaves, flags = tree.uniform(spark, CODEC3, START_LEVEL3, total.select("g")), None
     for share in PASSES3[:passes]:
         flags = point_flags(leaves, at, share, total, CODEC3).checkpoint()
         leaves = tree.reconstruct(leaves, flags, CODEC3, MIN_LEVEL3).checkpoint()
@@ -176,34 +204,34 @@ def octree(spark: SparkSession, sf_dir: str, passes: int = len(PASSES3)) -> tupl
 
 
 def grid3(spark: SparkSession, sf_dir: str, n: int = EXTENT3) -> DataFrame:
-    """x, y, z, u: quantities of lineitem summed on a periodic grid."""
-    at = [(F.col(c) % n).alias(a) for c, a in zip(("l_partkey", "l_suppkey", "l_orderkey"), tree.AXES, strict=True)]
-    sums = read(spark, sf_dir, "lineitem").groupBy(*at).agg(F.sum("l_quantity").alias("u"))
-    place = spark.range(n**3).select((F.col("id") % n).alias("x"), (F.floor(F.col("id") / n) % n).alias("y"), F.floor(F.col("id") / (n * n)).alias("z"))
-    return place.join(sums, list(tree.AXES), "left").select(*tree.AXES, F.coalesce("u", F.lit(0.0)).alias("u"))
+    """g, x, y, z, u: quantities of lineitem summed on periodic grids."""
+    columns = dict(zip(tree.AXES, ("l_partkey", "l_suppkey", "l_orderkey"), strict=True))
+    return _sums(spark, sf_dir, n, columns, F.sum("l_quantity").alias("u")).select("g", *tree.AXES, F.coalesce("u", F.lit(0.0)).alias("u"))
 
 
 def octree_cells(leaves: DataFrame, values: DataFrame, n: int = PATCH3, extent: int = EXTENT3) -> DataFrame:
-    """patch_id, level, k, j, i, u: each cell takes the value of the grid at its centre."""
+    """patch_id, level, k, j, i, u: each cell takes the value of its tree's grid at its centre."""
     side, unit = CODEC3.side(F.col("level")), CODEC3.extent // extent
     for m in tree.INDICES:
         leaves = leaves.withColumn(m, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     at = {f"g{a}": F.floor((F.col(a) * 2 * n + (F.col(m) * 2 + 1) * side) / (2 * n * unit)).cast("long") for a, m in zip(tree.AXES, tree.INDICES[::-1], strict=True)}
-    found = values.select(*(F.col(a).alias(f"g{a}") for a in tree.AXES), "u")
-    return leaves.withColumns(at).join(found, list(at)).select("patch_id", "level", *tree.INDICES, "u")
+    found = values.select("g", *(F.col(a).alias(f"g{a}") for a in tree.AXES), "u")
+    return leaves.withColumns({"g": CODEC3.tree(F.col("patch_id")), **at}).join(found, ["g", *at]).select("patch_id", "level", *tree.INDICES, "u")
 
 
 def flags_of_pass(spark: SparkSession, sf_dir: str, number: int) -> tuple[DataFrame, DataFrame]:
     """(leaves before a pass, its flags)."""
     at = points(spark, sf_dir)
     leaves = leaf_set(spark, sf_dir, number)
-    return leaves, point_flags(leaves, at, PASSES[number], at.count()).checkpoint()
+    return leaves, point_flags(leaves, at, PASSES[number], totals(at)).checkpoint()
 
 
 def leaf_cells(leaves: DataFrame, values: DataFrame, n: int = PATCH) -> DataFrame:
-    """patch_id, level, j, i, u: each cell takes the value of the grid at its centre."""
+    """patch_id, level, j, i, u: each cell takes the value of its tree's grid at its centre."""
     side = CODEC.side(F.col("level"))
     center = lambda corner, k: F.floor((F.col(corner) * 2 * n + (F.col(k) * 2 + 1) * side) / (4 * n)).cast("long")
-    cells = initialize(leaves, (n, n), {}).withColumns({"gx": center("x", "i"), "gy": center("y", "j")})
-    found = values.select(F.col("x").alias("gx"), F.col("y").alias("gy"), "u")
-    return cells.join(found, ["gx", "gy"]).select("patch_id", "level", "j", "i", "u")
+    cells = initialize(leaves, (n, n), {}).withColumns(
+        {"g": CODEC.tree(F.col("patch_id")), "gx": center("x", "i"), "gy": center("y", "j")}
+    )
+    found = values.select("g", F.col("x").alias("gx"), F.col("y").alias("gy"), "u")
+    return cells.join(found, ["g", "gx", "gy"]).select("patch_id", "level", "j", "i", "u")
