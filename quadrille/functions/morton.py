@@ -129,14 +129,30 @@ class MortonCodec:
         inside = [(c >= 0) & (c < self.extent) & ((c % side) == 0) for c in coords]
         return reduce(lambda a, b: a & b, inside)
 
+    def _spread(self, n: int, axis: int) -> int:
+        """The bits of a number at an axis's places of a code."""
+        return sum(((n >> i) & 1) << (self.rank * i + axis) for i in range(self.depth))
+
     def neighbor(self, key: Column, step: Sequence[int], periodic: bool = False) -> Column:
-        """Key of the same level ``step`` patches away along each axis; null outside unless periodic."""
-        level = self.level(key)
-        side = self.side(level)
-        moved = [c + side * s for c, s in zip(self.coords(key), step, strict=True)]
-        if periodic:
-            return self.encode([F.pmod(c, F.lit(self.extent)) for c in moved], level, self.tree(key))
-        return F.when(self.is_valid(moved, level), self.encode(moved, level, self.tree(key)))
+        """Key of the same level ``step`` patches away along each axis; null outside unless periodic.
+
+        Adds to an axis's bits in place: ones between them pass a carry on, zeros a borrow.
+        """
+        level, code = self.level(key), self._code(key)
+        shift = (F.lit(self.depth) - level) * self.rank
+        out, inside = code, []
+        for axis, s in enumerate(step):
+            if not s:
+                continue
+            own = self._spread(self.extent - 1, axis)
+            mask, others = F.lit(own).cast("long"), F.lit(~own).cast("long")
+            at = code.bitwiseAND(mask)
+            by = _left(F.lit(self._spread(abs(s), axis)).cast("long"), shift).bitwiseAND(mask)
+            moved = ((code.bitwiseOR(others) + by) if s > 0 else (at - by)).bitwiseAND(mask)
+            out = out.bitwiseAND(others).bitwiseOR(moved)
+            inside += [_left(F.lit(1).cast("long"), level) > abs(s), moved > at if s > 0 else moved < at]
+        there = _left(out, LEVEL_BITS).bitwiseOR(_long(level))
+        return there if periodic or not inside else F.when(reduce(lambda a, b: a & b, inside), there)
 
     def bits(self, key: Column) -> Column:
         """The key as 64 binary digits."""

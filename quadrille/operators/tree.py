@@ -70,13 +70,10 @@ def neighbors(leaves: DataFrame, codec: MortonCodec) -> DataFrame:
     On a leaf set in which levels across faces differ by one at most, each face has one row, or one for
     each finer neighbour (two, or four in three dimensions).
     """
-    axes, around = AXES[: codec.rank], directions(codec.rank)
-    side = codec.side(F.col("level"))
-    faces = F.array(*(F.struct(F.lit(d).alias("dir"), *(F.lit(v).alias(f"d{a}") for v, a in zip(step, axes, strict=True))) for d, *step in around))
-    moved = [F.pmod(F.col(a) + F.col(f"f.d{a}") * F.col("side"), F.lit(codec.extent)) for a in axes]
-    wanted = leaves.select("patch_id", "level", *axes, side.alias("side"), F.explode(faces).alias("f")).select(
-        "patch_id", F.col("f.dir").alias("dir"), codec.encode(moved, F.col("level"), codec.tree(F.col("patch_id"))).alias("at")
-    )
+    around = directions(codec.rank)
+    own = F.col("patch_id")
+    faces = F.array(*(F.struct(F.lit(d).alias("dir"), codec.neighbor(own, step, periodic=True).alias("at")) for d, *step in around))
+    wanted = leaves.select("patch_id", F.explode(faces).alias("f")).select("patch_id", "f.dir", "f.at")
     # Candidates of each case; whichever is a leaf is the neighbour, so one join finds all.
     finer = [
         F.when(
@@ -119,27 +116,46 @@ def coarsen_families(flags: DataFrame, codec: MortonCodec, min_level: int = 1) -
     )
 
 
-def balance_refinement(wanted: DataFrame, nbr: DataFrame, codec: MortonCodec) -> tuple[DataFrame, int]:
-    """The keys to refine so that no face ends with levels two apart, and the rounds it took.
+def _coarser_chain(codec: MortonCodec) -> Column:
+    """For ``level`` and the corner: cells of each coarser level that refining this one may refine in turn.
 
-    Each round adds the coarser neighbours of what the last one added; they are one level up, so
-    there are at most ``depth`` rounds.
+    An array a level, from the own one up; a cell is a struct of coordinates in units of its level.  The
+    cell beyond an outer face of a cell's family lies one level up; inner faces only lead to ancestors.
     """
-    coarser = nbr.filter(F.col("relation") == "coarser").select("patch_id", "n_id").persist()
-    every = wanted.distinct().checkpoint()
-    front, rounds = every, 0
-    while True:
-        front = (
-            coarser.join(front, "patch_id", "left_semi")
-            .select(F.col("n_id").alias("patch_id"))
-            .distinct()
-            .join(every, "patch_id", "left_anti")
-            .checkpoint()
-        )
-        if front.isEmpty():
-            coarser.unpersist()
-            return every, rounds
-        every, rounds = every.unionByName(front), rounds + 1
+    axes, one = AXES[: codec.rank], F.lit(1).cast("long")
+
+    def up(cells: Column, level: Column) -> Column:
+        extent = F.call_function("shiftleft", one, level)
+
+        def beyond(cell: Column, across: str) -> Column:
+            half = {a: F.shiftright(cell[a], 1) for a in axes}
+            half[across] = F.pmod(half[across] + cell[across].bitwiseAND(one) * 2 - 1, extent)
+            return F.struct(*(half[a].alias(a) for a in axes))
+
+        return F.array_distinct(F.flatten(F.transform(cells, lambda c: F.array(*(beyond(c, a) for a in axes)))))
+
+    own = F.struct(*(F.call_function("shiftright", F.col(a), F.lit(codec.depth) - F.col("level")).alias(a) for a in axes))
+    steps = F.filter(F.sequence(F.lit(0), F.col("level")), lambda n: n > 0)
+    return F.aggregate(steps, F.array(F.array(own)), lambda acc, n: F.concat(acc, F.array(up(F.element_at(acc, -1), F.col("level") - n))))
+
+
+def balance_refinement(wanted: DataFrame, leaves: DataFrame, codec: MortonCodec) -> DataFrame:
+    """patch_id of the leaves to refine so that no face ends with levels two apart.
+
+    All cells that a wanted leaf could force, level by level, are worked out from its key; those that
+    are leaves are the answer: one aggregate and one semi-join, whatever the depth.  On a leaf set in
+    which levels across faces differ by one at most, a chain that meets a cell that is no leaf meets
+    none later: the cell is refined already, so what lies beyond its faces is too.
+    """
+    axes, unit = AXES[: codec.rank], F.lit(codec.depth) - F.col("level")
+    cells = (
+        with_coords(wanted, codec)
+        .select("patch_id", "level", F.posexplode(_coarser_chain(codec)).alias("up", "cells"))
+        .select("patch_id", (F.col("level") - F.col("up")).alias("level"), F.explode("cells").alias("cell"))
+    )
+    corner = [F.call_function("shiftleft", F.col(f"cell.{a}"), unit) for a in axes]
+    reached = cells.select(codec.encode(corner, F.col("level"), codec.tree(F.col("patch_id"))).alias("patch_id")).distinct()
+    return reached.join(leaves.select("patch_id"), "patch_id", "left_semi")
 
 
 def prune_coarsening(families: DataFrame, refined: DataFrame, nbr: DataFrame, codec: MortonCodec) -> DataFrame:
@@ -166,9 +182,8 @@ def regrid_keys(leaves: DataFrame, refined: DataFrame, families: DataFrame, code
 
 def plan_regrid(leaves: DataFrame, flags: DataFrame, codec: MortonCodec, min_level: int = 1) -> tuple[DataFrame, DataFrame]:
     """(keys to refine, parents to coarsen to) under balance, from ``flags`` (patch_id, status)."""
-    nbr = neighbors(leaves, codec)
-    refined, _ = balance_refinement(eligible(flags, codec), nbr, codec)
-    families = prune_coarsening(coarsen_families(flags, codec, min_level), refined, nbr, codec)
+    refined = balance_refinement(eligible(flags, codec), leaves, codec).checkpoint()
+    families = prune_coarsening(coarsen_families(flags, codec, min_level), refined, neighbors(leaves, codec), codec)
     return refined, families
 
 

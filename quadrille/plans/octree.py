@@ -114,7 +114,7 @@ def register(query, checkpoints) -> None:
     def octree_balance(spark, sf):
         checkpoints(spark)
         leaves, flags = S.octree(spark, sf, 1)[0], S.octree(spark, sf, 2)[1]
-        return tree.balance_refinement(tree.eligible(flags, C3), tree.neighbors(leaves, C3), C3)[0]
+        return tree.balance_refinement(tree.eligible(flags, C3), leaves, C3)
 
     @query(_HALO)
     def octree_halo(spark, sf):

@@ -289,7 +289,7 @@ def coarsen_families(spark, sf):
 def balance_closure(spark, sf):
     checkpoints(spark)
     leaves, flags = S.flags_of_pass(spark, sf, 2)
-    return tree.balance_refinement(tree.eligible(flags, C2), tree.neighbors(leaves, C2), C2)[0]
+    return tree.balance_refinement(tree.eligible(flags, C2), leaves, C2)
 
 
 @query(f"WITH RECURSIVE {_PASS0} SELECT {Q.enc(['x', 'y'], 'level', 'g')} AS patch_id FROM ok0")
