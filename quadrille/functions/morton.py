@@ -62,11 +62,7 @@ class MortonCodec:
 
     def encode(self, coords: Sequence[Column], level: Column | int, tree: Column | None = None) -> Column:
         """Key of a corner (x, y[, z]) at a level of a tree (the first one by default)."""
-        bits = [
-            _left(_right(_long(c), i).bitwiseAND(F.lit(1).cast("long")), self.rank * i + axis + LEVEL_BITS)
-            for axis, c in enumerate(coords)
-            for i in range(self.depth)
-        ]
+        bits = [self._spread_column(_long(c), axis) for axis, c in enumerate(coords)]
         above = [] if tree is None else [_left(_long(tree), self.rank * self.depth + LEVEL_BITS)]
         return _or([*above, *bits, _long(level)])
 
@@ -76,15 +72,30 @@ class MortonCodec:
 
     def coords(self, key: Column) -> list[Column]:
         """x, y[, z] of a key."""
-        return [
-            _or(
-                [
-                    _left(_right(key, LEVEL_BITS + self.rank * i + axis).bitwiseAND(F.lit(1).cast("long")), i)
-                    for i in range(self.depth)
-                ]
-            )
-            for axis in range(self.rank)
-        ]
+        return [self._gather_column(_right(key, LEVEL_BITS + axis)) for axis in range(self.rank)]
+
+    def _groups(self, size: int) -> Column:
+        """The places of a number's bits when each ``size`` of them are followed by room for the other axes'."""
+        return F.lit(sum(1 << (i // size * size * self.rank + i % size) for i in range(self.depth))).cast("long")
+
+    @property
+    def _halvings(self) -> list[int]:
+        """Powers of two below the depth, smallest first."""
+        return [1 << k for k in range((self.depth - 1).bit_length())]
+
+    def _spread_column(self, number: Column, axis: int) -> Column:
+        """A number's bits at an axis's places of a key: groups of bits part in halves until each is alone."""
+        out = number.bitwiseAND(F.lit(self.extent - 1).cast("long"))
+        for size in reversed(self._halvings):
+            out = out.bitwiseOR(_left(out, size * (self.rank - 1))).bitwiseAND(self._groups(size))
+        return _left(out, axis + LEVEL_BITS)
+
+    def _gather_column(self, code: Column) -> Column:
+        """The number whose bits stand at every ``rank``-th place from the lowest."""
+        out = code.bitwiseAND(self._groups(1))
+        for size in self._halvings:
+            out = out.bitwiseOR(_right(out, size * (self.rank - 1))).bitwiseAND(self._groups(2 * size))
+        return out
 
     def level(self, key: Column) -> Column:
         return key.bitwiseAND(F.lit(63).cast("long")).cast("int")
