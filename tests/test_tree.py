@@ -147,3 +147,38 @@ def test_constant_state_stays_constant(spark, sf_dir):
     cells = S.initialize(leaves, (8, 8), {"u": F.lit(3.0)}).select("patch_id", "level", "j", "i", "u")
     out = fvm.refined_step(cells, leaves, Advection(), 0.001, Geometry((1.0, 1.0), (8, 8), 7), S.CODEC, PatchLayout((8, 8), 1))
     assert out.count() == cells.count() and {r.u for r in out.select("u").distinct().collect()} == {3.0}
+
+
+@pytest.mark.parametrize("rank, depth", [(2, 1), (2, 5), (2, 28), (3, 6), (3, 19)])
+def test_keys_against_plain_arithmetic(spark, rank, depth):
+    codec, draw = MortonCodec(rank, depth), random.Random(rank * depth)
+    most = (1 << 57 - rank * depth) - 1
+    rows = []
+    for n in range(200):
+        level = draw.randint(0, depth)
+        side = 1 << (depth - level)
+        place = [draw.choice([0, (1 << level) - 1, draw.randrange(1 << level)]) for _ in range(rank)]
+        rows.append((n, level, min(most, draw.randrange(4)), *(p * side for p in place)))
+    axes = tree.AXES[:rank]
+    given = spark.createDataFrame(rows, "n long, level int, tree long, " + ", ".join(f"{a} long" for a in axes))
+    keyed = given.withColumn("key", codec.encode([F.col(a) for a in axes], F.col("level"), F.col("tree")))
+    steps = [(1, *[0] * (rank - 1)), (*[0] * (rank - 1), -1), (3, *[-2] * (rank - 1)), (0,) * rank, (-5, *[1] * (rank - 1))]
+    found = {}
+    for i, step in enumerate(steps):
+        for periodic in (False, True):
+            keyed = keyed.withColumn(f"m{i}{periodic:d}", codec.neighbor(F.col("key"), step, periodic))
+            found[f"m{i}{periodic:d}"] = step, periodic
+    back = keyed.withColumns(dict(zip((f"b{a}" for a in axes), codec.coords(F.col("key")), strict=True)))
+
+    def plain(coords, level, number):
+        code = sum(((c >> b) & 1) << (rank * b + a) for a, c in enumerate(coords) for b in range(depth))
+        return (number << rank * depth | code) << 6 | level
+
+    for r in back.withColumn("t", codec.tree(F.col("key"))).collect():
+        own = [r[a] for a in axes]
+        assert [r[f"b{a}"] for a in axes] == own and r.t == r.tree and r.key == plain(own, r.level, r.tree)
+        for name, (step, periodic) in found.items():
+            moved = [c + s * (1 << (depth - r.level)) for c, s in zip(own, step, strict=True)]
+            inside = all(0 <= c < 1 << depth for c in moved)
+            want = plain([c % (1 << depth) for c in moved], r.level, r.tree) if periodic or inside else None
+            assert r[name] == want, (name, step, own, r.level)
