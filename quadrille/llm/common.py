@@ -312,7 +312,7 @@ def hash_tokens(texts: list[bytes], classes: np.ndarray) -> Tokens:
         a, b = np.maximum(first[i:j], start) - start, np.minimum(stop[i:j], end) - start
         own = (sums[b] - sums[a]) * inverse[a]
         if i < j and first[i] < start:
-            own[0] *= np.uint64(pow(int(_BASE), int(start - first[i]), 1 << 64))
+            own[:1] *= np.uint64(pow(int(_BASE), int(start - first[i]), 1 << 64))
         hashes[i:j] += own
     hashes = mix64(hashes)
     offsets = np.concatenate([[0], np.searchsorted(first, ends, "left")])

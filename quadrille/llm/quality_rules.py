@@ -24,6 +24,8 @@ THRESHOLD = -0.2
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Log ratios are whole numbers of this part of a nat, so that sums do not depend on their order.
 UNIT = 1_000_000
+#: Bits of a number that are a window's place in its text; the rest are of its hash.
+PLACE_BITS = 24
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
@@ -83,6 +85,55 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_R
     return counts.select("bucket", F.round(ratio * UNIT).cast("long").alias("weight"))
 
 
+def _repeated(frame: DataFrame) -> DataFrame:
+    """``frame`` with ``n_repeat_words`` instead of ``words``: words in windows of three found twice or more.
+
+    A step puts each array in a column, so that none is worked out twice.  Windows are sorted as
+    numbers of a hash and a place; where neighbours with one hash have different words, or places
+    need more bits, the windows themselves are sorted.
+    """
+    rest = [c for c in frame.columns if c != "words"]
+    inner = F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0)))
+    hashes = F.transform(inner, lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+    keyed = F.transform("hashes", lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long")))
+    short = F.size("words") < 1 << PLACE_BITS
+    distinct = F.size(F.array_distinct("hashes"))
+
+    def place(x):
+        return x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+    def pair(x, y):
+        same = F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)
+        return F.when(same, F.struct(place(x).alias("a"), place(y).alias("b")))
+
+    def equal(p):
+        a, b, c = (F.get("words", p["a"] + k) == F.get("words", p["b"] + k) for k in range(3))
+        return a & b & c
+
+    pairs = F.filter(F.zip_with("sorted", F.slice("sorted", 2, 1 << PLACE_BITS), pair), lambda p: p.isNotNull())
+    windows = F.transform(
+        inner, lambda w, i: F.struct(F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2)).alias("w"), i.alias("i"))
+    )
+    found = (
+        frame.withColumn("hashes", hashes)
+        .withColumn("sorted", F.when((distinct < F.size("hashes")) & short, F.sort_array(keyed)))
+        .select(*rest, "words", pairs.alias("pairs"))
+        .withColumn("plain", F.when(~F.forall("pairs", equal) | ~short, F.sort_array(windows)))
+        .drop("words")
+    )
+    again = F.transform(
+        "plain",
+        lambda x, j: F.when((x["w"] == F.get("plain", j + 1)["w"]) | (x["w"] == F.get("plain", j - 1)["w"]), x["i"]),
+    )
+    either = F.array_union("pairs.a", "pairs.b")
+    places = F.when(F.col("plain").isNotNull(), F.filter(again, lambda i: i.isNotNull())).otherwise(either)
+    at = found.select(*rest, F.sort_array(places).alias("at"))
+    # Each window has three words; those up to the next window's start are its own.
+    steps = F.zip_with("at", F.slice("at", 2, 1 << 30), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
+    total = F.aggregate(steps, F.lit(0).cast("long"), lambda x, y: x + y)
+    return at.select(*rest, F.coalesce(total, F.lit(0).cast("long")).alias("n_repeat_words"))
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """row (a number), doc_id, the counted rules, and ``crc`` of tokens, a row for each row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
@@ -96,32 +147,18 @@ def _measured(docs: DataFrame) -> DataFrame:
         lines.alias("lines"),
         ngrams(text)[0].alias("crc"),
     )
-    carried = ["row", "doc_id", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "crc"]
-    inner = F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0)))
-
-    def next_words(i):
-        return F.get("words", i + 1), F.get("words", i + 2)
-
-    hashes = F.transform(inner, lambda w, i: F.xxhash64(w, *next_words(i)))
-    windows = F.transform(inner, lambda w, i: F.struct(F.concat_ws(" ", w, *next_words(i)).alias("w"), i.alias("i")))
-    # Distinct hashes rule out repeats; where they do not, windows themselves are sorted and compared.
-    ordered = base.select(
-        *carried,
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct(hashes)) < F.size(inner), F.sort_array(windows)).alias("sorted"),
-    )
-    carried = [*ordered.columns[:-1]]
-    again = F.transform(
-        "sorted",
-        lambda x, j: F.when(
-            (x["w"] == F.get("sorted", j + 1)["w"]) | (x["w"] == F.get("sorted", j - 1)["w"]), x["i"]
-        ),
+    return _repeated(
+        base.select(
+            "row",
+            "doc_id",
+            "words",
+            F.size("words").cast("long").alias("n_words"),
+            "word_chars",
+            "n_symbols",
+            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+            "crc",
+        )
     )
-    placed = ordered.select(*carried, F.sort_array(F.filter(again, lambda i: i.isNotNull())).alias("at"))
-    # Each window has three words; those up to the next window's start are its own.
-    steps = F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(0))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    total = F.aggregate(steps, F.lit(0).cast("long"), lambda x, y: x + y)
-    return placed.select(*carried, F.coalesce(total, F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def judge(
