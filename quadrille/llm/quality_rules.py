@@ -110,7 +110,7 @@ def _repeated(frame: DataFrame) -> DataFrame:
         a, b, c = (F.get("words", p["a"] + k) == F.get("words", p["b"] + k) for k in range(3))
         return a & b & c
 
-    pairs = F.filter(F.zip_with("sorted", F.slice("sorted", 2, 1 << PLACE_BITS), pair), lambda p: p.isNotNull())
+    pairs = F.filter(F.zip_with("sorted", F.slice("sorted", 2, 1 << 30), pair), lambda p: p.isNotNull())
     windows = F.transform(
         inner, lambda w, i: F.struct(F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2)).alias("w"), i.alias("i"))
     )
