@@ -8,6 +8,7 @@ coarser one covers (its value is copied), finer ones are averaged over the cells
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
@@ -19,25 +20,18 @@ from .layout import PatchLayout
 from .tree import INDICES, neighbors
 
 
-def halo_sources(leaves: DataFrame, codec: MortonCodec, layout: PatchLayout, nbr: DataFrame | None = None) -> DataFrame:
-    """Which cells feed each halo cell: patch_id, level, dir, its indices, relation, n_id, and theirs (n before the name).
+def _geometry(codec: MortonCodec, n: int, away: Column, along_face: Sequence[Column]) -> tuple[list[Column], Column, Column]:
+    """(indices of a halo cell, array of the source cells' indices, whether this finer neighbour feeds it).
 
-    One row for same and coarser, four (eight in three dimensions) for finer.
+    Of a row of neighbours (patch_id, dir, relation, n_id); ``away`` are cells from the face, ``along_face`` places on it.
     """
-    rank, n, halo = codec.rank, layout.sizes[0], layout.halo
-    if layout.sizes != (n,) * rank:
-        raise ValueError("patches of one size along all dimensions")
+    rank = codec.rank
     names, dims = INDICES[-rank:], range(rank)
-    nbr = neighbors(leaves, codec) if nbr is None else nbr
-    rows = nbr.select("patch_id", "dir", "relation", "n_id", codec.level(F.col("patch_id")).alias("level"))
-    # h: cells away from the face; t: places along it.
-    for name, count in [("__h", halo), *((f"__t{d}", n) for d in range(rank - 1))]:
-        rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    positive, axis, away = F.col("dir") % 2 == 1, F.floor(F.col("dir") / 2), F.col("__h")
+    positive, axis = F.col("dir") % 2 == 1, F.floor(F.col("dir") / 2)
 
     def along(d: int) -> Column:
         """The place along dimension ``d``, where that is not the face's own."""
-        before, after = F.col(f"__t{min(d, rank - 2)}"), F.col(f"__t{max(d - 1, 0)}")
+        before, after = along_face[min(d, rank - 2)], along_face[max(d - 1, 0)]
         return F.when(axis > d, before).otherwise(after)
 
     def bit(key: str, d: int) -> Column:
@@ -49,6 +43,7 @@ def halo_sources(leaves: DataFrame, codec: MortonCodec, layout: PatchLayout, nbr
     place = F.when(positive, away + n).otherwise(-1 - away)
     half = F.lit(n // 2)
     same = one(F.when(positive, away).otherwise(n - 1 - away), along)
+    mirror = one(F.when(positive, n - 1 - away).otherwise(away), along)
     under = F.floor(away / 2)
     coarser = one(F.when(positive, under).otherwise(n - 1 - under), lambda d: F.floor((along(d) + bit("patch_id", d) * n) / 2))
     first = F.when(positive, away * 2).otherwise(n - 2 - away * 2)
@@ -60,19 +55,111 @@ def halo_sources(leaves: DataFrame, codec: MortonCodec, layout: PatchLayout, nbr
     )
     # Each finer neighbour feeds its own part of the face.
     own_part = reduce(lambda x, y: x & y, ((axis == d) | (F.floor(along(d) / half) == bit("n_id", d)) for d in dims))
-    sources = F.when(F.col("relation") == "same", same).when(F.col("relation") == "coarser", coarser).otherwise(finer)
-    rows = rows.filter((F.col("relation") != "finer") | own_part).withColumn("__s", F.explode(sources))
+    relation = F.col("relation")
+    sources = F.when(relation == "same", same).when(relation == "coarser", coarser).when(relation == "boundary", mirror).otherwise(finer)
+    indices = [F.when(axis == d, place).otherwise(along(d)).cast("int") for d in dims]
+    return indices, sources, (relation != "finer") | own_part
+
+
+def _square(codec: MortonCodec, layout: PatchLayout) -> int:
+    n = layout.sizes[0]
+    if layout.sizes != (n,) * codec.rank:
+        raise ValueError("patches of one size along all dimensions")
+    return n
+
+
+def halo_sources(leaves: DataFrame, codec: MortonCodec, layout: PatchLayout, nbr: DataFrame | None = None) -> DataFrame:
+    """Which cells feed each halo cell: patch_id, level, dir, its indices, relation, n_id, and theirs (n before the name).
+
+    One row for same, coarser and boundary (the patch's own cell as far inside), four (eight in three
+    dimensions) for finer.
+    """
+    rank, n, halo = codec.rank, _square(codec, layout), layout.halo
+    names = INDICES[-rank:]
+    nbr = neighbors(leaves, codec) if nbr is None else nbr
+    rows = nbr.select("patch_id", "dir", "relation", "n_id", codec.level(F.col("patch_id")).alias("level"))
+    # h: cells away from the face; t: places along it.
+    for name, count in [("__h", halo), *((f"__t{d}", n) for d in range(rank - 1))]:
+        rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    indices, sources, fed = _geometry(codec, n, F.col("__h"), [F.col(f"__t{d}") for d in range(rank - 1)])
+    rows = rows.filter(fed).withColumn("__s", F.explode(sources))
     return rows.select(
         "patch_id",
         "level",
         "dir",
-        *(F.when(axis == d, place).otherwise(along(d)).cast("int").alias(m) for d, m in enumerate(names)),
+        *(c.alias(m) for c, m in zip(indices, names, strict=True)),
         "relation",
         "n_id",
         *(F.col(f"__s.{m}").alias(f"n{m}") for m in names),
     )
 
 
+@dataclass(frozen=True)
+class HaloOperators:
+    """What a halo cell is made of in each case: (array of source values, field, axis of the face) to a value.
+
+    Same, coarser and boundary have one source, finer four (eight in three dimensions).  The axis is a
+    column, counted like directions (0 is the first index).  The default wall is symmetric.
+    """
+
+    same: Callable[[Column, str, Column], Column] = lambda v, f, a: F.get(v, F.lit(0))
+    coarser: Callable[[Column, str, Column], Column] = lambda v, f, a: F.get(v, F.lit(0))
+    boundary: Callable[[Column, str, Column], Column] = lambda v, f, a: F.get(v, F.lit(0))
+    finer: Callable[[Column, str, Column], Column] = lambda v, f, a: F.aggregate(v, F.lit(0.0), lambda x, y: x + y) / F.size(v)
+
+
+def patch_rows(cells: DataFrame, layout: PatchLayout, fields: Sequence[str]) -> DataFrame:
+    """A row a patch: patch_id and an array for each field, row-major over the interior."""
+    names = INDICES[-layout.rank :]
+    flat = _flat(layout, [F.col(m) for m in names])
+    packed = F.transform(F.array_sort(F.collect_list(F.struct(flat.alias("at"), *fields))), lambda c: F.struct(*(c[f].alias(f) for f in fields)))
+    return cells.groupBy("patch_id").agg(packed.alias("v")).select("patch_id", *(F.col(f"v.{f}").alias(f) for f in fields))
+
+
+def _flat(layout: PatchLayout, index: Sequence[Column]) -> Column:
+    out = F.lit(0)
+    for i, n in zip(index, layout.sizes, strict=True):
+        out = out * n + i
+    return out.cast("int")
+
+
+def _values(array: Column, sources: Column, layout: PatchLayout, names: Sequence[str]) -> Column:
+    """The values of a patch's array at some cells."""
+    return F.transform(sources, lambda s: F.get(array, _flat(layout, [s[m] for m in names])))
+
+
+def patch_halos(
+    links: DataFrame, patches: DataFrame, codec: MortonCodec, layout: PatchLayout, fields: Sequence[str], using: HaloOperators | None = None
+) -> DataFrame:
+    """The same as ``halo_exchange`` from a table of neighbours and one of patches (``patch_rows``).
+
+    One equi-join on the neighbour's key brings a patch's arrays to each face; a halo cell's sources all
+    lie in one neighbour, so no aggregate follows.  Where both tables are bucketed by that key, nothing is shuffled.
+    """
+    using = using or HaloOperators()
+    rank, n = codec.rank, _square(codec, layout)
+    names, face = INDICES[-rank:], n ** (rank - 1)
+    met = links.select("patch_id", "dir", "relation", "n_id").join(
+        patches.select(F.col("patch_id").alias("n_id"), *(F.col(f).alias(f"__{f}") for f in fields)), "n_id"
+    )
+    axis = F.floor(F.col("dir") / 2)
+
+    def cell(q: Column) -> Column:
+        places = [F.floor(q / n ** (rank - 2 - d)) % n for d in range(rank - 1)]
+        indices, sources, fed = _geometry(codec, n, F.floor(q / face), places)
+        values = []
+        for f in fields:
+            given = _values(F.col(f"__{f}"), sources, layout, names)
+            case = F.when(F.col("relation") == "same", using.same(given, f, axis)).when(F.col("relation") == "coarser", using.coarser(given, f, axis))
+            values.append(case.when(F.col("relation") == "boundary", using.boundary(given, f, axis)).otherwise(using.finer(given, f, axis)).alias(f))
+        return F.when(fed, F.struct(*(c.alias(m) for c, m in zip(indices, names, strict=True)), *values))
+
+    cells = F.filter(F.transform(F.sequence(F.lit(0), F.lit(layout.halo * face - 1)), cell), lambda c: c.isNotNull())
+    return met.select("patch_id", codec.level(F.col("patch_id")).alias("level"), "dir", "relation", F.explode(cells).alias("c")).select(
+        "patch_id", "level", "dir", *(f"c.{m}" for m in names), "relation", *(f"c.{f}" for f in fields)
+    )
+
+
 def halo_exchange(
     cells: DataFrame,
     leaves: DataFrame,

@@ -64,16 +64,17 @@ def uniform(spark: SparkSession, codec: MortonCodec, level: int, trees: DataFram
     return with_coords(codes.select(F.shiftleft("id", shift).bitwiseOR(F.lit(level).cast("long")).alias("patch_id")), codec)
 
 
-def neighbors(leaves: DataFrame, codec: MortonCodec) -> DataFrame:
-    """patch_id, dir, relation (same, coarser, finer), n_id: one row per neighbour across a face.
+def neighbors(leaves: DataFrame, codec: MortonCodec, of: DataFrame | None = None, periodic: bool = True) -> DataFrame:
+    """patch_id, dir, relation (same, coarser, finer, boundary), n_id: one row per neighbour across a face.
 
     On a leaf set in which levels across faces differ by one at most, each face has one row, or one for
-    each finer neighbour (two, or four in three dimensions).
+    each finer neighbour (two, or four in three dimensions).  ``of`` has the leaves whose faces are worked
+    out, all by default.  In a domain that is not periodic an outer face's row is ``boundary``, to the leaf itself.
     """
     around = directions(codec.rank)
     own = F.col("patch_id")
-    faces = F.array(*(F.struct(F.lit(d).alias("dir"), codec.neighbor(own, step, periodic=True).alias("at")) for d, *step in around))
-    wanted = leaves.select("patch_id", F.explode(faces).alias("f")).select("patch_id", "f.dir", "f.at")
+    faces = F.array(*(F.struct(F.lit(d).alias("dir"), codec.neighbor(own, step, periodic=periodic).alias("at")) for d, *step in around))
+    wanted = (leaves if of is None else of).select("patch_id", F.explode(faces).alias("f")).select("patch_id", "f.dir", "f.at")
     # Candidates of each case; whichever is a leaf is the neighbour, so one join finds all.
     finer = [
         F.when(
@@ -89,12 +90,36 @@ def neighbors(leaves: DataFrame, codec: MortonCodec) -> DataFrame:
         ),
         F.coalesce(*finer),
     )
-    return (
+    found = (
         wanted.select("patch_id", "dir", F.explode(candidates).alias("c"))
         .select("patch_id", "dir", "c.relation", "c.n_id")
         .join(leaves.select(F.col("patch_id").alias("n_id")), "n_id", "left_semi")
         .select("patch_id", "dir", "relation", "n_id")
     )
+    if periodic:
+        return found
+    return found.unionByName(wanted.filter("at is null").select("patch_id", "dir", F.lit("boundary").alias("relation"), own.alias("n_id")))
+
+
+def updated_neighbors(
+    links: DataFrame, leaves: DataFrame, gone: DataFrame, born: DataFrame, codec: MortonCodec, fresh: DataFrame | None = None
+) -> DataFrame:
+    """The neighbour table after a pass, from the one before: only faces of ``born`` leaves are worked out.
+
+    ``links`` may be the part of the table whose leaves are at or beside ``gone`` ones; ``leaves`` are
+    the new ones there.  Rows of and to leaves that are gone go; a new leaf's face gives the row of the
+    leaf beyond it too.  ``fresh``, the faces of born leaves, can be given where it has been written.
+    """
+    fresh = neighbors(leaves, codec, born) if fresh is None else fresh
+    kept = links.join(gone.select("patch_id"), "patch_id", "left_anti").join(
+        gone.select(F.col("patch_id").alias("n_id")), "n_id", "left_anti"
+    )
+    inverse = F.when(F.col("relation") == "coarser", "finer").when(F.col("relation") == "finer", "coarser").otherwise(F.col("relation"))
+    back = fresh.join(born.select(F.col("patch_id").alias("n_id")), "n_id", "left_anti").select(
+        F.col("n_id").alias("patch_id"), F.col("dir").bitwiseXOR(F.lit(1)).alias("dir"), inverse.alias("relation"), F.col("patch_id").alias("n_id")
+    )
+    names = ["patch_id", "dir", "relation", "n_id"]
+    return kept.select(*names).unionByName(fresh.select(*names)).unionByName(back)
 
 
 def eligible(flags: DataFrame, codec: MortonCodec) -> DataFrame:
@@ -170,20 +195,28 @@ def prune_coarsening(families: DataFrame, refined: DataFrame, nbr: DataFrame, co
     return families.join(blocked, "patch_id", "left_anti")
 
 
+def changes(refined: DataFrame, families: DataFrame, codec: MortonCodec) -> tuple[DataFrame, DataFrame]:
+    """(leaves that go, leaves that are born) of a pass, as patch_id."""
+    children = F.explode(codec.children(F.col("patch_id"))).alias("patch_id")
+    gone = refined.select("patch_id").unionByName(families.select(children))
+    return gone, refined.select(children).unionByName(families.select("patch_id"))
+
+
 def regrid_keys(leaves: DataFrame, refined: DataFrame, families: DataFrame, codec: MortonCodec) -> DataFrame:
     """The leaf set with refined leaves replaced by their children and families by their parents."""
-    gone = refined.select("patch_id").unionByName(
-        families.select(F.explode(codec.children(F.col("patch_id"))).alias("patch_id"))
-    )
-    kept = leaves.select("patch_id").join(gone, "patch_id", "left_anti")
-    born = refined.select(F.explode(codec.children(F.col("patch_id"))).alias("patch_id"))
-    return with_coords(kept.unionByName(born).unionByName(families.select("patch_id")), codec)
+    gone, born = changes(refined, families, codec)
+    return with_coords(leaves.select("patch_id").join(gone, "patch_id", "left_anti").unionByName(born), codec)
+
 
+def plan_regrid(
+    leaves: DataFrame, flags: DataFrame, codec: MortonCodec, min_level: int = 1, nbr: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(keys to refine, parents to coarsen to) under balance, from ``flags`` (patch_id, status).
 
-def plan_regrid(leaves: DataFrame, flags: DataFrame, codec: MortonCodec, min_level: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(keys to refine, parents to coarsen to) under balance, from ``flags`` (patch_id, status)."""
+    ``nbr`` is the neighbour table where there is one.
+    """
     refined = balance_refinement(eligible(flags, codec), leaves, codec).checkpoint()
-    families = prune_coarsening(coarsen_families(flags, codec, min_level), refined, neighbors(leaves, codec), codec)
+    families = prune_coarsening(coarsen_families(flags, codec, min_level), refined, neighbors(leaves, codec) if nbr is None else nbr, codec)
     return refined, families
 
 
@@ -216,7 +249,7 @@ def same_topology(a: DataFrame, b: DataFrame) -> bool:
 
 def indent(leaves: DataFrame) -> DataFrame:
     """One line of text per leaf, indented by level; order by patch_id to print."""
-    line: Column = F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("level "), F.col("level"), F.lit(" at "), F.col("x"), F.lit(","), F.col("y"))
+    line: Column = F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("level "), F.col("level"), F.lit(" at "), F.concat_ws(",", *(F.col(a) for a in AXES if a in leaves.columns)))
     return leaves.select("patch_id", line.alias("line"))
 
 

@@ -6,8 +6,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from ..operators import halo, intergrid, tree
-from ..operators.layout import PatchLayout
+from ..operators import intergrid, tree
 from ..sources import tables as S
 from . import loops
 from . import sql as Q
@@ -85,12 +84,19 @@ _WANT = " UNION ALL ".join(
     for p in (0, 1)
     for names in [iter(["a.range::INTEGER", "b.range::INTEGER"])]
 )
-_HALO = f"""{_passes(2)}, {_CELLS},
+#: Each step is worked out once, and each case joined by itself, so that times do not depend on the planner's guesses.
+HALO_CTES = f"""{_passes(2)}, {_CELLS},
 want AS MATERIALIZED (SELECT l.patch_id, l.g, d.dir, d.k, d.j, d.i, l.s // 4 AS w, (l.x + d.i * (l.s // 4) + 128) % 128 AS hx, (l.y + d.j * (l.s // 4) + 128) % 128 AS hy, (l.z + d.k * (l.s // 4) + 128) % 128 AS hz
-  FROM leaf2 l CROSS JOIN ({_WANT}) d)
-SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'same' AS relation, {Q.r('c.u')} AS u FROM want h JOIN cells c ON c.g = h.g AND c.w = h.w AND {_all('c.c@ = h.h@')}
-UNION ALL SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'coarser', {Q.r('c.u')} FROM want h JOIN cells c ON c.g = h.g AND c.w = 2 * h.w AND {_all('c.c@ = h.h@ - h.h@ % (2 * h.w)')}
-UNION ALL SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'finer', {Q.r('avg(c.u)')} FROM want h JOIN cells c ON c.g = h.g AND 2 * c.w = h.w AND {_all('c.c@ - c.c@ % (2 * c.w) = h.h@')} GROUP BY ALL"""
+  FROM leaf2 l CROSS JOIN ({_WANT}) d),
+placed AS MATERIALIZED (SELECT g * 2097152 + cx * 16384 + cy * 128 + cz AS at, w, u FROM cells),
+above AS MATERIALIZED (SELECT g * 2097152 + (cx - cx % (2 * w)) * 16384 + (cy - cy % (2 * w)) * 128 + cz - cz % (2 * w) AS at, 2 * w AS w, avg(u) AS u, count(*) AS n FROM cells GROUP BY 1, 2),
+asked AS MATERIALIZED (SELECT patch_id, dir, k, j, i, w, g * 2097152 + hx * 16384 + hy * 128 + hz AS at,
+    g * 2097152 + (hx - hx % (2 * w)) * 16384 + (hy - hy % (2 * w)) * 128 + hz - hz % (2 * w) AS wide FROM want),
+same_halo AS MATERIALIZED (SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'same' AS relation, c.u FROM asked h JOIN placed c ON c.at = h.at AND c.w = h.w),
+coarser_halo AS MATERIALIZED (SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'coarser' AS relation, c.u FROM asked h JOIN placed c ON c.at = h.wide AND c.w = 2 * h.w),
+finer_halo AS MATERIALIZED (SELECT h.patch_id, h.dir, h.k, h.j, h.i, 'finer' AS relation, c.u FROM asked h JOIN above c ON c.at = h.at AND c.w = h.w WHERE c.n = 8),
+halo AS MATERIALIZED (SELECT * FROM same_halo UNION ALL SELECT * FROM coarser_halo UNION ALL SELECT * FROM finer_halo)"""
+HALO_SQL = f"{HALO_CTES} SELECT patch_id, dir, k, j, i, relation, {Q.r('u')} AS u FROM halo"
 
 
 def _r6(c: str):
@@ -116,14 +122,6 @@ def register(query, checkpoints) -> None:
         leaves, flags = S.octree(spark, sf, 1)[0], S.octree(spark, sf, 2)[1]
         return tree.balance_refinement(tree.eligible(flags, C3), leaves, C3)
 
-    @query(_HALO)
-    def octree_halo(spark, sf):
-        checkpoints(spark)
-        leaves = S.octree(spark, sf)[0]
-        cells = S.octree_cells(leaves, S.grid3(spark, sf))
-        found = halo.halo_exchange(cells, leaves, C3, PatchLayout((N, N, N), 1), ["u"])
-        return found.select("patch_id", "dir", *tree.INDICES, "relation", _r6("u").alias("u"))
-
     @query(
         f"{_passes(2)}, {_CELLS} SELECT {_key('c@ - c@ % (8 * w)', 'level - 1', 'g')} AS patch_id, ((cz // (2 * w)) % 4)::INTEGER AS k, ((cy // (2 * w)) % 4)::INTEGER AS j, ((cx // (2 * w)) % 4)::INTEGER AS i, "
         f"{Q.r('avg(u)')} AS u, max(u) AS top FROM cells WHERE level > 0 GROUP BY ALL HAVING count(*) = 8"
