@@ -48,6 +48,13 @@ class LinearAdvection:
     def speed(self, state: dict[str, Column], axis: int) -> Column:
         return F.lit(abs(self.velocity[axis]))
 
+    def point_flux(self, state: dict[str, Column], axis: int) -> dict[str, Column]:
+        """The flux of one node's values."""
+        return {c: v * self.velocity[axis] for c, v in state.items()}
+
+    def point_speed(self, state: dict[str, Column], axis: int) -> Column:
+        return F.lit(abs(self.velocity[axis]))
+
 
 class NodalEuler:
     """Euler equations at nodes; components mx, my, rho, e."""
@@ -75,10 +82,23 @@ class NodalEuler:
 
     def speed(self, s: dict[str, Column], axis: int) -> Column:
         """|u| + c at the first node."""
-        first = {k: F.get(v, F.lit(0)) for k, v in s.items()}
-        kinetic = (first["mx"] * first["mx"] + first["my"] * first["my"]) * 0.5 / first["rho"]
-        p = (first["e"] - kinetic) * (self.gamma - 1)
-        return F.abs(first[("mx", "my")[axis]] / first["rho"]) + F.sqrt(p * self.gamma / first["rho"])
+        return self.point_speed({k: F.get(v, F.lit(0)) for k, v in s.items()}, axis)
+
+    def point_pressure(self, s: dict[str, Column]) -> Column:
+        kinetic = (s["mx"] * s["mx"] + s["my"] * s["my"]) * 0.5 / s["rho"]
+        return (s["e"] - kinetic) * (self.gamma - 1)
+
+    def point_flux(self, s: dict[str, Column], axis: int) -> dict[str, Column]:
+        """The flux of one node's values."""
+        p, own = self.point_pressure(s), ("mx", "my")[axis]
+        along = s[own] / s["rho"]
+        out = {m: s[m] * along for m in ("mx", "my")}
+        out[own] = out[own] + p
+        return out | {"rho": s[own], "e": (s["e"] + p) * along}
+
+    def point_speed(self, s: dict[str, Column], axis: int) -> Column:
+        """|u| + c."""
+        return F.abs(s[("mx", "my")[axis]] / s["rho"]) + F.sqrt(self.point_pressure(s) * self.gamma / s["rho"])
 
 
 def project(config: Config, f: Callable[[Column, Column], Column], corner_x: Column, corner_y: Column) -> Column:

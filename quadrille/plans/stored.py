@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import halo, tree
+from ..functions import basis
+from ..operators import dg, dg_leaves, halo, tree
 from ..operators.layout import PatchLayout
 from ..operators.store import Store
 from ..sources import tables as S
@@ -67,6 +69,65 @@ UNION ALL SELECT w.patch_id, w.dir, {at('w')}, 'boundary', {Q.r('c.u')}, {Q.r(f'
   WHERE NOT ({inside.format('w')})"""
 
 
+#: Velocity of the advection on leaf sets.
+VELOCITY = (1.0, 0.5)
+
+
+def leaf_nodes(leaves: DataFrame, values: DataFrame) -> DataFrame:
+    """patch_id, u: the value of its tree's grid at a leaf's centre, times 1 + 0.2 x + 0.1 y of each node of two by two."""
+    side = C2.side(F.col("level"))
+    at = {a: F.floor((F.col(a) * 2 + side) / 4).cast("long") for a in ("x", "y")}
+    found = leaves.select("patch_id", C2.tree(F.col("patch_id")).alias("g"), *(c.alias(a) for a, c in at.items())).join(values, ["g", "x", "y"])
+    points = basis.tensor_points(2, 2)
+    return found.select("patch_id", F.array(*(F.col("u") * F.lit(float(1 + 0.2 * px + 0.1 * py)) for py, px in points)).alias("u"))
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"{x!r}::DOUBLE" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
+
+
+def _dg_leaf_sql() -> str:
+    """Upwind fluxes in long form: a row a node, with tables of weights from plain polynomials."""
+    x = (np.polynomial.legendre.leggauss(2)[0] + 1) / 2
+    phi = [np.poly1d([1 / (x[i] - x[1 - i]), -x[1 - i] / (x[i] - x[1 - i])]) for i in (0, 1)]
+    node = [(2 * j + i, float(x[j]), float(x[i])) for j in (0, 1) for i in (0, 1)]
+    face = [
+        (2 * dim + up, (k // 2 if dim else k % 2), k, float(phi[k % 2 if dim else k // 2](up))) for dim in (0, 1) for up in (0, 1) for k in range(4)
+    ]
+    half = [(s, q, i, float(phi[i]((x[q] + s) / 2))) for s in (0, 1) for q in (0, 1) for i in (0, 1)]
+    vol = [
+        (2 * j + i, 2 * m + k, 0.25 * float(VELOCITY[0] * phi[i].deriv()(x[k]) * (m == j) + VELOCITY[1] * phi[j].deriv()(x[m]) * (k == i)))
+        for j in (0, 1)
+        for i in (0, 1)
+        for m in (0, 1)
+        for k in (0, 1)
+    ]
+    return f"""WITH RECURSIVE {Q.passes(3)}, {Q.nbr(3)}, {Q.GRID},
+node(k, ny, nx) AS (VALUES {_values(node)}), face(dir, t, k, w) AS (VALUES {_values(face)}),
+half(s, q, i, w) AS (VALUES {_values(half)}), vol(o, k, w) AS (VALUES {_values(vol)}),
+q0 AS MATERIALIZED (SELECT l.patch_id, l.s / 128 AS edge, k, u * (1 + 0.2 * nx + 0.1 * ny) AS v
+  FROM leaf3 l JOIN grid ON grid.g = l.g AND grid.x = (2 * l.x + l.s) // 4 AND grid.y = (2 * l.y + l.s) // 4, node),
+trace AS MATERIALIZED (SELECT patch_id, dir, t, sum(w * v) AS v FROM q0 JOIN face USING (k) GROUP BY ALL),
+mortar AS MATERIALIZED (SELECT n.patch_id, n.dir, n.relation, n.n_id,
+    CASE WHEN n.dir < 2 THEN (f.x // f.s) % 2 ELSE (f.y // f.s) % 2 END AS s
+  FROM nbr3 n JOIN leaf3 f ON f.patch_id = CASE WHEN n.relation = 'coarser' THEN n.patch_id ELSE n.n_id END),
+inner_side AS MATERIALIZED (
+  SELECT m.patch_id, m.dir, m.n_id, t.t AS q, t.v FROM mortar m JOIN trace t ON t.patch_id = m.patch_id AND t.dir = m.dir WHERE m.relation <> 'finer'
+  UNION ALL SELECT m.patch_id, m.dir, m.n_id, h.q, sum(h.w * t.v) FROM mortar m JOIN trace t ON t.patch_id = m.patch_id AND t.dir = m.dir
+    JOIN half h ON h.s = m.s AND h.i = t.t WHERE m.relation = 'finer' GROUP BY ALL),
+outer_side AS MATERIALIZED (
+  SELECT m.patch_id, m.dir, m.n_id, t.t AS q, t.v FROM mortar m JOIN trace t ON t.patch_id = m.n_id AND t.dir = xor(m.dir, 1) WHERE m.relation <> 'coarser'
+  UNION ALL SELECT m.patch_id, m.dir, m.n_id, h.q, sum(h.w * t.v) FROM mortar m JOIN trace t ON t.patch_id = m.n_id AND t.dir = xor(m.dir, 1)
+    JOIN half h ON h.s = m.s AND h.i = t.t WHERE m.relation = 'coarser' GROUP BY ALL),
+flux AS MATERIALIZED (SELECT m.*, a.q, CASE WHEN m.dir < 2 THEN {VELOCITY[1]!r}::DOUBLE ELSE {VELOCITY[0]!r}::DOUBLE END * CASE WHEN m.dir % 2 = 1 THEN a.v ELSE -b.v END AS f
+  FROM mortar m JOIN inner_side a USING (patch_id, dir, n_id) JOIN outer_side b ON b.patch_id = m.patch_id AND b.dir = m.dir AND b.n_id = m.n_id AND b.q = a.q),
+lift AS MATERIALIZED (SELECT patch_id, dir, q AS t, 0.5 * f AS w FROM flux WHERE relation <> 'finer'
+  UNION ALL SELECT patch_id, dir, h.i, 0.25 * h.w * f FROM flux JOIN half h ON h.s = flux.s AND h.q = flux.q WHERE relation = 'finer'),
+faces AS MATERIALIZED (SELECT l.patch_id, k, sum(l.w * face.w) AS v FROM lift l JOIN face ON face.dir = l.dir AND face.t = l.t GROUP BY ALL),
+volume AS MATERIALIZED (SELECT patch_id, edge, o AS k, sum(w * v) AS v FROM q0 JOIN vol USING (k) GROUP BY ALL)
+SELECT patch_id, k::INTEGER AS k, {Q.r('(volume.v - faces.v) / (edge * 0.25)')} AS v FROM volume JOIN faces USING (patch_id, k)"""
+
+
 def register(query, checkpoints) -> None:
     """Adds the queries by the decorator of ``plans.queries``."""
 
@@ -102,6 +163,15 @@ def register(query, checkpoints) -> None:
         found = halo.patch_halos(store.links(), store.read("patches"), C3, LAYOUT3, ["u"])
         return found.select("patch_id", "dir", *tree.INDICES, "relation", r6("u").alias("u"))
 
+    @query(_dg_leaf_sql())
+    def dg_leaf_rhs(spark, sf):
+        """Advection on the leaves of the quadtrees, faces between levels by mortars."""
+        checkpoints(spark)
+        leaves = S.leaf_set(spark, sf)
+        cells = leaf_nodes(leaves, S.grid(spark, sf)).checkpoint()
+        found = dg_leaves.leaf_rhs(cells, tree.neighbors(leaves, C2), C2, 2, dg.LinearAdvection(VELOCITY), ["u"])
+        return found.select("patch_id", F.posexplode("u").alias("k", "v")).select("patch_id", "k", r6("v").alias("v"))
+
     @query(f"WITH RECURSIVE {Q.HALO} {_walls('leaf3', ('j', 'i'), 8, _OPEN2, 1)}")
     def halo_walls(spark, sf):
         """A domain with reflecting walls in two dimensions."""
