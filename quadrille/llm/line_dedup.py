@@ -2,8 +2,8 @@
 
 Lines become 128-bit hashes of their normalised form in one slim table; documents are counted per
 hash with partial aggregates (a line in a third of all rows sends one row a task), hashes over the
-threshold are joined back to (document, hash) pairs, and each document's lines are filtered in
-their order against its own set of dropped hashes.
+threshold are joined back to the lines' places, and each document is put together again by the places
+that stay.  All of it is linear in a document's lines.
 """
 
 from __future__ import annotations
@@ -22,16 +22,15 @@ def line_key(line: Column) -> Column:
     return common.lower_ascii(F.btrim(line, F.lit(BLANKS)))
 
 
-def _hash(key: Column) -> Column:
-    """128 bits: two 64-bit hashes with different seeds."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
-
-
 def _hashes(lines: Column, min_chars: int) -> Column:
-    """The hash of each line, null for lines that are too short to count."""
-    return F.transform(
-        F.transform(lines, line_key), lambda k: F.when(F.length(k) >= min_chars, _hash(k))
+    """Place and hash (128 bits: two with different seeds) of each line that is long enough to count."""
+    hashed = F.transform(
+        F.transform(lines, line_key),
+        lambda k, i: F.when(
+            F.length(k) >= min_chars, F.struct(i.alias("pos"), F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b"))
+        ),
     )
+    return F.filter(hashed, lambda h: h.isNotNull())
 
 
 def dedup_lines(
@@ -51,14 +50,12 @@ def dedup_lines(
     base = common.id_and_text(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
+    # Rows of one doc_id are told apart by their text.
+    base = base.select("doc_id", F.xxhash64("text").alias("row"), "text")
     keys = common.written(
-        base.select(
-            "doc_id",
-            F.array_distinct(F.filter(_hashes(F.split("text", "\n"), min_chars), lambda h: h.isNotNull())).alias("keys"),
-        ).filter(F.size("keys") > 0),
-        "line-keys",
+        base.select("doc_id", "row", _hashes(F.split("text", "\n"), min_chars).alias("keys")).filter(F.size("keys") > 0), "line-keys"
     )
-    pairs = keys.select("doc_id", F.explode("keys").alias("key")).select("doc_id", "key.a", "key.b")
+    pairs = keys.select("doc_id", "row", F.explode("keys").alias("key")).select("doc_id", "row", "key.*")
     # Two documents at least: smallest and largest id differ, one aggregate without a distinct.
     many = F.min("doc_id") < F.max("doc_id") if min_docs == 2 else F.count_distinct("doc_id") >= min_docs
     # A table of its own, so that both sides of the join below are plain exchanges, which adaptive
@@ -70,29 +67,22 @@ def dedup_lines(
     dropped = (
         pairs.join(common_keys, ["a", "b"])
         .filter(F.col("doc_id") != F.col("keeper"))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+        .groupBy("doc_id", "row")
+        .agg(F.collect_list("pos").alias("drop"))
     )
-    # Lines of documents that lose some, as (line, stays); the others keep their text as it is.
+    # Places that stay, in order: whole numbers go through a hash set, so this is linear in the lines.
     lines = F.split("text", "\n")
-    flagged = F.transform(
-        F.arrays_zip(lines.alias("line"), _hashes(lines, min_chars).alias("hash")),
-        lambda x: F.struct(
-            x["line"].alias("line"),
-            (x["hash"].isNull() | ~F.array_contains("drop", F.coalesce(x["hash"], _hash(F.lit(""))))).alias("stays"),
-        ),
-    )
-    stay = F.when(F.col("drop").isNotNull(), F.filter(flagged, lambda x: x["stays"]))
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    stay = F.when(F.col("drop").isNotNull(), F.array_except(places, "drop"))
     return (
-        base.join(dropped, "doc_id", "left")
-        .select("doc_id", "text", F.size(lines).alias("n_lines"), stay.alias("stay"))
+        base.join(dropped, ["doc_id", "row"], "left")
+        .select("doc_id", "text", lines.alias("lines"), stay.alias("stay"))
         .select(
             F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"),
-            F.coalesce(F.array_join(F.col("stay.line"), "\n"), "text").alias("text"),
-            F.col("n_lines").cast("long").alias("n_lines"),
-            F.when(F.col("stay").isNull(), 0)
-            .otherwise(F.col("n_lines") - F.size("stay"))
-            .cast("long")
-            .alias("n_dropped"),
+            F.when(F.col("stay").isNull(), F.col("text"))
+            .otherwise(F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n"))
+            .alias("text"),
+            F.size("lines").cast("long").alias("n_lines"),
+            F.when(F.col("stay").isNull(), 0).otherwise(F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"),
         )
     )
