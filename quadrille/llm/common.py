@@ -59,6 +59,15 @@ def fold_column(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def drawn(key: Column, wanted: int, total: Column | int) -> Column:
+    """Whether a row is drawn by the hash of its key, about ``wanted`` of ``total`` rows, all if there are fewer.
+
+    The share is a part of the 64-bit hashes in double precision, so it is not 0 for any total below 2^53.
+    """
+    share = F.lit(float(wanted)) / F.greatest(F.lit(1), F.lit(total) if isinstance(total, int) else total)
+    return (share >= 1) | (F.xxhash64(key).cast("double") < share * F.lit(2.0**64) - F.lit(2.0**63))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -34,7 +34,6 @@ MATRIX_LANGUAGES = 64
 #: Code points of text that are scored at once (fewer with more languages than MATRIX_LANGUAGES / 8).
 BLOCK_CHARS = 1 << 19
 _LETTER = regex.compile(r"\p{L}")
-_DRAW = 1_000_000
 
 
 @dataclass
@@ -150,8 +149,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, matrix_l
     row = totals.agg(F.count("*").alias("languages"), F.sum("docs").alias("docs")).first()
     if not row.languages:
         return Model([])
-    share = F.least(F.lit(_DRAW), F.floor(F.lit(_DRAW * per_language) / F.col("docs")))
-    drawn = usable.join(totals, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(_DRAW)) < share)
+    drawn = usable.join(totals, "lang").filter(common.drawn(F.col("doc_id"), per_language, F.col("docs")))
     counted = (
         common.map_batches(drawn.select("lang", "text"), _count, "lang string, bucket long, n long")
         .groupBy("lang", "bucket")

@@ -24,7 +24,6 @@ BUCKET_BITS = 17
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 0.2, 0.1, 1e-4, 1e-4
 BLOCK_BYTES = 2 << 20
-_DRAW = 1_000_000
 
 #: Byte classes: 0 blank or control, 1 letters, digits and bytes from 0x80 on, 2 punctuation.
 CLASSES = np.array(
@@ -145,8 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     usable = placed.select(F.col(key).cast("long").alias("doc_id"), F.col(quality).cast("int").alias("quality")).filter(
         F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (common.fold_column(F.col("doc_id"), 5) != 0)
     )
-    share = min(_DRAW, _DRAW * sample_rows // max(1, usable.count()))
-    drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_DRAW)) < share)
+    drawn = usable.filter(common.drawn(F.col("doc_id"), sample_rows, usable.count()))
     rows = (
         common.id_and_text(docs)
         .join(F.broadcast(drawn), "doc_id")  # bounded by sample_rows

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import decontamination, language_id, license_scan, lm_scoring
+from quadrille.llm import common, decontamination, language_id, license_scan, line_dedup, lm_scoring
 
 from .helpers import EDGE, edge_docs, frame, lower, random_texts
 from .test_brute_force import _ppm
@@ -101,3 +101,33 @@ def test_short_items_cost_no_long_documents(spark):
     texts = [f"{long} yes", f"Ann Lee {long} yes", "Ann Lee", "yes no", f"{long} {item[3:]} {long}", f"{long} {item[:20]}", None, ""]
     kept = decontamination.decontaminate(frame(spark, texts), bench).collect()
     assert sorted(r.doc_id for r in kept) == [0, 1, 5, 6, 7]
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    """Two documents of half a million lines each, most of them shared, in linear time."""
+    import time
+
+    n = 500_000
+    long = [f"line number {i} of a long log" for i in range(n)]
+    texts = ["\n".join(long), "\n".join([*long[: n - 1000], "short", *(f"own line number {i}" for i in range(1000))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    began = time.time()
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 60
+    assert (rows[0].n_lines, rows[0].n_dropped, rows[0].text == texts[0]) == (n, 0, True)
+    assert (rows[1].n_lines, rows[1].n_dropped) == (n + 1, n - 1000)
+    assert rows[1].text == "\n".join(["short", *(f"own line number {i}" for i in range(1000))])
+
+
+def test_draws_of_very_large_totals(spark):
+    """A share of 5,000 of 10^10 rows is not 0: of 2^31 hashes about a thousand pass, here shown on its bound."""
+    keys = spark.range(2_000_000)
+    for total, low, high in ((10**7, 800, 1200), (10**8, 60, 140)):
+        assert low < keys.filter(common.drawn(F.col("id"), 5000, total)).count() < high
+    # The hash that is smallest of these keys is drawn even among 10^10 rows if it is below the share.
+    least = keys.select(F.min(F.xxhash64("id")).alias("h")).first().h
+    share = (least + 2**63) / 2**64
+    wanted = 5000
+    assert keys.filter(common.drawn(F.col("id"), wanted, int(wanted / share * 0.99))).count() == 1
+    assert keys.filter(common.drawn(F.col("id"), wanted, int(wanted / share * 1.01))).count() == 0
+    assert keys.limit(100).filter(common.drawn(F.col("id"), wanted, 4999)).count() == 100
