@@ -178,6 +178,20 @@ def register(query, checkpoints) -> None:
         faults = tree.index_faults(distinct, placed.select("patch_id", "place")).agg(F.count("*").alias("faults"))
         return tree.is_sorted(placed).join(F.broadcast(faults)).select("sorted", "faults")
 
+    @query(
+        f"WITH {Q.KEYS}, k AS (SELECT DISTINCT {_key('@', 'n')} AS key FROM keys), p AS (SELECT key, row_number() OVER (ORDER BY key) AS place FROM k), "
+        "m AS MATERIALIZED (SELECT key, place - CASE WHEN key % 7 = 0 THEN 1 ELSE 0 END AS place FROM p WHERE key % 11 <> 0) "
+        "SELECT f.patch_id, (SELECT count(*) = max(place) AND min(place) = 1 AND count(DISTINCT place) = count(*) FROM m) AS sorted FROM "
+        "(SELECT key AS patch_id FROM k WHERE key % 11 = 0 UNION SELECT min(key) FROM m GROUP BY place HAVING count(*) > 1) f"
+    )
+    def index_faults(spark, sf):
+        """Faults put in: keys without a place, and keys that share the place before theirs."""
+        checkpoints(spark)
+        distinct = _keys3(spark, sf).select(F.col("key").alias("patch_id")).distinct()
+        moved = F.col("place") - F.when(F.col("patch_id") % 7 == 0, 1).otherwise(0)
+        places = loops.row_numbers(distinct).filter("patch_id % 11 <> 0").select("patch_id", moved.alias("place")).checkpoint()
+        return tree.index_faults(distinct, places).join(F.broadcast(tree.is_sorted(places)))  # a single row
+
 
 def _keys3(spark, sf):
     return S.keys(spark, sf).select("o", "n", C3.encode([F.col(a) for a in AXES], F.col("n")).alias("key"))
