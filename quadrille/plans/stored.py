@@ -163,6 +163,26 @@ def register(query, checkpoints) -> None:
         found = halo.patch_halos(store.links(), store.read("patches"), C3, LAYOUT3, ["u"])
         return found.select("patch_id", "dir", *tree.INDICES, "relation", r6("u").alias("u"))
 
+    @query(
+        f"WITH {Q.STATE} SELECT g, x, y, {Q.r('e')} AS e, {Q.r('p')} AS p, {Q.r('mx * mx / rho + p')} AS xmx, {Q.r('my * mx / rho')} AS xmy, {Q.r('mx')} AS xrho, "
+        f"{Q.r('(e + p) * mx / rho')} AS xe, {Q.r('my * my / rho + p')} AS ymy, {Q.r('(e + p) * my / rho')} AS ye, "
+        f"{Q.r('abs(mx / rho) + a')} AS sx, {Q.r('abs(my / rho) + a')} AS sy FROM state"
+    )
+    def dg_euler_terms(spark, sf):
+        """Energy, pressure, fluxes and wave speeds of the nodal Euler equations at the gas states."""
+        gas, euler = S.primitive_grid(spark, sf), dg.NodalEuler()
+        momenta = [F.col("rho") * F.col(v) for v in ("vx", "vy")]
+        rows = gas.select("g", "x", "y", momenta[0].alias("mx"), momenta[1].alias("my"), "rho", euler.energy(momenta, F.col("rho"), F.col("p")).alias("e"))
+        node = {c: F.array(F.col(c)) for c in euler.components}
+        terms = {"p": euler.pressure(node)}
+        for axis, name in enumerate("xy"):
+            terms |= {f"{name}{c}": f for c, f in euler.flux(node, axis).items()}
+        wanted = ["p", "xmx", "xmy", "xrho", "xe", "ymy", "ye"]
+        found = rows.select(
+            "g", "x", "y", "e", *(F.get(terms[c], F.lit(0)).alias(c) for c in wanted), euler.speed(node, 0).alias("sx"), euler.speed(node, 1).alias("sy")
+        )
+        return found.select("g", "x", "y", *(r6(c).alias(c) for c in ("e", *wanted, "sx", "sy")))
+
     @query(_dg_leaf_sql())
     def dg_leaf_rhs(spark, sf):
         """Advection on the leaves of the quadtrees, faces between levels by mortars."""
