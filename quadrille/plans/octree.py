@@ -84,8 +84,9 @@ _WANT = " UNION ALL ".join(
     for p in (0, 1)
     for names in [iter(["a.range::INTEGER", "b.range::INTEGER"])]
 )
+CELLS_SQL = f"{_passes(2)}, {_CELLS}"
 #: Each step is worked out once, and each case joined by itself, so that times do not depend on the planner's guesses.
-HALO_CTES = f"""{_passes(2)}, {_CELLS},
+HALO_CTES = f"""{CELLS_SQL},
 want AS MATERIALIZED (SELECT l.patch_id, l.g, d.dir, d.k, d.j, d.i, l.s // 4 AS w, (l.x + d.i * (l.s // 4) + 128) % 128 AS hx, (l.y + d.j * (l.s // 4) + 128) % 128 AS hy, (l.z + d.k * (l.s // 4) + 128) % 128 AS hz
   FROM leaf2 l CROSS JOIN ({_WANT}) d),
 placed AS MATERIALIZED (SELECT g * 2097152 + cx * 16384 + cy * 128 + cz AS at, w, u FROM cells),

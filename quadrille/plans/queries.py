@@ -12,7 +12,7 @@ from ..functions import tensors as T
 from ..operators import dg, fvm, halo, intergrid, tree
 from ..operators.layout import PatchLayout
 from ..sources import tables as S
-from . import loops, octree, stored
+from . import loops, meshes, octree, stored
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -736,3 +736,4 @@ def stream_point_counts(spark, sf):
 
 octree.register(query, checkpoints)
 stored.register(query, checkpoints)
+meshes.register(query, checkpoints)

@@ -1,30 +1,16 @@
-"""VTK files of cells and DG nodes, and collection files.
-
-Parquet is the sink for data; these files are for viewers.  ``write_cell_parts`` is for tables of any
-size: tasks write a file for each piece of space, and a collection lists them.  The writers of single
-files bring the rows to the driver one partition at a time, in key order, and are for small tables.
-"""
+"""Boxes of cells, the order of nodes in files, lists of steps and collections; files are written by ``meshes``."""
 
 from __future__ import annotations
 
 import os
 import re
-import struct
-import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import basis
 from ..functions.geometry import Geometry
 
-QUAD, LAGRANGE_QUAD = 9, 70
-
 
 def lagrange_quad_order(order: int) -> list[tuple[int, int]]:
     """(i, j) of the nodes of a Lagrange quad in file order: corners, edges, then the inside."""
@@ -36,133 +22,13 @@ def lagrange_quad_order(order: int) -> list[tuple[int, int]]:
 
 
 def with_boxes(cells: DataFrame, leaves: DataFrame, geometry: Geometry) -> DataFrame:
-    """Cells with x0, y0, dx, dy."""
-    corner = leaves.select("patch_id", F.col("x").alias("__x"), F.col("y").alias("__y"))
+    """Cells with x0, y0, dx, dy, and z0, dz where leaves have a z."""
+    axes = {a: m for a, m in zip("xyz", "ijk", strict=True) if a in leaves.columns}
+    corner = leaves.select("patch_id", *(F.col(a).alias(f"__{a}") for a in axes))
     level = F.col("level")
-    return cells.join(corner, "patch_id").select(
-        *cells.columns,
-        geometry.cell_coord(F.col("__x"), level, F.col("i"), 0).alias("x0"),
-        geometry.cell_coord(F.col("__y"), level, F.col("j"), 1).alias("y0"),
-        geometry.cell_size(level, 0).alias("dx"),
-        geometry.cell_size(level, 1).alias("dy"),
-    )
-
-
-def write_cells(boxes: DataFrame, path: str, fields: Sequence[str], binary: bool = True) -> int:
-    """A legacy unstructured-grid file of quads with one scalar array a field; returns the cells."""
-    ordered = boxes.select("patch_id", "j", "i", "x0", "y0", "dx", "dy", *fields).orderBy("patch_id", "j", "i").persist()
-    n = ordered.count()
-
-    def each(columns: Sequence[str]) -> Iterable:
-        return ordered.select("patch_id", "j", "i", *columns).toLocalIterator(prefetchPartitions=True)
-
-    with open(path, "wb") as out:
-
-        def put(kind: str, values: Sequence) -> None:
-            if binary:
-                out.write(struct.pack(f">{len(values)}{kind}", *values))
-            else:
-                out.write((" ".join(map(str, values)) + "\n").encode())
-
-        out.write(f"# vtk DataFile Version 3.0\ncells\n{'BINARY' if binary else 'ASCII'}\nDATASET UNSTRUCTURED_GRID\n".encode())
-        out.write(f"POINTS {4 * n} double\n".encode())
-        for r in each(["x0", "y0", "dx", "dy"]):
-            for a, b in ((0, 0), (1, 0), (1, 1), (0, 1)):
-                put("d", (r.x0 + a * r.dx, r.y0 + b * r.dy, 0.0))
-        out.write(f"\nCELLS {n} {5 * n}\n".encode())
-        for k in range(n):
-            put("i", (4, *range(4 * k, 4 * k + 4)))
-        out.write(f"\nCELL_TYPES {n}\n".encode())
-        for _ in range(n):
-            put("i", (QUAD,))
-        out.write(f"\nCELL_DATA {n}\n".encode())
-        for field in fields:
-            out.write(f"SCALARS {field} double 1\nLOOKUP_TABLE default\n".encode())
-            for r in each([field]):
-                put("d", (r[field],))
-            out.write(b"\n")
-    ordered.unpersist()
-    return n
-
-
-def cell_file(boxes: dict[str, np.ndarray], fields: Sequence[str]) -> bytes:
-    """A binary legacy file of quads from columns x0, y0, dx, dy and the fields."""
-    n = len(boxes["x0"])
-    points = np.zeros((n, 4, 3), ">f8")
-    for k, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))):
-        points[:, k, 0], points[:, k, 1] = boxes["x0"] + a * boxes["dx"], boxes["y0"] + b * boxes["dy"]
-    quads = np.column_stack([np.full(n, 4), np.arange(4 * n).reshape(n, 4)]).astype(">i4")
-    parts = [
-        f"# vtk DataFile Version 3.0\ncells\nBINARY\nDATASET UNSTRUCTURED_GRID\nPOINTS {4 * n} double\n".encode(),
-        points.tobytes(),
-        f"\nCELLS {n} {5 * n}\n".encode(),
-        quads.tobytes(),
-        f"\nCELL_TYPES {n}\n".encode(),
-        np.full(n, QUAD, ">i4").tobytes(),
-        f"\nCELL_DATA {n}\n".encode(),
-    ]
-    for field in fields:
-        parts += [f"SCALARS {field} double 1\nLOOKUP_TABLE default\n".encode(), boxes[field].astype(">f8").tobytes(), b"\n"]
-    return b"".join(parts)
-
-
-def write_cell_parts(boxes: DataFrame, folder: str, fields: Sequence[str], cells_per_file: int = 1 << 20) -> DataFrame:
-    """Tasks write binary files into ``folder``, which they must share; the files' table: part, path, n.
-
-    Rows are dealt by ranges of patch_id.  A repeated task writes files of new names, and only those of
-    finished tasks are listed.
-    """
-    names = ["x0", "y0", "dx", "dy", *fields]
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        system, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
-        system.create_dir(base, recursive=True)
-        held, part = [], TaskContext.get().partitionId()
-
-        def out() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            name = f"part-{part:06d}-{uuid.uuid4().hex}.vtk"
-            with system.open_output_stream(f"{base}/{name}") as file:
-                file.write(cell_file({c: table[c].cast(pa.float64()).to_numpy() for c in names}, fields))
-            return pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "n": table.num_rows}])
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, cells_per_file):
-                held.append(batch.slice(i, cells_per_file))
-                if sum(b.num_rows for b in held) >= cells_per_file:
-                    yield out()
-                    held.clear()
-        if sum(b.num_rows for b in held):
-            yield out()
-
-    dealt = boxes.select("patch_id", "j", "i", *names).repartitionByRange("patch_id").sortWithinPartitions("patch_id", "j", "i")
-    files = dealt.select(*names).mapInArrow(work, "part long, path string, n long")
-    files.write.parquet(f"{folder}/files")
-    return files.sparkSession.read.parquet(f"{folder}/files")
-
-
-def write_nodes(cells: DataFrame, path: str, component: str, order: int, edge: float) -> int:
-    """DG cells (x, y, array) as Lagrange quads sampled on a regular lattice of order + 1 points."""
-    lattice = lagrange_quad_order(order)
-    rows = [basis.evaluation_row(order, np.array([j / order, i / order])) for i, j in lattice]
-    n, m = cells.count(), len(lattice)
-    ordered = cells.select("x", "y", component).orderBy("y", "x").persist()
-    with open(path, "w", encoding="ascii") as out:
-        out.write("# vtk DataFile Version 3.0\nnodes\nASCII\nDATASET UNSTRUCTURED_GRID\n")
-        out.write(f"POINTS {n * m} double\n")
-        for r in ordered.toLocalIterator():
-            for i, j in lattice:
-                out.write(f"{(r.x + i / order) * edge} {(r.y + j / order) * edge} 0.0\n")
-        out.write(f"CELLS {n} {n * (m + 1)}\n")
-        for k in range(n):
-            out.write(" ".join(map(str, (m, *range(k * m, k * m + m)))) + "\n")
-        out.write(f"CELL_TYPES {n}\n" + f"{LAGRANGE_QUAD}\n" * n)
-        out.write(f"POINT_DATA {n * m}\nSCALARS {component} double 1\nLOOKUP_TABLE default\n")
-        for r in ordered.toLocalIterator():
-            values = np.array(r[component])
-            out.write("\n".join(repr(float(w @ values)) for w in rows) + "\n")
-    ordered.unpersist()
-    return n
+    low = [geometry.cell_coord(F.col(f"__{a}"), level, F.col(m), d).alias(f"{a}0") for d, (a, m) in enumerate(axes.items())]
+    size = [geometry.cell_size(level, d).alias(f"d{a}") for d, a in enumerate(axes)]
+    return cells.join(corner, "patch_id").select(*cells.columns, *low, *size)
 
 
 def list_steps(folder: str, pattern: str = r"(\d+)\.vtk$") -> list[tuple[int, str]]:
@@ -171,9 +37,16 @@ def list_steps(folder: str, pattern: str = r"(\d+)\.vtk$") -> list[tuple[int, st
     return sorted(found)
 
 
+def collection(files: Iterable[tuple[float, str]]) -> str:
+    """An XML collection of files by time; files of one time are its parts."""
+    count: dict[float, int] = {}
+    lines = []
+    for t, name in files:
+        part = count[t] = count.get(t, -1) + 1
+        lines.append(f'    <DataSet timestep="{t}" group="" part="{part}" file="{name}"/>')
+    return "\n".join(['<?xml version="1.0"?>', '<VTKFile type="Collection" version="0.1">', "  <Collection>", *lines, "  </Collection>", "</VTKFile>"]) + "\n"
+
+
 def write_collection(path: str, files: Iterable[tuple[float, str]]) -> None:
-    """An XML collection of files by time."""
-    lines = [f'    <DataSet timestep="{t}" group="" part="0" file="{name}"/>' for t, name in files]
-    body = "\n".join(['<?xml version="1.0"?>', '<VTKFile type="Collection" version="0.1">', "  <Collection>", *lines, "  </Collection>", "</VTKFile>"])
     with open(path, "w", encoding="ascii") as out:
-        out.write(body + "\n")
+        out.write(collection(files))

@@ -21,11 +21,24 @@ def read_dumps(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Patches of a block, whose counts are summed first.
+BLOCK = 4096
+
+
 def merged(dumps: DataFrame) -> DataFrame:
-    """The patches of a step as one mesh: connectivity shifted by the points of the patches before."""
-    before = Window.partitionBy("timestep").orderBy("patch").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.size("points")).over(before), F.lit(0)).cast("int")
-    return dumps.withColumn("__s", start).select(
+    """The patches of a step as one mesh: connectivity shifted by the points of the patches before.
+
+    Only counts meet in windows: those of a block's patches, and those of a step's blocks; the arrays stay where
+    they are but for the join on (timestep, patch), which are distinct.  Points' numbers are long.
+    """
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dumps.withColumn("__n", F.greatest(F.coalesce(F.size("points"), F.lit(0)), F.lit(0)).cast("long"))
+    counts = rows.groupBy("timestep", "patch", F.floor(F.col("patch") / BLOCK).alias("__b")).agg(F.sum("__n").alias("__n"))
+    blocks = counts.groupBy("timestep", "__b").agg(F.sum("__n").alias("__n"))
+    starts = blocks.select("timestep", "__b", F.coalesce(F.sum("__n").over(before("timestep").orderBy("__b")), F.lit(0)).alias("__o"))
+    inside = F.coalesce(F.sum("__n").over(before("timestep", "__b").orderBy("patch")), F.lit(0))
+    shifts = counts.withColumn("__i", inside).join(starts, ["timestep", "__b"]).select("timestep", "patch", (F.col("__o") + F.col("__i")).alias("__s"))
+    return dumps.join(shifts, ["timestep", "patch"]).select(
         "timestep",
         "patch",
         "points",

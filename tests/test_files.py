@@ -1,12 +1,9 @@
 """Files, settings and streams."""
 
 import json
-import struct
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from quadrille.functions.geometry import Geometry
 from quadrille.functions.morton import MortonCodec
 from quadrille.operators import intergrid, tree
 from quadrille.sinks import vtk
@@ -17,56 +14,13 @@ from quadrille.streaming import points as P
 CODEC = MortonCodec(2, 3)
 
 
-def _cells(spark):
-    leaves = tree.uniform(spark, CODEC, 1)
-    cells = S.initialize(leaves, (2, 2), {"u": (F.col("i") + 10 * F.col("j")).cast("double")})
-    return leaves, cells.select("patch_id", "level", "j", "i", "u")
-
-
-def test_vtk_cells(spark, tmp_path):
-    leaves, cells = _cells(spark)
-    boxes = vtk.with_boxes(cells, leaves, Geometry((1.0, 1.0), (2, 2), 3))
-    assert vtk.write_cells(boxes, str(tmp_path / "a.vtk"), ["u"], binary=False) == 16
-    text = (tmp_path / "a.vtk").read_text()
-    assert "POINTS 64 double\n0.0 0.0 0.0\n0.25 0.0 0.0" in text and "CELL_TYPES 16" in text
-    vtk.write_cells(boxes, str(tmp_path / "b.vtk"), ["u"])
-    data = (tmp_path / "b.vtk").read_bytes()
-    at = data.index(b"POINTS 64 double\n") + len(b"POINTS 64 double\n")
-    assert struct.unpack(">6d", data[at : at + 48]) == (0, 0, 0, 0.25, 0, 0)
-    at = data.index(b"default\n") + 8
-    assert struct.unpack(">4d", data[at : at + 32]) == (0.0, 1.0, 10.0, 11.0)
-
-
-def test_vtk_cell_parts(spark, tmp_path):
-    leaves = tree.uniform(spark, MortonCodec(2, 3), 2)
-    at = F.explode(F.sequence(F.lit(0), F.lit(1)))
-    cells = leaves.withColumn("j", at).withColumn("i", at).select("patch_id", "level", "j", "i", (F.col("x") * 10.0 + F.col("i")).alias("u"))
-    boxes = vtk.with_boxes(cells, leaves, Geometry((1.0, 1.0), (2, 2), 3)).persist()
-    files = vtk.write_cell_parts(boxes, str(tmp_path / "parts"), ["u"], cells_per_file=10).collect()
-    assert sum(f.n for f in files) == 64 and len(files) > 1
-    found = []
-    for f in files:
-        data = open(f.path, "rb").read()
-        points = data.split(f"POINTS {4 * f.n} double\n".encode())[1][: 96 * f.n]
-        values = data.split(b"LOOKUP_TABLE default\n")[1][: 8 * f.n]
-        corners = np.frombuffer(points, ">f8").reshape(-1, 4, 3)
-        found += zip(corners[:, 0, 0].tolist(), corners[:, 0, 1].tolist(), corners[:, 2, 0].tolist(), np.frombuffer(values, ">f8").tolist(), strict=True)
-    assert sorted(found) == sorted((r.x0, r.y0, r.x0 + r.dx, r.u) for r in boxes.collect())
-    one = tmp_path / "one.vtk"
-    vtk.write_cells(boxes, str(one), ["u"])
-    whole = boxes.orderBy("patch_id", "j", "i").toPandas()
-    assert one.read_bytes() == vtk.cell_file({c: whole[c].to_numpy() for c in ("x0", "y0", "dx", "dy", "u")}, ["u"])
-
-
-def test_vtk_nodes_and_collection(spark, tmp_path):
-    cells = S.square(spark, 2).select("x", "y", F.array(*(F.col("x").cast("double") for _ in range(4))).alias("u"))
-    assert vtk.write_nodes(cells, str(tmp_path / "n_00012.vtk"), "u", 2, 0.5) == 4
-    text = (tmp_path / "n_00012.vtk").read_text()
-    assert "POINTS 36 double" in text and "CELL_TYPES 4\n70\n" in text
+def test_collection_and_steps(tmp_path):
     assert len(set(vtk.lagrange_quad_order(3))) == 16 and vtk.lagrange_quad_order(2)[:4] == [(0, 0), (2, 0), (2, 2), (0, 2)]
+    (tmp_path / "n_00012.vtk").write_text("")
     assert vtk.list_steps(str(tmp_path)) == [(12, "n_00012.vtk")]
-    vtk.write_collection(str(tmp_path / "all.pvd"), [(0.5, "n_00012.vtk")])
-    assert 'timestep="0.5"' in (tmp_path / "all.pvd").read_text()
+    vtk.write_collection(str(tmp_path / "all.pvd"), [(0.5, "n_00012.vtk"), (0.5, "b"), (1.0, "c")])
+    text = (tmp_path / "all.pvd").read_text()
+    assert 'timestep="0.5" group="" part="1" file="b"' in text and 'timestep="1.0" group="" part="0" file="c"' in text
 
 
 def test_json_dumps(spark, tmp_path):
@@ -77,6 +31,8 @@ def test_json_dumps(spark, tmp_path):
     dumps = dofs_json.read_dumps(spark, str(tmp_path))
     rows = {(r.timestep, r.patch): r.connectivity for r in dofs_json.merged(dumps).collect()}
     assert rows[1, 2] == [[6, 7, 8]] and rows[0, 0] == [[0, 1, 2]] and len(rows) == 6
+    plan = dofs_json.merged(dumps)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("points" not in line.split("windowspec")[0] for line in plan.split("\n") if "Window [" in line)
     found = intergrid.anomalies(dofs_json.point_table(dumps), ["value"]).first()
     assert (found.n, found.n_large, found.n_nan) == (18, 6, 0)
 
@@ -108,3 +64,20 @@ def test_llm_is_apart():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"(from|import)\s+[.\w]*llm", path.read_text()), path
+
+
+def test_offsets_across_blocks(spark):
+    """Counts of 10,000 patches with gaps, and patches without points, against a plain running sum."""
+    n = 10000
+    dumps = spark.range(n).select(
+        F.lit(3).alias("timestep"),
+        (F.col("id") * 3).cast("int").alias("patch"),
+        F.array_repeat(F.array(F.lit(0.0)), (F.col("id") % 5).cast("int")).alias("points"),
+        F.array(F.array(F.lit(0))).alias("connectivity"),
+        F.create_map(F.lit("a"), F.array(F.lit(1.0))).alias("point_data"),
+    )
+    got = {r.patch: r.connectivity[0][0] for r in dofs_json.merged(dumps).collect()}
+    total = 0
+    for k in range(n):
+        assert got[3 * k] == total
+        total += k % 5
