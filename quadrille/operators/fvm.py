@@ -23,10 +23,15 @@ def _state(prefix: str, fields: Sequence[str]) -> dict[str, Column]:
 
 def cfl_limit(cells: DataFrame, equation: Equation, spacing: Sequence[Column], cfl: float, by: Sequence[str] = ()) -> DataFrame:
     """``dt``: cfl times the least spacing over wave speed of all cells and axes; one row, or one for each ``by``."""
+    return cells.groupBy(*by).agg(cfl_measure(equation, spacing, cfl).alias("dt"))
+
+
+def cfl_measure(equation: Equation, spacing: Sequence[Column], cfl: float) -> Column:
+    """The aggregate of ``cfl_limit``, also for the pass that writes a state."""
     state = _state("", equation.fields)
     steps = [F.when(equation.speed(state, a) > SLOWEST, h / equation.speed(state, a)) for a, h in enumerate(spacing)]
     least = F.least(*steps) if len(steps) > 1 else steps[0]
-    return cells.groupBy(*by).agg((F.min(least) * cfl).alias("dt"))
+    return F.min(least) * cfl
 
 
 #: Cells of a block along an axis at most, in a step on a uniform grid.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Geometry
 from ..functions.morton import MortonCodec
 from ..functions.physics import Equation
-from ..operators import fvm, intergrid, tree
+from ..operators import fvm, intergrid, measures, tree
 from ..operators.layout import PatchLayout
 from ..sources.tables import shared_dir
 
@@ -89,22 +89,23 @@ def run_refined(
     report, time = Report(), 0.0
     fields = list(equation.fields)
     nbr = tree.neighbors(leaves, codec).checkpoint()
-    n_cells = cells.count()
+    spacing = [geometry.cell_size(F.col("level"), a) for a in (0, 1)]
+    wanted = {"dt": fvm.cfl_measure(equation, spacing, cfl), "n": F.count(F.lit(1))}
+    cells, seen = measures.written(cells, wanted)
     while time < t_end * (1 - 1e-12):
-        spacing = [geometry.cell_size(F.col("level"), a) for a in (0, 1)]
-        dt = min(fvm.cfl_limit(cells, equation, spacing, cfl).first().dt, t_end - time)
-        cells = fvm.refined_step(cells, leaves, equation, float(dt), geometry, codec, layout, nbr).checkpoint()
-        time, report.steps, report.cell_updates = time + dt, report.steps + 1, report.cell_updates + n_cells
+        dt, n = min(seen["dt"], t_end - time), seen["n"]
+        step = fvm.refined_step(cells, leaves, equation, float(dt), geometry, codec, layout, nbr)
+        cells, seen = measures.written(step, wanted)
+        time, report.steps, report.cell_updates = time + dt, report.steps + 1, report.cell_updates + n
         if report.steps % regrid_every == 0:
             report.regrids += 1
             refined, families = tree.plan_regrid(leaves, criterion(cells).checkpoint(), codec, min_level)
             if tree.is_noop(refined, families):
                 report.unchanged += 1
             else:
-                cells = intergrid.regrid_cells(cells, refined, families, codec, layout.sizes[0], fields).checkpoint()
+                cells, seen = measures.written(intergrid.regrid_cells(cells, refined, families, codec, layout.sizes[0], fields), wanted)
                 leaves = tree.regrid_keys(leaves, refined, families, codec).checkpoint()
                 nbr = tree.neighbors(leaves, codec).checkpoint()
-                n_cells = cells.count()
             report.patches.append(leaves.count())
         if output and report.steps % output_every == 0:
             output(report.steps, time, cells)
