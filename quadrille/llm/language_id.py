@@ -28,6 +28,9 @@ BUCKET_BITS = 15
 NGRAMS = (1, 2, 3)
 SMOOTHING = 0.1
 UNKNOWN = "und"
+#: Nats an n-gram against chance below which a text is in none of the languages.  N-grams that no language
+#: has met score about -8; texts half of numbers or keys stay above -1.
+LEAST_EVIDENCE = -2.0
 
 #: Languages of one matrix, about.
 MATRIX_LANGUAGES = 64
@@ -163,11 +166,16 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, matrix_l
     return Model(sorted(r.path for r in files.collect()))  # one a matrix
 
 
-def score(texts: list[str | None], matrices: Iterable[Matrix]) -> tuple[list[str], np.ndarray]:
-    """Best language (the first in order of equal ones) and its posterior probability of each text."""
+def score(texts: list[str | None], matrices: Iterable[Matrix]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Best language (the first in order of equal ones), its posterior probability, and the evidence of each text.
+
+    The evidence is the largest log-likelihood ratio of a language against n-grams that fall into all
+    buckets alike, an n-gram of the text and without priors: above 0 where a language explains it better than chance.
+    """
     lowered = [(t or "").lower() for t in texts]
     best: list[str | None] = [None] * len(texts)
     top, mass = np.full(len(texts), -np.inf), np.zeros(len(texts))  # largest total; sum of exp(total - top)
+    evidence = np.full(len(texts), -np.inf)
     for matrix in matrices:
         total = np.tile(matrix.prior, (len(texts), 1))
         most = max(4096, BLOCK_CHARS * 8 // max(8, len(matrix.languages)))
@@ -176,6 +184,7 @@ def score(texts: list[str | None], matrices: Iterable[Matrix]) -> tuple[list[str
             for bucket, offsets in _grams(pieces):
                 np.add.at(total, at, common.sum_by_text(matrix.weights[bucket], offsets))
         first, largest = total.argmax(axis=1), total.max(axis=1)
+        evidence = np.maximum(evidence, (total - matrix.prior).max(axis=1))
         for i in range(len(texts)):
             name = matrix.languages[first[i]]
             if best[i] is None or largest[i] > top[i] or (largest[i] == top[i] and name < best[i]):
@@ -184,26 +193,28 @@ def score(texts: list[str | None], matrices: Iterable[Matrix]) -> tuple[list[str
         mass = mass * np.exp(top - higher) + np.exp(total - higher[:, None]).sum(axis=1)
         top = higher
     told = [b is not None and bool(_LETTER.search(t)) for b, t in zip(best, lowered, strict=True)]
-    return [b if k else UNKNOWN for b, k in zip(best, told, strict=True)], np.where(told, 1 / np.where(mass > 0, mass, 1), 0.0)
+    sure = np.where(told, 1 / np.where(mass > 0, mass, 1), 0.0)
+    grams = np.array([sum(max(0, len(t) - n + 1) for n in NGRAMS) for t in lowered], float)
+    return [b if k else UNKNOWN for b, k in zip(best, told, strict=True)], sure, np.where(told, evidence / np.maximum(grams, 1), -np.inf)
 
 
 def predict(placed: DataFrame, model: Model, text_name: str = "text") -> DataFrame:
-    """``placed`` with ``lang_pred`` and ``score``.
+    """``placed`` with ``lang_pred``, ``score`` and ``evidence``.
 
-    ``und`` with score 0 for null texts, texts without a letter, or a model that saw no language.
+    ``und`` with score 0 and evidence of minus infinity for null texts, texts without a letter, or a model that saw no language.
     """
     paths = model.paths
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_name).to_pylist()
-            best, sure = score(texts, (common.loaded(__name__, path) for path in paths))
+            best, sure, evidence = score(texts, (common.loaded(__name__, path) for path in paths))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(best, pa.string()), pa.array(sure)],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, pa.array(best, pa.string()), pa.array(sure), pa.array(evidence)],
+                names=[*batch.schema.names, "lang_pred", "score", "evidence"],
             )
 
-    return common.map_batches(placed, work, common.with_columns(placed, "lang_pred string, score double"))
+    return common.map_batches(placed, work, common.with_columns(placed, "lang_pred string, score double, evidence double"))
 
 
 def training_rows(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
@@ -237,15 +248,18 @@ def _with_letter(text_name: str):
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that have no letter (``und``), null texts too; same columns.
+    """``docs`` without the rows that are in none of the learnt languages; same columns.
 
-    Which language a text is in, and how sure that is, rejects nothing.  With no labels to learn
-    from, the letter alone decides as well.  Other columns may have any names.  Repeated rows are
-    decided alike.  An empty table gives an empty one.
+    Rows go that have no letter (``und``, null texts too), and those whose n-grams every language explains
+    far worse than chance does (evidence under ``LEAST_EVIDENCE``: letters of other scripts, mostly).  Which
+    of the languages a text is in, and how sure that is among them, rejects nothing.  With no labels to learn
+    from, the letter decides alone.  Other columns may have any names.  Repeated rows are decided alike.
+    An empty table gives an empty one.
     """
     placed, (text,) = common.by_place(docs, text_col)
     placed = placed.withColumn(text, F.col(text).cast("string"))
     model = train(training_rows(docs))
     if not model.paths:
         return common.as_before(common.map_batches(placed, _with_letter(text), placed.schema), docs)
-    return common.as_before(predict(placed, model, text).filter(F.col("lang_pred") != UNKNOWN), docs)
+    found = predict(placed, model, text)
+    return common.as_before(found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("evidence") >= LEAST_EVIDENCE)), docs)

@@ -124,10 +124,10 @@ def test_language_posteriors(spark):
     for matrix_languages in (64, 2):
         model = language_id.train(labelled, matrix_languages=matrix_languages)
         assert len(model.paths) > 1 or matrix_languages == 64
-        best, sure = language_id.score(asked, [language_id.common.loaded("test", p, 99) for p in model.paths])
-        for text, name, p in zip(asked, best, sure, strict=True):
+        best, sure, evidence = language_id.score(asked, [language_id.common.loaded("test", p, 99) for p in model.paths])
+        for text, name, p, e in zip(asked, best, sure, evidence, strict=True):
             if not text or not any(c.isalpha() for c in text):
-                assert (name, p) == ("und", 0.0)
+                assert (name, p, e) == ("und", 0.0, -math.inf)
                 continue
             own = Counter(_buckets(text.lower()))
             logs = {}
@@ -135,5 +135,7 @@ def test_language_posteriors(spark):
                 total = sum(counts[lang].values()) + language_id.SMOOTHING * size
                 logs[lang] = math.log(n / sum(docs.values())) + sum(k * math.log((counts[lang][b] + language_id.SMOOTHING) / total) for b, k in own.items())
             top = max(logs.values())
+            plain = max(v - math.log(docs[lang] / sum(docs.values())) for lang, v in logs.items())
+            assert math.isclose(e, plain / sum(own.values()) + math.log(size), rel_tol=1e-6)
             assert name == min(k for k, v in logs.items() if math.isclose(v, top, abs_tol=1e-9))
             assert math.isclose(p, 1 / sum(math.exp(v - top) for v in logs.values()), rel_tol=1e-6)
