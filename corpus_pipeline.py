@@ -16,7 +16,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without text, go: their language cannot be told."""
+    """Documents go that are in no learnt language: without a letter or text, or far likelier by chance than by any of them."""
     return language_id.keep_identified(docs)
 
 
