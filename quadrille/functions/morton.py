@@ -66,6 +66,11 @@ class MortonCodec:
         above = [] if tree is None else [_left(_long(tree), self.rank * self.depth + LEVEL_BITS)]
         return _or([*above, *bits, _long(level)])
 
+    def key(self, coords: Sequence[int], level: int, tree: int = 0) -> int:
+        """``encode`` of plain numbers, for filters that name keys."""
+        bits = sum(((c >> i) & 1) << (i * self.rank + axis) for axis, c in enumerate(coords) for i in range(self.depth))
+        return (tree << self.rank * self.depth + LEVEL_BITS) | (bits << LEVEL_BITS) | level
+
     def tree(self, key: Column) -> Column:
         """The tree of a key."""
         return _right(key, self.rank * self.depth + LEVEL_BITS)

@@ -47,7 +47,15 @@ class Store:
 
     def zone(self, key: Column) -> Column:
         """The number of a key's zone: its tree and the code of its ancestor."""
-        return F.shiftright(key, LEVEL_BITS + self.codec.rank * (self.codec.depth - self.zone_level))
+        return F.shiftright(key, self._zone_bits)
+
+    def zone_of(self, key: int) -> int:
+        """``zone`` of a plain number."""
+        return key >> self._zone_bits
+
+    @property
+    def _zone_bits(self) -> int:
+        return LEVEL_BITS + self.codec.rank * (self.codec.depth - self.zone_level)
 
     def read(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
@@ -57,9 +65,13 @@ class Store:
         zoned = frame.withColumn("zone", self.zone(F.col("patch_id")))
         return zoned.repartition(self.buckets, KEYS[table])
 
-    def save(self, table: str, frame: DataFrame) -> DataFrame:
-        """Writes a whole table; ``frame`` has no column ``zone``."""
+    def save(self, table: str, frame: DataFrame, row_group_bytes: int | None = None) -> DataFrame:
+        """Writes a whole table; ``frame`` has no column ``zone``.  Patches' files also carry a Bloom filter of their keys."""
         writer = self._dealt(frame, table).write.partitionBy("zone").bucketBy(self.buckets, KEYS[table]).sortBy(KEYS[table])
+        if table == "patches":
+            writer.options(**{"parquet.bloom.filter.enabled#patch_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+        if row_group_bytes:
+            writer.option("parquet.block.size", str(row_group_bytes))
         writer.option("path", f"{self.folder}/{table}").saveAsTable(f"{self.name}_{table}")
         return self.read(table)
 

@@ -12,7 +12,7 @@ from ..functions import tensors as T
 from ..operators import dg, fvm, halo, intergrid, tree
 from ..operators.layout import PatchLayout
 from ..sources import tables as S
-from . import arrays, loops, meshes, octree, stored
+from . import arrays, lookups, loops, meshes, octree, stored
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -738,3 +738,4 @@ octree.register(query, checkpoints)
 stored.register(query, checkpoints)
 meshes.register(query, checkpoints)
 arrays.register(query, checkpoints)
+lookups.register(query, checkpoints)

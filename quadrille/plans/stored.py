@@ -33,7 +33,7 @@ def advanced_store(spark, sf: str, passes: int = len(S.PASSES)) -> Store:
     return store
 
 
-def _stored(spark, codec, zones: int, leaves: DataFrame, cells: DataFrame, layout: PatchLayout) -> Store:
+def stored(spark, codec, zones: int, leaves: DataFrame, cells: DataFrame, layout: PatchLayout) -> Store:
     store = Store(spark, codec, zones)
     store.create(leaves)
     store.save("patches", halo.patch_rows(cells, layout, ["u"]))
@@ -151,7 +151,7 @@ def register(query, checkpoints) -> None:
         """Halos from tables bucketed by the neighbour's key."""
         checkpoints(spark)
         leaves = S.leaf_set(spark, sf)
-        store = _stored(spark, C2, ZONES2, leaves, S.leaf_cells(leaves, S.grid(spark, sf)), LAYOUT2)
+        store = stored(spark, C2, ZONES2, leaves, S.leaf_cells(leaves, S.grid(spark, sf)), LAYOUT2)
         found = halo.patch_halos(store.links(), store.read("patches"), C2, LAYOUT2, ["u"])
         return found.select("patch_id", "dir", "j", "i", "relation", r6("u").alias("u"))
 
@@ -159,7 +159,7 @@ def register(query, checkpoints) -> None:
     def octree_halo(spark, sf):
         checkpoints(spark)
         leaves = S.octree(spark, sf)[0]
-        store = _stored(spark, C3, ZONES3, leaves, S.octree_cells(leaves, S.grid3(spark, sf)), LAYOUT3)
+        store = stored(spark, C3, ZONES3, leaves, S.octree_cells(leaves, S.grid3(spark, sf)), LAYOUT3)
         found = halo.patch_halos(store.links(), store.read("patches"), C3, LAYOUT3, ["u"])
         return found.select("patch_id", "dir", *tree.INDICES, "relation", r6("u").alias("u"))
 
