@@ -338,9 +338,9 @@ def regrid_cells(spark, sf):
 def _halo(spark, sf, relation):
     checkpoints(spark)
     leaves = S.leaf_set(spark, sf)
-    cells = S.leaf_cells(leaves, S.grid(spark, sf))
     nbr = tree.neighbors(leaves, C2).filter(F.col("relation") == relation)
-    return halo.halo_exchange(cells, leaves, C2, LAYOUT, ["u"], nbr).select("patch_id", "dir", "j", "i", r6("u").alias("u"))
+    found = halo.patch_halos(nbr, S.leaf_patches(spark, sf, leaves), C2, LAYOUT, ["u"])
+    return found.select("patch_id", "dir", "j", "i", r6("u").alias("u"))
 
 
 def _halo_sql(relation: str) -> str:
@@ -382,7 +382,7 @@ def euler_prim_to_cons(spark, sf):
 def cfl_dt_advection(spark, sf):
     """Of each tree, from the sizes of its own cells."""
     checkpoints(spark)
-    cells = S.leaf_cells(S.leaf_set(spark, sf), S.grid(spark, sf)).withColumn("g", C2.tree(F.col("patch_id")))
+    cells = S.cells_of(S.leaf_patches(spark, sf, S.leaf_set(spark, sf)), C2, S.PATCH).withColumn("g", C2.tree(F.col("patch_id")))
     h = [UNIT.cell_size(F.col("level"), a) for a in (0, 1)]
     return fvm.cfl_limit(cells, ADVECTION, h, 0.3, BY).select("g", r6("dt", 9).alias("dt"))
 
