@@ -26,10 +26,13 @@ def _folder(spark) -> str:
 
 
 def leaf_boxes(spark, sf: str) -> DataFrame:
-    """Cells of the quadtrees of the events with their boxes, each tree a unit square."""
+    """Cells of the quadtrees of the events with their boxes, each tree a unit square.
+
+    Patches are put in order of key, a row each; their cells follow from the arrays in order of j and i.
+    """
     leaves = S.leaf_set(spark, sf)
-    cells = S.leaf_cells(leaves, S.grid(spark, sf))
-    boxes = vtk.with_boxes(cells, leaves, Geometry((1.0, 1.0), (S.PATCH,) * 2, C2.depth))
+    cells = S.cells_of(tree.sort_by_key(S.leaf_patches(spark, sf, leaves)), C2, S.PATCH)
+    boxes = vtk.with_own_boxes(cells, C2, Geometry((1.0, 1.0), (S.PATCH,) * 2, C2.depth))
     return boxes.withColumn("x0", F.col("x0") + C2.tree(F.col("patch_id")))
 
 
@@ -56,7 +59,7 @@ def register(query, checkpoints) -> None:
         """Quads of the quadtrees' cells, from the files that tasks wrote."""
         checkpoints(spark)
         folder = _folder(spark)
-        meshes.write(leaf_boxes(spark, sf).select("patch_id", "j", "i", "x0", "y0", "dx", "dy", "u"), folder, near=["patch_id", "j", "i"])
+        meshes.write(leaf_boxes(spark, sf).select("patch_id", "j", "i", "x0", "y0", "dx", "dy", "u"), folder)
         return meshes.read(spark, folder).select("type", "patch_id", "j", "i", "x0", "y0", "x1", "y1", r6("u").alias("u"))
 
     @query(
@@ -68,7 +71,7 @@ def register(query, checkpoints) -> None:
         checkpoints(spark)
         folder = _folder(spark)
         boxes = leaf_boxes(spark, sf).select("patch_id", "j", "i", "x0", "y0", "dx", "dy", "u")
-        meshes.write(boxes, folder, near=["patch_id", "j", "i"], cells_per_file=4096)
+        meshes.write(boxes, folder, cells_per_file=4096)
         return meshes.read(spark, folder, BOX).select("patch_id", "j", "i", r6("u").alias("u"))
 
     @query(f"{octree.CELLS_SQL} SELECT 11 AS type, patch_id, k::BIGINT AS k, j::BIGINT AS j, i::BIGINT AS i, {_corners('xyz', 128)}, {Q.r('u')} AS u FROM cells")
@@ -76,12 +79,12 @@ def register(query, checkpoints) -> None:
         """Voxels of the octrees' cells, from the files that tasks wrote."""
         checkpoints(spark)
         leaves = S.octree(spark, sf)[0]
-        cells = S.octree_cells(leaves, S.grid3(spark, sf))
-        boxes = vtk.with_boxes(cells, leaves, Geometry((1.0, 1.0, 1.0), (S.PATCH3,) * 3, C3.depth))
+        cells = S.cells_of(tree.sort_by_key(S.octree_patches(spark, sf, leaves)), C3, S.PATCH3)
+        boxes = vtk.with_own_boxes(cells, C3, Geometry((1.0, 1.0, 1.0), (S.PATCH3,) * 3, C3.depth))
         boxes = boxes.withColumn("x0", F.col("x0") + C3.tree(F.col("patch_id")))
         folder = _folder(spark)
         box = [f"{p}{a}" if p else f"{a}0" for p in ("", "d") for a in tree.AXES]
-        meshes.write(boxes.select("patch_id", *tree.INDICES, *box, "u"), folder, near=["patch_id", *tree.INDICES])
+        meshes.write(boxes.select("patch_id", *tree.INDICES, *box, "u"), folder)
         return meshes.read(spark, folder).select("type", "patch_id", *tree.INDICES, *meshes.BOUNDS, r6("u").alias("u"))
 
     @query(

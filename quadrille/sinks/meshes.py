@@ -56,8 +56,8 @@ class Fields:
             raise ValueError(f"a mesh needs the columns {sorted(missing)}")
         rest = [f for f in schema.fields if f.name not in box]
         nodal = [f.name for f in rest if isinstance(f.dataType, ArrayType)]
-        whole = {"tinyint", "smallint", "int", "bigint"}
-        scalars = {f.name: "vtktypeint64" if f.dataType.simpleString() in whole else "double" for f in rest if f.name not in nodal}
+        whole = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "vtktypeint64"}
+        scalars = {f.name: whole.get(f.dataType.simpleString(), "double") for f in rest if f.name not in nodal}
         if bad := [n for n in (*scalars, *nodal) if not n or any(c.isspace() for c in n)]:
             raise ValueError(f"names of fields may not hold blanks: {bad}")
         if nodal and rank == 3:
@@ -83,14 +83,36 @@ def _nodal(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return flat.reshape(n, size)
 
 
-def mesh_file(table: pa.Table, fields: Fields, ascii: bool = False) -> tuple[bytes, list[float]]:
-    """The file of a table's cells, and their common box: lower corner, then upper."""
+def _shared(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct points in order of first use, number of each given point among them); equal means bit by bit."""
+    bits = np.ascontiguousarray(points).view(np.uint64)
+    mixed = np.zeros(len(bits), np.uint64)
+    for axis in range(3):
+        mixed = (mixed ^ bits[:, axis]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    _, first, inverse = np.unique(mixed, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    kept, number = points[first[order]], rank[inverse.ravel()]
+    if (kept[number].view(np.uint64) != bits).any():  # two points with one mixed number
+        return points, np.arange(len(points))
+    return kept, number
+
+
+def mesh_pieces(table: pa.Table, fields: Fields, ascii: bool = False) -> tuple[Iterator[bytes], list[float]]:
+    """The file of a table's cells in pieces, and their common box: lower corner, then upper.
+
+    Cells without nodal fields share corners (with those of their slice), nodes are each cell's own.
+    Only a slice of cells is held in the wide form of the file.
+    """
     n = table.num_rows
     low = np.column_stack([_numbers(table[f"{a}0"], "double") for a in AXES[: fields.rank]])
     size = np.column_stack([_numbers(table[f"d{a}"], "double") for a in AXES[: fields.rank]])
     if np.isnan(low).any() or np.isnan(size).any():
         raise ValueError("the box of a cell is null or NaN")
     nodes = {f: _nodal(table[f], n) for f in fields.nodal}
+    scalars = {f: _numbers(table[f], number) for f, number in fields.scalars.items()}
     if nodes:
         widths = {v.shape[1] for v in nodes.values()}
         if len(widths) > 1:
@@ -103,39 +125,55 @@ def mesh_file(table: pa.Table, fields: Fields, ascii: bool = False) -> tuple[byt
         kind = VOXEL if fields.rank == 3 else QUAD
         unit = np.array(CORNERS[kind], float)
     m = len(unit)
-    points = np.zeros((n, m, 3))
-    points[:, :, : fields.rank] = low[:, None] + unit * size[:, None]
-    out: list[bytes] = []
+    slices = [slice(k, min(n, k + ROWS_PER_BATCH)) for k in range(0, n, ROWS_PER_BATCH)]
 
-    def put(values: np.ndarray, number: str) -> None:
+    def corners(j: slice) -> np.ndarray:
+        points = np.zeros((j.stop - j.start, m, 3))
+        points[:, :, : fields.rank] = low[j, None] + unit * size[j, None]
+        return points.reshape(-1, 3)
+
+    shared = None if nodes else [(kept, number.astype("i4")) for kept, number in (_shared(corners(j)) for j in slices)]
+    count = n * m if shared is None else sum(len(kept) for kept, _ in shared)
+    spans = np.zeros((2, 3))
+    spans[0, : fields.rank] = np.minimum(low, low + size).min(0)
+    spans[1, : fields.rank] = np.maximum(low, low + size).max(0)
+
+    def put(values: np.ndarray, number: str) -> bytes:
         if ascii:
             rows = values.reshape(len(values), -1).tolist()
-            out.append("".join(" ".join(map(repr, r)) + "\n" for r in rows).encode())
-        else:
-            out.extend((np.ascontiguousarray(values, NUMBERS[number]).tobytes(), b"\n"))
-
-    def head(line: str) -> None:
-        out.append((line + "\n").encode())
-
-    head(f"# vtk DataFile Version 3.0\ncells\n{'ASCII' if ascii else 'BINARY'}\nDATASET UNSTRUCTURED_GRID\nPOINTS {n * m} double")
-    put(points.reshape(-1, 3), "double")
-    head(f"CELLS {n} {n * (m + 1)}")
-    put(np.column_stack([np.full(n, m), np.arange(n * m).reshape(n, m)]), "int")
-    head(f"CELL_TYPES {n}")
-    put(np.full(n, kind), "int")
-    if fields.scalars:
-        head(f"CELL_DATA {n}")
-    for name, number in fields.scalars.items():
-        head(f"SCALARS {name} {number} 1\nLOOKUP_TABLE default")
-        put(_numbers(table[name], number), number)
-    if nodes:
-        head(f"POINT_DATA {n * m}")
-    for name, values in nodes.items():
-        head(f"SCALARS {name} double 1\nLOOKUP_TABLE default")
-        put((values @ weights.T).ravel(), "double")
-    spans = np.zeros((2, 3))
-    spans[:, : fields.rank] = points.min((0, 1))[: fields.rank], points.max((0, 1))[: fields.rank]
-    return b"".join(out), spans.ravel().tolist()
+            return "".join(" ".join(map(repr, r)) + "\n" for r in rows).encode()
+        return np.ascontiguousarray(values, NUMBERS[number]).tobytes()
+
+    end = b"" if ascii else b"\n"
+
+    def pieces() -> Iterator[bytes]:
+        form = "ASCII" if ascii else "BINARY"
+        yield f"# vtk DataFile Version 3.0\ncells\n{form}\nDATASET UNSTRUCTURED_GRID\nPOINTS {count} double\n".encode()
+        for k, j in enumerate(slices):
+            yield put(shared[k][0] if shared else corners(j), "double")
+        yield end + f"CELLS {n} {n * (m + 1)}\n".encode()
+        before = 0
+        for k, j in enumerate(slices):
+            cells = j.stop - j.start
+            number = shared[k][1] if shared else np.arange(cells * m)
+            yield put(np.column_stack([np.full(cells, m), before + number.reshape(cells, m)]), "int")
+            before += len(shared[k][0]) if shared else cells * m
+        yield end + f"CELL_TYPES {n}\n".encode()
+        yield put(np.full(n, kind), "int") + end
+        if scalars:
+            yield f"CELL_DATA {n}\n".encode()
+        for name, number in fields.scalars.items():
+            yield f"SCALARS {name} {number} 1\nLOOKUP_TABLE default\n".encode()
+            yield put(scalars[name], number) + end
+        if nodes:
+            yield f"POINT_DATA {n * m}\n".encode()
+        for name, values in nodes.items():
+            yield f"SCALARS {name} double 1\nLOOKUP_TABLE default\n".encode()
+            for j in slices:
+                yield put((values[j] @ weights.T).ravel(), "double")
+            yield end
+
+    return pieces(), spans.ravel().tolist()
 
 
 @dataclass
@@ -159,10 +197,11 @@ class MeshWriter(DataSourceArrowWriter):
 
         def out() -> None:
             table = pa.Table.from_batches(held)
-            data, span = mesh_file(table, self.fields, self.ascii)
+            pieces, span = mesh_pieces(table, self.fields, self.ascii)
             name = f"part-{self.job}-{uuid.uuid4().hex}.vtk"
             with system.open_output_stream(f"{base}/{name}") as file:
-                file.write(data)
+                for piece in pieces:
+                    file.write(piece)
             files.append([name, table.num_rows, *span])
 
         for batch in iterator:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Geometry
+from ..functions.morton import MortonCodec
 
 
 def lagrange_quad_order(order: int) -> list[tuple[int, int]]:
@@ -31,6 +32,15 @@ def with_boxes(cells: DataFrame, leaves: DataFrame, geometry: Geometry) -> DataF
     return cells.join(corner, "patch_id").select(*cells.columns, *low, *size)
 
 
+def with_own_boxes(cells: DataFrame, codec: MortonCodec, geometry: Geometry) -> DataFrame:
+    """``with_boxes`` by the corners that the keys hold: no table of leaves is joined."""
+    level, key = F.col("level"), F.col("patch_id")
+    axes = list(zip("xyz", "ijk", codec.coords(key), strict=False))
+    low = [geometry.cell_coord(corner, level, F.col(m), d).alias(f"{a}0") for d, (a, m, corner) in enumerate(axes)]
+    size = [geometry.cell_size(level, d).alias(f"d{a}") for d, (a, *_) in enumerate(axes)]
+    return cells.select(*cells.columns, *low, *size)
+
+
 def list_steps(folder: str, pattern: str = r"(\d+)\.vtk$") -> list[tuple[int, str]]:
     """(step, file) of a folder, by the number that the pattern finds in the name."""
     found = [(int(m[1]), name) for name in os.listdir(folder) if (m := re.search(pattern, name))]
