@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +33,62 @@ def restrict(
     )
 
 
+def restrict_patches(
+    patches: DataFrame, codec: MortonCodec, n: int, fields: Mapping[str, tuple[str, Callable[[Sequence[Column]], Column]]]
+) -> DataFrame:
+    """``restrict`` of a table of patches (``halo.patch_rows``): a row a coarse cell, without a shuffle.
+
+    Two cells a side make one, and n is even, so all that a coarse cell is made of lies in one patch.
+    ``fields`` are (array, function of the fine values, in row-major order) by the name of the result.
+    Patches without a parent have no row.
+    """
+    names, child, half = INDICES[-codec.rank :], codec.offset_of(F.col("patch_id")), n // 2
+    blocks = []
+    for place in product(range(half), repeat=codec.rank):
+        under = []
+        for part in product((0, 1), repeat=codec.rank):
+            flat = 0
+            for p, o in zip(place, part, strict=True):
+                flat = flat * n + 2 * p + o
+            under.append(flat)
+        values = [combine([F.get(a, F.lit(k)) for k in under]).alias(f) for f, (a, combine) in fields.items()]
+        blocks.append(F.struct(*(F.lit(p).alias(m) for m, p in zip(names, place, strict=True)), *values))
+    bit = lambda d: F.shiftright("__o", codec.rank - 1 - d).bitwiseAND(1)
+    rows = patches.filter(codec.level(F.col("patch_id")) > 0).select(codec.parent(F.col("patch_id")).alias("patch_id"), child.alias("__o"), F.inline(F.array(*blocks)))
+    return rows.select(
+        "patch_id", codec.level(F.col("patch_id")).alias("level"), *((bit(d) * half + F.col(m)).cast("int").alias(m) for d, m in enumerate(names)), *fields
+    )
+
+
+def prolong_patches(
+    patches: DataFrame,
+    codec: MortonCodec,
+    n: int,
+    fields: Sequence[str],
+    spread: Callable[[Column, Sequence[Column]], Column] = lambda value, place: value,
+) -> DataFrame:
+    """``prolong`` of a table of patches with ``level``: a child's key is worked out once a patch, its cells come from the arrays."""
+    names, half = INDICES[-codec.rank :], n // 2
+    sons = []
+    for part in product((0, 1), repeat=codec.rank):
+        number = 0
+        for o in part:
+            number = number * 2 + o
+        cells = []
+        for place in product(range(half), repeat=codec.rank):
+            flat = 0
+            for p, o in zip(place, part, strict=True):
+                flat = flat * n + o * half + p
+            cells.append(F.struct(*(F.lit(2 * p).alias(m) for m, p in zip(names, place, strict=True)), *(F.get(f, F.lit(flat)).alias(f) for f in fields)))
+        sons.append(F.struct(codec.child(F.col("patch_id"), number).alias("patch_id"), F.array(*cells).alias("__c")))
+    coarse = patches.select((F.col("level") + 1).alias("level"), F.inline(F.array(*sons))).select("patch_id", "level", F.inline("__c"))
+    parts = F.array(*(F.struct(*(F.lit(o).alias(f"__{m}") for m, o in zip(names, part, strict=True))) for part in product((0, 1), repeat=codec.rank)))
+    place = [F.col(f"__{m}") for m in names]
+    return coarse.select("*", F.inline(parts)).select(
+        "patch_id", "level", *((F.col(m) + p).cast("int").alias(m) for m, p in zip(names, place, strict=True)), *(spread(F.col(f), place).alias(f) for f in fields)
+    )
+
+
 def prolong(
     cells: DataFrame,
     codec: MortonCodec,
