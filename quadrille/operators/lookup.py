@@ -86,7 +86,7 @@ def by_box(store: Store, table: str, low: Sequence[int], high: Sequence[int], tr
     codec = store.codec
     if any(a >= b for a, b in zip(low, high, strict=True)):
         return store.read(table).filter(F.lit(False)).drop("zone")
-    ranges = key_ranges(codec, cells_of_box(codec, low, high), tree, store.zone_level)
+    ranges = key_ranges(codec, cells_of_box(codec, low, high), tree, max(store.zone_level, 0))
     # A range of keys is a range of zones; those within a zone share it.
     zones = key_zones(store, ranges)
     key = F.col("patch_id")
@@ -116,7 +116,7 @@ def by_places(store: Store, table: str, places: DataFrame, tree: Column | None =
     """
     codec = store.codec
     named = places.withColumn("__place", codec.encode([F.col(a) for a in AXES[: codec.rank]], codec.depth, tree))
-    levels = [(codec.depth - up, F.shiftright("__place", LEVEL_BITS + codec.rank * up)) for up in range(codec.depth - store.zone_level + 1)]
+    levels = [(codec.depth - up, F.shiftright("__place", LEVEL_BITS + codec.rank * up)) for up in range(codec.depth - max(store.zone_level, 0) + 1)]
     keys = [F.shiftleft(code, LEVEL_BITS + codec.rank * (codec.depth - level)).bitwiseOR(F.lit(level).cast("long")) for level, code in levels]
     wanted = named.filter("__place is not null").select("__place").distinct().select("__place", F.explode(F.array(*keys)).alias("patch_id"))
     found = store.read(table).drop("zone").join(wanted, "patch_id")

@@ -21,7 +21,7 @@ def register(query, checkpoints) -> None:
     def patches(spark, sf):
         checkpoints(spark)
         leaves = S.leaf_set(spark, sf)
-        return stored.stored(spark, S.CODEC, stored.ZONES2, leaves, S.leaf_cells(leaves, S.grid(spark, sf)), stored.LAYOUT2)
+        return stored.stored(spark, S.CODEC, leaves, S.leaf_patches(spark, sf, leaves))
 
     @query(
         f"""WITH RECURSIVE {Q.LEAF_CELLS}, {_ORDERS},
