@@ -419,13 +419,18 @@ def train_grams(train: DataFrame, ws: common.Workspace, order: int = ORDER, min_
     return GramModel(Head(Table(keys, counts), np.append(logs, 0.0), order), build_trie(short).levels, grams)
 
 
+#: Tasks that the tail's grams are dealt to.  A document gets a sum from each task that holds a gram of it, so a
+#: number that grew with the input would let the sums grow faster than the documents.
+TAIL_TASKS = 128
+
+
 def tail_scores(scored: DataFrame, model: GramModel) -> DataFrame:
     """uid, more_score: log10 probabilities of grams of ``tail``, in sums of which a uid may have several."""
     rows = model.table.select(F.lit(-1).cast("long").alias("uid"), "gram", "n").union(
         scored.select("uid", F.inline("tail")).select("uid", "gram", F.col("n").cast("long"))
     )
     rows = rows.withColumn("end", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF).cast("long")))
-    rows = rows.repartition("end").sortWithinPartitions("end", "uid").drop("end")
+    rows = rows.repartition(TAIL_TASKS, "end").sortWithinPartitions("end", "uid").drop("end")
     small = scored.sparkSession.sparkContext.broadcast(model.small)
     return common.map_batches(rows, _score_tail(small, model.head.order), "uid long, more_score double")
 
