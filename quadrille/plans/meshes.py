@@ -59,7 +59,7 @@ def register(query, checkpoints) -> None:
         """Quads of the quadtrees' cells, from the files that tasks wrote."""
         checkpoints(spark)
         folder = _folder(spark)
-        meshes.write(leaf_boxes(spark, sf).select("patch_id", "j", "i", "x0", "y0", "dx", "dy", "u"), folder)
+        meshes.write(leaf_boxes(spark, sf).select("patch_id", "j", "i", "x0", "y0", "dx", "dy", "u"), folder, share_corners=True)
         return meshes.read(spark, folder).select("type", "patch_id", "j", "i", "x0", "y0", "x1", "y1", r6("u").alias("u"))
 
     @query(
@@ -71,7 +71,7 @@ def register(query, checkpoints) -> None:
         checkpoints(spark)
         folder = _folder(spark)
         boxes = leaf_boxes(spark, sf).select("patch_id", "j", "i", "x0", "y0", "dx", "dy", "u")
-        meshes.write(boxes, folder, cells_per_file=4096)
+        meshes.write(boxes, folder, cells_per_file=4096, share_corners=True)
         return meshes.read(spark, folder, BOX).select("patch_id", "j", "i", r6("u").alias("u"))
 
     @query(f"{octree.CELLS_SQL} SELECT 11 AS type, patch_id, k::BIGINT AS k, j::BIGINT AS j, i::BIGINT AS i, {_corners('xyz', 128)}, {Q.r('u')} AS u FROM cells")
@@ -84,7 +84,7 @@ def register(query, checkpoints) -> None:
         boxes = boxes.withColumn("x0", F.col("x0") + C3.tree(F.col("patch_id")))
         folder = _folder(spark)
         box = [f"{p}{a}" if p else f"{a}0" for p in ("", "d") for a in tree.AXES]
-        meshes.write(boxes.select("patch_id", *tree.INDICES, *box, "u"), folder)
+        meshes.write(boxes.select("patch_id", *tree.INDICES, *box, "u"), folder, share_corners=True)
         return meshes.read(spark, folder).select("type", "patch_id", *tree.INDICES, *meshes.BOUNDS, r6("u").alias("u"))
 
     @query(

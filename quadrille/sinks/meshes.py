@@ -56,8 +56,8 @@ class Fields:
             raise ValueError(f"a mesh needs the columns {sorted(missing)}")
         rest = [f for f in schema.fields if f.name not in box]
         nodal = [f.name for f in rest if isinstance(f.dataType, ArrayType)]
-        whole = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "vtktypeint64"}
-        scalars = {f.name: whole.get(f.dataType.simpleString(), "double") for f in rest if f.name not in nodal}
+        whole = {"tinyint", "smallint", "int", "bigint"}
+        scalars = {f.name: "vtktypeint64" if f.dataType.simpleString() in whole else "double" for f in rest if f.name not in nodal}
         if bad := [n for n in (*scalars, *nodal) if not n or any(c.isspace() for c in n)]:
             raise ValueError(f"names of fields may not hold blanks: {bad}")
         if nodal and rank == 3:
@@ -100,10 +100,10 @@ def _shared(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kept, number
 
 
-def mesh_pieces(table: pa.Table, fields: Fields, ascii: bool = False) -> tuple[Iterator[bytes], list[float]]:
+def mesh_pieces(table: pa.Table, fields: Fields, ascii: bool = False, share: bool = False) -> tuple[Iterator[bytes], list[float]]:
     """The file of a table's cells in pieces, and their common box: lower corner, then upper.
 
-    Cells without nodal fields share corners (with those of their slice), nodes are each cell's own.
+    With ``share``, cells without nodal fields share corners (with those of their slice); nodes are each cell's own.
     Only a slice of cells is held in the wide form of the file.
     """
     n = table.num_rows
@@ -132,7 +132,7 @@ def mesh_pieces(table: pa.Table, fields: Fields, ascii: bool = False) -> tuple[I
         points[:, :, : fields.rank] = low[j, None] + unit * size[j, None]
         return points.reshape(-1, 3)
 
-    shared = None if nodes else [(kept, number.astype("i4")) for kept, number in (_shared(corners(j)) for j in slices)]
+    shared = None if nodes or not share else [(kept, number.astype("i4")) for kept, number in (_shared(corners(j)) for j in slices)]
     count = n * m if shared is None else sum(len(kept) for kept, _ in shared)
     spans = np.zeros((2, 3))
     spans[0, : fields.rank] = np.minimum(low, low + size).min(0)
@@ -188,6 +188,7 @@ class MeshWriter(DataSourceArrowWriter):
         self.schema = _read_schema(self.fields.scalars, self.fields.nodal).json()
         self.cells = int(options.get("cells_per_file", CELLS_PER_FILE))
         self.ascii = str(options.get("ascii", "false")).lower() == "true"
+        self.share = str(options.get("share_corners", "false")).lower() == "true"
         self.time = float(options.get("timestep", 0))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -197,7 +198,7 @@ class MeshWriter(DataSourceArrowWriter):
 
         def out() -> None:
             table = pa.Table.from_batches(held)
-            pieces, span = mesh_pieces(table, self.fields, self.ascii)
+            pieces, span = mesh_pieces(table, self.fields, self.ascii, self.share)
             name = f"part-{self.job}-{uuid.uuid4().hex}.vtk"
             with system.open_output_stream(f"{base}/{name}") as file:
                 for piece in pieces:

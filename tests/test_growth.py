@@ -90,7 +90,7 @@ def test_cells_of_a_file_share_their_corners(spark, tmp_path):
     cells = spark.range(0, 4096, 1, 1).select(
         F.col("id").cast("int").alias("n"), *(c.alias(f"{a}0") for c, a in zip(at, "xyz", strict=True)), *(F.lit(1.0).alias(f"d{a}") for a in "xyz")
     )
-    meshes.write(cells, folder)
+    meshes.write(cells, folder, share_corners=True)
     [name] = [f for f in os.listdir(folder) if f.endswith(".vtk")]
     with open(f"{folder}/{name}", "rb") as file:
         assert b"POINTS 4913 double" in file.read(200)  # 17 to the power of 3; 32768 where each cell has its own
