@@ -29,7 +29,8 @@ def merged(dumps: DataFrame) -> DataFrame:
     """The patches of a step as one mesh: connectivity shifted by the points of the patches before.
 
     Only counts meet in windows: those of a block's patches, and those of a step's blocks; the arrays stay where
-    they are but for the join on (timestep, patch), which are distinct.  Points' numbers are long.
+    they are but for the join on (timestep, patch), which are distinct.  Points' numbers are long.  Spark takes an
+    array for one element, so the join carries a hint against broadcast of the dumps.
     """
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     rows = dumps.withColumn("__n", F.greatest(F.coalesce(F.size("points"), F.lit(0)), F.lit(0)).cast("long"))
@@ -38,7 +39,7 @@ def merged(dumps: DataFrame) -> DataFrame:
     starts = blocks.select("timestep", "__b", F.coalesce(F.sum("__n").over(before("timestep").orderBy("__b")), F.lit(0)).alias("__o"))
     inside = F.coalesce(F.sum("__n").over(before("timestep", "__b").orderBy("patch")), F.lit(0))
     shifts = counts.withColumn("__i", inside).join(starts, ["timestep", "__b"]).select("timestep", "patch", (F.col("__o") + F.col("__i")).alias("__s"))
-    return dumps.join(shifts, ["timestep", "patch"]).select(
+    return dumps.hint("merge").join(shifts, ["timestep", "patch"]).select(
         "timestep",
         "patch",
         "points",

@@ -1,6 +1,7 @@
 """What keeps work in proportion at size: joins, shuffles, files and buckets, checked on small inputs."""
 
 import os
+import re
 from itertools import product
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from quadrille.functions.morton import MortonCodec
 from quadrille.operators import dg, intergrid, tree
 from quadrille.operators.store import Store
-from quadrille.plans import stored
+from quadrille.plans import queries, stored
 from quadrille.sinks import meshes
 from quadrille.sources import tables as S
 
@@ -23,6 +24,11 @@ def test_all_places_of_the_grids_are_not_broadcast(spark, sf_dir):
     assert "Broadcast" not in _plan(S.grid(spark, sf_dir).filter("u > 0"))
 
 
+def test_dumps_are_not_broadcast(spark, sf_dir):
+    plan = _plan(queries.QUERIES["dump_offsets"](spark, sf_dir))
+    assert re.search(r"SortMergeJoin \[timestep#\d+L?, patch#", plan) and not re.search(r"BroadcastHashJoin \[timestep#\d+L?, patch#", plan)
+
+
 @pytest.mark.parametrize("rank, n, extent", [(2, 8, 64), (3, 4, 32)])
 def test_values_of_patches_at_every_level(spark, rank, n, extent):
     codec, axes = MortonCodec(rank, 7), "xyz"[:rank]
