@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Geometry
 from ..functions.morton import MortonCodec
 from ..functions.physics import Equation
-from .halo import padded
+from .halo import patch_rows, with_faces
 from .layout import PatchLayout
 
 #: Waves slower than this do not limit the time step.
@@ -98,33 +98,56 @@ def refined_step(
     layout: PatchLayout,
     nbr: DataFrame | None = None,
 ) -> DataFrame:
-    """One step on a leaf set: halo exchange, then windows inside each padded patch.
+    """One step on a leaf set, of cells of whole patches: packed into arrays, then as ``refined_patch_step``."""
+    patches = patch_rows(cells, layout, list(equation.fields))
+    return refined_patch_step(patches, leaves, equation, dt, geometry, codec, layout, nbr)
+
+
+def refined_patch_step(
+    patches: DataFrame,
+    leaves: DataFrame,
+    equation: Equation,
+    dt: float | Column,
+    geometry: Geometry,
+    codec: MortonCodec,
+    layout: PatchLayout,
+    nbr: DataFrame | None = None,
+) -> DataFrame:
+    """One step of a table of patches (``patch_rows``); a row a cell: patch_id, level, j, i and the fields.
 
     As each side takes its flux from its own halo, only uniform grids conserve to the last digit.
-    Both windows need rows of one patch together, so they share one shuffle by patch.
+    Patches meet their neighbours' faces as arrays, and cells are exploded after the last shuffle.
     """
-    fields = list(equation.fields)
+    fields, n = list(equation.fields), layout.sizes[0]
     dt = F.lit(dt) if isinstance(dt, float) else dt
-    own = F.struct(*fields)
-    full = padded(cells, leaves, codec, layout, fields, nbr).repartition("patch_id")
-    along_x = Window.partitionBy("patch_id", "j").orderBy("i")
-    along_y = Window.partitionBy("patch_id", "i").orderBy("j")
-    near = full.withColumns(
-        {
-            "__l0": F.lag(own).over(along_x),
-            "__r0": F.lead(own).over(along_x),
-            "__l1": F.lag(own).over(along_y),
-            "__r1": F.lead(own).over(along_y),
+    full = with_faces(patches, leaves, codec, layout, fields, nbr)
+
+    def place(j: int, i: int) -> Column:
+        """A cell, and where its value and those beside it stand in the array of a patch with its faces."""
+        face = lambda d, t: n * n + d * n + t
+        at = {
+            "j": j,
+            "i": i,
+            "at": j * n + i,
+            "l0": j * n + i - 1 if i else face(2, j),
+            "r0": j * n + i + 1 if i < n - 1 else face(3, j),
+            "l1": j * n + i - n if j else face(0, i),
+            "r1": j * n + i + n if j < n - 1 else face(1, i),
         }
-    ).filter("inside")
+        return F.struct(*(F.lit(k).alias(name) for name, k in at.items()))
+
+    places = F.array(*(place(j, i) for j in range(n) for i in range(n)))
+    rows = full.select("patch_id", codec.level(F.col("patch_id")).alias("level"), *(F.col(f).alias(f"__{f}") for f in fields), F.explode(places).alias("p"))
+    state = lambda at: F.struct(*(F.get(f"__{f}", F.col(f"p.{at}")).alias(f) for f in fields))
+    near = rows.select("patch_id", "level", "p.j", "p.i", *(state(at).alias(f"__{at}") for at in ("at", "l0", "r0", "l1", "r1")))
+    here = _state("__at.", fields)
     change = {f: F.lit(0.0) for f in fields}
     for axis in (0, 1):
-        here = _state("", fields)
         into = equation.flux(_state(f"__l{axis}.", fields), here, axis)
         out = equation.flux(here, _state(f"__r{axis}.", fields), axis)
         for f in fields:
             change[f] = change[f] + (out[f] - into[f]) * (dt / geometry.cell_size(F.col("level"), axis))
-    return near.select("patch_id", "level", "j", "i", *((F.col(f) - change[f]).alias(f) for f in fields))
+    return near.select("patch_id", "level", "j", "i", *((here[f] - change[f]).alias(f) for f in fields))
 
 
 def peak_cell(cells: DataFrame, value: str, at: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

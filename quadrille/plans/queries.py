@@ -450,8 +450,7 @@ JOIN pad l ON l.patch_id = c.patch_id AND l.j = c.j AND l.i = c.i - 1 JOIN pad d
 def fvm_refined_step(spark, sf):
     checkpoints(spark)
     leaves = S.leaf_set(spark, sf)
-    cells = S.leaf_cells(leaves, S.grid(spark, sf)).checkpoint()
-    out = fvm.refined_step(cells, leaves, ADVECTION, 0.0005, UNIT, C2, LAYOUT)
+    out = fvm.refined_patch_step(S.leaf_patches(spark, sf, leaves), leaves, ADVECTION, 0.0005, UNIT, C2, LAYOUT)
     return out.select("patch_id", "j", "i", r6("u").alias("u"))
 
 

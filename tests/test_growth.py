@@ -7,8 +7,10 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from quadrille.functions.geometry import Geometry
 from quadrille.functions.morton import MortonCodec
-from quadrille.operators import dg, intergrid, tree
+from quadrille.operators import dg, fvm, halo, intergrid, tree
+from quadrille.operators.layout import PatchLayout
 from quadrille.operators.store import Store
 from quadrille.plans import queries, stored
 from quadrille.sinks import meshes
@@ -108,3 +110,44 @@ def test_a_dg_stage_sends_cells_not_faces(spark):
     cells = spark.range(64 * 64).select((F.col("id") % 64).alias("x"), F.floor(F.col("id") / 64).alias("y"), F.array(*(F.rand(k) for k in range(4))).alias("u"))
     plan = _plan(dg.rhs(cells, dg.Config(order=2), dg.LinearAdvection((1.0, 1.0))))
     assert "Aggregate" not in plan and "Window" in plan
+
+
+class Probe:
+    """Two fields that need the states on both sides of every face."""
+
+    fields = ("u", "v")
+
+    def flux(self, left, right, axis):
+        return {"u": left["u"] * 2.0 - right["v"] * float(axis + 1), "v": left["v"] + right["u"] * 3.0}
+
+
+@pytest.mark.parametrize("periodic", [True, False])
+def test_a_refined_step_of_patches_equals_one_of_cells(spark, periodic):
+    codec, n = MortonCodec(2, 5), 4
+    layout, unit = PatchLayout((n, n), 1), Geometry((1.0, 1.0), (n, n), 5)
+    trees = spark.range(2).withColumnRenamed("id", "g")
+    leaves = tree.uniform(spark, codec, 2, trees)
+    for corner, level in ((0, 2), (8, 2), (8, 3)):
+        wanted = spark.createDataFrame([(codec.key((corner, corner), level, g),) for g in (0, 1)], "patch_id long")
+        refined = tree.balance_refinement(wanted, leaves, codec)
+        leaves = tree.regrid_keys(leaves, refined, wanted.filter("false"), codec).checkpoint()
+    cells = S.initialize(leaves, (n, n), {"u": F.rand(3), "v": F.rand(4)}).select("patch_id", "level", "j", "i", "u", "v").checkpoint()
+    nbr = tree.neighbors(leaves, codec, periodic=periodic).checkpoint()
+    assert {r.relation for r in nbr.select("relation").distinct().collect()} == {"same", "coarser", "finer", *(() if periodic else ("boundary",))}
+    pad = {(r.patch_id, r.j, r.i): (r.u, r.v) for r in halo.padded(cells, leaves, codec, layout, ["u", "v"], nbr).collect()}
+    step = fvm.refined_step(cells, leaves, Probe(), 0.01, unit, codec, layout, nbr)
+    got = {(r.patch_id, r.j, r.i): (r.u, r.v) for r in step.collect()}
+    assert len(got) == step.count() == cells.count()
+    flux = lambda a, b, axis: (2 * a[0] - b[1] * (axis + 1), a[1] + 3 * b[0])
+    for (key, j, i), found in got.items():
+        want, here = list(pad[key, j, i]), pad[key, j, i]
+        for axis, (dj, di) in enumerate(((0, 1), (1, 0))):
+            into, out = flux(pad[key, j - dj, i - di], here, axis), flux(here, pad[key, j + dj, i + di], axis)
+            scale = 0.01 * n * 2 ** (key & 63)
+            want = [w - (o - m) * scale for w, o, m in zip(want, out, into, strict=True)]
+        assert found == pytest.approx(want, abs=1e-11)
+
+
+def test_a_refined_step_sends_faces_not_cells(spark, sf_dir):
+    plan = _plan(queries.QUERIES["fvm_refined_step"](spark, sf_dir)).split("Initial Plan")[0]
+    assert "Window" not in plan and "Exchange" not in plan[: plan.index("Generate explode")]
