@@ -115,6 +115,16 @@ def prolong(
     )
 
 
+#: What becomes of a leaf in ``regrid_patches``: 1 for given to children, -1 for brought to its parent; others are kept.
+_DOWN, _UP = 1, -1
+
+
+def _fates(refined: DataFrame, families: DataFrame, codec: MortonCodec) -> DataFrame:
+    """patch_id, __fate of the leaves that go."""
+    sons = families.select(F.explode(codec.children(F.col("patch_id"))).alias("patch_id"))
+    return refined.select("patch_id", F.lit(_DOWN).alias("__fate")).unionByName(sons.select("patch_id", F.lit(_UP).alias("__fate")))
+
+
 def regrid_cells(
     cells: DataFrame, refined: DataFrame, families: DataFrame, codec: MortonCodec, n: int, fields: Sequence[str], **operators
 ) -> DataFrame:
@@ -133,6 +143,57 @@ def regrid_cells(
     return same.unionByName(fine.select(*keep)).unionByName(coarse.select(*keep))
 
 
+def regrid_patches(
+    patches: DataFrame,
+    refined: DataFrame,
+    families: DataFrame,
+    codec: MortonCodec,
+    n: int,
+    fields: Sequence[str],
+    combine: Callable[[Sequence[Column]], Column] = lambda v: sum(v[1:], v[0]) / len(v),
+    spread: Callable[[Column, Sequence[Column]], Column] = lambda value, place: value,
+) -> DataFrame:
+    """``regrid_cells`` of a table of patches (``halo.patch_rows``): a row a cell, exploded after the last shuffle.
+
+    A patch meets what becomes of it by its key.  The cells of its next form are listed as the places in its arrays that
+    they come from: its own, those of all children, or the blocks that make its parent's.
+    """
+    rank, half, size = codec.rank, n // 2, n**codec.rank
+    names, parts = INDICES[-rank:], list(product((0, 1), repeat=rank))
+    flat = lambda place: sum(p * n ** (rank - 1 - d) for d, p in enumerate(place))
+
+    def son(part: Sequence[int]) -> int:
+        """Number of the child in a part; the last index runs along the key's first axis."""
+        return sum(o << (rank - 1 - d) for d, o in enumerate(part))
+
+    def cell(child: int, place: Sequence[int], bits: Sequence[int], *under: int) -> Column:
+        at = {"c": child, **dict(zip(names, place, strict=True)), **{f"o{m}": b for m, b in zip(names, bits, strict=True)}}
+        return F.struct(*(F.lit(v).alias(f"__{k}") for k, v in at.items()), F.array(*map(F.lit, under)).alias("__from"))
+
+    none, inside = (0,) * rank, list(product(range(n), repeat=rank))
+    same = [cell(0, p, none, flat(p)) for p in inside]
+    fine = [
+        cell(son(part), p, [k % 2 for k in p], flat([o * half + k // 2 for o, k in zip(part, p, strict=True)])) for part in parts for p in inside
+    ]
+    coarse = [cell(0, p, none, *(flat([2 * k + o for k, o in zip(p, part, strict=True)]) for part in parts)) for p in product(range(half), repeat=rank)]
+    met = patches.select("patch_id", *(F.col(f).alias(f"__{f}") for f in fields)).join(_fates(refined, families, codec), "patch_id", "left")
+    fate = F.coalesce("__fate", F.lit(0))
+    listed = F.when(fate == _DOWN, F.array(*fine)).when(fate == _UP, F.array(*coarse)).otherwise(F.array(*same))
+    rows = met.select("patch_id", fate.alias("__fate"), *(f"__{f}" for f in fields), F.inline(listed))
+    key, part = F.col("patch_id"), codec.offset_of(F.col("patch_id"))
+    given = lambda f, k: F.get(f"__{f}", F.get("__from", F.lit(k)))
+    is_up, is_down = F.col("__fate") == _UP, F.col("__fate") == _DOWN
+    values = []
+    for f in fields:
+        one = given(f, 0)
+        many = combine([given(f, k) for k in range(1 << rank)])
+        values.append(F.when(is_up, many).when(is_down, spread(one, [F.col(f"__o{m}") for m in names])).otherwise(one).alias(f))
+    out = F.when(is_up, codec.parent(key)).when(is_down, codec.child(key, F.col("__c"))).otherwise(key)
+    bit = lambda d: F.shiftright(part, rank - 1 - d).bitwiseAND(1)
+    index = [(F.col(f"__{m}") + F.when(is_up, bit(d) * half).otherwise(0)).cast("int").alias(m) for d, m in enumerate(names)]
+    return rows.select(out.alias("patch_id"), *index, *values).select("patch_id", codec.level(key).alias("level"), *names, *fields)
+
+
 def threshold_flags(
     cells: DataFrame, value: Column, refine_above: Column | float, coarsen_below: Column | float, min_level: int, max_level: int
 ) -> DataFrame:

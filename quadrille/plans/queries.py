@@ -328,8 +328,8 @@ def regrid_cells(spark, sf):
     checkpoints(spark)
     leaves, flags = S.flags_of_pass(spark, sf, 0)
     refined, families = tree.plan_regrid(leaves, flags, C2, S.MIN_LEVEL)
-    cells = S.leaf_cells(leaves, S.grid(spark, sf))
-    return intergrid.regrid_cells(cells, refined, families, C2, 8, ["u"]).select("patch_id", "j", "i", r6("u").alias("u"))
+    patches = S.leaf_patches(spark, sf, leaves)
+    return intergrid.regrid_patches(patches, refined, families, C2, S.PATCH, ["u"]).select("patch_id", "j", "i", r6("u").alias("u"))
 
 
 # --- halos --------------------------------------------------------------------------------------

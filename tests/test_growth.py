@@ -151,3 +151,38 @@ def test_a_refined_step_of_patches_equals_one_of_cells(spark, periodic):
 def test_a_refined_step_sends_faces_not_cells(spark, sf_dir):
     plan = _plan(queries.QUERIES["fvm_refined_step"](spark, sf_dir)).split("Initial Plan")[0]
     assert "Window" not in plan and "Exchange" not in plan[: plan.index("Generate explode")]
+
+
+def test_cells_of_patches_infer_no_filter_on_their_arrays(spark, sf_dir):
+    leaves = tree.uniform(spark, S.CODEC, 2)
+    patches = S.leaf_patches(spark, sf_dir, leaves)
+    plan = S.cells_of(patches, S.CODEC, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(array(" not in plan
+
+
+@pytest.mark.parametrize("rank, n", [(2, 8), (3, 4)])
+def test_regridding_of_patches_equals_that_of_cells(spark, rank, n):
+    codec, trees = MortonCodec(rank, 7), spark.range(2).withColumnRenamed("id", "g")
+    leaves = tree.uniform(spark, codec, 2, trees)
+    key = F.col("patch_id")
+    families = tree.uniform(spark, codec, 1, trees).filter(codec.offset_of(key) == 1).select("patch_id")
+    refined = leaves.filter((codec.offset_of(codec.parent(key)) == 2) & (codec.offset_of(key) > 0)).select("patch_id")
+    values = lambda k: F.transform(F.sequence(F.lit(0), F.lit(n**rank - 1)), lambda q: (q * q % 23 + k * F.col("x") + codec.tree(key) * 5).cast("double"))
+    patches = leaves.select("patch_id", "level", values(1).alias("u"), values(3).alias("v")).checkpoint()
+    zipped = patches.select("patch_id", "level", F.posexplode(F.arrays_zip("u", "v")).alias("q", "c"))
+    index = [(F.floor(F.col("q") / n ** (rank - 1 - d)).cast("int") % n).alias(m) for d, m in enumerate(tree.INDICES[-rank:])]
+    cells = zipped.select("patch_id", "level", *index, "c.u", "c.v")
+    slope = lambda u, at: u + at[0] * 2 - at[-1] * 0.5
+    for most, many, spread in ((F.avg, None, None), (F.max, lambda v: F.greatest(*v), slope)):
+        got = intergrid.regrid_patches(
+            patches, refined, families, codec, n, ["u", "v"], **({"combine": many} if many else {}), **({"spread": spread} if spread else {})
+        )
+        want = intergrid.regrid_cells(cells, refined, families, codec, n, ["u", "v"], combine=most, **({"spread": spread} if spread else {}))
+        assert got.columns == want.columns
+        rows = [sorted(map(tuple, f.collect())) for f in (got, want)]
+        assert rows[0] == rows[1] and {r[1] for r in rows[0]} == {1, 2, 3}
+
+
+def test_regridding_of_patches_sends_no_cells(spark, sf_dir):
+    plan = _plan(queries.QUERIES["regrid_cells"](spark, sf_dir)).split("Initial Plan")[0]
+    assert "Generate inline" in plan and "Exchange" not in plan[: plan.index("Generate inline")]
