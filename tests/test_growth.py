@@ -186,3 +186,47 @@ def test_regridding_of_patches_equals_that_of_cells(spark, rank, n):
 def test_regridding_of_patches_sends_no_cells(spark, sf_dir):
     plan = _plan(queries.QUERIES["regrid_cells"](spark, sf_dir)).split("Initial Plan")[0]
     assert "Generate inline" in plan and "Exchange" not in plan[: plan.index("Generate inline")]
+
+
+def _random_cells(spark, extent, order, components):
+    """Two grids; positive where components need it."""
+    rows = spark.range(2 * extent * extent).select(
+        F.floor(F.col("id") / extent**2).alias("g"), (F.col("id") % extent).alias("x"), (F.floor(F.col("id") / extent) % extent).alias("y")
+    )
+    add = {"rho": 1.0, "e": 2.5}
+    nodes = F.sequence(F.lit(0), F.lit(order**2 - 1))
+    value = lambda c: F.transform(nodes, lambda q: F.pmod(F.hash(q, "g", "x", "y", F.lit(c)), F.lit(1000)) / 4000.0 + add.get(c, 0.0))
+    return rows.select("g", "x", "y", *(value(c).alias(c) for c in components))
+
+
+@pytest.mark.parametrize("patch", [64, 3])
+@pytest.mark.parametrize(
+    "extent, order, equation, components, integrator",
+    [
+        (9, 3, dg.NodalEuler(), dg.NodalEuler.components, "ssprk3"),
+        (10, 2, dg.LinearAdvection((1.0, -0.5)), ("u",), "ssprk2"),
+        (9, 1, dg.LinearAdvection((-1.0, 0.5)), ("u",), "euler"),
+    ],
+)
+def test_a_dg_step_of_blocks_equals_one_of_cells(spark, monkeypatch, patch, extent, order, equation, components, integrator):
+    """A grid that is one block, and one of several blocks whose last are narrower."""
+    monkeypatch.setattr(dg, "PATCH", patch)
+    config = dg.Config(order=order, extent=extent, components=tuple(components))
+    cells = _random_cells(spark, extent, order, components)
+    got, want = ({(r.g, r.x, r.y): [r[c] for c in components] for r in f(cells, config, equation, 0.001, integrator, ("g",)).collect()} for f in (dg.advance, dg.advance_cells))
+    assert len(got) == 2 * extent**2 and got.keys() == want.keys()
+    for k, found in got.items():
+        for a, b in zip(found, want[k], strict=True):
+            assert a == pytest.approx(b, abs=1e-13)
+
+
+def test_all_stages_of_a_dg_step_take_one_shuffle(spark):
+    cells = _random_cells(spark, 64, 2, ("u",))
+    plan = _plan(dg.advance(cells, dg.Config(order=2), dg.LinearAdvection((1.0, 1.0)), 0.001, "ssprk3", ("g",))).split("Initial Plan")[0]
+    assert "Window" not in plan and len(re.findall(r"\bExchange\b", plan)) == 1
+
+
+def test_a_dg_step_of_wrong_arrays_fails(spark):
+    cells = _random_cells(spark, 4, 3, ("u",))
+    with pytest.raises(Exception, match="arrays of 4 numbers"):
+        dg.advance(cells, dg.Config(order=2, extent=4), dg.LinearAdvection((1.0, 1.0)), 0.001, "euler").collect()
