@@ -19,6 +19,8 @@ from . import sql as Q
 C2, C3 = S.CODEC, S.CODEC3
 #: Lower, then upper corner of the box that ``mesh_box`` asks for; its borders meet no cell's.
 BOX = (0.3001, 0.2001, 0.6001, 0.7001)
+#: Of the files; corners, numbers of corners and keys of cells in order of space are much alike.
+PACKED = "zstd"
 
 
 def _folder(spark) -> str:
@@ -59,7 +61,7 @@ def register(query, checkpoints) -> None:
         """Quads of the quadtrees' cells, from the files that tasks wrote."""
         checkpoints(spark)
         folder = _folder(spark)
-        meshes.write(leaf_boxes(spark, sf).select("patch_id", "j", "i", "x0", "y0", "dx", "dy", "u"), folder, share_corners=True)
+        meshes.write(leaf_boxes(spark, sf).select("patch_id", "j", "i", "x0", "y0", "dx", "dy", "u"), folder, share_corners=True, compression=PACKED)
         return meshes.read(spark, folder).select("type", "patch_id", "j", "i", "x0", "y0", "x1", "y1", r6("u").alias("u"))
 
     @query(
@@ -71,7 +73,7 @@ def register(query, checkpoints) -> None:
         checkpoints(spark)
         folder = _folder(spark)
         boxes = leaf_boxes(spark, sf).select("patch_id", "j", "i", "x0", "y0", "dx", "dy", "u")
-        meshes.write(boxes, folder, cells_per_file=4096, share_corners=True)
+        meshes.write(boxes, folder, cells_per_file=4096, share_corners=True, compression=PACKED)
         return meshes.read(spark, folder, BOX).select("patch_id", "j", "i", r6("u").alias("u"))
 
     @query(f"{octree.CELLS_SQL} SELECT 11 AS type, patch_id, k::BIGINT AS k, j::BIGINT AS j, i::BIGINT AS i, {_corners('xyz', 128)}, {Q.r('u')} AS u FROM cells")
@@ -84,7 +86,7 @@ def register(query, checkpoints) -> None:
         boxes = boxes.withColumn("x0", F.col("x0") + C3.tree(F.col("patch_id")))
         folder = _folder(spark)
         box = [f"{p}{a}" if p else f"{a}0" for p in ("", "d") for a in tree.AXES]
-        meshes.write(boxes.select("patch_id", *tree.INDICES, *box, "u"), folder, share_corners=True)
+        meshes.write(boxes.select("patch_id", *tree.INDICES, *box, "u"), folder, share_corners=True, compression=PACKED)
         return meshes.read(spark, folder).select("type", "patch_id", *tree.INDICES, *meshes.BOUNDS, r6("u").alias("u"))
 
     @query(
@@ -99,7 +101,7 @@ def register(query, checkpoints) -> None:
             "g", "x", "y", (F.col("g") + F.col("x") * edge).alias("x0"), (F.col("y") * edge).alias("y0"), edge.alias("dx"), edge.alias("dy"), F.array(*values).alias("v")
         )
         folder = _folder(spark)
-        meshes.write(cells, folder, near=["g", "y", "x"])
+        meshes.write(cells, folder, near=["g", "y", "x"], compression=PACKED)
         found = meshes.read(spark, folder).select("g", "x", "y", "type", F.posexplode("v").alias("n", "v"))
         return found.select("g", "x", "y", "type", "n", r6("v").alias("v"))
 

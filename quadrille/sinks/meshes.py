@@ -8,6 +8,9 @@ null boxes, null whole numbers and arrays of a wrong length fail the task.
 A job's files carry its name and count only once it is committed: ``commit`` writes the job's list last
 and takes away what failed or repeated tasks left, ``abort`` takes away all of it.  Readers follow the
 lists; a folder without lists is read file by file (other programs' unstructured grids, binary).
+
+With the option ``compression`` (``zstd`` or ``gzip``; ``none`` by default) each file is compressed as a whole and its name ends
+accordingly; other programs read it once it is decompressed.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ NUMBERS = {"double": ">f8", "float": ">f4", "int": ">i4", "vtktypeint64": ">i8"}
 CORNERS = {QUAD: [(0, 0), (1, 0), (1, 1), (0, 1)], VOXEL: [(i, j, k) for k in (0, 1) for j in (0, 1) for i in (0, 1)]}
 BOUNDS = [a + s for s in "01" for a in AXES]
 CELLS_PER_FILE = 1 << 20
+#: How names of files end by the option ``compression``; pyarrow compresses and decompresses by these.
+ENDINGS = {"none": ".vtk", "zstd": ".vtk.zst", "gzip": ".vtk.gz"}
 ROWS_PER_BATCH = 1 << 14
 
 
@@ -189,6 +194,10 @@ class MeshWriter(DataSourceArrowWriter):
         self.cells = int(options.get("cells_per_file", CELLS_PER_FILE))
         self.ascii = str(options.get("ascii", "false")).lower() == "true"
         self.share = str(options.get("share_corners", "false")).lower() == "true"
+        kind = str(options.get("compression", "none")).lower()
+        if kind not in ENDINGS:
+            raise ValueError(f"compression is one of {sorted(ENDINGS)}, not {kind}")
+        self.ending = ENDINGS[kind]
         self.time = float(options.get("timestep", 0))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -199,7 +208,7 @@ class MeshWriter(DataSourceArrowWriter):
         def out() -> None:
             table = pa.Table.from_batches(held)
             pieces, span = mesh_pieces(table, self.fields, self.ascii, self.share)
-            name = f"part-{self.job}-{uuid.uuid4().hex}.vtk"
+            name = f"part-{self.job}-{uuid.uuid4().hex}{self.ending}"
             with system.open_output_stream(f"{base}/{name}") as file:
                 for piece in pieces:
                     file.write(piece)
@@ -263,6 +272,18 @@ def _lists(system: pafs.FileSystem, base: str) -> dict[str, dict]:
     return out
 
 
+def _is_mesh(name: str) -> bool:
+    return name.endswith(tuple(ENDINGS.values()))
+
+
+def _opened(system: pafs.FileSystem, path: str) -> pa.NativeFile:
+    """A file of cells for reading at any place; a compressed one is decompressed into memory, where its blocks would be held anyway."""
+    if path.endswith(ENDINGS["none"]):
+        return system.open_input_file(path)
+    with system.open_input_stream(path) as stream:
+        return pa.BufferReader(stream.read())
+
+
 @dataclass
 class Block:
     """A run of numbers in a file: points, cells, cell_types, or a field of cells or points."""
@@ -347,7 +368,7 @@ class MeshReader(DataSourceReader):
         if any(one["ascii"] for one in lists.values()):
             raise ValueError("files of text are not read")
         if not lists:
-            return [File(n) for n in _names(system, base) if n.endswith(".vtk")]
+            return [File(n) for n in _names(system, base) if _is_mesh(n)]
         files = [f for one in lists.values() for f in one["files"]]
         return [File(f[0]) for f in files if self.box is None or self._meets(f[2:5], f[5:8])]
 
@@ -358,12 +379,12 @@ class MeshReader(DataSourceReader):
         wanted = {f.name: f for f in self.schema.fields}
         arrow = pa.schema([(n, _ARROW[f.dataType.simpleString()]) for n, f in wanted.items()])
         held = {}
-        with system.open_input_file(f"{base}/{partition.name}") as file:
+        with _opened(system, f"{base}/{partition.name}") as file:
             for b in blocks(file):
                 if not b.name or b.name in wanted:
                     file.seek(b.at)
                     width = np.dtype(NUMBERS[b.number])
-                    held[b.kind, b.name] = np.frombuffer(file.read(b.count * width.itemsize), width)
+                    held[b.kind, b.name] = np.frombuffer(file.read_buffer(b.count * width.itemsize), width)
         types = held["cell_types", ""].astype("i4")
         points = held["points", ""].reshape(-1, 3).astype(float)
         starts, sizes = _starts(held["cells", ""].astype("i8"), len(types))
@@ -420,10 +441,10 @@ class MeshSource(DataSource):
             found = [StructType.fromJson(json.loads(one["schema"])) for one in lists.values()]
             fields = {f.name: f for one in found for f in one.fields}
             return StructType(list(fields.values()))
-        files = [n for n in _names(system, base) if n.endswith(".vtk")]
+        files = [n for n in _names(system, base) if _is_mesh(n)]
         if not files:
             raise ValueError(f"no mesh in {self.options['path']}")
-        with system.open_input_file(f"{base}/{files[0]}") as file:
+        with _opened(system, f"{base}/{files[0]}") as file:
             found = blocks(file)
         return _read_schema({b.name: b.number for b in found if b.kind == "cell_data"}, [b.name for b in found if b.kind == "point_data"])
 

@@ -13,7 +13,7 @@ from quadrille.operators import dg, fvm, halo, intergrid, tree
 from quadrille.operators.layout import PatchLayout
 from quadrille.operators.store import Store
 from quadrille.plans import queries, stored
-from quadrille.sinks import meshes
+from quadrille.sinks import meshes, vtk
 from quadrille.sources import tables as S
 
 
@@ -230,3 +230,39 @@ def test_a_dg_step_of_wrong_arrays_fails(spark):
     cells = _random_cells(spark, 4, 3, ("u",))
     with pytest.raises(Exception, match="arrays of 4 numbers"):
         dg.advance(cells, dg.Config(order=2, extent=4), dg.LinearAdvection((1.0, 1.0)), 0.001, "euler").collect()
+
+
+def test_packed_files_hold_the_same_cells_in_a_fraction_of_the_bytes(spark, tmp_path):
+    leaves = tree.uniform(spark, S.CODEC3, 2)
+    patches = leaves.coalesce(1).select("patch_id", "level", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda q: (q % 7).cast("double")).alias("u"))
+    unit = Geometry((1.0, 1.0, 1.0), (4, 4, 4), S.CODEC3.depth)
+    cells = vtk.with_own_boxes(S.cells_of(tree.sort_by_key(patches, 1), S.CODEC3, 4), S.CODEC3, unit)
+    found, size = {}, {}
+    for kind in ("none", "zstd", "gzip"):
+        folder = str(tmp_path / kind)
+        meshes.write(cells, folder, share_corners=True, compression=kind)
+        names = [f for f in os.listdir(folder) if f.startswith("part-")]
+        assert names and all(f.endswith(meshes.ENDINGS[kind]) for f in names)
+        size[kind] = sum(os.path.getsize(f"{folder}/{f}") for f in names)
+        found[kind] = sorted(map(tuple, meshes.read(spark, folder).drop("file").collect()))
+        whole = found[kind]
+        box = meshes.read(spark, folder, (0.1, 0.1, 0.1, 0.3, 0.2, 0.2)).drop("file").collect()
+        assert 0 < len(box) < len(whole) == 4096 and set(map(tuple, box)) <= set(whole)
+        for f in os.listdir(folder):  # what is left is read file by file
+            if not f.startswith("part-"):
+                os.remove(f"{folder}/{f}")
+        assert sorted(map(tuple, meshes.read(spark, folder).select(*meshes.read(spark, folder).drop("file").columns).collect()))
+    assert found["none"] == found["zstd"] == found["gzip"]
+    assert size["zstd"] * 5 < size["none"] and size["gzip"] * 5 < size["none"]
+    with pytest.raises(Exception, match="compression is one of"):
+        meshes.write(cells, str(tmp_path / "other"), compression="best")
+
+
+@pytest.mark.parametrize("name", ["mesh_voxels", "mesh_box", "mesh_cells", "mesh_nodes"])
+def test_meshes_of_the_queries_are_packed(spark, sf_dir, name, monkeypatch):
+    written, write = [], meshes.write
+    monkeypatch.setattr(meshes, "write", lambda cells, folder, *a, **k: (written.append(folder), write(cells, folder, *a, **k)))
+    queries.QUERIES[name](spark, sf_dir)
+    [folder] = written
+    names = [f for f in os.listdir(folder.removeprefix("file:")) if f.startswith("part-")]
+    assert names and all(f.endswith(".vtk.zst") for f in names)
